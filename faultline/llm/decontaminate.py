@@ -8,10 +8,12 @@ for word.  Each distinct window of the benchmark is joined once, however many it
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, maybe_broadcast, stored
+from .shared import ascii_lower, let, maybe_broadcast, stored
 
 WINDOW = 10
 GRAM = 5
@@ -27,19 +29,36 @@ def words_of(text: Column) -> Column:
 
 
 def _gram_hashes(hashes: Column, k: int) -> Column:
-    """Hashes of all k-grams of an array of word hashes, in order; empty if there are fewer words."""
+    """Hashes of all k-grams of an array of word hashes (a bound variable or column), in order; empty if there are fewer words."""
     n = F.size(hashes)
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _winnowed(grams: Column, w: int) -> Column:
-    """Distinct (hash, place) that are the smallest of some ``w`` consecutive k-grams; the first of equals."""
-    placed = F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
-    if w == 1:
-        return placed
-    n = F.size(grams)
-    least = F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(placed, i, w)))
-    return F.when(n >= w, F.array_distinct(least)).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
+def _tagged(grams: Column) -> Column:
+    """k-gram hashes whose last four bits are those of their places: they tell the places of a window apart."""
+    return F.transform(grams, lambda h, i: h.bitwiseAND(F.lit(~15)).bitwiseOR(i.bitwiseAND(F.lit(15)).cast("bigint")))
+
+
+def _least(tagged: Column, w: int) -> Column:
+    """The smallest of each ``w`` (up to 16) consecutive tagged hashes; empty if there are fewer."""
+    n = F.size(tagged)
+    found = F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(tagged, i, w)))
+    return F.when(n >= w, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def _fingerprints(hashes: Column, k: int, w: int) -> Column:
+    """Distinct fingerprints of an array of word hashes: the k-gram hashes kept, without their tags."""
+    return F.array_distinct(F.transform(let(_tagged(_gram_hashes(hashes, k)), lambda t: _least(t, w)), lambda m: m.bitwiseAND(F.lit(~15))))
+
+
+def _places(hashes: Column, k: int, w: int, wanted: Callable[[Column], Column]) -> Column:
+    """Distinct places of the fingerprints that are ``wanted``, counted from 0."""
+
+    def places(tagged: Column) -> Column:
+        at = F.transform(_least(tagged, w), lambda m, j: j + F.pmod(m.bitwiseAND(F.lit(15)).cast("int") - j, F.lit(16)))
+        return F.filter(F.array_distinct(at), lambda p: wanted(F.get(tagged, p).bitwiseAND(F.lit(~15))))
+
+    return let(_tagged(_gram_hashes(hashes, k)), places)
 
 
 def _shape(length: int) -> tuple[int, int]:
@@ -54,26 +73,26 @@ def _fingerprint_map(windows: DataFrame, length: int) -> tuple[Column, int]:
     It grows with the benchmark up to MAP_BITS; beyond that it lets more through, which the join then drops.
     """
     k, w = _shape(length)
-    prints = windows.filter(F.col("length") == length).select(F.explode(_winnowed(_gram_hashes(F.col("hashes"), k), w)["h"]).alias("h")).distinct()
+    prints = windows.filter(F.col("length") == length).select(F.explode(_fingerprints(F.col("hashes"), k, w)).alias("h")).distinct()
     bits = min(MAP_BITS, max(1 << 10, 1 << (64 * prints.count()).bit_length()))
-    place = prints.select(F.pmod("h", F.lit(bits)).alias("b"))
+    place = prints.select(F.pmod(F.shiftright("h", 4), F.lit(bits)).alias("b"))
     cells = place.groupBy(F.shiftright("b", 5).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("b") % 32).cast("int"))).alias("bits"))
     values = {r.cell: r.bits for r in cells.collect()}  # bits / 32 numbers at most
     return F.from_json(F.lit("[" + ",".join(str(values.get(c, 0)) for c in range(bits // 32)) + "]"), "array<int>"), bits
 
 
-def _maybe(place: Column, cells: Column, bits: int) -> Column:
-    b = F.pmod(place["h"], F.lit(bits))
+def _maybe(h: Column, cells: Column, bits: int) -> Column:
+    b = F.pmod(F.shiftright(h, 4), F.lit(bits))
     return F.call_function("shiftrightunsigned", F.get(cells, F.shiftright(b, 5).cast("int")), (b % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Every window of every item: item (as a string), length, words (joined by a space), hashes (of the words)."""
     parts = items.select(F.col(key).cast("string").alias("item"), words_of(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    length = F.least(F.size("w"), F.lit(window))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice(F.col("w"), i, length))
-    out = parts.select("item", length.alias("length"), F.explode(F.array_distinct(runs)).alias("run"))
-    return out.select("item", "length", F.array_join("run", " ").alias("words"), F.transform("run", lambda x: F.xxhash64(x)).alias("hashes")).distinct()
+    length = lambda w: F.least(F.size(w), F.lit(window))
+    runs = let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - length(w) + 1), lambda i: F.slice(w, i, length(w))))
+    out = parts.select("item", F.explode(F.array_distinct(runs)).alias("run"))
+    return out.select("item", F.size("run").alias("length"), F.array_join("run", " ").alias("words"), F.transform("run", lambda x: F.xxhash64(x)).alias("hashes")).distinct()
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -87,19 +106,21 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     """
     windows = stored(benchmark_windows(items, item_key, item_text, window), "windows")
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # as many as a window has words at most
-    parts = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("copy"), words_of(F.col(text)).alias("w"))
-    parts = parts.select("doc", "copy", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
-    found = []
-    for n in lengths:
-        k, w = _shape(n)
-        cells, bits = _fingerprint_map(windows, n)
-        may = F.filter(_winnowed(_gram_hashes(F.col("hashes"), k), w), lambda x: _maybe(x, cells, bits))  # noqa: B023
-        # A window of n words holds the k-gram at any of w places.
-        starts = F.flatten(F.transform(may, lambda x: F.sequence(F.greatest(x["at"] - (w - 1), F.lit(0)), x["at"])))
-        starts = F.filter(F.array_distinct(starts), lambda s: s + n <= F.size("w"))  # noqa: B023
-        found.append(F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice(F.col("w"), s + 1, n), " ").alias("words"))))
-    empty = F.array().cast("array<struct<start:int,length:int,words:string>>")
-    candidates = parts.select("doc", "copy", F.size("w").alias("n_words"), F.explode_outer(F.concat(empty, *found)).alias("c")).select("doc", "copy", "n_words", "c.*")
+    shapes = [(n, *_shape(n), *_fingerprint_map(windows, n)) for n in lengths]
+
+    def candidates_of(words: Column, hashes: Column) -> Column:
+        found = [F.array().cast("array<struct<start:int,length:int,words:string>>")]
+        for n, k, w, cells, bits in shapes:
+            may = _places(hashes, k, w, lambda h: _maybe(h, cells, bits))  # noqa: B023
+            # A window of n words holds the k-gram at any of w places.
+            starts = F.flatten(F.transform(may, lambda x: F.sequence(F.greatest(x - (w - 1), F.lit(0)), x)))  # noqa: B023
+            starts = F.filter(F.array_distinct(starts), lambda s: s + n <= F.size(words))  # noqa: B023
+            found.append(F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice(words, s + 1, n), " ").alias("words"))))  # noqa: B023
+        return F.concat(*found)
+
+    of_text = let(words_of(F.col(text)), lambda w: F.struct(F.size(w).alias("n_words"), let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: candidates_of(w, h)).alias("c")))
+    parts = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("copy"), of_text.alias("t"))
+    candidates = parts.select("doc", "copy", "t.n_words", F.explode_outer("t.c").alias("c")).select("doc", "copy", "n_words", "c.*")
     distinct = windows.groupBy("length", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
     listed = stored(distinct, "distinct-windows")
     size = listed.agg(F.sum(F.length("words") + 40 + 24 * F.size("items"))).first()[0] or 0

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import let, stored
 
 BLOCK_BYTES = 2048
 #: Runs of these six characters count as one space.
@@ -46,9 +46,12 @@ def _block_names(blocks: DataFrame, digest: Callable[[Column], Column]) -> DataF
 
 def document_names(rows: DataFrame, block_bytes: int = BLOCK_BYTES, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One identity for each row: ``rows`` has row (unique) and text (normalised); returns row, depth, name."""
-    raw = F.col("text").cast("binary")
-    last = F.greatest(F.lit(0), F.ceil(F.octet_length("text") / block_bytes).cast("int") - 1)
-    blocks = rows.select("row", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block_bytes + 1, F.lit(block_bytes)))).alias("pos", "block"))
+
+    def cut(raw: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.octet_length(raw) / block_bytes).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block_bytes + 1, F.lit(block_bytes)))
+
+    blocks = rows.select("row", F.posexplode(let(F.col("text").cast("binary"), cut)).alias("pos", "block"))
     level, depth, done = stored(_block_names(blocks, digest), "names"), 0, None
     while True:
         longer = level.filter("pos > 0").select("row").distinct()

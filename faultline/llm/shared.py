@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once: a lambda would evaluate what it captures for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def maybe_broadcast(df: DataFrame, bytes_measured: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its measured size allows one, else as it is (a shuffled join)."""
     return F.broadcast(df) if bytes_measured <= most else df
