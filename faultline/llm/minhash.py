@@ -24,7 +24,8 @@ WORDS = 5
 #: 64 bands of 6 values: two documents at 0.75 share no band with probability (1 - 0.75 ** 6) ** 64 < 4e-6.
 BANDS, ROWS = 64, 6
 PERMUTATIONS = BANDS * ROWS // 2
-SKETCH_WORDS = 4
+#: 64-bit words of a sketch: four bits of every value of the signature.
+SKETCH_WORDS = BANDS * ROWS // 16
 PERCENT = 75
 #: Members that are confirmed beside one copy of their centre's text.
 SHARE = 64
@@ -105,10 +106,10 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
 
     def run(batches: Iterator[pa.RecordBatch]):
         salt = _mixed(np.arange(1, bands + 1, dtype=np.uint64))
-        place = np.arange(SKETCH_WORDS * 64, dtype=np.uint64)
+        place = np.arange(SKETCH_WORDS * 16, dtype=np.uint64)
         for batch in batches:
             column = plain(batch.column(2))
-            for start, stop in by_bytes(column, 4 << 20):
+            for start, stop in by_bytes(column, 2 << 20):
                 sets = shingle_sets(column.slice(start, stop - start), words)
                 size = np.array([len(s) for s in sets], np.int64)
                 sigs = np.zeros((len(sets), bands * rows), np.uint64)
@@ -122,8 +123,8 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                 for r in range(rows):
                     keys = _mixed(keys * _MIX + sigs[:, r * bands : (r + 1) * bands])
                 keys ^= salt
-                bits = (_mixed(sigs[:, : SKETCH_WORDS * 64] + (place << np.uint64(32))) & np.uint64(1)).astype(np.uint8)
-                sketch = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+                four = (_mixed(sigs[:, : len(place)] + (place << np.uint64(32))) & np.uint64(15)).astype(np.uint8)
+                sketch = np.ascontiguousarray(four[:, ::2] | (four[:, 1::2] << np.uint8(4))).view(np.uint64)
                 lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(start, stop - start) for j in (0, 1)), pa.array(size), *(pa.array(np.ascontiguousarray(digest[:, j]).view(np.int64)) for j in (0, 1)), lists(sketch), lists(keys)], ["row", "key", "n", "d0", "d1", "sketch", "keys"])
 
@@ -132,14 +133,18 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
 
 
 def _agree(x: str, y: str) -> Column:
-    """Bits in which two sketches agree."""
-    return sum((F.bit_count(F.get(F.col(x), i).bitwiseXOR(F.get(F.col(y), i))) for i in range(SKETCH_WORDS)), F.lit(0)) * -1 + 64 * SKETCH_WORDS
+    """Values in whose four bits two sketches agree."""
+
+    folded = F.zip_with(F.col(x), F.col(y), lambda a, b: a.bitwiseXOR(b))
+    folded = F.transform(folded, lambda v: v.bitwiseOR(F.shiftrightunsigned(v, 1)))
+    folded = F.transform(folded, lambda v: v.bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return F.aggregate(folded, F.lit(16 * SKETCH_WORDS), lambda n, v: n - F.bit_count(v))
 
 
 def _least_agreement(percent: int) -> int:
-    """Bits that all but one in some millions of pairs at the threshold agree in: half of the other values agree by chance."""
-    n, p = SKETCH_WORDS * 64, (1 + percent / 100) / 2
-    return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
+    """Values that all but a few in a million pairs at the threshold agree in: one in 16 of the others does so by chance."""
+    n, p = SKETCH_WORDS * 16, percent / 100 + (1 - percent / 100) / 16
+    return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
 
 
 def _likely(x: str, y: str, percent: int) -> Column:
