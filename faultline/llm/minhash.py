@@ -67,7 +67,8 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     n = len(hashed)
     run = np.zeros(n, np.uint64)
     for k in range(words):
-        run[: n - k] = _mixed(run[: n - k] * _MIX + hashed[k:])
+        m = max(0, n - k)
+        run[:m] = _mixed(run[:m] * _MIX + hashed[k:])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
