@@ -3,8 +3,9 @@
 Each permutation of a document's shingles gives two values, the least and the greatest, so half as many hash
 evaluations fill the signature.  Bands of it bring candidates together; a compact sketch of the signature and the sizes of the
 sets drop most that can't be links; what is left is confirmed on the full sets.  Documents are classed by equal sets
-first, so copies cost one representative.  In a bucket everything is tried against one member first; only pairs that
-this leaves in different components are tried after, so a large group of near copies isn't expanded into pairs.
+first, so copies cost one representative.  In a bucket everything is tried against one member first.  What this leaves in
+different components is compared inside tasks, block of a bucket against block: rows are members of blocks, never pairs, so a large
+group of texts that are alike but below the threshold costs comparisons and not rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SKETCH_WORDS = BANDS * ROWS // 16
 PERCENT = 75
 #: Members that are confirmed beside one copy of their centre's text.
 SHARE = 64
+#: About the most members, and shingles, of a block of a bucket: larger buckets are dealt into several blocks.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -187,7 +190,102 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, words:
     return ordered.mapInArrow(run, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def in_blocks(members: DataFrame, most: int = BLOCK_MEMBERS, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Members (band, id, n, ...) once for each pair (i, j) of blocks of their bucket that their own ``block`` is part of."""
+    sizes = members.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") / shingles)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *(c for c in members.columns if c != "band"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    """The runs of rows that agree in the first ``columns`` (integers), each whole."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        named = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(columns)], 1)
+        starts = [0, *(np.flatnonzero((named[1:] != named[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(starts[:-1], starts[1:], strict=True):
+            if held and (start or (named[0] != last).any()):
+                yield whole()
+                held = []
+            held.append(batch.slice(start, stop - start))
+        last = named[-1]
+    if held:
+        yield whole()
+
+
+def _candidates(group: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one pair of blocks: a row, and the rows that can be linked with it and first share this very band with it."""
+    column = lambda name: np.asarray(group.column(group.schema.get_field_index(name)))
+    table = lambda name: np.asarray(group.column(group.schema.get_field_index(name)).flatten()).reshape(len(group), -1)
+    band, i, j = (column(c)[0] for c in ("band", "i", "j"))
+    block, component, n, sketch, keys = column("block"), column("component"), column("n"), table("sketch").view(np.uint64), table("keys")
+    least, right = _least_agreement(percent), np.flatnonzero(block == j)
+    for p in np.flatnonzero(block == i).tolist():
+        q = right[right > p] if i == j else right
+        q = q[(component[q] != component[p]) & (np.minimum(n[q], n[p]) * 100 >= np.maximum(n[q], n[p]) * percent)]
+        differ = sketch[q] ^ sketch[p]
+        differ |= differ >> np.uint64(1)
+        differ |= differ >> np.uint64(2)
+        q = q[16 * SKETCH_WORDS - np.bitwise_count(differ & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64) >= least]
+        q = q[keys[p][(keys[q] == keys[p]).argmax(1)] == band]
+        if len(q):
+            yield p, q
+
+
+def block_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT, words: int = WORDS, most: int = BLOCK_MEMBERS) -> DataFrame:
+    """Links (x, y) that join all components which links within buckets join.
+
+    members: band, id, component, n, sketch, keys; texts: row, text.  Blocks are compared by sketches first; only members with a
+    candidate get their texts, and a second pass confirms candidates that aren't in one component yet on the full sets.  Each
+    pair is looked at in the first band that it shares.
+    """
+    met = in_blocks(members, most)
+
+    def sift(batches: Iterator[pa.RecordBatch]):
+        for group in _runs(batches, 3):
+            chosen = np.zeros(len(group), bool)
+            for p, q in _candidates(group, percent):
+                chosen[p] = chosen[q] = True
+            if chosen.any():
+                yield group.filter(pa.array(chosen))
+
+    together = lambda df: df.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    open_members = stored(together(met).mapInArrow(sift, met.schema), "open-members")
+    wanted = open_members.select(F.col("id").alias("row")).distinct()
+    held = texts.join(maybe_broadcast(wanted, 16 * wanted.count()), "row", "left_semi").withColumnRenamed("row", "id")
+    held = open_members.join(held, "id").select(*met.columns, "text")
+
+    def confirm(batches: Iterator[pa.RecordBatch]):
+        for group in _runs(batches, 3):
+            text = plain(group.column(group.schema.get_field_index("text")))
+            sets = [s for start, stop in by_bytes(text, 4 << 20) for s in shingle_sets(text.slice(start, stop - start), words)]
+            names, parts = (np.asarray(group.column(group.schema.get_field_index(c))) for c in ("id", "component"))
+            parts = parts.copy()
+            x, y = [], []
+            for p, q in _candidates(group, percent):
+                q = q[parts[q] != parts[p]]
+                if not len(q):
+                    continue
+                own, size = sets[p], np.array([len(sets[k]) for k in q])
+                met = np.concatenate([sets[k] for k in q])
+                found = own[np.minimum(np.searchsorted(own, met), len(own) - 1)] == met
+                both = np.add.reduceat(found, np.cumsum(size) - size, dtype=np.int64)
+                for k in q[100 * both >= percent * (len(own) + size - both)].tolist():
+                    if parts[k] != parts[p]:
+                        parts[parts == parts[k]] = parts[p]
+                        x.append(names[p])
+                        y.append(names[k])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+
+    return together(held).mapInArrow(confirm, "x long, y long")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """The component of every row under links of similarity percent / 100 or more: ``key``, n_shingles, component_id, kept.
 
     component_id is the smallest key of a row that can be reached by links; kept marks rows whose key that is.  Null
@@ -216,10 +314,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     # What one member couldn't join: pairs of a bucket that still stand in different components.
     placed = buckets.select("band", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_bands = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("band")
-    rest = stored(placed.join(open_bands, "band").join(reps, "id"), "open-buckets")
-    x, y = (rest.select("band", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "n", "sketch"))) for s in ("x", "y"))
-    tried = x.join(y, (x.band == y.band) & (F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & _likely("x_", "y_", percent)).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
-    more = stored(confirmed(stored(tried, "pairs"), texts, percent, words), "links")
+    rest = placed.join(open_bands, "band").join(classes.select(F.col("rep").alias("id"), "n", "sketch", "keys"), "id")
+    more = stored(block_links(stored(rest, "open-buckets"), texts, percent, words, block_members), "links")
     parts = stored(connected(parts.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more)), "parts")
 
     placed = classes.select("n", "d0", "d1", "rep", "least").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -90,6 +90,29 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts, base = [], [f"w{k}" for k in range(90)]
+    for _ in range(120):  # alike, many of them just below or above the threshold
+        own = list(base)
+        for k in rng.choice(90, int(rng.integers(1, 4)), replace=False):
+            own[k] = f"x{rng.integers(1000)}"
+        texts.append(" ".join(own[: int(rng.integers(75, 91))]))
+    texts += [texts[5].upper(), None, "w1 w2"]
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    want = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    assert 3 < len(set(want)) < 100
+    for block in (16, 1024):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, texts), block_members=block).collect()}
+        assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+
+
 def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "x long, y long")
     got = {r.node: r.component for r in components.connected(df).collect()}
