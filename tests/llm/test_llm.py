@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from faultline.llm import chat, components, decontaminate, exact_dedup, idfile, lm_score, minhash, ngrams, packing, quality, tokens, url_rules
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -166,3 +167,33 @@ def test_url_rules(spark):
 
 def test_shingles_of_an_empty_batch():
     assert [len(x) for x in minhash.shingle_sets(pa.array(["", None, " \n"]))] == [0, 0, 0]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    prose = [" ".join(rng.choice(W, int(rng.integers(30, 60)))) for _ in range(60)]
+    texts = [*prose, prose[0], prose[1].replace(" ", "\n"), prose[2] + " more", f"{prose[3]} {' '.join(W)}", "%%% ### QXJ!! ZZ@@ 0xFF", None, ""]
+    docs(spark, texts).withColumn("_hit", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(64, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(W))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    accepted = {r.doc_id for r in quality.score_documents(table("documents"), table("labels")).collect() if r.accepted}
+    left = []  # exact copies, then components of near copies, then documents with a passage of the item
+    split = {i: (texts[i] or "").lower().split() for i in sorted(accepted)}
+    for i, w in split.items():
+        if not any((texts[j] or "").split() == (texts[i] or "").split() for j in left):
+            left.append(i)
+    sets = {i: {tuple(split[i][k : k + 5]) for k in range(max(1, len(split[i]) - 4))} if split[i] else set() for i in left}
+    part = {i: i for i in left}
+    for i in left:
+        for j in left:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((part[i], part[j]))
+                part = {k: low if c == high else c for k, c in part.items()}
+    passages = {tuple(W[k : k + 10]) for k in range(len(W) - 9)}
+    left = [i for i in left if part[i] == i and not any(tuple(split[i][k : k + 10]) in passages for k in range(len(split[i]) - 9))]
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, list(r.ids)))
+    assert sorted(got) == left and len(left) > 30 and not {60, 61, 62, 63, 64} & {*left}
+    assert all([x for _, piece in sorted(got[i]) for x in piece] == ids(texts[i]) for i in left)
