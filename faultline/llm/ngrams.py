@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from .shared import buffers, by_bytes, plain, stored
 
 SLICE_BYTES = 4 << 20
+#: With tables of all n-grams (order 3), slices are smaller and a task passes its counts on before one could overflow.
+DENSE_SLICE_BYTES = 1 << 20
+DENSE_BYTES = 1 << 31
 #: A model with more n-grams than this isn't sent to the tasks.  Order 3 can't have more; order 4 from a bounded sample has far less.
 MOST_NGRAMS = 1 << 24
 
@@ -41,25 +44,38 @@ def ngram_counts(docs: DataFrame, flags: list[str], order: int) -> DataFrame:
     A task adds up its own texts first, so a frequent n-gram is a row for each task, not for each time it's seen.
     """
 
+    def rows(keys: np.ndarray, found: list[np.ndarray]):
+        for i in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].astype(np.int64)), *(pa.array(f[i : i + (1 << 16)].astype(np.int64)) for f in found)], ["gram", *flags])
+
+    def dense_rows(total: list[np.ndarray]):
+        keys = np.flatnonzero(np.bitwise_or.reduce(total))
+        yield from rows(keys, [t[keys] for t in total])
+
     def run(batches: Iterator[pa.RecordBatch]):
-        dense = order <= 3
-        total = [np.zeros(1 << (8 * order), np.int64) if dense else (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for _ in flags]
+        dense, held = order <= 3, 0
+        total = [np.zeros(1 << (8 * order), np.uint32) if dense else (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for _ in flags]
         for batch in batches:
             column = plain(batch.column(0))
-            for start, stop in by_bytes(column, SLICE_BYTES):
+            for start, stop in by_bytes(column, DENSE_SLICE_BYTES if dense else SLICE_BYTES):
                 packed, offsets = codes(column.slice(start, stop - start), order)
+                held += len(packed)
+                if dense and held > DENSE_BYTES:
+                    yield from dense_rows(total)
+                    held = len(packed)
+                    for t in total:
+                        t[:] = 0
                 for k in range(len(flags)):
                     flag = np.asarray(batch.column(1 + k).slice(start, stop - start).to_numpy(zero_copy_only=False), bool)
                     own = packed if flag.all() else packed[np.repeat(flag, np.diff(offsets))]
                     if dense:
-                        total[k] += np.bincount(own, minlength=len(total[k]))
+                        np.add.at(total[k], own, np.uint32(1))
                     else:
                         seen, n = np.unique(own, return_counts=True)
                         keys, at = np.unique(np.concatenate([total[k][0], seen]), return_inverse=True)
                         total[k] = keys, np.bincount(at, np.concatenate([total[k][1], n]), len(keys)).astype(np.int64)
         if dense:
-            keys = np.flatnonzero(np.sum(total, 0))
-            found = [t[keys] for t in total]
+            yield from dense_rows(total)
         else:
             keys = np.unique(np.concatenate([t[0] for t in total]))
             found = []
@@ -67,8 +83,7 @@ def ngram_counts(docs: DataFrame, flags: list[str], order: int) -> DataFrame:
                 out = np.zeros(len(keys), np.int64)
                 out[np.searchsorted(keys, k)] = n
                 found.append(out)
-        for i in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].astype(np.int64)), *(pa.array(f[i : i + (1 << 16)]) for f in found)], ["gram", *flags])
+            yield from rows(keys, found)
 
     partial = docs.select("text", *(F.coalesce(F.col(f), F.lit(False)).alias(f) for f in flags)).mapInArrow(run, "gram long, " + ", ".join(f"{f} long" for f in flags))
     return partial.groupBy("gram").agg(*(F.sum(f).alias(f) for f in flags))
@@ -109,8 +124,9 @@ class Model:
             weight = np.zeros(1 << 8 * (k - 1), np.float32)
             weight[self.contexts[k - 1]] = self.backoff[k - 1]
             # A context's first byte doesn't count for the shorter n-gram, so that one's table repeats for each.
-            shorter = np.resize(out, 1 << 8 * k).reshape(-1, 256)
-            out = (shorter + weight[:, None]).ravel()
+            shorter, out = out, np.empty(1 << 8 * k, np.float32)
+            out.reshape(-1, len(shorter))[:] = shorter
+            out.reshape(-1, 256)[:] += weight[:, None]
             out[self.grams[k - 1]] = self.logp[k - 1]
         return out
 
