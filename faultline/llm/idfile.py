@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .tokens import encoded_batches
 
 MAGIC = b"IDX1"
-BLOCK = 4096
+BLOCK = 2048
 #: Ids after which a segment ends, at the end of a document.
 SEGMENT_IDS = 4 << 20
 END_ID = 0
@@ -52,48 +52,58 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Predictions of order 1 and 2 for a number of lanes, and their mixed frequencies."""
+    """Predictions of order 1 and 2 for a number of lanes, and their mixed frequencies.
+
+    A cell of a table has the id last seen under its context and, above 16 bits, how sure it is (0 to 3).
+    """
 
     BITS1, BITS2 = 10, 12
-    START = np.array([2, 1, 6], np.uint32)
+    START = (2, 1, 6)
 
     def __init__(self, lanes: int):
-        self.id1, self.id2 = np.zeros(lanes << self.BITS1, np.uint16), np.zeros(lanes << self.BITS2, np.uint16)
-        self.sure1, self.sure2 = np.zeros(len(self.id1), np.uint8), np.zeros(len(self.id2), np.uint8)
-        self.freq = np.tile(self.START, (lanes * 32, 1))
-        self.lane = np.arange(lanes)
+        self.cells1, self.cells2 = np.zeros(lanes << self.BITS1, np.uint32), np.zeros(lanes << self.BITS2, np.uint32)
+        self.freq = [np.full(lanes * 32, f, np.uint32) for f in self.START]
+        lane = np.arange(lanes)
+        self.first1, self.first2, self.first = lane << self.BITS1, lane << self.BITS2, lane << 5
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def predict(self, n: int):
         """(id by order 2, id by order 1, frequencies of the three cases); for the first n lanes."""
-        last, before, lane = self.last[:n], self.before[:n], self.lane[:n]
-        self.at1 = (lane << self.BITS1) + ((last * np.uint32(2654435761)) >> np.uint32(32 - self.BITS1))
-        self.at2 = (lane << self.BITS2) + (((last * np.uint32(2246822519)) ^ (before * np.uint32(3266489917))) >> np.uint32(32 - self.BITS2))
-        self.is1, self.is2 = self.id1[self.at1], self.id2[self.at2]
-        self.s1, self.s2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.ctx = (lane << 5) + (self.s2 << np.uint8(3)) + (self.s1 << np.uint8(1)) + (self.is1 == self.is2)
-        return self.is2, self.is1, self.freq[self.ctx]
-
-    def learn(self, n: int, ids: np.ndarray, case: np.ndarray, freq: np.ndarray) -> None:
-        freq[self.lane[:n], case] += np.uint32(4)
-        full = freq.sum(1) > 1000
+        last, before = self.last[:n], self.before[:n]
+        self.at1 = self.first1[:n] + ((last * np.uint32(2654435761)) >> np.uint32(32 - self.BITS1))
+        self.at2 = self.first2[:n] + (((last * np.uint32(2246822519)) ^ (before * np.uint32(3266489917))) >> np.uint32(32 - self.BITS2))
+        self.was1, self.was2 = self.cells1[self.at1], self.cells2[self.at2]
+        is1, is2 = self.was1 & np.uint32(0xFFFF), self.was2 & np.uint32(0xFFFF)
+        self.ctx = self.first[:n] + (((self.was2 >> np.uint32(16)) << np.uint32(3)) + ((self.was1 >> np.uint32(16)) << np.uint32(1)) + (is1 == is2))
+        return is2, is1, [f[self.ctx] for f in self.freq]
+
+    def learn(self, n: int, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, cases: list[np.ndarray], freq: list[np.ndarray]) -> None:
+        """ids: those that came; hit1, hit2: whether each order said so; cases: which one was written; freq: as predicted."""
+        freq = [f + (c.view(np.uint8) << np.uint8(2)) for f, c in zip(freq, cases, strict=True)]
+        full = freq[0] + freq[1] + freq[2] > 1000
         if full.any():
-            freq[full] = (freq[full] >> np.uint32(1)) | np.uint32(1)
-        self.freq[self.ctx] = freq
-        for sure, table, at, was, s in ((self.sure1, self.id1, self.at1, self.is1, self.s1), (self.sure2, self.id2, self.at2, self.is2, self.s2)):
-            hit = was == ids
-            table[at] = np.where(hit | (s > 0), was, ids)
-            sure[at] = np.where(hit, np.minimum(s + np.uint8(1), np.uint8(3)), s - (s > 0))
+            freq = [np.where(full, (f >> np.uint32(1)) | np.uint32(1), f) for f in freq]
+        for table, f in zip(self.freq, freq, strict=True):
+            table[self.ctx] = f
+        step = np.uint32(1 << 16)
+        for table, at, was, hit in ((self.cells1, self.at1, self.was1, hit1), (self.cells2, self.at2, self.was2, hit2)):
+            # Right: surer by one, 3 at most. Wrong: less sure by one, or the new id when not sure at all.
+            table[at] = np.where(hit, np.minimum(was + step, was | np.uint32(3 << 16)), np.where(was >= step, was - step, ids))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
+def _narrow(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Whether an interval must give out its upper 16 bits before the next symbol."""
+    return ((low ^ (low + width)) < _TOP) | (width < _LOW)
+
+
 def encode_blocks(blocks: list[np.ndarray], symbol: np.ndarray, start: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
     """Payload words of each block, longest blocks first; ``symbol`` gives an id's place in start and freq."""
     lanes = len(blocks)
     sizes = np.array([len(b) for b in blocks])
     steps = int(sizes[0]) if lanes else 0
-    grid = np.zeros((steps, lanes), np.uint16)
+    grid = np.zeros((steps, lanes), np.uint32)
     for i, b in enumerate(blocks):
         grid[: len(b), i] = b
     mixer, low, width = Mixer(lanes), np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
@@ -103,16 +113,17 @@ def encode_blocks(blocks: list[np.ndarray], symbol: np.ndarray, start: np.ndarra
     def put(at, first, part, total):
         r = width[at] // total
         lo, w = low[at] + r * first, r * part
-        while True:
-            out = np.flatnonzero(((lo ^ (lo + w)) < _TOP) | (w < _LOW))
-            if not len(out):
-                break
+        out = np.flatnonzero(_narrow(lo, w))
+        while len(out):
             x, y = lo[out], w[out]
             y = np.where((x ^ (x + y)) < _TOP, y, (_U(0) - x) & (_LOW - _U(1)))
-            where = used[at][out]
+            lane = at[out] if isinstance(at, np.ndarray) else out
+            where = used[lane]
             words[where] = x >> _U(32)
-            used[at[out] if isinstance(at, np.ndarray) else out] = where + 1
-            lo[out], w[out] = (x << _W) & _MASK, y << _W
+            used[lane] = where + 1
+            x, y = (x << _W) & _MASK, y << _W
+            lo[out], w[out] = x, y
+            out = out[_narrow(x, y)]
         low[at], width[at] = lo, w
 
     ends = np.searchsorted(-sizes, -np.arange(steps), "left")  # lanes with more than t ids
@@ -120,14 +131,14 @@ def encode_blocks(blocks: list[np.ndarray], symbol: np.ndarray, start: np.ndarra
         n = int(ends[t])
         ids = grid[t, :n]
         by2, by1, f = mixer.predict(n)
-        case = np.where(by2 == ids, 0, np.where(by1 == ids, 1, 2))
-        lane = mixer.lane[:n]
-        sums = np.cumsum(f, 1)
-        put(slice(0, n), (sums[lane, case] - f[lane, case]).astype(np.uint64), f[lane, case].astype(np.uint64), sums[:, 2].astype(np.uint64))
-        if len(miss := np.flatnonzero(case == 2)):
+        hit2, hit1 = by2 == ids, by1 == ids
+        cases = [hit2, hit1 & ~hit2, ~(hit1 | hit2)]
+        two = f[0] + f[1]
+        put(slice(0, n), np.where(hit2, _U(0), np.where(hit1, f[0], two)), np.where(hit2, f[0], np.where(hit1, f[1], f[2])).astype(np.uint64), (two + f[2]).astype(np.uint64))
+        if len(miss := np.flatnonzero(cases[2])):
             s = symbol[ids[miss]]
             put(miss, start[s], freq[s], _U(SCALE))
-        mixer.learn(n, ids, case, f)
+        mixer.learn(n, ids, hit1, hit2, cases, f)
     for _ in range(3):
         words[used] = low >> _U(32)
         low, used = (low << _W) & _MASK, used + 1
@@ -147,38 +158,38 @@ def decode_blocks(payloads: list[np.ndarray], sizes: np.ndarray, ids_of_slot: np
 
     def take(at, r, first, part):
         lo, w, c = low[at] + r * first, r * part, code[at]
-        while True:
-            out = np.flatnonzero(((lo ^ (lo + w)) < _TOP) | (w < _LOW))
-            if not len(out):
-                break
+        out = np.flatnonzero(_narrow(lo, w))
+        while len(out):
             x, y = lo[out], w[out]
             y = np.where((x ^ (x + y)) < _TOP, y, (_U(0) - x) & (_LOW - _U(1)))
-            where = next_word[at][out]
+            lane = at[out] if isinstance(at, np.ndarray) else out
+            where = next_word[lane]
             c[out] = ((c[out] << _W) & _MASK) | words[np.minimum(where, len(words) - 1)]
-            next_word[at[out] if isinstance(at, np.ndarray) else out] = where + 1
-            lo[out], w[out] = (x << _W) & _MASK, y << _W
+            next_word[lane] = where + 1
+            x, y = (x << _W) & _MASK, y << _W
+            lo[out], w[out] = x, y
+            out = out[_narrow(x, y)]
         low[at], width[at], code[at] = lo, w, c
 
     ends = np.searchsorted(-sizes, -np.arange(steps), "left")
     for t in range(steps):
         n = int(ends[t])
         by2, by1, f = mixer.predict(n)
-        sums = np.cumsum(f, 1)
-        r = width[:n] // sums[:, 2]
-        at = (code[:n] - low[:n]) & _MASK
-        at = np.minimum(at // r, sums[:, 2] - np.uint32(1))
-        case = (at >= sums[:, 0]).astype(np.int64) + (at >= sums[:, 1])
-        lane = mixer.lane[:n]
-        part = f[lane, case].astype(np.uint64)
-        take(slice(0, n), r, sums[lane, case].astype(np.uint64) - part, part)
-        ids = np.where(case == 0, by2, by1)
-        if len(miss := np.flatnonzero(case == 2)):
+        two = f[0] + f[1]
+        r = width[:n] // (two + f[2])
+        at = (code[:n] - low[:n]) & _MASK  # compared in units of r, for there are but three cases
+        is2 = at < r * f[0]
+        missed = at >= r * two
+        is1 = ~(is2 | missed)
+        take(slice(0, n), r, np.where(is2, _U(0), np.where(is1, f[0], two)), np.where(is2, f[0], np.where(is1, f[1], f[2])).astype(np.uint64))
+        ids = np.where(is2, by2, by1)
+        if len(miss := np.flatnonzero(missed)):
             r = width[miss] >> _U(16)
             slot = np.minimum(((code[miss] - low[miss]) & _MASK) // r, _U(SCALE - 1)).astype(np.int64) + model[miss] * SCALE
             ids[miss] = ids_of_slot[slot]
             take(miss, r, start_of_slot[slot], freq_of_slot[slot])
         grid[t, :n] = ids
-        mixer.learn(n, ids, case, f)
+        mixer.learn(n, ids, by1 == ids, by2 == ids, [is2, is1, missed], f)
     return [grid[: sizes[i], i].copy() for i in range(lanes)]
 
 
