@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .tokens import encoded_batches
 
 MAGIC = b"IDX1"
-BLOCK = 2048
+BLOCK = 4096
 #: Ids after which a segment ends, at the end of a document.
 SEGMENT_IDS = 4 << 20
 END_ID = 0
