@@ -517,6 +517,13 @@ def r7_docs_block(spark, d):
     return retrieval.docs_block(x.select(F.col("lang").alias("log_id"), F.col("doc_id").alias("rank"), "source", F.col("doc_id").cast("string").alias("section"), F.substring("text", 1, 20).alias("content"), F.col("lang").alias("url")))
 
 
+@query(f"SELECT log_id, coalesce(string_agg('[Documentation from ' || source || ' - ' || CAST(doc_id AS VARCHAR) || ']' || chr(10) || coalesce(text, '') || chr(10) || 'Source: ' || lang, chr(10) || chr(10) ORDER BY rank), '') AS block FROM ({ORACLES['r6_routed']}) JOIN documents ON chunk_id = doc_id GROUP BY log_id")
+def r7_docs_block_routed(spark, d):
+    """The routed chunks of every log, each with its whole text."""
+    x = r6_routed(spark, d).join(views.table(spark, d, "documents"), F.col("chunk_id") == F.col("doc_id"))
+    return retrieval.docs_block(x.select("log_id", "rank", "source", F.col("doc_id").cast("string").alias("section"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("url")))
+
+
 @query(f"WITH {_NEAREST.format(where='')}, rel AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0), h AS (SELECT b.query_id, count(*) FILTER (rank <= 5) AS h, min(rank) AS f FROM best b JOIN rel ON b.query_id = rel.query_id AND b.chunk_id = rel.chunk_id WHERE rank <= 10 GROUP BY 1), s AS (SELECT query_id, count(*) AS s FROM rel GROUP BY 1) SELECT round(avg(coalesce(h, 0) / 5), 6) AS precision_at_5, round(avg(coalesce(coalesce(h, 0) / s, 0)), 6) AS recall_at_5, round(avg(coalesce(1 / f, 0)), 6) AS mrr FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN h ON q.query_id = h.query_id LEFT JOIN s ON q.query_id = s.query_id")
 def r8_quality(spark, d):
     q, v = _vector_queries(spark, d), _vectors(spark, d)

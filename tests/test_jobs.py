@@ -96,3 +96,16 @@ def test_paired_tests(spark):
 
 def test_strip(spark):
     assert spark.createDataFrame([("  a b\t\n",)], "c string").select(strip(F.col("c")).alias("c")).first().c == "a b"
+
+
+def test_docs_block_of_whole_texts(spark):
+    name = "r7_docs_block_routed"
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
+    got = {r.log_id: r.block for r in QUERIES[name](spark, D).collect()}
+    assert got == dict(c.execute(ORACLES[name]).fetchall()) and len(got) > 5
+    used = {r[0]: r[1:] for r in c.execute("select doc_id, source, coalesce(text, ''), lang from documents").fetchall()}
+    routed = [(r.log_id, r.chunk_id) for r in QUERIES["r6_routed"](spark, D).collect() if r.chunk_id in used]
+    assert all(f"[Documentation from {used[k][0]} - {k}]\n{used[k][1]}\nSource: {used[k][2]}" in got[log] for log, k in routed)
+    assert any(k >= 20 for _, k in routed) and any(len(used[k][1]) > 20 for _, k in routed)
