@@ -146,6 +146,22 @@ def test_quality_and_scores(spark):
     assert scored[60] > scored[0] and scored[61] is None
 
 
+def test_limits_of_all_trusted_rows(spark):
+    rng = np.random.default_rng(4)
+    rare = ["".join(chr(int(c)) for c in rng.integers(0x4E00, 0x4F00, 60)) for _ in range(60)]
+    texts = [(i, " ".join(W[i % 7 :] + W[: i % 5]), "en") for i in range(300)] + [(300 + i, t, "zh") for i, t in enumerate(rare)] + [(360, rare[0], "yy")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(360)], "doc_id long, quality int, toxic int")
+    train = {r.doc_id for r in quality.trusted_ids(labels, 50).filter("train").collect()}
+    assert 30 < len(train) <= 50
+    got = {r.doc_id: r for r in quality.score_documents(df, labels, rows=50).collect()}
+    for lang, ids in (("en", range(300)), ("zh", range(300, 360))):
+        limit = np.quantile([got[i].perplexity for i in ids if i not in train], 0.9) * quality.MARGIN
+        assert all(np.isclose(got[i].limit, limit) for i in ids)
+    everything = np.quantile([got[i].perplexity for i in range(360) if i not in train], 0.9) * quality.MARGIN
+    assert np.isclose(got[360].limit, everything) and sum(got[i].accepted for i in range(300, 360)) > 50
+
+
 def test_rotation(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (2, 0, "system", "x"), (3, None, None, "q")], "conv_id long, turn long, role string, text string")
     got = chat.rotate(turns).collect()
