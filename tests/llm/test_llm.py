@@ -2,10 +2,12 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -162,6 +164,52 @@ def test_limits_of_all_trusted_rows(spark):
     assert np.isclose(got[360].limit, everything) and sum(got[i].accepted for i in range(300, 360)) > 50
 
 
+def plain_losses(texts, flags, order):
+    """Target's and background's mean losses of each text by a plain model of words."""
+    split = [re.findall(r"[^ \t-\r]+", t or "") for t in texts]
+    grams = lambda w: [tuple([None] * (order - 1) + w)[i : i + order] for i in range(len(w))]
+    size, out = len({x for w in split for x in w}), []
+    for own in ([w for w, f in zip(split, flags, strict=True) if f], split):
+        level = {order: Counter(g for w in own for g in grams(w))}
+        for k in range(order - 1, 0, -1):
+            level[k] = Counter(g[1:] for g in level[k + 1])
+        cuts = {}
+        for k, n in level.items():
+            c = [0, *(sum(v == i for v in n.values()) for i in (1, 2, 3, 4))]
+            y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
+            cuts[k] = [0, *(min(max(i - (i + 1) * y * c[i + 1] / c[i] if c[i] else 0.5 * i, 0.05), i - 0.05) for i in (1, 2, 3))]
+
+        def p(g, level=level, cuts=cuts):
+            k = len(g)
+            if not k:
+                return 1 / size
+            same = {h: v for h, v in level[k].items() if h[:-1] == g[:-1]}
+            if not same:
+                return p(g[1:])
+            cut = lambda v: cuts[k][min(v, 3)]
+            return (max(same.get(g, 0) - cut(same.get(g, 0)), 0) + sum(map(cut, same.values())) * p(g[1:])) / sum(same.values())
+
+        out.append([-np.mean(np.log([p(g) for g in grams(w)])) if w else None for w in split])
+    return out
+
+
+def test_scores_against_a_plain_model(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(W[:12], int(rng.integers(1, 25)))) for _ in range(25)] + ["new words\there", "", None, " \n ", "É é 日本 alpha", W[0]]
+    flags = [i % 3 == 0 for i in range(len(texts))]
+    rows_in = [(i, t, f) for i, (t, f) in enumerate(zip(texts, flags, strict=True))]
+    df = spark.createDataFrame([*rows_in, rows_in[0]], "doc_id long, text string, is_target boolean")  # a repeated row
+    for order, none in ((1, False), (2, False), (3, False), (2, True)):
+        used = df.withColumn("is_target", F.lit(None).cast("boolean")) if none else df
+        want = plain_losses([*texts, texts[0]], [not none and f for f in (*flags, flags[0])], order)
+        got = lm_score.cross_entropy_difference(used, order=order).collect()
+        assert len(got) == len(texts) + 1
+        for r in got:
+            t, b = want[0][r.doc_id], want[1][r.doc_id]
+            assert r.n_tokens == len((texts[r.doc_id] or "").split())
+            assert (r.target_loss, r.background_loss, r.score) == ((None,) * 3 if t is None else (pytest.approx(t), pytest.approx(b), pytest.approx(t - b)))
+
+
 def test_rotation(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (2, 0, "system", "x"), (3, None, None, "q")], "conv_id long, turn long, role string, text string")
     got = chat.rotate(turns).collect()
