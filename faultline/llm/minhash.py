@@ -22,7 +22,8 @@ from .components import connected
 from .shared import buffers, by_bytes, maybe_broadcast, plain, stored, strings
 
 WORDS = 5
-#: 64 bands of 6 values: two documents at 0.75 share no band with probability (1 - 0.75 ** 6) ** 64 < 4e-6.
+#: 64 bands of 6 values of six permutations: two documents at 0.75 share no band with probability (1 - 0.75 ** 6) ** 64 < 4e-6, and sets of
+#: 3 of 4 shingles with 1.7e-6, of 6 of 8 with 2.4e-6 (two bands share their permutations, and a small set's minimum isn't its maximum).
 BANDS, ROWS = 64, 6
 PERMUTATIONS = BANDS * ROWS // 2
 #: 64-bit words of a sketch: four bits of every value of the signature.
@@ -122,7 +123,8 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                     if len(s):
                         sigs[i] = signature(s, a, b)
                         digest[i] = _mixed(s).sum(), _mixed(s ^ _MIX).sum()
-                # Bands take every bands-th value, so that a band has minima and maxima of different permutations.
+                sigs[:, len(a) :] = np.roll(sigs[:, len(a) :], -(bands // 2), axis=1)
+                # Bands take every bands-th value; the maxima are rolled by half of that, so that they are of other permutations than the minima.
                 keys = np.zeros((len(sets), bands), np.uint64)
                 for r in range(rows):
                     keys = _mixed(keys * _MIX + sigs[:, r * bands : (r + 1) * bands])

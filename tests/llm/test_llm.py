@@ -116,6 +116,14 @@ def test_near_duplicates_against_brute_force(spark):
         assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+def test_bands_of_small_sets(spark):
+    texts = [" ".join(f"p{i}w{k}" for k in range(n)) for i in range(300) for n in (7, 8)]  # 3 of 4 shingles
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").select("row", F.col("row").alias("key"), "text")
+    keys = {r.row: np.array(r["keys"]) for r in minhash.signatures(df).collect()}
+    same = [keys[2 * i] == keys[2 * i + 1] for i in range(300)]
+    assert abs(np.mean(same) - 0.75**6) < 0.015  # not (1 / 2) ** 3, as with minimum and maximum of one permutation
+
+
 def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "x long, y long")
     got = {r.node: r.component for r in components.connected(df).collect()}
