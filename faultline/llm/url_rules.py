@@ -18,8 +18,6 @@ from .shared import UPPER, maybe_broadcast, stored
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SUPPORT = 0.01
 CONFIDENCE = 0.6
-#: Tokens of a rule at most.
-TOKENS = 4
 BAD, GOOD = "label:block", "label:allow"
 
 
@@ -40,27 +38,27 @@ def given_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 
 
 def url_tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens of a url: host suffixes of one to three labels, path segments without digits, file ending, names in the query."""
+    """Distinct tokens of a url: host suffixes of one to three labels, path segments (digits folded to one #), file ending, names in the query."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffix = [F.when((n >= k) & (host != ""), F.concat(F.lit(f"host{k}:"), F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), "."))) for k in (1, 2, 3)]
-    parts = F.transform(F.filter(F.split(path, "/"), lambda x: (x != "") & ~x.rlike("[0-9]")), lambda x: F.concat(F.lit("path:"), x))
+    parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "#")))
     ending = F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1)
     query = F.regexp_extract_all(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1), F.lit(r"(?:^|&)([^=&]+)"), 1)
     return F.array_distinct(F.concat(F.array_compact(F.array(*suffix, F.when(ending != "", F.concat(F.lit("ending:"), ending)))), parts, F.transform(query, lambda x: F.concat(F.lit("query:"), x))))
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, tokens: int = TOKENS) -> DataFrame:
+def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """rule_id, tokens, verdict, confidence, support from ``labelled`` (tokens, bad boolean); a null label isn't used.
 
-    A rule is kept if its support and confidence reach the limits, it has at most ``tokens`` tokens, and no rule of fewer of its
-    tokens with the same verdict is as sure.
+    A rule is kept if its support and confidence reach the limits, and no rule of fewer of its tokens with the same verdict is as
+    sure.
     """
     baskets = labelled.filter(F.col("bad").isNotNull()).select(F.concat(F.col("tokens"), F.array(F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD)))).alias("items"))
     if baskets.isEmpty():
         return labelled.sparkSession.createDataFrame([], "rule_id string, tokens array<string>, verdict string, confidence double, support double")
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    found = found.filter(F.element_at("consequent", 1).isin(BAD, GOOD) & (F.size("antecedent") <= tokens))
+    found = found.filter(F.element_at("consequent", 1).isin(BAD, GOOD))
     rules = found.select(F.array_sort("antecedent").alias("tokens"), F.when(F.element_at("consequent", 1) == BAD, "block").otherwise("allow").alias("verdict"), "confidence", "support")
     rules = stored(rules.withColumn("rule_id", F.array_join("tokens", " ")), "rules")
     # Pruning by the index: shorter rules are found among a rule's tokens by their tokens.

@@ -237,6 +237,16 @@ def test_url_rules(spark):
     assert got == {0: ("example.net/en/", "allow"), 1: ("net/", "block"), 2: ("example.com/de/", "block"), 3: ("org/fr/", "allow"), 4: (None, "block"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow")}
 
 
+def test_url_rules_of_five_tokens_and_of_digits(spark):
+    names = "abcde"
+    five = [("http://q.io/?" + "&".join(names), True)] * 8 + [("http://q.io/?" + "&".join(names.replace(x, "")), False) for x in names] * 8
+    digits = [("http://d.org/7/x", True)] * 20 + [("http://d.org/x", False)] * 40
+    pages = spark.createDataFrame([(0, "http://q.io/?" + "&".join(names)), (1, "http://q.io/?a&b&c&d"), (2, "http://d.org/88/x"), (3, "http://d.org/x")], "page_id long, url string")
+    labelled = spark.createDataFrame(five + digits, "url string, bad boolean")
+    got = {r.page_id: (r.verdict, r.mined_rule) for r in url_rules.judge_urls(pages, labelled, rules=()).collect()}
+    assert got[0] == ("block", " ".join(f"query:{x}" for x in names)) and got[2] == ("block", "path:#") and got[1][0] == got[3][0] == "allow"
+
+
 def test_shingles_of_an_empty_batch():
     assert [len(x) for x in minhash.shingle_sets(pa.array(["", None, " \n"]))] == [0, 0, 0]
 
