@@ -363,6 +363,11 @@ def e7_e8_ablation(spark, d):
     return metrics.metrics(_predictions(spark, d), "strategy")
 
 
+@query(f", {_OVERLAP.replace('FROM predictions', 'FROM temperatures')} SELECT temperature, {_METRICS} FROM f GROUP BY temperature", "predictions", "temperatures")
+def e8_temperature(spark, d):
+    return metrics.metrics(model_io.cost(views.temperatures(spark, d)), "temperature")
+
+
 @query("SELECT count(*) AS n, count(*) FILTER (type_correct) AS type_correct_n, count(*) FILTER (root_cause_correct) AS root_cause_correct_n, count(*) FILTER (fix_actionable) AS fix_actionable_n, count(*) FILTER (evidence_accurate) AS evidence_accurate_n, count(*) FILTER (hallucination_detected) AS hallucination_detected_n, round(avg(CAST(type_correct AS INTEGER)), 6) AS type_accuracy, round(avg(CAST(root_cause_correct AS INTEGER)), 6) AS root_cause_accuracy, round(avg(CAST(fix_actionable AS INTEGER)), 6) AS fix_rate, round(avg(CAST(evidence_accurate AS INTEGER)), 6) AS evidence_rate, round(avg(CAST(hallucination_detected AS INTEGER)), 6) AS hallucination_rate, round(avg(quality_rating), 6) AS mean_quality, round(avg(llm_confidence), 6) AS mean_confidence, round(avg(execution_time_ms), 6) AS mean_time_ms FROM ground_truth", "ground_truth")
 def e9_human_judged(spark, d):
     return metrics.human_judged(views.ground_truth(spark, d))

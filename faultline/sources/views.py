@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+TEMPERATURES = [0.0, 0.1, 0.3, 0.5, 0.7, 1.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def temperatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions, with the temperature they were made at."""
+    values = F.array(*[F.lit(t) for t in TEMPERATURES])
+    return predictions(spark, sf_dir).withColumn("temperature", F.element_at(values, (F.col("ord") % len(TEMPERATURES) + 1).cast("int")))
+
+
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders").filter(k % 10 != 9)
@@ -58,6 +65,7 @@ SQL = {
     "logs": "logs AS (SELECT CAST(doc_id AS VARCHAR) AS log_id, doc_id AS ord, source AS repository, lang AS workflow_name, coalesce(text, '') AS log_content FROM documents)",
     "event_logs": r"event_logs AS (SELECT CAST(user_id AS VARCHAR) AS log_id, user_id AS ord, CAST(user_id % 17 AS VARCHAR) AS repository, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ': k-' || regexp_extract(props, '(\d+)', 1), chr(10) ORDER BY ts, event_id) AS log_content FROM events GROUP BY user_id)",
     "predictions": f"predictions AS (SELECT CAST(o_orderkey AS VARCHAR) AS log_id, o_orderkey AS ord, model, CASE WHEN (model = 'gpt-4o-mini' AND o_orderkey % 10 < 7) OR (model = 'gpt-4o' AND o_custkey % 10 < 6) THEN o_orderpriority ELSE {_NEXT} END AS predicted_error_type, o_orderpriority AS actual_error_type, (o_orderkey % 100) / 100 AS confidence, o_totalprice AS execution_time_ms, o_orderstatus = 'F' AS hallucination_detected, o_orderkey % 4000 AS prompt_tokens, o_orderkey % 400 AS completion_tokens, o_orderkey % 4000 + o_orderkey % 400 AS total_tokens, [o_orderkey % 7, o_orderkey % 5] AS pl, CASE WHEN o_orderkey % 6 = 0 THEN [] ELSE [o_orderkey % 3, o_orderkey % 7] END AS al, ['500', '1000', '2000'][o_orderkey % 3 + 1] AS strategy, CASE model WHEN 'gpt-4o-mini' THEN (o_orderkey % 4000) * 0.15e-6 + (o_orderkey % 400) * 0.6e-6 ELSE (o_orderkey % 4000) * 2.5e-6 + (o_orderkey % 400) * 10e-6 END AS cost_usd FROM orders, (VALUES ('gpt-4o-mini'), ('gpt-4o')) m(model))",
+    "temperatures": f"temperatures AS (SELECT *, CAST({TEMPERATURES}[ord % {len(TEMPERATURES)} + 1] AS DOUBLE) AS temperature FROM predictions)",
     "ground_truth": "ground_truth AS (SELECT CAST(o_orderkey AS VARCHAR) AS log_id, o_orderpriority AS actual_error_type, o_orderkey % 4 <> 0 AS type_correct, o_orderkey % 3 <> 0 AS root_cause_correct, o_orderkey % 5 <> 0 AS fix_actionable, o_orderkey % 7 <> 0 AS evidence_accurate, CAST(1 + o_orderkey % 5 AS INTEGER) AS quality_rating, (o_orderkey % 100) / 100 AS llm_confidence, o_orderstatus = 'F' AS hallucination_detected, o_totalprice AS execution_time_ms FROM orders WHERE o_orderkey % 10 <> 9)",
     "responses": "responses AS (SELECT o_custkey AS participant_id, c_mktsegment AS ci_cd_experience, o_orderkey % 2 = 0 AS w, o_totalprice AS t, 1 + o_orderkey % 5 AS confidence_rating, 1 + o_orderkey % 4 AS difficulty_rating, CASE WHEN o_orderkey % 11 <> 0 THEN 1 + o_orderkey % 3 END AS helpfulness_rating, CAST(o_orderkey % 3 <> 0 AS INTEGER) AS r FROM orders JOIN customer ON o_custkey = c_custkey)",
 }

@@ -109,3 +109,14 @@ def test_docs_block_of_whole_texts(spark):
     routed = [(r.log_id, r.chunk_id) for r in QUERIES["r6_routed"](spark, D).collect() if r.chunk_id in used]
     assert all(f"[Documentation from {used[k][0]} - {k}]\n{used[k][1]}\nSource: {used[k][2]}" in got[log] for log, k in routed)
     assert any(k >= 20 for _, k in routed) and any(len(used[k][1]) > 20 for _, k in routed)
+
+
+def test_metrics_by_temperature(spark):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
+    want = c.execute(ORACLES["e8_temperature"]).df().sort_values("temperature")
+    got = QUERIES["e8_temperature"](spark, D).toPandas().sort_values("temperature")
+    assert got["temperature"].tolist() == [0.0, 0.1, 0.3, 0.5, 0.7, 1.0] and sorted(got.columns) == sorted(want.columns)
+    for name in got.columns:
+        assert got[name].tolist() == pytest.approx(want[name].tolist(), rel=1e-5)
