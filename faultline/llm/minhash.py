@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     a key are rows of their own; null keys come after others when the smallest is taken, and a component of null keys alone has
     a null id.  An empty table gives no rows; other columns aren't read.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    base = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "rows")  # ids are given once
     sigs = signatures(base, words, bands, rows)
     facts = stored(sigs, "signatures")
     # Equal sets are one class; its smallest row stands for it.

@@ -82,7 +82,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
         return df.select(*more, host.alias("host"), path.alias("path"), F.col(column).alias("url")).select(*more, "host", "path", url_tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
 
     mined = stored(mine_rules(prepared(labelled, "url", "bad"), support, confidence), "mined")
-    base = prepared(pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(url).alias("u")), "u", "row", "key")
+    base = stored(prepared(pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(url).alias("u")), "u", "row", "key"), "urls")  # ids are given once
     index = mined.select("rule_id", "verdict", "confidence", "support", F.size("tokens").alias("k"), F.explode("tokens").alias("token"))
     size = index.agg(F.sum(F.length("rule_id") + F.length("token") + 64)).first()[0] or 0
     met = base.select("row", F.explode("tokens").alias("token")).join(maybe_broadcast(index, size), "token")
