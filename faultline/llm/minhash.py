@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
         place = np.arange(SKETCH_WORDS * 16, dtype=np.uint64)
         for batch in batches:
             column = plain(batch.column(2))
-            for start, stop in by_bytes(column, 2 << 20):
+            for start, stop in by_bytes(column, 2 << 20, 1024):  # a row has 4 KB of values
                 sets = shingle_sets(column.slice(start, stop - start), words)
                 size = np.array([len(s) for s in sets], np.int64)
                 sigs = np.zeros((len(sets), bands * rows), np.uint64)
@@ -177,7 +177,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, words:
             group = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             row, member = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             x, y = [], []
-            for start, stop in by_bytes(plain(text), 4 << 20):
+            for start, stop in by_bytes(plain(text), 2 << 20):
                 for i, s in enumerate(shingle_sets(text.slice(start, stop - start), words), start):
                     if not member[i]:
                         centre, own = group[i], s
@@ -265,7 +265,7 @@ def block_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT, wo
     def confirm(batches: Iterator[pa.RecordBatch]):
         for group in _runs(batches, 3):
             text = plain(group.column(group.schema.get_field_index("text")))
-            sets = [s for start, stop in by_bytes(text, 4 << 20) for s in shingle_sets(text.slice(start, stop - start), words)]
+            sets = [s for start, stop in by_bytes(text, 2 << 20) for s in shingle_sets(text.slice(start, stop - start), words)]
             names, parts = (np.asarray(group.column(group.schema.get_field_index(c))) for c in ("id", "component"))
             parts = parts.copy()
             x, y = [], []

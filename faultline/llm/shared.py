@@ -55,13 +55,13 @@ def maybe_broadcast(df: DataFrame, bytes_measured: int, most: int = BROADCAST_BY
     return F.broadcast(df) if bytes_measured <= most else df
 
 
-def by_bytes(column: pa.Array, most: int = 8 << 20):
-    """(start, stop) row ranges of about ``most`` bytes of text each; one row at least."""
+def by_bytes(column: pa.Array, most: int = 8 << 20, rows: int = 1 << 20):
+    """(start, stop) ranges of at most ``rows`` rows and about ``most`` bytes of text each; one row at least."""
     ends = np.cumsum(lengths(column))
     start = 0
     while start < len(column):
         base = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + most, "right"))))
         yield start, stop
         start = stop
 

@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from .shared import buffers, by_bytes, plain, strings
 
-#: Distinct pieces that a Python worker keeps between batches.
-CACHED_PIECES = 1_000_000
+#: Bytes of pieces and their ids (about 150 more for each) in a generation of a Python worker's cache; it has two at most.
+CACHE_BYTES = 16 << 20
+PIECE_BYTES = 150
 #: Bytes of text that are encoded at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 
 _LETTER, _MARK = 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -42,6 +43,12 @@ def encoder(path: str) -> "Encoder":
     return _loaded[path]
 
 
+def vocabulary_size(path: str) -> int:
+    """The number of ids of a tokenizer file."""
+    own = encoder(path)
+    return own.pieces.vocab_size() if own.pieces is not None else own.tokenizer.get_vocab_size(with_added_tokens=True)
+
+
 def _byte_names() -> dict[int, str]:
     """How byte-level BPE writes each byte: printable Latin-1 as itself, the rest from U+0100 on."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,8 +61,9 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.cache: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         self.model = None
         if path.endswith(".model"):
             import sentencepiece
@@ -83,32 +91,34 @@ class Encoder:
             return [np.array(x, np.uint32) for x in self.pieces.encode(texts, num_threads=1)]
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, number) of each distinct piece's ids in the ids kept, which come third.
+    def _ids_of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each piece as bytes.
 
-        A run of Latin letters is one unit of the pattern and goes to the merges at once; the rest takes the whole way.
+        A run of Latin letters is one unit of the pattern and goes to the merges at once; the rest takes the whole way.  Pieces are kept
+        in the younger of two generations; when that is full, the older one goes, so frequent pieces stay and memory is bounded.
         """
-        if len(self.cache) > CACHED_PIECES:
-            self.cache, self.ids, self.ends = {}, array("I"), array("q", [0])
-        cache, ids, ends, merge, others = self.cache, self.ids, self.ends, self.model.tokenize, []
-        for x in texts:
-            if x not in cache:
-                bare = x[1:] if x[0] == " " else x
-                if bare.isalpha() and (x.isascii() or max(bare) < "ɐ"):
+        young, old, merge, others = self.young, self.old, self.model.tokenize, []
+        out: list[bytes | None] = [None] * len(texts)
+        for i, x in enumerate(texts):
+            if (known := young.get(x)) is None:
+                if (known := old.get(x)) is None:
+                    bare = x[1:] if x[0] == " " else x
+                    if not (bare.isalpha() and (x.isascii() or max(bare) < "ɐ")):
+                        others.append(i)
+                        continue
                     name = x.replace(" ", "Ġ") if x.isascii() else x.encode().decode("latin-1").translate(self.names)
-                    ids.extend([t.id for t in merge(name)])
-                    cache[x] = len(ends) - 1
-                    ends.append(len(ids))
-                else:
-                    others.append(x)
+                    known = array("I", [t.id for t in merge(name)]).tobytes()
+                young[x] = known
+                self.held += PIECE_BYTES + len(x) + len(known)
+            out[i] = known
         for start in range(0, len(others), 4096):
-            for x, own in zip(others[start : start + 4096], self._whole(others[start : start + 4096]), strict=True):
-                ids.extend(own.tolist())
-                cache[x] = len(ends) - 1
-                ends.append(len(ids))
-        at = np.fromiter(map(cache.__getitem__, texts), np.int64, len(texts))
-        limits = np.array(ends, np.int64)
-        return limits[at], limits[at + 1] - limits[at], np.array(ids, np.uint32)
+            some = others[start : start + 4096]
+            for i, own in zip(some, self._whole([texts[i] for i in some]), strict=True):
+                out[i] = young[texts[i]] = own.tobytes()
+                self.held += PIECE_BYTES + len(texts[i]) + len(out[i])
+        if self.held > CACHE_BYTES:
+            self.old, self.young, self.held = young, {}, 0
+        return out
 
     def encode(self, column: pa.Array, lengths_only: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """(ids of each text counted, all ids in order); a null is an empty text."""
@@ -132,14 +142,17 @@ class Encoder:
         at = np.flatnonzero(cut)
         coded = strings(at, data).dictionary_encode()
         index = np.asarray(coded.indices)
-        base, sizes, flat = self._pieces(coded.dictionary.to_pylist())
+        coded_ids = self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, coded_ids), np.int64, len(coded_ids)) // 4
         count = sizes[index]
         ends = np.concatenate([[0], np.cumsum(count)])
-        first = np.searchsorted(at, offsets)
-        per_text = np.diff(ends[first])
+        per_text = np.diff(ends[np.searchsorted(at, offsets)])
         if lengths_only:
             return per_text, None
-        return per_text, flat[np.repeat(base[index] - ends[:-1], count) + np.arange(ends[-1])]
+        flat, base = np.frombuffer(b"".join(coded_ids), np.uint32), np.cumsum(sizes) - sizes
+        place = np.repeat((base[index] - ends[:-1]).astype(np.int32), count)  # a batch has far fewer than 2 ** 31 ids, but for one text
+        place += np.arange(ends[-1], dtype=np.int32)
+        return per_text, flat[place]
 
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
