@@ -1,15 +1,16 @@
 """Token ids as compressed binary blocks (operator 2): an adaptive context-mixing range coder.
 
-A segment is a byte string of its own: a header with the documents' lengths, the order-0 frequencies of its ids
-and, for each block of ``BLOCK`` ids, its payload with a CRC-32.  Within a block, the ids seen under
-the last one (order 1) and the last two (order 2) predict the next; how sure both are picks
-the adaptive frequencies under which the coder writes "as order 2 says", "as order 1 says" or "neither", and in the
-last case the id itself under the order-0 frequencies.  All adaptive state is reset at each block, so any
-block can be read alone; a batch codes its blocks side by side, a numpy lane for each.
-
-Layout (little endian): magic ``IDX1``; u32 documents, ids, blocks, alphabet; u32 CRC-32 of what stands between here
-and the first payload; u32 lengths by document; u16 alphabet; u16 frequencies (sum 65536, less 1 each); for each block u32
-ids, u32 payload words, u32 CRC-32 of its ids; payload words (u16).
+A block of up to ``BLOCK`` ids is coded by itself: its model starts empty, so any block can be read alone.  The model has three
+predictions of the next id, each as the block has taught it so far: the frequencies of ids (order 0), the id that followed the
+last one (order 1) and the id that followed the last two (order 2), the latter two with how sure they are.  They are mixed: an id's
+probability is the sum of the three, under weights that stand for how sure orders 1 and 2 are and that move, after each id, towards the
+predictions that gave it more.  The range coder writes the id under this mixture.
+
+A block's ids are cut into runs of equal length, which are coded side by side, a numpy lane for each, with one model: each step codes
+the next id of every run and then teaches the model all of them.
+
+Layout (little endian): magic ``IDX2``; u32 documents, blocks; u32 CRC-32 of the rest of the head; u32 lengths by document; for each
+block u32 ids, lanes, vocabulary, words, CRC-32 of its ids (as u32); then the blocks: u16 words by lane, and the lanes' words (u16).
 """
 
 from __future__ import annotations
@@ -23,224 +24,278 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import maybe_broadcast
 from .tokens import encoded_batches
 
-MAGIC = b"IDX1"
-BLOCK = 4096
+MAGIC = b"IDX2"
+BLOCK = 1 << 21
+#: Ids of a run, so that a whole block has 4096 lanes.
+RUN = 512
 #: Ids after which a segment ends, at the end of a document.
 SEGMENT_IDS = 4 << 20
 END_ID = 0
-SCALE = 1 << 16  # of order-0 frequencies
-_TOP, _LOW, _MASK = np.uint64(1 << 32), np.uint64(1 << 24), np.uint64((1 << 48) - 1)
+#: Ids must be below this.
+MOST_IDS = 1 << 24
 _U = np.uint64
-_W = _U(16)
+_TOP, _LOW, _ALL = _U(1 << 48), _U(1 << 40), _U((1 << 64) - 1)
+_W, _WORD = _U(16), _U(48)
 
 
-def frequencies(counts: np.ndarray) -> np.ndarray:
-    """Counts scaled to a sum of SCALE, each at least 1; for at most SCALE symbols."""
-    scaled = np.maximum(1, counts * (SCALE - len(counts)) // max(1, counts.sum())).astype(np.int64)
-    over = int(scaled.sum()) - SCALE
-    order = np.argsort(-scaled, kind="stable")
-    for i in order:
-        if over <= 0:
-            break
-        take = min(over, int(scaled[i]) - 1)
-        scaled[i] -= take
-        over -= take
-    scaled[order[0]] -= min(over, 0)
-    return scaled
+def _steps() -> tuple[np.ndarray, np.ndarray]:
+    """How cells of orders 1 and 2 change, by the case: (how sure order 2 and order 1 were, 3 bits each; whether they agreed; which was right).
 
+    A right cell gets surer by one, 7 at most; a wrong one half as sure, and is replaced if it wasn't sure at all.
+    """
+    case = np.arange(512)
+    sure, hit = np.stack([(case >> 3) & 7, case >> 6]), np.stack([case & 1, (case >> 1) & 1]) == 1
+    step = np.where(hit, np.minimum(sure + 1, 7), sure // 2) - sure
+    return (step << 24).astype(np.uint32), ~hit & (sure == 0)
 
-class Mixer:
-    """Predictions of order 1 and 2 for a number of lanes, and their mixed frequencies.
 
-    A cell of a table has the id last seen under its context and, above 16 bits, how sure it is (0 to 3).
-    """
+_STEP, _REPLACED = _steps()
 
-    BITS1, BITS2 = 10, 12
-    START = (2, 1, 6)
 
-    def __init__(self, lanes: int):
-        self.cells1, self.cells2 = np.zeros(lanes << self.BITS1, np.uint32), np.zeros(lanes << self.BITS2, np.uint32)
-        self.freq = [np.full(lanes * 32, f, np.uint32) for f in self.START]
-        lane = np.arange(lanes)
-        self.first1, self.first2, self.first = lane << self.BITS1, lane << self.BITS2, lane << 5
-        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+class Mixture:
+    """The model of a block: three predictions and the weights under which they are mixed.
 
-    def predict(self, n: int):
-        """(id by order 2, id by order 1, frequencies of the three cases); for the first n lanes."""
+    A cell of orders 1 and 2 has an id and, above 24 bits, how sure it is (0 to 7).  Weights are 256ths.  In the code's range the ids
+    that orders 2 and 1 predict come first, each with all that the mixture gives it, and then all other ids in order.
+    """
+
+    WEIGHT_BITS = 8
+    SURE = np.uint32(1 << 24)
+    GROWTH = 1.35  # of the steps from one table of frequencies to the next
+    WEIGHED = 4  # steps from one set of weights to the next
+
+    def __init__(self, ids: int, lanes: int, vocabulary: int):
+        self.bits = max(20, vocabulary.bit_length() + 4)
+        self.total_bits = self.bits + self.WEIGHT_BITS
+        self.shift = np.uint32(32 - min(20, max(8, ids.bit_length())))
+        self.vocabulary, self.seen, self.pending, self.steps, self.due = vocabulary, np.zeros(vocabulary, np.int64), [], 0, 1
+        self.cells1, self.cells2 = np.zeros(vocabulary, np.uint32), np.zeros(1 << (32 - int(self.shift)), np.uint32)
+        self.credit, self.cases = np.tile(np.array([[8.0], [8.0], [48.0]]), 128), []  # credit of orders 2, 1, 0 by how sure the first two are
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self._weigh()
+        self._count()
+
+    def _weigh(self) -> None:
+        """Give the predictions credit for the ids that they foresaw, and take the weights from that."""
+        if self.cases:
+            none, by1, by2, both = np.bincount(np.concatenate(self.cases), minlength=512).reshape(128, 4).T
+            part = self.w[0] / (self.w[0] + self.w[1])
+            self.credit += [by2 + both * part, by1 + both * (1 - part), none]
+            self.credit[:, self.credit.sum(0) > 4096] /= 2
+            self.cases = []
+        share = np.maximum(1, (self.credit[:2] * 253 / self.credit.sum(0)).astype(np.int64))
+        self.w = np.stack([share[0], share[1], 256 - share[0] - share[1]])
+
+    def _count(self) -> None:
+        """Take the frequencies of order 0 from the ids so far; none is 0."""
+        if self.pending:
+            self.seen += np.bincount(np.concatenate(self.pending), minlength=self.vocabulary)
+            self.pending = []
+        spare = (1 << self.bits) - self.vocabulary
+        self.freq = 1 + (self.seen * (spare / max(1, int(self.seen.sum())))).astype(np.int64)
+        self.start = np.cumsum(self.freq) - self.freq
+        self.slots = None
+
+    def predict(self, n: int) -> None:
+        """Look up the predictions for the first ``n`` lanes."""
         last, before = self.last[:n], self.before[:n]
-        self.at1 = self.first1[:n] + ((last * np.uint32(2654435761)) >> np.uint32(32 - self.BITS1))
-        self.at2 = self.first2[:n] + (((last * np.uint32(2246822519)) ^ (before * np.uint32(3266489917))) >> np.uint32(32 - self.BITS2))
-        self.was1, self.was2 = self.cells1[self.at1], self.cells2[self.at2]
-        is1, is2 = self.was1 & np.uint32(0xFFFF), self.was2 & np.uint32(0xFFFF)
-        self.ctx = self.first[:n] + (((self.was2 >> np.uint32(16)) << np.uint32(3)) + ((self.was1 >> np.uint32(16)) << np.uint32(1)) + (is1 == is2))
-        return is2, is1, [f[self.ctx] for f in self.freq]
-
-    def learn(self, n: int, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, cases: list[np.ndarray], freq: list[np.ndarray]) -> None:
-        """ids: those that came; hit1, hit2: whether each order said so; cases: which one was written; freq: as predicted."""
-        freq = [f + (c.view(np.uint8) << np.uint8(2)) for f, c in zip(freq, cases, strict=True)]
-        full = freq[0] + freq[1] + freq[2] > 1000
-        if full.any():
-            freq = [np.where(full, (f >> np.uint32(1)) | np.uint32(1), f) for f in freq]
-        for table, f in zip(self.freq, freq, strict=True):
-            table[self.ctx] = f
-        step = np.uint32(1 << 16)
-        for table, at, was, hit in ((self.cells1, self.at1, self.was1, hit1), (self.cells2, self.at2, self.was2, hit2)):
-            # Right: surer by one, 3 at most. Wrong: less sure by one, or the new id when not sure at all.
-            table[at] = np.where(hit, np.minimum(was + step, was | np.uint32(3 << 16)), np.where(was >= step, was - step, ids))
+        self.at2 = ((last.astype(np.uint32) * np.uint32(2246822519)) ^ (before.astype(np.uint32) * np.uint32(3266489917))) >> self.shift
+        self.was1, self.was2 = self.cells1.take(last), self.cells2.take(self.at2)
+        mask = self.SURE - np.uint32(1)
+        id1, id2 = self.was1 & mask, self.was2 & mask
+        same = id1 == id2
+        context = ((self.was2 >> np.uint32(24)) << np.uint32(4)) | ((self.was1 >> np.uint32(24)) << np.uint32(1)) | same
+        self.id1, self.id2, self.context = id1.astype(np.int64), id2.astype(np.int64), context.astype(np.int64)
+        w2, w1, self.w0 = (w.take(self.context) for w in self.w)
+        # What the order-0 part has of the predicted ids moves to them; two equal ids are one.
+        self.own2, self.own1 = self.freq.take(self.id2), np.where(same, 0, self.freq.take(self.id1))
+        self.size2 = (np.where(same, w2 + w1, w2) << self.bits) + self.w0 * self.own2
+        self.both = self.size2 + (np.where(same, 0, w1) << self.bits) + self.w0 * self.own1
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the ids under the mixture, out of 1 << total_bits."""
+        self.hit1, self.hit2 = ids == self.id1, ids == self.id2
+        start = self.both + self.w0 * (self.start.take(ids) - self.own2 * (self.id2 < ids) - self.own1 * (self.id1 < ids))
+        start = np.where(self.hit2, 0, np.where(self.hit1, self.size2, start))
+        return start, np.where(self.hit2, self.size2, np.where(self.hit1, self.both - self.size2, self.w0 * self.freq.take(ids)))
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose intervals the values lie."""
+        if self.slots is None:
+            self.slots = np.repeat(np.arange(self.vocabulary, dtype=np.uint32), self.freq)
+        out = np.where(value < self.size2, self.id2, self.id1)
+        rest = np.flatnonzero(value >= self.both)
+        id1, id2, own1, own2 = (x.take(rest) for x in (self.id1, self.id2, self.own1, self.own2))
+        at = ((value.take(rest) - self.both.take(rest)).astype(np.float64) / self.w0.take(rest)).astype(np.int64)  # exact: below 2 ** 53
+        first = id1 < id2
+        low, own_low = np.where(first, id1, id2), np.where(first, own1, own2)
+        at += own_low * (at >= self.start.take(low))
+        high, own_high = np.where(first, id2, id1), np.where(first, own2, own1)
+        at += own_high * (at >= self.start.take(high))
+        out[rest] = self.slots.take(at, mode="clip")
+        return out
+
+    def learn(self, ids: np.ndarray) -> None:
+        """ids: those that came, whose interval was the last asked for."""
+        n, new = len(ids), ids.astype(np.uint32)
+        case = (self.context << 2) | (self.hit2 * 2 + self.hit1)
+        self.cells1[self.last[:n]] = np.where(_REPLACED[0].take(case), new, self.was1 + _STEP[0].take(case))
+        self.cells2[self.at2] = np.where(_REPLACED[1].take(case), new, self.was2 + _STEP[1].take(case))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
+        self.pending.append(ids)
+        self.cases.append(case)
+        self.steps += 1
+        if self.steps % self.WEIGHED == 0:
+            self._weigh()
+        if self.steps == self.due:
+            self._count()
+            self.due = max(self.steps + 1, int(self.steps * self.GROWTH))
+
+
+def _lanes(n: int) -> tuple[int, np.ndarray]:
+    """(lanes, first id of each and the end) of a block of n ids; longer runs first."""
+    lanes = -(-n // RUN)
+    return lanes, np.cumsum([0, *(n // lanes + (np.arange(lanes) < n % lanes))]) if n else np.zeros(1, np.int64)
 
 
 def _narrow(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Whether an interval must give out its upper 16 bits before the next symbol."""
+    """Whether an interval must give out its upper 16 bits before the next id."""
     return ((low ^ (low + width)) < _TOP) | (width < _LOW)
 
 
-def encode_blocks(blocks: list[np.ndarray], symbol: np.ndarray, start: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
-    """Payload words of each block, longest blocks first; ``symbol`` gives an id's place in start and freq."""
-    lanes = len(blocks)
-    sizes = np.array([len(b) for b in blocks])
-    steps = int(sizes[0]) if lanes else 0
-    grid = np.zeros((steps, lanes), np.uint32)
-    for i, b in enumerate(blocks):
-        grid[: len(b), i] = b
-    mixer, low, width = Mixer(lanes), np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
-    room = 5 * steps + 16
-    words, used = np.empty(lanes * room, np.uint16), np.arange(lanes) * room
-
-    def put(at, first, part, total):
-        r = width[at] // total
-        lo, w = low[at] + r * first, r * part
-        out = np.flatnonzero(_narrow(lo, w))
-        while len(out):
-            x, y = lo[out], w[out]
-            y = np.where((x ^ (x + y)) < _TOP, y, (_U(0) - x) & (_LOW - _U(1)))
-            lane = at[out] if isinstance(at, np.ndarray) else out
-            where = used[lane]
-            words[where] = x >> _U(32)
-            used[lane] = where + 1
-            x, y = (x << _W) & _MASK, y << _W
-            lo[out], w[out] = x, y
-            out = out[_narrow(x, y)]
-        low[at], width[at] = lo, w
+def _cut(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The width, less what would carry over into the upper bits."""
+    return np.where((low ^ (low + width)) < _TOP, width, (_U(0) - low) & (_LOW - _U(1)))
 
-    ends = np.searchsorted(-sizes, -np.arange(steps), "left")  # lanes with more than t ids
+
+def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
+    """The words of a block of ids below ``vocabulary``."""
+    lanes, first = _lanes(len(ids))
+    steps = int(first[1]) if lanes else 0
+    model, low, width = Mixture(len(ids), lanes, vocabulary), np.zeros(lanes, _U), np.full(lanes, _ALL)
+    words, used = np.zeros((2 * steps + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
+    whole = int(first[-1] - first[-2]) if lanes else 0  # steps that every lane takes
     for t in range(steps):
-        n = int(ends[t])
-        ids = grid[t, :n]
-        by2, by1, f = mixer.predict(n)
-        hit2, hit1 = by2 == ids, by1 == ids
-        cases = [hit2, hit1 & ~hit2, ~(hit1 | hit2)]
-        two = f[0] + f[1]
-        put(slice(0, n), np.where(hit2, _U(0), np.where(hit1, f[0], two)), np.where(hit2, f[0], np.where(hit1, f[1], f[2])).astype(np.uint64), (two + f[2]).astype(np.uint64))
-        if len(miss := np.flatnonzero(cases[2])):
-            s = symbol[ids[miss]]
-            put(miss, start[s], freq[s], _U(SCALE))
-        mixer.learn(n, ids, hit1, hit2, cases, f)
-    for _ in range(3):
-        words[used] = low >> _U(32)
-        low, used = (low << _W) & _MASK, used + 1
-    return [words[i * room : used[i]].copy() for i in range(lanes)]
-
-
-def decode_blocks(payloads: list[np.ndarray], sizes: np.ndarray, ids_of_slot: np.ndarray, start_of_slot: np.ndarray, freq_of_slot: np.ndarray, model: np.ndarray) -> list[np.ndarray]:
-    """The ids of each block, longest first.  model: which row of the slot tables a block's order-0 frequencies are."""
-    lanes, steps = len(payloads), int(sizes[0]) if len(sizes) else 0
-    words = np.concatenate([*payloads, np.zeros(4, np.uint16)]).astype(np.uint64)
-    next_word = np.concatenate([[0], np.cumsum([len(p) for p in payloads])])[:-1].astype(np.int64)
-    mixer, low, width, code = Mixer(lanes), np.zeros(lanes, np.uint64), np.full(lanes, _MASK), np.zeros(lanes, np.uint64)
-    for _ in range(3):
-        code = (code << _W) | words[next_word]
-        next_word = next_word + 1
-    grid = np.zeros((steps, lanes), np.uint16)
-
-    def take(at, r, first, part):
-        lo, w, c = low[at] + r * first, r * part, code[at]
-        out = np.flatnonzero(_narrow(lo, w))
+        n = lanes if t < whole else int((np.diff(first) > t).sum())
+        own = ids[first[:n] + t].astype(np.int64)
+        model.predict(n)
+        start, size = model.interval(own)
+        r = width[:n] >> _U(model.total_bits)
+        low[:n] += r * start.view(_U)
+        width[:n] = r * size.view(_U)
+        out = np.flatnonzero(_narrow(low[:n], width[:n]))
         while len(out):
-            x, y = lo[out], w[out]
-            y = np.where((x ^ (x + y)) < _TOP, y, (_U(0) - x) & (_LOW - _U(1)))
-            lane = at[out] if isinstance(at, np.ndarray) else out
-            where = next_word[lane]
-            c[out] = ((c[out] << _W) & _MASK) | words[np.minimum(where, len(words) - 1)]
-            next_word[lane] = where + 1
-            x, y = (x << _W) & _MASK, y << _W
-            lo[out], w[out] = x, y
+            x = low[out]
+            words[used[out], out] = x >> _WORD
+            used[out] += 1
+            y = _cut(x, width[out]) << _W
+            x = x << _W
+            low[out], width[out] = x, y
             out = out[_narrow(x, y)]
-        low[at], width[at], code[at] = lo, w, c
-
-    ends = np.searchsorted(-sizes, -np.arange(steps), "left")
+        model.learn(own)
+    end = low + (_LOW - _U(1))  # its upper 24 bits lie in the last interval, which is wider than these words' rest
+    for k in range(2):
+        words[used, np.arange(lanes)] = end >> _U(48 - 16 * k) & _U(0xFFFF if k == 0 else 0xFF00)
+        used += 1
+    kept = np.arange(len(words))[:, None] < used
+    return used.astype("<u2").tobytes() + words.T[kept.T].astype("<u2").tobytes()
+
+
+def decode_block(raw: bytes, n_ids: int, vocabulary: int) -> np.ndarray:
+    """The ids of a block; anything where the words are damaged, which its checksum tells."""
+    lanes, first = _lanes(n_ids)
+    steps = int(first[1]) if lanes else 0
+    used = np.frombuffer(raw, "<u2", lanes).astype(np.int64)
+    words = np.append(np.frombuffer(raw, "<u2", offset=2 * lanes).astype(_U), np.zeros(8, _U))
+    if int(used.sum()) + 8 != len(words):
+        raise ValueError("a block is damaged")
+    at = np.cumsum(used) - used
+    stop = at + used
+    none = len(words) - 1
+
+    def word(lane):
+        where = at[lane]
+        at[lane] = where + 1
+        return words[np.where(where < stop[lane], where, none)]
+
+    model, low, width, code = Mixture(n_ids, lanes, vocabulary), np.zeros(lanes, _U), np.full(lanes, _ALL), np.zeros(lanes, _U)
+    every = np.arange(lanes)
+    for _ in range(4):
+        code = (code << _W) | word(every)
+    ids = np.zeros(n_ids, np.uint32)
+    whole = int(first[-1] - first[-2]) if lanes else 0
     for t in range(steps):
-        n = int(ends[t])
-        by2, by1, f = mixer.predict(n)
-        two = f[0] + f[1]
-        r = width[:n] // (two + f[2])
-        at = (code[:n] - low[:n]) & _MASK  # compared in units of r, for there are but three cases
-        is2 = at < r * f[0]
-        missed = at >= r * two
-        is1 = ~(is2 | missed)
-        take(slice(0, n), r, np.where(is2, _U(0), np.where(is1, f[0], two)), np.where(is2, f[0], np.where(is1, f[1], f[2])).astype(np.uint64))
-        ids = np.where(is2, by2, by1)
-        if len(miss := np.flatnonzero(missed)):
-            r = width[miss] >> _U(16)
-            slot = np.minimum(((code[miss] - low[miss]) & _MASK) // r, _U(SCALE - 1)).astype(np.int64) + model[miss] * SCALE
-            ids[miss] = ids_of_slot[slot]
-            take(miss, r, start_of_slot[slot], freq_of_slot[slot])
-        grid[t, :n] = ids
-        mixer.learn(n, ids, by1 == ids, by2 == ids, [is2, is1, missed], f)
-    return [grid[: sizes[i], i].copy() for i in range(lanes)]
+        n = lanes if t < whole else int((np.diff(first) > t).sum())
+        model.predict(n)
+        r = width[:n] >> _U(model.total_bits)
+        value = np.minimum((code[:n] - low[:n]) // np.maximum(r, _U(1)), _U((1 << model.total_bits) - 1)).astype(np.int64)
+        own = model.find(value)
+        start, size = model.interval(own)
+        low[:n] += r * start.view(_U)
+        width[:n] = r * size.view(_U)
+        out = np.flatnonzero(_narrow(low[:n], width[:n]))
+        while len(out):
+            x = low[out]
+            y = _cut(x, width[out]) << _W
+            code[out] = (code[out] << _W) | word(out)
+            x = x << _W
+            low[out], width[out] = x, y
+            out = out[_narrow(x, y) & (y > _U(0))]
+        ids[first[:n] + t] = own
+        model.learn(own)
+    return ids
 
 
 def write_segment(ids: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment's bytes; ids below 65536."""
-    if len(ids) and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids must be below 65536")
-    ids = ids.astype(np.uint16)
-    alphabet, counts = np.unique(ids, return_counts=True)
-    freq = frequencies(counts) if len(alphabet) else np.zeros(0, np.int64)
-    symbol = np.zeros(1 << 16, np.int64)
-    symbol[alphabet] = np.arange(len(alphabet))
-    blocks = [ids[i : i + block] for i in range(0, len(ids), block)]
-    payloads = encode_blocks(blocks, symbol, (np.cumsum(freq) - freq).astype(np.uint64), freq.astype(np.uint64))
-    index = b"".join(struct.pack("<III", len(b), len(p), zlib.crc32(b.tobytes())) for b, p in zip(blocks, payloads, strict=True))
-    head = lengths.astype("<u4").tobytes() + alphabet.astype("<u2").tobytes() + (freq - 1).astype("<u2").tobytes() + index
-    return MAGIC + struct.pack("<IIIII", len(lengths), len(ids), len(blocks), len(alphabet), zlib.crc32(head)) + head + b"".join(p.astype("<u2").tobytes() for p in payloads)
-
-
-def read_segments(segments: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(lengths by document, ids) of each segment; all their blocks are decoded side by side and checked."""
-    lengths, payloads, sizes, sums, owner, tables = [], [], [], [], [], []
-    for k, raw in enumerate(segments):
-        docs, _, blocks, letters, crc = struct.unpack_from("<IIIII", raw, 4)
-        at = 24 + 4 * docs + 4 * letters + 12 * blocks
-        if raw[:4] != MAGIC or zlib.crc32(raw[24:at]) != crc:
-            raise ValueError("a segment's header is damaged")
-        lengths.append(np.frombuffer(raw, "<u4", docs, 24))
-        alphabet = np.frombuffer(raw, "<u2", letters, 24 + 4 * docs)
-        freq = np.frombuffer(raw, "<u2", letters, 24 + 4 * docs + 2 * letters).astype(np.int64) + 1
-        start = np.cumsum(freq) - freq
-        tables.append([np.resize(np.repeat(x, freq), SCALE) if letters else np.zeros(SCALE, x.dtype) for x in (alphabet, start.astype(np.uint64), freq.astype(np.uint64))])
-        for i in range(blocks):
-            n, words, crc = struct.unpack_from("<III", raw, at - 12 * (blocks - i))
-            sizes.append(n)
-            sums.append(crc)
-            owner.append(k)
-            payloads.append((raw, words))
-        for i in range(len(payloads) - blocks, len(payloads)):
-            payloads[i] = np.frombuffer(raw, "<u2", payloads[i][1], at)
-            at += 2 * len(payloads[i])
-    order = np.argsort(-np.array(sizes, np.int64), kind="stable")
-    slots = [np.concatenate([t[j] for t in tables]) if tables else np.zeros(0, np.uint64) for j in range(3)]
-    decoded = decode_blocks([payloads[i] for i in order], np.array(sizes, np.int64)[order], *slots, np.array(owner, np.int64)[order])
-    own: list[list[np.ndarray]] = [[] for _ in segments]
-    for rank in np.argsort(order, kind="stable"):
-        i = order[rank]
-        if zlib.crc32(decoded[rank].tobytes()) != sums[i]:
-            raise ValueError("a block is damaged")
-        own[owner[i]].append(decoded[rank])
-    return [(n, np.concatenate([np.zeros(0, np.uint16), *ids])) for n, ids in zip(lengths, own, strict=True)]
+    """A segment's bytes; ids below MOST_IDS."""
+    if len(ids) and int(ids.max()) >= MOST_IDS:
+        raise ValueError(f"ids must be below {MOST_IDS}")
+    ids = ids.astype("<u4")
+    index, payloads = [], []
+    for i in range(0, len(ids), block):
+        own = ids[i : i + block]
+        vocabulary = int(own.max()) + 1
+        payloads.append(encode_block(own, vocabulary))
+        index.append(struct.pack("<IIIII", len(own), _lanes(len(own))[0], vocabulary, len(payloads[-1]) // 2, zlib.crc32(own.tobytes())))
+    head = struct.pack("<II", len(lengths), len(index))
+    rest = lengths.astype("<u4").tobytes() + b"".join(index)
+    return MAGIC + head + struct.pack("<I", zlib.crc32(head + rest)) + rest + b"".join(payloads)
+
+
+def read_head(raw: bytes) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
+    """(lengths by document, (place, bytes, ids, vocabulary, checksum) of each block) of a segment."""
+    if len(raw) < 16 or raw[:4] != MAGIC:
+        raise ValueError("a segment's head is damaged")
+    docs, blocks, crc = struct.unpack_from("<III", raw, 4)
+    at = 16 + 4 * docs + 20 * blocks
+    if len(raw) < at or zlib.crc32(raw[4:12] + raw[16:at]) != crc:
+        raise ValueError("a segment's head is damaged")
+    found, place = [], at
+    for i in range(blocks):
+        n, _, vocabulary, words, check = struct.unpack_from("<IIIII", raw, at - 20 * (blocks - i))
+        found.append((place, 2 * words, n, vocabulary, check))
+        place += 2 * words
+    return np.frombuffer(raw, "<u4", docs, 16), found
+
+
+def read_block(raw: bytes, place: int, size: int, n: int, vocabulary: int, check: int) -> np.ndarray:
+    """The ids of one block of a segment, without any other."""
+    if len(raw) < place + size:
+        raise ValueError("a block is damaged")
+    ids = decode_block(raw[place : place + size], n, vocabulary)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != check:
+        raise ValueError("a block is damaged")
+    return ids
+
+
+def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths by document, ids) of a segment."""
+    lengths, blocks = read_head(raw)
+    return lengths, np.concatenate([np.zeros(0, np.uint32), *(read_block(raw, *b) for b in blocks)])
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
@@ -248,7 +303,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", t
 
     A row of the table at ``path`` is a segment: part and number (their order is that of the keys), keys (of its
     documents, in order), n_ids, segment (its bytes, as laid out above).  Rows of one key stand in the order
-    of their texts; a null key comes first; a null text is its end id alone; repeated rows stay.  Spark
+    of their texts' hashes, then of their texts; a null key comes first; a null text is its end id alone; repeated rows stay.  Spark
     commits the table, so a task that runs again leaves no half of a segment.  Other columns aren't read.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -280,14 +335,15 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", t
             yield segment()
 
     schema = f"part long, number long, keys array<{kind}>, n_ids long, segment binary"
-    ordered = docs.select(F.col(key), F.col(text).alias("text")).repartitionByRange(F.col(key), F.xxhash64("text")).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = docs.select(F.col(key), F.col(text).alias("text")).repartitionByRange(F.col(key), F.xxhash64("text")).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
     ordered.mapInArrow(run, schema).write.mode("overwrite").parquet(path)
 
 
-def read_ids(spark, path: str, key: str = "doc_id", together: int = 2) -> DataFrame:
+def read_ids(spark, path: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Decode the segments at ``path``: a row for each document with ``key``, start (ids of all documents before it), n_tokens, ids, ids_crc32.
 
-    Sums of ids are formed by part first and then over the parts, of which there are few.  An empty table gives no rows.
+    Without ``with_ids`` the ids are read, and their sums taken, but not returned.  Sums of ids are formed by part first and
+    then over the parts, of which there is one for each partition that wrote.  An empty table gives no rows.
     """
     table = spark.read.parquet(path)
     kind = table.schema["keys"].dataType.elementType.simpleString()
@@ -298,14 +354,15 @@ def read_ids(spark, path: str, key: str = "doc_id", together: int = 2) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, together):
-                rows = batch.slice(a, together).to_pylist()
-                for row, (sizes, ids) in zip(rows, read_segments([r["segment"] for r in rows]), strict=True):
-                    flat = ids.astype(np.uint32)
-                    ends = np.cumsum(sizes.astype(np.int64))
-                    raw = memoryview(flat.tobytes())
-                    crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array(ends - sizes + row["before"], pa.int64()), pa.array(sizes.astype(np.int64)), lists, pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids", "ids_crc32"])
-
-    return table.select("part", "number", "keys", "segment").join(before, ["part", "number"]).select("keys", "segment", "before").mapInArrow(run, f"`{key}` {kind}, start long, n_tokens long, ids array<int>, ids_crc32 long")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                sizes, ids = read_segment(row["segment"])
+                sizes = sizes.astype(np.int64)
+                ends = np.cumsum(sizes)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                own = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array(ends - sizes + row["before"], pa.int64()), pa.array(sizes), *own, pa.array(crc, pa.int64())], [key, "start", "n_tokens", *["ids"] * with_ids, "ids_crc32"])
+
+    placed = table.select("part", "number", "keys", "segment").join(maybe_broadcast(before, 32 * small.count()), ["part", "number"])
+    return placed.select("keys", "segment", "before").mapInArrow(run, f"`{key}` {kind}, start long, n_tokens long, {'ids array<int>, ' * with_ids}ids_crc32 long")
