@@ -1,173 +1,53 @@
 """Language-model scoring by cross-entropy difference (operator 4).
 
-A target and a background model of words are counted over all documents, with the same order, smoothing and vocabulary (the words of all
-documents).  A document's score is the mean over its words of the target's loss less the background's: the lower, the
-more it is like the target.  Counts and losses are Spark tables with a row for each n-gram, so they grow with the corpus; documents
-get their losses by a join on their distinct n-grams.
+A target and a background model are counted over all documents, with the same order, smoothing and vocabulary (a tokenizer's).  A document's
+score is the mean over its tokens of the target's loss less the background's: the lower, the more it is like the target.  No document
+is scored by a target model that has counted it: target documents have two folds, by a hash of their text, with a model each, and every
+document is scored by the model of the fold that its own hash isn't in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, by_bytes, maybe_broadcast, plain, stored, strings
-
-#: Words of an n-gram.
-ORDER = 3
-SLICE_BYTES = 1 << 20
-MODELS = ("t", "b")
-
-
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, offsets of the texts); words stand between ASCII white space, and none has the hash 0."""
-    offsets, data = buffers(plain(column))
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
-    begins[inner] = word[inner]
-    at = np.flatnonzero(begins)
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(len(column) + 1, np.int64)
-    kept = np.cumsum(word)
-    coded = strings(np.concatenate([kept[at] - 1, kept[-1:]]), data[word]).dictionary_encode()
-    values = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
-    return np.where(values == 0, np.uint64(1), values).view(np.int64)[np.asarray(coded.indices)], np.searchsorted(at, offsets)
-
-
-def _grams(words: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
-    """Columns of the n-gram that ends at each word; places before a text are 0."""
-    inside = np.arange(len(words)) - np.repeat(offsets[:-1], np.diff(offsets))
-    out = [words]
-    for k in range(1, order):
-        before = np.zeros(len(words), np.int64)
-        before[k:] = words[: max(0, len(words) - k)]
-        before[inside < k] = 0
-        out.insert(0, before)
-    return out
-
-
-def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(order that sorts the rows, where each distinct row begins in it)."""
-    by = np.lexsort(columns[::-1])
-    new = np.ones(len(by), bool)
-    if len(by):
-        new[1:] = np.logical_or.reduce([c[by][1:] != c[by][:-1] for c in columns])
-    return by, np.flatnonzero(new)
-
-
-def gram_names(order: int) -> list[str]:
-    """Names of an n-gram's columns: w1 is the last word, so that a shorter n-gram has the first of them."""
-    return [f"w{k}" for k in range(order, 0, -1)]
-
+from . import ngrams
+from .shared import maybe_broadcast, stored
+from .tokens import vocabulary_size
 
-def gram_counts(docs: DataFrame, target: str, order: int = ORDER) -> DataFrame:
-    """The n-grams of all texts and how often they stand in texts of the target (t) and in all (b).  docs: text and ``target``."""
-    names = gram_names(order)
+ORDER = 2
+MODELS = ("t0", "t1", "all")
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            column = plain(batch.column(0))
-            for start, stop in by_bytes(column, SLICE_BYTES):
-                words, offsets = word_hashes(column.slice(start, stop - start))
-                if not len(words):
-                    continue
-                flag = np.asarray(batch.column(1).slice(start, stop - start).to_numpy(zero_copy_only=False), bool)
-                grams = _grams(words, offsets, order)
-                by, first = _distinct(grams)
-                t = np.add.reduceat(np.repeat(flag, np.diff(offsets))[by].astype(np.int64), first)
-                b = np.diff(np.append(first, len(by)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(g[by][first]) for g in grams), pa.array(t), pa.array(b)], [*names, *MODELS])
 
-    partial = docs.select("text", F.coalesce(F.col(target), F.lit(False)).alias("flag")).mapInArrow(run, ", ".join(f"{c} long" for c in (*names, *MODELS)))
-    return partial.groupBy(*names).agg(*(F.sum(m).alias(m) for m in MODELS))
+def fold_of(text: Column) -> Column:
+    """0 or 1; equal texts are in one fold."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit("fold")), F.lit(2)).cast("int")
 
 
-def _discounts(level: DataFrame) -> DataFrame:
-    """One row: the three discounts of modified Kneser-Ney of each model, from its counts of counts 1 to 4, held between 0 and the count."""
-    seen = level.agg(*(F.count_if(F.col(m) == i).cast("double").alias(f"{m}{i}") for m in MODELS for i in (1, 2, 3, 4)))
-    out = []
-    for m in MODELS:
-        y = F.coalesce(F.try_divide(F.col(f"{m}1"), F.col(f"{m}1") + 2 * F.col(f"{m}2")), F.lit(0.5))
-        for i in (1, 2, 3):
-            d = F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"{m}{i + 1}"), F.col(f"{m}{i}")), F.lit(0.5 * i))
-            out.append(F.least(F.greatest(d, F.lit(0.05)), F.lit(i - 0.05)).alias(f"{m}_d{i}"))
-    return stored(seen.select(*out), "discounts")
-
-
-def _discount(m: str) -> Column:
-    n = F.col(m)
-    return F.when(n >= 3, F.col(f"{m}_d3")).when(n == 2, F.col(f"{m}_d2")).when(n == 1, F.col(f"{m}_d1")).otherwise(F.lit(0.0))
-
-
-def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """The n-grams of ``counts`` and their interpolated modified Kneser-Ney probabilities p_t and p_b.
-
-    Lower orders count the distinct n-grams one longer.  The background has all n-grams, so its rows are all that are asked for, and an
-    n-gram that the target lacks gets the target's weight of the shorter one.  The shortest is one of the shared vocabulary.
-    """
-    level = {order: counts}
-    for k in range(order - 1, 0, -1):
-        level[k] = stored(level[k + 1].groupBy(*gram_names(k)).agg(*(F.count_if(F.col(m) > 0).alias(m) for m in MODELS)), f"grams{k}")
-    size = level[1].count()
-    lower = None
-    for k in range(1, order + 1):
-        names = gram_names(k)
-        own = level[k].crossJoin(F.broadcast(_discounts(level[k])))  # one row
-        own = own.select(*names, *MODELS, *(_discount(m).alias(f"{m}_d") for m in MODELS))
-        sums = [x for m in MODELS for x in (F.sum(m).alias(f"{m}_sum"), F.coalesce(F.try_divide(F.sum(f"{m}_d"), F.sum(m)), F.lit(1.0)).alias(f"{m}_weight"))]
-        if k == 1:
-            p = own.crossJoin(F.broadcast(own.agg(*sums))).select("*", *(F.lit(1 / max(size, 1)).alias(f"{m}_short") for m in MODELS))  # one row
-        else:
-            short = lower.select(*names[1:], *(F.col(f"p_{m}").alias(f"{m}_short") for m in MODELS))
-            p = own.join(own.groupBy(*names[:-1]).agg(*sums), names[:-1]).join(short, names[1:])
-        p_of = lambda m: F.coalesce(F.try_divide(F.col(m) - F.col(f"{m}_d"), F.col(f"{m}_sum")), F.lit(0.0)) + F.col(f"{m}_weight") * F.col(f"{m}_short")
-        lower = stored(p.select(*names, *(p_of(m).alias(f"p_{m}") for m in MODELS)), f"probabilities{k}")
-    return lower
-
-
-def cross_entropy_difference(docs: DataFrame, target: str = "is_target", order: int = ORDER) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, tokenizer: str, target: str = "is_target", order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of each row of ``docs`` (doc_id, text and a boolean column).
 
-    The target model is fitted on all rows where ``target`` is true (null: false), the background on all rows.  Losses are nats
-    a token (a word between ASCII white space); a null text or one without words has 0 tokens and null losses.  Without target rows the
-    target model is uniform.  Repeated rows count and are scored each; an empty table gives no rows; other columns aren't read.
+    Target models are fitted on the rows where ``target`` is true (null: false), the background on all rows.  Losses are nats a token;
+    a null text or one without tokens has 0 tokens and null losses.  A target model without rows is uniform.  Repeated rows
+    count and are scored each; an empty table gives no rows; other columns aren't read.
     """
-    names = gram_names(order)
-    counts = stored(gram_counts(docs, target, order), "counts")
-    losses = probabilities(counts, order).select(*names, *((-F.ln(f"p_{m}")).alias(m) for m in MODELS))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            column = plain(batch.column(1))
-            for start, stop in by_bytes(column, SLICE_BYTES):
-                words, offsets = word_hashes(column.slice(start, stop - start))
-                doc = np.repeat(np.arange(stop - start), np.diff(offsets))
-                grams = [doc, *_grams(words, offsets, order)]
-                by, first = _distinct(grams)
-                none = np.flatnonzero(np.diff(offsets) == 0)  # such a text has one row without an n-gram
-                at = np.concatenate([doc[by][first], none])
-                n = np.concatenate([np.diff(np.append(first, len(by))), np.zeros(len(none), np.int64)])
-                mask = np.arange(len(at)) >= len(first)
-                held = [batch.column(j).slice(start, stop - start).take(pa.array(at)) for j in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*held, *(pa.array(np.concatenate([g[by][first], none * 0]), mask=mask) for g in grams[1:]), pa.array(n)], ["doc_id", "row", *names, "n"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, f"doc_id {kind}, row long, {', '.join(f'{c} long' for c in names)}, n long")
-    met = asked.join(losses, names, "left")
-    sums = met.groupBy("row", "doc_id").agg(F.sum("n").alias("n_tokens"), *(F.sum(F.col("n") * F.col(m)).alias(m) for m in MODELS))
-    t, b = (F.try_divide(F.col(m), F.col("n_tokens")) for m in MODELS)
+    of = lambda k: F.coalesce(F.col(target), F.lit(False)) & (F.col("fold") == k)
+    marked = docs.select("doc_id", "text", target, fold_of(F.col("text")).alias("fold")).select("doc_id", "fold", of(0).alias("t0"), of(1).alias("t1"), F.lit(True).alias("all"), "text")
+    columns, names = ("doc_id", "fold", *MODELS), [f"n_{m}" for m in MODELS]
+    rows = ngrams.placed(marked, tokenizer, *columns)
+    asked = stored(ngrams.asked(rows, tokenizer, order, MODELS), "asked")
+    counts = stored(ngrams.counted(asked, MODELS), "counts")
+    model = ngrams.KneserNey(counts, names, order, vocabulary_size(tokenizer))
+    losses = stored(model.losses(counts.select("gram")), "losses")
+    answers = asked.select("block", "gram").join(maybe_broadcast(losses, 48 * losses.count()), "gram")
+    sums = ngrams.scored(rows, answers, tokenizer, order, columns, names)
+    t = F.try_divide(F.when(F.col("fold") == 0, F.col("n_t1")).otherwise(F.col("n_t0")), F.col("n_tokens"))
+    b = F.try_divide(F.col("n_all"), F.col("n_tokens"))
     return sums.select("doc_id", "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))
 
 
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text and is_target: labelled as good by all its labels and as toxic by none."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id", F.lit(True).alias("is_target"))
+    good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id", F.lit(True).alias("is_target"))
     good = stored(good, "target")
     return docs.select("doc_id", "text").join(maybe_broadcast(good, 32 * good.count()), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))

@@ -1,179 +1,218 @@
-"""Byte n-gram models with interpolated modified Kneser-Ney smoothing (base of operators 1 and 4).
+"""Interpolated modified Kneser-Ney models of token ids, and the losses of documents under them (base of operators 1 and 4).
 
-Every model's vocabulary is the 256 byte values, so models of one order share it, and none of a text is unknown.  A text is read
-behind ``order - 1`` zero bytes.  Counts, discounts, continuation counts and interpolation are DataFrame joins
-on n-gram keys (the packed bytes), sharded by Spark; the finished tables go to the tasks as a broadcast variable.
+Every model's vocabulary is that of a tokenizer, so models share it and no token is unknown.  Counts, continuation counts and
+probabilities are tables with a row for each n-gram, sharded by Spark and never gathered; they grow with what was counted.
+
+Documents are scored by joins with these tables, but not token by token: documents are dealt to blocks of a fixed number of bytes by
+a hash of their key and text; each block asks for its distinct n-grams, with how often it has them; the answers come from a join with the
+tables, and meet the block's documents again by a co-group.  So what is moved is the documents once and a block's
+distinct n-grams twice, however often a document or a block repeats them, and a frequent n-gram is a row for each block at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, by_bytes, plain, stored
+from .shared import maybe_broadcast, stored
+from .tokens import encoded_batches, vocabulary_size
 
-SLICE_BYTES = 4 << 20
-#: With tables of all n-grams (order 3), slices are smaller and a task passes its counts on before one could overflow.
-DENSE_SLICE_BYTES = 1 << 20
-DENSE_BYTES = 1 << 31
-#: A model with more n-grams than this isn't sent to the tasks.  Order 3 can't have more; order 4 from a bounded sample has far less.
-MOST_NGRAMS = 1 << 24
+#: Bits of a token in a packed n-gram: its id and 1; 0 stands for the places before a text.  Three tokens fit a long.
+BITS = 20
+#: Bytes of text in a block.
+BLOCK_BYTES = 32 << 20
+#: n-grams of a task that are held before they are added up, and after.
+HELD, SUMMED = 4 << 20, 2 << 20
 
 
-def codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(packed n-gram that ends at each byte, offsets of the texts); bytes before a text count as zero."""
-    offsets, data = buffers(plain(column))
-    packed = data.astype(np.uint32)
-    inside = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+def codes(ids: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    """The packed n-gram that ends at each token of texts that begin at ``offsets`` (which have the end, too)."""
+    own = ids.astype(np.int64) + 1
+    inside = np.arange(len(own)) - np.repeat(offsets[:-1], np.diff(offsets))
+    packed = own.copy()
     for k in range(1, order):
-        before = np.zeros(len(data), np.uint32)
-        before[k:] = data[: max(0, len(data) - k)]
+        before = np.zeros(len(own), np.int64)
+        before[k:] = own[: max(0, len(own) - k)]
         before[inside < k] = 0
-        packed |= before << np.uint32(8 * k)
-    return packed, offsets
+        packed |= before << (BITS * k)
+    return packed
+
 
+def _width(tokenizer: str) -> np.dtype:
+    """How ids travel: in 2 bytes where that is enough."""
+    vocabulary = vocabulary_size(tokenizer)
+    if vocabulary >= (1 << BITS) - 1:
+        raise ValueError(f"ids must be below {(1 << BITS) - 1}")
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
-def ngram_counts(docs: DataFrame, flags: list[str], order: int) -> DataFrame:
-    """gram, and n of each flag: how often each n-gram stands in the texts whose flag is true.  docs: text and the flags.
 
-    A task adds up its own texts first, so a frequent n-gram is a row for each task, not for each time it's seen.
+def placed(docs: DataFrame, tokenizer: str, *columns: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block, ``columns``, n_ids and ids (token ids, compressed) of each row of ``docs`` (the columns and text), dealt out by block.
+
+    A row's block follows from its columns and text alone, so it is the same in each evaluation.
     """
+    width = _width(tokenizer)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64(*columns, "text"), F.lit(size // block_bytes + 1)).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for rows, counts, ids in encoded_batches(batches, tokenizer):
+            raw, ends = memoryview(ids.astype(width).tobytes()), width.itemsize * np.cumsum(counts)
+            packed = [pa.compress(raw[e - width.itemsize * n : e], "zstd", asbytes=True) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], ["block", *columns, "n_ids", "ids"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.select(block.alias("block"), *columns, "text").mapInArrow(run, f"block int, {kinds}, n_ids int, ids binary").repartition("block")
+
 
-    def rows(keys: np.ndarray, found: list[np.ndarray]):
-        for i in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].astype(np.int64)), *(pa.array(f[i : i + (1 << 16)].astype(np.int64)) for f in found)], ["gram", *flags])
+def _slices(rows, width: np.dtype, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, ids, offsets of rows) of :func:`placed` rows, about ``most`` ids at a time."""
+    n, packed = np.asarray(rows.column("n_ids")).astype(np.int64), rows.column("ids")
+    ends, first = np.cumsum(n), 0
+    while first < len(n):
+        stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        raw = [pa.decompress(x, int(k) * width.itemsize, "zstd", asbytes=True) for x, k in zip(packed.slice(first, stop - first).to_pylist(), n[first:stop], strict=True) if k]
+        yield first, stop, np.frombuffer(b"".join(raw), width), np.concatenate([[0], np.cumsum(n[first:stop])])
+        first = stop
 
-    def dense_rows(total: list[np.ndarray]):
-        keys = np.flatnonzero(np.bitwise_or.reduce(total))
-        yield from rows(keys, [t[keys] for t in total])
+
+def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, and the sums of their counts (a row for each)."""
+    keys, at = np.unique(grams, return_inverse=True)
+    return keys, np.stack([np.bincount(at, c, len(keys)).astype(np.int64) for c in counts.T], 1) if counts.shape[1] else np.zeros((len(keys), 0), np.int64)
+
+
+def asked(rows: DataFrame, tokenizer: str, order: int, flags: Sequence[str] = ()) -> DataFrame:
+    """block, gram and, by flag, n: the distinct n-grams of each block of :func:`placed` rows, and how often they stand in rows where a flag is true.
+
+    A block's n-gram is more than one row only if a task holds very many of them.
+    """
+    width, names = _width(tokenizer), [f"n_{f}" for f in flags]
+
+    def batches_of(done: dict):
+        for block, (keys, counts) in done.items():
+            for i in range(0, len(keys), 1 << 16):
+                own = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block), pa.int32()), pa.array(own), *(pa.array(c) for c in counts[i : i + (1 << 16)].T)], ["block", "gram", *names])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        dense, held = order <= 3, 0
-        total = [np.zeros(1 << (8 * order), np.uint32) if dense else (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for _ in flags]
+        new: dict[int, list] = defaultdict(list)
+        done: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held = 0
+
+        def add_up():
+            for block, parts in new.items():
+                distinct = [_summed(g, c) for g, c in parts]
+                before = [done[block]] if block in done else []
+                done[block] = _summed(*(np.concatenate(x) for x in zip(*before, *distinct, strict=True)))
+            new.clear()
+
         for batch in batches:
-            column = plain(batch.column(0))
-            for start, stop in by_bytes(column, DENSE_SLICE_BYTES if dense else SLICE_BYTES):
-                packed, offsets = codes(column.slice(start, stop - start), order)
-                held += len(packed)
-                if dense and held > DENSE_BYTES:
-                    yield from dense_rows(total)
-                    held = len(packed)
-                    for t in total:
-                        t[:] = 0
-                for k in range(len(flags)):
-                    flag = np.asarray(batch.column(1 + k).slice(start, stop - start).to_numpy(zero_copy_only=False), bool)
-                    own = packed if flag.all() else packed[np.repeat(flag, np.diff(offsets))]
-                    if dense:
-                        np.add.at(total[k], own, np.uint32(1))
-                    else:
-                        seen, n = np.unique(own, return_counts=True)
-                        keys, at = np.unique(np.concatenate([total[k][0], seen]), return_inverse=True)
-                        total[k] = keys, np.bincount(at, np.concatenate([total[k][1], n]), len(keys)).astype(np.int64)
-        if dense:
-            yield from dense_rows(total)
-        else:
-            keys = np.unique(np.concatenate([t[0] for t in total]))
-            found = []
-            for k, n in total:
-                out = np.zeros(len(keys), np.int64)
-                out[np.searchsorted(keys, k)] = n
-                found.append(out)
-            yield from rows(keys, found)
-
-    partial = docs.select("text", *(F.coalesce(F.col(f), F.lit(False)).alias(f) for f in flags)).mapInArrow(run, "gram long, " + ", ".join(f"{f} long" for f in flags))
-    return partial.groupBy("gram").agg(*(F.sum(f).alias(f) for f in flags))
-
-
-@dataclass
-class Model:
-    """Log-probabilities of the n-grams seen and log back-off weights of their contexts, by order from 1."""
-
-    order: int
-    grams: list[np.ndarray] = field(default_factory=list)
-    logp: list[np.ndarray] = field(default_factory=list)
-    contexts: list[np.ndarray] = field(default_factory=list)
-    backoff: list[np.ndarray] = field(default_factory=list)
-
-    def log_probability(self, packed: np.ndarray) -> np.ndarray:
-        """ln P(last byte | bytes before) of packed n-grams of the model's order."""
-        out = np.zeros(len(packed))
-        todo = np.arange(len(packed))
-        for k in range(self.order, 0, -1):
-            key = packed[todo] & np.uint32((1 << 8 * k) - 1)
-            keys = self.grams[k - 1]
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            out[todo[hit]] += self.logp[k - 1][at[hit]]
-            todo, key = todo[~hit], key[~hit] >> np.uint32(8)
-            keys = self.contexts[k - 1]
-            if len(keys) and len(todo):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                out[todo] += np.where(keys[at] == key, self.backoff[k - 1][at], 0.0)
-        out[todo] += np.log(1 / 256)
-        return out
-
-    def dense(self) -> np.ndarray:
-        """ln P for every packed n-gram there can be (float32); for orders up to 3."""
-        out = np.full(1, np.log(1 / 256), np.float32)
-        for k in range(1, self.order + 1):
-            weight = np.zeros(1 << 8 * (k - 1), np.float32)
-            weight[self.contexts[k - 1]] = self.backoff[k - 1]
-            # A context's first byte doesn't count for the shorter n-gram, so that one's table repeats for each.
-            shorter, out = out, np.empty(1 << 8 * k, np.float32)
-            out.reshape(-1, len(shorter))[:] = shorter
-            out.reshape(-1, 256)[:] += weight[:, None]
-            out[self.grams[k - 1]] = self.logp[k - 1]
-        return out
-
-
-def _discount(count: Column, d: dict) -> Column:
-    return F.when(count >= 3, F.col("d3")).when(count == 2, F.col("d2")).otherwise(F.col("d1"))
-
-
-def kneser_ney(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]]:
-    """(gram, logp) and (context, backoff) for orders 1 to ``order`` from counts (gram, n) of the highest.
-
-    Lower orders count the distinct n-grams one longer; discounts are those of modified Kneser-Ney, from the counts
-    of counts 1 to 4 at each order, held between 0 and the count.  Without counts the tables are empty.
+            blocks = np.asarray(batch.column("block"))
+            marks = np.stack([np.asarray(batch.column(f).fill_null(False).to_numpy(zero_copy_only=False), bool) for f in flags], 1) if flags else np.zeros((len(batch), 0), bool)
+            for first, stop, ids, offsets in _slices(batch, width):
+                grams, sizes = codes(ids, offsets, order), np.diff(offsets)
+                for block in np.unique(blocks[first:stop]).tolist():
+                    mine = np.repeat(blocks[first:stop] == block, sizes)
+                    new[block].append((grams[mine], np.repeat(marks[first:stop], sizes, 0)[mine].astype(np.int64)))
+                held += len(grams)
+                if held > HELD:
+                    add_up()
+                    held = 0
+                    if sum(len(k) for k, _ in done.values()) > SUMMED:
+                        yield from batches_of(done)
+                        done.clear()
+        add_up()
+        yield from batches_of(done)
+
+    return rows.mapInArrow(run, ", ".join(["block int", "gram long", *(f"{n} long" for n in names)]))
+
+
+def counted(rows: DataFrame, flags: Sequence[str] = ()) -> DataFrame:
+    """gram, and n by flag, over all blocks of :func:`asked` rows; n-grams that no flag has seen are left out."""
+    names = [f"n_{f}" for f in flags]
+    return rows.groupBy("gram").agg(*(F.sum(n).alias(n) for n in names)).filter(F.greatest(*names, F.lit(0)) > 0)
+
+
+def _discounts(level: DataFrame, names: Sequence[str]) -> dict[str, list[float]]:
+    """The three discounts of modified Kneser-Ney of each model, from its counts of counts 1 to 4, held between 0 and the count."""
+    seen = level.agg(*(F.count_if(F.col(m) == i).alias(f"{m}{i}") for m in names for i in (1, 2, 3, 4))).first()  # one row
+    out = {}
+    for m in names:
+        c = [0, *(seen[f"{m}{i}"] for i in (1, 2, 3, 4))]
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
+        out[m] = [min(max(i - (i + 1) * y * c[i + 1] / c[i] if c[i] else 0.5 * i, 0.05), i - 0.05) for i in (1, 2, 3)]
+    return out
+
+
+class KneserNey:
+    """Models of one order and vocabulary from ``counts`` (gram and a column of counts for each of ``names``), as tables.
+
+    Lower orders count the distinct n-grams one longer.  The shortest is interpolated with one of ``vocabulary`` equally likely ids.  A
+    model without counts is uniform.
     """
-    level = {order: counts.filter("n > 0").select("gram", "n")}
-    for k in range(order - 1, 0, -1):
-        level[k] = level[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    out, lower = [], None
-    for k in range(1, order + 1):
-        of = {i: F.count_if(F.col("n") == i).cast("double") for i in (1, 2, 3, 4)}
-        seen = level[k].agg(*(of[i].alias(f"n{i}") for i in of))
-        y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-        d = [F.least(F.greatest(F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5 * i)), F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}") for i in (1, 2, 3)]
-        discounted = level[k].crossJoin(F.broadcast(seen.select(*d)))  # one row of three discounts
-        own = discounted.select("gram", "n", F.shiftright("gram", 8).alias("context"), _discount(F.col("n"), {}).alias("d"))
-        sums = own.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
-        p = own.join(sums, "context").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("direct"), "weight")
-        if lower is None:
-            p = p.select("gram", (F.col("direct") + F.col("weight") / 256).alias("p"))
+
+    def __init__(self, counts: DataFrame, names: Sequence[str], order: int, vocabulary: int):
+        self.names, self.order, self.vocabulary = list(names), order, vocabulary
+        self.levels, self.sums = {order: counts}, {}
+        for k in range(order - 1, 0, -1):
+            suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")
+            self.levels[k] = stored(self.levels[k + 1].groupBy(suffix).agg(*(F.count_if(F.col(m) > 0).alias(m) for m in self.names)), f"grams{k}")
+        for k, level in self.levels.items():
+            cuts = _discounts(level, self.names)
+            of = lambda m, cuts=cuts: F.when(F.col(m) >= 3, cuts[m][2]).when(F.col(m) == 2, cuts[m][1]).when(F.col(m) == 1, cuts[m][0]).otherwise(0.0)
+            cut = level.select("gram", *self.names, *(of(m).alias(f"{m}_cut") for m in self.names))
+            sums = [x for m in self.names for x in (F.sum(m).alias(f"{m}_sum"), F.coalesce(F.try_divide(F.sum(f"{m}_cut"), F.sum(m)), F.lit(1.0)).alias(f"{m}_weight"))]
+            self.levels[k], self.sums[k] = cut, stored(cut.groupBy(F.shiftright("gram", BITS).alias("context")).agg(*sums), f"contexts{k}")
+
+    def _probabilities(self, wanted: DataFrame, k: int) -> DataFrame:
+        """p of each model of the distinct n-grams ``wanted`` (gram) of order k."""
+        own = wanted.join(self._hinted(self.levels[k]), "gram", "left").withColumn("context", F.shiftright("gram", BITS)).join(self._hinted(self.sums[k]), "context", "left")
+        if k == 1:
+            short = {m: F.lit(1.0 / self.vocabulary) for m in self.names}
         else:
-            short = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            p = p.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(short, "suffix").select("gram", (F.col("direct") + F.col("weight") * F.col("q")).alias("p"))
-        lower = stored(p, "kneser-ney")
-        out.append((lower.select("gram", F.ln("p").alias("logp")), stored(sums.select("context", F.ln("weight").alias("backoff")), "backoff")))
-    return out
+            own = own.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)))
+            lower = self._probabilities(own.select(F.col("suffix").alias("gram")).distinct(), k - 1)
+            own = own.join(lower.select(F.col("gram").alias("suffix"), *(F.col(m).alias(f"{m}_short") for m in self.names)), "suffix")
+            short = {m: F.col(f"{m}_short") for m in self.names}
+
+        def p(m: str) -> Column:
+            direct = F.coalesce(F.try_divide(F.col(m) - F.col(f"{m}_cut"), F.col(f"{m}_sum")), F.lit(0.0))
+            return direct + F.coalesce(F.col(f"{m}_weight"), F.lit(1.0)) * short[m]
+
+        return own.select("gram", *(p(m).alias(m) for m in self.names))
+
+    def _hinted(self, df: DataFrame) -> DataFrame:
+        return maybe_broadcast(df, 16 * len(df.columns) * df.count())
 
+    def losses(self, wanted: DataFrame) -> DataFrame:
+        """gram, and by model the loss (-ln p) of each of the distinct n-grams ``wanted`` (gram)."""
+        return self._probabilities(wanted, self.order).select("gram", *((-F.ln(m)).alias(m) for m in self.names))
 
-def model(counts: DataFrame, order: int) -> Model:
-    """The model as arrays; refused when it has more than MOST_NGRAMS n-grams."""
-    made = Model(order)
-    for grams, contexts in kneser_ney(counts, order):
-        if grams.count() > MOST_NGRAMS:
-            raise ValueError("the model is too large to be sent to tasks; take a smaller sample or order")
-        for df, key, value, keys, values in ((grams, "gram", "logp", made.grams, made.logp), (contexts, "context", "backoff", made.contexts, made.backoff)):
-            t = df.toArrow()
-            k, v = t[key].to_numpy().astype(np.uint32), t[value].to_numpy()
-            at = np.argsort(k)
-            keys.append(k[at])
-            values.append(v[at].astype(np.float64))
-    return made
+
+def scored(rows: DataFrame, answers: DataFrame, tokenizer: str, order: int, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``columns``, n_tokens and by model the sum of the losses of each of the :func:`placed` ``rows``.
+
+    answers: block, gram and the losses ``names`` of all n-grams of each block.
+    """
+    width = _width(tokenizer)
+
+    def run(docs: pa.Table, losses: pa.Table) -> pa.Table:
+        by = np.argsort(np.asarray(losses.column("gram")))
+        keys, values = np.asarray(losses.column("gram"))[by], [np.asarray(losses.column(m))[by] for m in names]
+        parts = [[np.zeros(0)] for _ in names]
+        for _, _, ids, offsets in _slices(docs, width):
+            at = np.searchsorted(keys, codes(ids, offsets, order))
+            for out, value in zip(parts, values, strict=True):
+                so_far = np.concatenate([[0.0], np.cumsum(value[at])])
+                out.append(so_far[offsets[1:]] - so_far[offsets[:-1]])
+        n = docs.column("n_ids").cast(pa.int64())
+        return pa.Table.from_arrays([*(docs.column(c) for c in columns), n, *(pa.array(np.concatenate(x)) for x in parts)], [*columns, "n_tokens", *names])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"{kinds}, n_tokens long, {', '.join(f'{m} double' for m in names)}")

@@ -20,13 +20,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), TOKENIZER)
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     idfile.write_ids(_table(spark, sf_dir, "documents"), TOKENIZER, path)
-    return idfile.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return idfile.read_ids(spark, path, with_ids=False)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.cross_entropy_difference(lm_score.with_target(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+    return lm_score.cross_entropy_difference(lm_score.with_target(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), TOKENIZER)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

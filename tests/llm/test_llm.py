@@ -48,18 +48,42 @@ def test_token_file(spark, tmp_path):
     assert got == want
 
 
-def test_segment_round_trip_and_damage():
+def test_segment_round_trip():
     rng = np.random.default_rng(0)
-    for x in (np.zeros(0, int), rng.integers(0, 65536, 9000), np.tile([1, 2, 3], 5000)):
-        s = idfile.write_segment(x, np.array([len(x)]))
-        assert (idfile.read_segments([s, s])[1][1] == x).all()
-    bad = bytearray(s)
-    bad[30] ^= 1
-    try:
-        idfile.read_segments([bytes(bad)])
-    except ValueError:
-        return
-    raise AssertionError("damage wasn't seen")
+    words = np.minimum(rng.zipf(1.3, 40_000), 50_000)
+    for x in (np.zeros(0, int), np.array([5]), rng.integers(0, 65536, 9000), np.tile([1, 2, 3], 5000), rng.integers(0, 1 << 24, 700), words):
+        s = idfile.write_segment(x, np.array([len(x)]), block=4096)
+        lengths, got = idfile.read_segment(s)
+        assert lengths.tolist() == [len(x)] and got.tolist() == x.tolist()
+        blocks = idfile.read_head(s)[1]
+        assert len(blocks) == -(-len(x) // 4096)
+        for i in range(len(blocks) - 1, -1, -1):  # each alone, in any order, and where the bytes of the others are gone
+            place, size, *rest = blocks[i]
+            alone = bytes(place) + s[place : place + size]
+            assert idfile.read_block(alone, place, size, *rest).tolist() == x[4096 * i : 4096 * (i + 1)].tolist()
+    with pytest.raises(ValueError):
+        idfile.write_segment(np.array([idfile.MOST_IDS]), np.array([1]))
+
+
+def test_mixing_takes_less_than_any_order_alone():
+    rng = np.random.default_rng(1)
+    skewed = rng.choice(np.arange(2000), 60_000, p=(w := 1 / np.arange(1, 2001)) / w.sum())
+    chain = np.cumsum(rng.choice([1, 7], 60_000, p=[0.9, 0.1])) % 997  # the last id tells most
+    for x, most in ((skewed, 10.4), (chain, 2.2)):
+        assert 8 * len(idfile.write_segment(x, np.array([len(x)]))) / len(x) < most
+
+
+def test_damage_in_each_field():
+    x = np.random.default_rng(2).zipf(1.5, 3000) % 5000
+    s = idfile.write_segment(x, np.array([1000, 2000]), block=2048)
+    for at in [*range(16 + 8 + 40), *range(64, len(s), 397), len(s) - 3]:  # the head's fields, then words
+        bad = bytearray(s)
+        bad[at] ^= 0x55
+        with pytest.raises(ValueError):
+            idfile.read_segment(bytes(bad))
+    for size in (0, 3, 20, 100, len(s) - 1):
+        with pytest.raises(ValueError):
+            idfile.read_segment(s[:size])
 
 
 def test_packing(spark):
@@ -137,85 +161,108 @@ def test_contaminated_spans(spark):
     assert all(r.n_hit == 0 for r in decontaminate.contaminated_spans(docs(spark), items.limit(0)).collect())
 
 
-def test_models_are_distributions(spark):
-    df = spark.createDataFrame([("abracadabra abracadabra",), ("cadabra",), (None,)], "text string").withColumn("n", F.lit(True))
-    m = ngrams.model(ngrams.ngram_counts(df, ["n"], 3), 3)
-    dense = np.exp(m.dense().reshape(-1, 256).astype(float))
-    assert np.allclose(dense.sum(1), 1, atol=1e-4)
-    some = np.arange(0, 1 << 24, 4099, dtype=np.uint32)
-    assert np.allclose(m.log_probability(some), m.dense()[some], atol=1e-4)
+def plain_model(texts, order, size):
+    """-ln p of each token of a list of ids, by interpolated modified Kneser-Ney in plain Python."""
+    grams = lambda w: [tuple([None] * (order - 1) + w)[i : i + order] for i in range(len(w))]
+    level = {order: Counter(g for w in texts for g in grams(w))}
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
+    cuts = {}
+    for k, n in level.items():
+        c = [0, *(sum(v == i for v in n.values()) for i in (1, 2, 3, 4))]
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
+        cuts[k] = [0, *(min(max(i - (i + 1) * y * c[i + 1] / c[i] if c[i] else 0.5 * i, 0.05), i - 0.05) for i in (1, 2, 3))]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / size
+        same = {h: v for h, v in level[k].items() if h[:-1] == g[:-1]}
+        if not same:
+            return p(g[1:])
+        cut = lambda v: cuts[k][min(v, 3)]
+        return (max(same.get(g, 0) - cut(same.get(g, 0)), 0) + sum(map(cut, same.values())) * p(g[1:])) / sum(same.values())
+
+    return lambda w: [-np.log(p(g)) for g in grams(w)]
+
+
+SIZE = LIB.get_vocab_size(with_added_tokens=True)
+SOME = np.random.default_rng(8)
+SCORED = [" ".join(SOME.choice(W[:12], int(SOME.integers(1, 25)))) for _ in range(25)] + ["new words\there", "", None, " \n ", "É é 日本 alpha", W[0], W[0]]
+
+
+def test_scores_against_a_plain_model(spark):
+    flags = [i % 3 == 0 for i in range(len(SCORED))]
+    rows_in = [(i, t, f) for i, (t, f) in enumerate(zip(SCORED, flags, strict=True))]
+    rows_in += [rows_in[0], (None, SCORED[1], None)]  # a repeated row, and one without key and flag
+    df = spark.createDataFrame(rows_in, "doc_id long, text string, is_target boolean")
+    fold = {r.text: r.fold for r in df.select("text", lm_score.fold_of(F.col("text")).alias("fold")).collect()}
+    assert {*fold.values()} == {0, 1}
+    split = [ids(t)[:-1] for _, t, _ in rows_in]
+    for order, none in ((1, False), (2, False), (3, False), (2, True)):
+        used = df.withColumn("is_target", F.lit(None).cast("boolean")) if none else df
+        background = plain_model(split, order, SIZE)
+        targets = [plain_model([w for w, (_, t, f) in zip(split, rows_in, strict=True) if f and not none and fold[t] == k], order, SIZE) for k in (0, 1)]
+        got = lm_score.cross_entropy_difference(used, PATH, order=order).collect()
+        assert len(got) == len(rows_in)
+        for r in got:
+            t = SCORED[1 if r.doc_id is None else r.doc_id]
+            w = ids(t)[:-1]
+            assert r.n_tokens == len(w)
+            if w:
+                want = np.mean(targets[1 - fold[t]](w)), np.mean(background(w))  # never by the model that counted it
+                assert (r.target_loss, r.background_loss, r.score) == (pytest.approx(want[0], rel=1e-9), pytest.approx(want[1], rel=1e-9), pytest.approx(want[0] - want[1], rel=1e-9, abs=1e-9))
+            else:
+                assert (r.target_loss, r.background_loss, r.score) == (None,) * 3
+    assert lm_score.cross_entropy_difference(df.limit(0), PATH).count() == 0
+
+
+def test_perplexities_against_a_plain_model(spark):
+    df = docs(spark, SCORED)
+    train = df.filter("doc_id < 12")
+    for order in (1, 2, 3):
+        model = plain_model([ids(t)[:-1] for t in SCORED[:12]], order, SIZE)
+        for r in quality.perplexities(df, train, PATH, order, "doc_id").collect():
+            w = ids(SCORED[r.doc_id])[:-1]
+            assert r.n_tokens == len(w) and r.perplexity == (pytest.approx(np.exp(np.mean(model(w))), rel=1e-9) if w else None)
+    assert all(r.perplexity is None or np.isclose(r.perplexity, SIZE) for r in quality.perplexities(df, train.limit(0), PATH, 2, "doc_id").collect())
+
+
+def test_blocks_change_no_score(spark, monkeypatch):
+    df = docs(spark, TEXTS * 5).withColumn("is_target", F.col("doc_id") % 2 == 0)
+    score = lambda: {r.doc_id: (r.n_tokens, r.score and round(r.score, 9)) for r in lm_score.cross_entropy_difference(df, PATH).collect()}
+    one = score()
+    monkeypatch.setattr(ngrams.placed, "__kwdefaults__", {"block_bytes": 200})
+    assert score() == one and len(one) == 5 * len(TEXTS)
 
 
 def test_quality_and_scores(spark):
     good = [" ".join(W[i % 7 :] + W[: i % 5]) for i in range(60)]
     df = docs(spark, [*good, "%%% ### QXJ!! ZZ@@ 0xFF", None, ""])
-    labels = spark.createDataFrame([(i, 1, None) for i in range(60)] + [(60, 0, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.accepted for r in quality.score_documents(df, labels).collect()}
-    assert all(got[i] for i in range(60)) and not (got[60] or got[61] or got[62])
-    scored = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(lm_score.with_target(df, labels)).collect()}
+    labels = spark.createDataFrame([(i, 1, None) for i in range(60)] + [(60, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.accepted for r in quality.score_documents(df, labels, PATH, quantile=1.0).collect()}
+    assert sum(got[i] for i in range(60)) > 50 and not (got[60] or got[61] or got[62])  # the limit is of those that don't train
+    none = quality.score_documents(df, labels.limit(0), PATH).collect()
+    assert all(r.limit is None and r.accepted == (r.n_tokens > 0) for r in none) and len(none) == 63
+    assert quality.score_documents(df.limit(0), labels, PATH).count() == 0
+    scored = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(lm_score.with_target(df, labels), PATH).collect()}
     assert scored[60] > scored[0] and scored[61] is None
 
 
 def test_limits_of_all_trusted_rows(spark):
     rng = np.random.default_rng(4)
-    rare = ["".join(chr(int(c)) for c in rng.integers(0x4E00, 0x4F00, 60)) for _ in range(60)]
-    texts = [(i, " ".join(W[i % 7 :] + W[: i % 5]), "en") for i in range(300)] + [(300 + i, t, "zh") for i, t in enumerate(rare)] + [(360, rare[0], "yy")]
+    rare = ["".join(chr(int(c)) for c in rng.integers(0x4E00, 0x4F00, 60)) for _ in range(6)]
+    texts = [(i, " ".join(W[i % 7 :] + W[: i % 5]), "en") for i in range(150)] + [(150 + i, t, "zh") for i, t in enumerate(rare)] + [(156, rare[0], "yy"), (157, W[0], None)]
     df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(360)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(156)] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
     train = {r.doc_id for r in quality.trusted_ids(labels, 50).filter("train").collect()}
     assert 30 < len(train) <= 50
-    got = {r.doc_id: r for r in quality.score_documents(df, labels, rows=50).collect()}
-    for lang, ids in (("en", range(300)), ("zh", range(300, 360))):
-        limit = np.quantile([got[i].perplexity for i in ids if i not in train], 0.9) * quality.MARGIN
-        assert all(np.isclose(got[i].limit, limit) for i in ids)
-    everything = np.quantile([got[i].perplexity for i in range(360) if i not in train], 0.9) * quality.MARGIN
-    assert np.isclose(got[360].limit, everything) and sum(got[i].accepted for i in range(300, 360)) > 50
-
-
-def plain_losses(texts, flags, order):
-    """Target's and background's mean losses of each text by a plain model of words."""
-    split = [re.findall(r"[^ \t-\r]+", t or "") for t in texts]
-    grams = lambda w: [tuple([None] * (order - 1) + w)[i : i + order] for i in range(len(w))]
-    size, out = len({x for w in split for x in w}), []
-    for own in ([w for w, f in zip(split, flags, strict=True) if f], split):
-        level = {order: Counter(g for w in own for g in grams(w))}
-        for k in range(order - 1, 0, -1):
-            level[k] = Counter(g[1:] for g in level[k + 1])
-        cuts = {}
-        for k, n in level.items():
-            c = [0, *(sum(v == i for v in n.values()) for i in (1, 2, 3, 4))]
-            y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
-            cuts[k] = [0, *(min(max(i - (i + 1) * y * c[i + 1] / c[i] if c[i] else 0.5 * i, 0.05), i - 0.05) for i in (1, 2, 3))]
-
-        def p(g, level=level, cuts=cuts):
-            k = len(g)
-            if not k:
-                return 1 / size
-            same = {h: v for h, v in level[k].items() if h[:-1] == g[:-1]}
-            if not same:
-                return p(g[1:])
-            cut = lambda v: cuts[k][min(v, 3)]
-            return (max(same.get(g, 0) - cut(same.get(g, 0)), 0) + sum(map(cut, same.values())) * p(g[1:])) / sum(same.values())
-
-        out.append([-np.mean(np.log([p(g) for g in grams(w)])) if w else None for w in split])
-    return out
-
-
-def test_scores_against_a_plain_model(spark):
-    rng = np.random.default_rng(8)
-    texts = [" ".join(rng.choice(W[:12], int(rng.integers(1, 25)))) for _ in range(25)] + ["new words\there", "", None, " \n ", "É é 日本 alpha", W[0]]
-    flags = [i % 3 == 0 for i in range(len(texts))]
-    rows_in = [(i, t, f) for i, (t, f) in enumerate(zip(texts, flags, strict=True))]
-    df = spark.createDataFrame([*rows_in, rows_in[0]], "doc_id long, text string, is_target boolean")  # a repeated row
-    for order, none in ((1, False), (2, False), (3, False), (2, True)):
-        used = df.withColumn("is_target", F.lit(None).cast("boolean")) if none else df
-        want = plain_losses([*texts, texts[0]], [not none and f for f in (*flags, flags[0])], order)
-        got = lm_score.cross_entropy_difference(used, order=order).collect()
-        assert len(got) == len(texts) + 1
-        for r in got:
-            t, b = want[0][r.doc_id], want[1][r.doc_id]
-            assert r.n_tokens == len((texts[r.doc_id] or "").split())
-            assert (r.target_loss, r.background_loss, r.score) == ((None,) * 3 if t is None else (pytest.approx(t), pytest.approx(b), pytest.approx(t - b)))
+    got = {r.doc_id: r for r in quality.score_documents(df, labels, PATH, rows=50, quantile=0.9).collect()}
+    for lang, own in (("en", range(150)), ("zh", range(150, 156))):  # a language of six rows has its own limit too
+        limit = np.quantile([got[i].perplexity for i in own if i not in train], 0.9)
+        assert all(np.isclose(got[i].limit, limit) for i in own), lang
+    everything = np.quantile([got[i].perplexity for i in range(156) if i not in train], 0.9)
+    assert np.isclose(got[156].limit, everything) and np.isclose(got[157].limit, everything)
 
 
 def test_rotation(spark):
@@ -259,7 +306,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(64, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, " ".join(W))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     table = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
-    accepted = {r.doc_id for r in quality.score_documents(table("documents"), table("labels")).collect() if r.accepted}
+    accepted = {r.doc_id for r in quality.score_documents(table("documents"), table("labels"), PATH).collect() if r.accepted}
     left = []  # exact copies, then components of near copies, then documents with a passage of the item
     split = {i: (texts[i] or "").lower().split() for i in sorted(accepted)}
     for i, w in split.items():
