@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from faultline.llm import decontaminate, exact_dedup, minhash, packing, quality
 from faultline.llm.shared import stored
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return quality.keep_accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TOKENIZER)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, TOKENIZER)
 
 
 STAGES = [
