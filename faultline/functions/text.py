@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ def lines(c: Column) -> Column:
     return F.split(content(c), "\n", -1)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once: a lambda would evaluate what it captures for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def any_of(patterns: Sequence[str], flags: str = ANY_CASE) -> str:
     """One alternation of patterns, so that a text is read once."""
     return flags + "|".join(f"(?:{p})" for p in patterns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.text import any_of, content, has_any, lines, times
+from faultline.functions.text import any_of, content, has_any, lines, once, times
 
 # Fixed values
 FIRST_MATCH = {
@@ -65,13 +65,12 @@ def regex_type(c: Column) -> Column:
 
 def regex_lines(c: Column) -> Column:
     """The first five numbers (from 1) of lines with an error word."""
-    return F.slice(F.array_compact(F.transform(lines(c), lambda x, i: F.when(has_any(F.lower(x), ERROR_WORDS), i + 1))), 1, 5)
+    return F.slice(F.array_compact(F.transform(lines(F.lower(content(c))), lambda x, i: F.when(has_any(x, ERROR_WORDS), i + 1))), 1, 5)
 
 
 def heuristic_counts(c: Column, keywords: dict[str, list[str]] = KEYWORDS) -> Column:
     """Keyword counts by type, as a struct in the declared order."""
-    low = F.lower(content(c))
-    return F.struct(*[sum((times(low, w) for w in words), F.lit(0)).cast("long").alias(t) for t, words in keywords.items()])
+    return once(F.lower(content(c)), lambda low: F.struct(*[sum((times(low, w) for w in words), F.lit(0)).cast("long").alias(t) for t, words in keywords.items()]))
 
 
 def heuristic_type(counts: Column, keywords: dict[str, list[str]] = KEYWORDS) -> Column:
@@ -83,12 +82,11 @@ def heuristic_type(counts: Column, keywords: dict[str, list[str]] = KEYWORDS) ->
 def heuristic_lines(c: Column, kind: Column, keywords: dict[str, list[str]] = KEYWORDS) -> Column:
     """The five lines (from 1) with the highest scores of 3 or more; equal scores in order."""
 
-    def score(x: Column) -> Column:
-        low = F.lower(x)
+    def score(low: Column) -> Column:
         own = F.lit(False)
         for t, words in keywords.items():
             own = own | ((kind == t) & has_any(low, words))
         return F.when(has_any(low, ERROR_WORDS), 3).otherwise(0) + F.when(own, 2).otherwise(0) + F.when(has_any(low, ["traceback", "stack trace"]), 2).otherwise(0)
 
-    scored = F.transform(lines(c), lambda x, i: F.struct((-score(x)).alias("s"), (i + 1).alias("n")))
+    scored = F.transform(lines(F.lower(content(c))), lambda x, i: F.struct((-score(x)).alias("s"), (i + 1).alias("n")))
     return F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] <= -3)), 1, 5), lambda x: x["n"])

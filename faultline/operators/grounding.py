@@ -5,11 +5,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from faultline.functions.text import lines, strip
+from faultline.functions.text import lines, once, strip
 
 RATIO = 0.75
 THRESHOLD = 0.8
@@ -18,21 +18,31 @@ THRESHOLD = 0.8
 def line_map(filtered: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """log_id, line_number, content: from ``[Line N] text`` markers (the last of a number wins), else lines from 0.
 
-    wanted (log_id, line_number): only these lines are kept, before any shuffle if they are few.
+    A number too long for a long is no marker.  wanted (log_id, line_number): only these lines are kept.  Each log's lines are
+    sorted out in its own row; none is shuffled.
     """
     marked = r"(?d)^\[Line (\d+)\]\s?(.*)"
-    rows = F.transform(lines(F.col("filtered")), lambda x, i: F.struct(F.when(x.rlike(marked), F.regexp_extract(x, marked, 1).cast("int")).alias("marked"), F.regexp_extract(x, marked, 2).alias("rest"), i.alias("at"), x.alias("line")))
-    base = filtered.select("log_id", rows.alias("rows")).withColumn("any", F.exists("rows", lambda r: r["marked"].isNotNull()))
-    kept = F.when(F.col("any"), F.filter("rows", lambda r: r["marked"].isNotNull())).otherwise(F.col("rows"))
-    out = base.select("log_id", "any", F.explode(kept).alias("r")).select("log_id", F.when(F.col("any"), F.col("r.marked")).otherwise(F.col("r.at")).alias("line_number"), F.when(F.col("any"), F.col("r.rest")).otherwise(F.col("r.line")).alias("content"), F.col("r.at").alias("at"))
+    number = lambda x: F.when(x.rlike(marked), F.regexp_extract(x, marked, 1)).try_cast("bigint")
+
+    def numbered(plain: Column) -> Column:
+        rows = F.array_sort(F.filter(F.transform(plain, lambda x, i: F.struct(number(x).alias("line_number"), i.alias("at"), F.regexp_extract(x, marked, 2).alias("content"))), lambda r: r["line_number"].isNotNull()))
+        last = once(rows, lambda sorted_rows: F.filter(sorted_rows, lambda r, i: ~r["line_number"].eqNullSafe(F.get(sorted_rows, i + 1)["line_number"])))
+        bare = F.transform(plain, lambda x, i: F.struct(i.cast("bigint").alias("line_number"), i.alias("at"), x.alias("content")))
+        return once(last, lambda found: F.when(F.size(found) > 0, found).otherwise(bare))
+
+    base = filtered
     if wanted is not None:
-        out = out.join(wanted.select("log_id", "line_number").distinct(), ["log_id", "line_number"], "left_semi")
-    return out.groupBy("log_id", "line_number").agg(F.max_by("content", "at").alias("content"))
+        numbers = wanted.groupBy(F.col("log_id").alias("_log")).agg(F.collect_set(F.col("line_number").cast("bigint")).alias("_wanted"))  # a log's own citations
+        base = filtered.join(numbers, F.col("log_id") == F.col("_log"))
+    rows = once(lines(F.col("filtered")), numbered)
+    kept = rows if wanted is None else F.filter(rows, lambda r: F.array_contains("_wanted", r["line_number"]))
+    return base.select("log_id", F.explode(kept).alias("r")).select("log_id", "r.line_number", "r.content")
 
 
 @F.pandas_udf(BooleanType())
 def _alike(cited: pd.Series, actual: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, a, b).ratio() >= RATIO for a, b in zip(cited, actual, strict=True)])
+    """Whether two texts are alike; nulls aren't compared."""
+    return pd.Series([a is not None and SequenceMatcher(None, a, b).ratio() >= RATIO for a, b in zip(cited, actual, strict=True)], dtype=bool)
 
 
 def verified(evidence: DataFrame, numbered: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -49,9 +59,7 @@ def verified(evidence: DataFrame, numbered: DataFrame, fuzzy: bool = True) -> Da
     may = ~F.col("exact") & ~F.col("blank") & (2 * F.least(la, lb) >= RATIO * (la + lb))
     if not fuzzy:
         return base.withColumn("verified", F.col("exact")).drop("c", "a")
-    near = base.filter(may).withColumn("verified", _alike("c", "a"))
-    rest = base.filter(~may).withColumn("verified", F.col("exact"))
-    return rest.unionByName(near).drop("c", "a")
+    return base.withColumn("verified", F.col("exact") | _alike(F.when(may, F.col("c")), F.when(may, F.col("a")))).drop("c", "a")
 
 
 def scores(logs: DataFrame, checked: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

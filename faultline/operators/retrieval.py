@@ -17,7 +17,6 @@ from faultline.functions.text import content
 DROPPED = ("script", "style", "nav", "footer", "header")
 MAIN = ("main", "article", ".content", "#content", ".documentation", ".doc-content", "body")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNCLOSED = frozenset(("p", "li", "td", "th", "tr", "option", "dt", "dd"))
 
 
 class _Reader(HTMLParser):
@@ -34,7 +33,8 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         names = {tag, *(f".{x}" for x in (a.get("class") or "").split()), f"#{a.get('id')}"}
-        own = [i for i, m in enumerate(MAIN) if m in names and i not in self.found]
+        dropped = any(t in DROPPED for t in (tag, *(t for t, _ in self.stack)))  # such blocks are gone before a main element is looked for
+        own = [] if dropped else [i for i, m in enumerate(MAIN) if m in names and i not in self.found]
         for i in own:
             self.found[i] = []
         if tag in _VOID:
@@ -86,8 +86,12 @@ def page_links(html: Column, url: Column, base: Column) -> Column:
     """Distinct absolute links under ``base`` in order, without those in dropped blocks."""
     bare = content(html)
     for tag in DROPPED:
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
-    hrefs = F.regexp_extract_all(bare, F.lit(r'(?is)<a\b[^>]*?\bhref="([^"]*)"'), 1)
+        bare = F.regexp_replace(bare, rf"(?is)<{tag}(?=[\s>/]).*?</{tag}\s*>", "")
+    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    hrefs = F.regexp_extract_all(bare, F.lit(rf"(?is)<a(?=\s)[^>]*?\shref\s*=\s*{value}"), 1)
+    hrefs = F.transform(hrefs, lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
+    for written, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        hrefs = F.transform(hrefs, lambda h: F.replace(h, F.lit(written), F.lit(meant)))  # noqa: B023
     here = F.regexp_replace(url, r"/[^/]*$", "")
     full = F.transform(hrefs, lambda h: F.when(h.startswith("/"), F.concat(base, h)).when(~h.startswith("http"), F.concat(here, F.lit("/"), h)).otherwise(h))
     return F.array_distinct(F.filter(full, lambda x: F.contains(x, base)))
@@ -121,47 +125,41 @@ def chunks(docs: DataFrame, size: int = 500, separator: str = "\n\n") -> DataFra
     return flat.select("source", "url", (F.row_number().over(by_doc) - 1).alias("chunk_no"), "title", "content")
 
 
-def nearest(queries: DataFrame, stored: DataFrame, k: int = 5, most_queries: int = 4096) -> DataFrame:
-    """query_id, chunk_id, source, distance (squared L2), rank of the k nearest chunks of each query; ties by chunk_id.
+def nearest(queries: DataFrame, stored: DataFrame, k: int = 5, query_block: int = 1024, chunk_block: int = 8192) -> DataFrame:
+    """query_id, chunk_id, source, distance (squared L2, 9 places), rank of the k nearest chunks of each query; ties by chunk_id.
 
-    queries: query_id, embedding and, if wanted, source_filter.  Queries go in blocks to the chunks' tasks; each task
-    keeps its own k best of a batch by matrix product, and only these are shuffled.
+    queries: query_id, embedding and, if wanted, source_filter.  Blocks of queries meet blocks of chunks; each pair keeps its own k best
+    by matrix product, and these are merged by query.  Nothing passes through the driver but two counts.
     """
     filtered = "source_filter" in queries.columns
-    count = queries.count()
-    blocks = max(1, -(-count // most_queries))
-    out = None
-    for block in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = own.select("query_id", "embedding", *(["source_filter"] if filtered else [])).toPandas()  # a block of queries
-        if not len(rows):
-            continue
-        shared = queries.sparkSession.sparkContext.broadcast((rows["query_id"].tolist(), np.stack(rows["embedding"].to_numpy()).astype(np.float64), rows["source_filter"].to_numpy() if filtered else None))
-
-        def run(frames, shared=shared):
-            ids, q, wanted = shared.value
-            for f in frames:
-                if not len(f):
-                    continue
-                x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-                d = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
-                if wanted is not None:
-                    d[wanted[:, None] != f["source"].to_numpy()[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(f["chunk_id"].to_numpy(), d.shape), d.round(12)), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(ids)), order.shape[1])
-                cols = order.ravel()
-                dist = d[at, cols]
-                ok = np.isfinite(dist)
-                yield pd.DataFrame({"query_id": [ids[i] for i in at[ok]], "chunk_id": f["chunk_id"].to_numpy()[cols[ok]], "source": f["source"].to_numpy()[cols[ok]], "distance": dist[ok]})
-
-        kinds = {c: stored.schema[c].dataType.simpleString() for c in ("chunk_id", "source")}
-        part = stored.select("chunk_id", "source", "embedding").mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kinds['chunk_id']}, source {kinds['source']}, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        kinds = {c: stored.schema[c].dataType.simpleString() for c in ("chunk_id", "source")}
-        out = queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kinds['chunk_id']}, source {kinds['source']}, distance double")
-    best = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    across, down = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (stored, chunk_block)))
+    block = lambda name, of, n: F.pmod(F.xxhash64(name), F.lit(of)).cast("int").alias(n)
+    each = lambda of, n: F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(n)
+    left = queries.select("query_id", "embedding", *(["source_filter"] if filtered else []), block("query_id", across, "q")).select("*", each(down, "c"))
+    right = stored.select("chunk_id", "source", "embedding", block("chunk_id", down, "c")).select("*", each(across, "q"))
+
+    def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("chunk_id", ignore_index=True)
+        if len(q) and len(x):
+            a, b = (np.stack(f["embedding"].to_numpy()).astype(np.float64) for f in (q, x))
+            d = ((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T).round(9)
+            if filtered:
+                d[q["source_filter"].to_numpy()[:, None] != x["source"].to_numpy()[None, :]] = np.inf
+            most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            row, col = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+            order = np.lexsort((col, d[row, col], row))
+            row, col = row[order], col[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[kept], col[kept]
+        else:
+            row = col = np.zeros(0, int)
+        distance = d[row, col] if len(row) else np.zeros(0)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "chunk_id": x["chunk_id"].to_numpy()[col], "source": x["source"].to_numpy()[col], "distance": distance})
+
+    kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((queries, "query_id"), (stored, "chunk_id"), (stored, "source"))]
+    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(best, ", ".join([*kinds, "distance double"]))
+    merged = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    return found.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
 
 
 def routed(mentions: DataFrame, by_tool: DataFrame, general: DataFrame, keep: int = 5, each: int = 3) -> DataFrame:

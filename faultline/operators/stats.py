@@ -79,15 +79,22 @@ def bootstrap_accuracy(groups: DataFrame, key: str, resamples: int = 1000, level
     return groups.select(key, "n", "right").mapInPandas(draw, f"`{key}` {groups.schema[key].dataType.simpleString()}, observed double, lower double, upper double")
 
 
-def bootstrap_metric(rows: DataFrame, weighted, resamples: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """lower, upper of any weighted aggregate: Poisson weights by replicate, ``weighted(weight column)`` is aggregated for each."""
-    # A Poisson(1) weight from a hash of row and replicate: the number of limits of its distribution below a uniform value.
-    limits = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
-    u = F.pmod(F.xxhash64("log_id", "replicate", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.when(u >= float(x), 1).otherwise(0) for x in limits), F.lit(0))
-    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("weight", weight)
+#: A Poisson(1) weight is the number of these limits, its distribution's, that a uniform value reaches.
+POISSON_LIMITS = [float(round(x, 12)) for x in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])]
+
+
+def bootstrap_metric(rows: DataFrame, weighted, keys: list[str], resamples: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """observed, lower, upper of any weighted aggregate: ``weighted(weight column)`` over the rows, and over Poisson weights of each replicate.
+
+    A row's weight in a replicate follows from its ``keys``, so draws don't depend on partitions.
+    """
+    name = F.concat_ws(":", *(F.col(k).cast("string") for k in keys), F.col("replicate").cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 7), 16, 10).cast("bigint") / float(1 << 28)
+    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("u", u)
+    drawn = drawn.withColumn("weight", sum((F.when(F.col("u") >= x, 1).otherwise(0) for x in POISSON_LIMITS), F.lit(0)))
     values = drawn.groupBy("replicate").agg(weighted(F.col("weight")).alias("v"))
-    return values.agg(F.percentile("v", F.lit((1 - level) / 2)).alias("lower"), F.percentile("v", F.lit((1 + level) / 2)).alias("upper"))
+    limits = values.agg(F.percentile("v", F.lit((1 - level) / 2)).alias("lower"), F.percentile("v", F.lit((1 + level) / 2)).alias("upper"))
+    return rows.agg(weighted(F.lit(1)).alias("observed")).crossJoin(F.broadcast(limits))  # one row each
 
 
 def permutation(pairs: DataFrame, flips: int = 10_000, seed: int = 42) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.text import any_of, content, has_any, lines, strip
+from faultline.functions.text import any_of, content, has_any, lines, once, strip
 
 # Fixed values
 CANCELLED = ["The operation was canceled", "Cancelling since a higher priority waiting request", "The runner has received a shutdown signal", "Error: The operation was canceled"]
@@ -14,8 +14,9 @@ SIGNATURE_WORDS = ["error", "failed", "exception", "fatal", "traceback"]
 TIMESTAMP = r"\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}[.\d]*Z?"
 ANSI = r"\x1b\[[0-9;]*m"
 ADDRESS = "0x[0-9a-fA-F]+"
-REASONS = ("cancelled", "token_error", "too_short", "duplicate")
+REASONS = ("cancelled_run", "token_error", "too_short", "duplicate_error")
 PRIORITIES = ("high", "medium", "low")
+NO_ERRORS = "d41d8cd98f00"  # the signature of a log without error lines
 
 
 def is_cancelled(c: Column) -> Column:
@@ -34,35 +35,36 @@ def is_too_short(c: Column, min_lines: int = 20) -> Column:
 def error_signature(c: Column, words: list[str] = SIGNATURE_WORDS) -> Column:
     """12 hex digits of the md5 of the first 20 error lines without times, colours and addresses."""
     bare = lambda x: strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, TIMESTAMP, ""), ANSI, ""), ADDRESS, "0xADDR"))
-    kept = F.filter(F.transform(F.filter(lines(c), lambda x: has_any(F.lower(x), words)), bare), lambda x: F.length(x) > 10)
-    first = F.slice(F.transform(kept, lambda x: F.substring(x, 1, 200)), 1, 20)
-    return F.substring(F.md5(F.array_join(first, "\n").cast("binary")), 1, 12)
+
+    def signature(low: Column) -> Column:
+        errors = F.array_compact(F.zip_with(lines(low), lines(c), lambda x, own: F.when(has_any(x, words), own)))
+        kept = F.slice(F.filter(F.transform(errors, bare), lambda x: F.length(x) > 10), 1, 20)
+        return F.when(has_any(low, words), F.substring(F.md5(F.array_join(F.transform(kept, lambda x: F.substring(x, 1, 200)), "\n").cast("binary")), 1, 12)).otherwise(NO_ERRORS)
+
+    return once(F.lower(content(c)), signature)
 
 
 def priority(c: Column) -> Column:
-    low = F.lower(content(c))
-    return F.when(has_any(low, ["traceback", "stack trace", "error:", "fatal"]), "high").when(has_any(low, ["failed", "failure"]), "medium").otherwise("low")
+    return once(F.lower(content(c)), lambda low: F.when(has_any(low, ["traceback", "stack trace", "error:", "fatal"]), "high").when(has_any(low, ["failed", "failure"]), "medium").otherwise("low"))
 
 
 def triage(logs: DataFrame, max_duplicates: int = 2, min_lines: int = 20, words: list[str] = SIGNATURE_WORDS, cap_empty_signature: bool = True) -> DataFrame:
     """log_id, ord, repository, reason (null if kept), signature, priority of every log.
 
-    Rules hold in order; the cap counts, in order of arrival, the rows that no earlier rule removed.  The content
-    isn't moved.  The cap ranks by repository, signature and a salt first, so a repository full of like errors is no single task.
+    Rules hold in order; the cap counts, in order of arrival, the rows that no earlier rule removed.  A row in is a row out, so
+    rows that repeat one another count each.  The content is read once and isn't moved.  The cap ranks parts of a repository's
+    like errors first, and then only each part's first rows, so a repository full of them is no single task.
     """
     c = F.col("log_content")
     rule = F.when(is_cancelled(c), REASONS[0]).when(is_token_error(c), REASONS[1]).when(is_too_short(c, min_lines), REASONS[2])
     facts = logs.select("log_id", "ord", "repository", rule.alias("rule"), error_signature(c, words).alias("signature"), priority(c).alias("priority"))
-    counted = F.col("rule").isNull() if cap_empty_signature else F.col("rule").isNull() & (F.col("signature") != "d41d8cd98f00")
-    # The first rows of a group are among the first of each of its parts.
-    key = ["repository", "signature"]
-    local = Window.partitionBy(*key, F.pmod(F.xxhash64("ord", "log_id"), F.lit(64))).orderBy("ord", "log_id")
-    whole = Window.partitionBy(*key).orderBy("ord", "log_id")
-    first = facts.filter(counted).select("log_id", "ord", *key).withColumn("r", F.row_number().over(local)).filter(F.col("r") <= max_duplicates)
-    kept = first.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= max_duplicates).select("log_id", "ord", F.lit(True).alias("first"))
-    out = facts.join(kept, ["log_id", "ord"], "left")
-    reason = F.coalesce("rule", F.when(counted & F.col("first").isNull(), REASONS[3]))
-    return out.select("log_id", "ord", "repository", reason.alias("reason"), "signature", "priority")
+    counted = F.col("rule").isNull() if cap_empty_signature else F.col("rule").isNull() & (F.col("signature") != NO_ERRORS)
+    facts = facts.withColumn("counted", counted).withColumn("part", F.pmod(F.xxhash64("ord", "log_id"), F.lit(64)))
+    ranked = lambda df, name: df.withColumn(name, F.row_number().over(Window.partitionBy("repository", "signature", "counted", "part").orderBy("ord", "log_id")))
+    # The first rows of a group are among the first of each of its parts; these meet in one part.
+    local = ranked(facts, "first").withColumn("part", F.when(F.col("counted") & (F.col("first") <= max_duplicates), F.lit(-1)).otherwise(F.col("part")))
+    over = F.col("counted") & ((F.col("part") >= 0) | (F.col("rank") > max_duplicates))
+    return ranked(local, "rank").select("log_id", "ord", "repository", F.coalesce("rule", F.when(over, REASONS[3])).alias("reason"), "signature", "priority")
 
 
 def kept_in_order(triaged: DataFrame) -> DataFrame:

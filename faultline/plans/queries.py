@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from faultline.functions.text import tokens
 from faultline.operators import baselines, grounding, metrics, model_io, reduction, retrieval, stats, study, triage
 from faultline.sources import logs as sources
-from faultline.sources import views
+from faultline.sources import storage, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,6 +82,52 @@ def s10_run_summary(spark, d):
     return sources.run_summary(e.select(step.alias("step"), F.col("event_id").alias("ord"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), outputs.alias("outputs")))
 
 
+@query("SELECT log_id, repository, workflow_name, log_content FROM logs", "logs")
+def s1_read_logs(spark, d):
+    """The logs written as files of JSON arrays, and read back."""
+    path = storage.new_path(spark, "logs")
+    sources.write_logs(views.logs(spark, d), path)
+    return sources.read_logs(spark, path).select("log_id", "repository", "workflow_name", "log_content")
+
+
+@query("SELECT log_id, actual_error_type, type_correct, fix_actionable, quality_rating, round(llm_confidence, 6) AS llm_confidence, round(execution_time_ms, 6) AS execution_time_ms FROM ground_truth", "ground_truth")
+def s6_annotations(spark, d):
+    """The ground truth written under envelopes, and read back."""
+    path = storage.new_path(spark, "annotations")
+    sources.write_annotations(views.ground_truth(spark, d), path, created_at="2024-01-01T00:00:00")
+    return sources.read_annotations(spark, path).select("log_id", "actual_error_type", "type_correct", "fix_actionable", "quality_rating", "llm_confidence", "execution_time_ms")
+
+
+@query("SELECT participant_id, ci_cd_experience, w AS with_assistance, round(t, 6) AS time_to_insight, CAST(helpfulness_rating AS INTEGER) AS helpfulness_rating FROM responses", "responses")
+def s9_csv(spark, d):
+    """The study's responses written as CSV, and read back."""
+    path, x = storage.new_path(spark, "study"), views.responses(spark, d)
+    sources.write_csv(x, path)
+    return spark.read.schema(x.schema).option("header", True).csv(path).select("participant_id", "ci_cd_experience", "with_assistance", "time_to_insight", "helpfulness_rating")
+
+
+@query("SELECT event_type AS step, max(event_id) AS ord, strftime(arg_max(ts, event_id), '%Y-%m-%dT%H:%M:%S') AS timestamp FROM events GROUP BY event_type")
+def s10_appended_steps(spark, d):
+    """Records appended in two goes; the latest of each step."""
+    path = storage.new_path(spark, "runs")
+    e = views.table(spark, d, "events").select(F.col("event_type").alias("step"), F.col("event_id").alias("ord"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+    for half in (0, 1):
+        sources.append_steps(e.filter(F.col("ord") % 2 == half), path)
+    return sources.latest_steps(spark.read.parquet(path))
+
+
+@query("SELECT event_id AS run_id, 'part_' || event_type || '.txt' AS name, 'k-' || regexp_extract(props, '(\\d+)', 1) AS content FROM events")
+def s3_unzipped(spark, d):
+    """Every event as an archive of one file, unpacked."""
+    e = views.table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.concat(F.lit("part_"), "event_type", F.lit(".txt")).alias("name"), F.concat(F.lit("k-"), F.regexp_extract("props", r"(\d+)", 1)).alias("content"))
+    return sources.members(sources.archives(e))
+
+
+@query("SELECT workflow_name AS name, count(*) AS n FROM logs GROUP BY 1 ORDER BY n DESC, name LIMIT 10", "logs")
+def c1_top_workflows(spark, d):
+    return sources.top(views.logs(spark, d), "workflow_name")
+
+
 @query("SELECT count(*) AS logs, count(DISTINCT repository) AS repositories, count(DISTINCT workflow_name) AS workflows FROM logs", "logs")
 def c1_collection_stats(spark, d):
     return sources.collection_stats(views.logs(spark, d))
@@ -100,18 +146,18 @@ def a1_annotation_stats(spark, d):
 # --- triage ----------------------------------------------------------------------------------------------------------
 
 _LOW = "lower(log_content)"
-_CANCELLED = "regexp_matches(log_content, '(?i)The operation was canceled|Cancelling since a higher priority waiting request|The runner has received a shutdown signal')"
-_TOKEN = "regexp_matches(log_content, '(?i)Bad credentials|401.*Unauthorized|Resource not accessible by integration')"
+_CANCELLED = f"regexp_matches(log_content, '(?i){'|'.join(triage.CANCELLED)}')"
+_TOKEN = f"regexp_matches(log_content, '(?i){'|'.join(triage.TOKEN_ERRORS)}')"
 _SHORT = "len(string_split(log_content, chr(10))) < {n}"
 _PRIORITY = f"CASE WHEN contains({_LOW}, 'traceback') OR contains({_LOW}, 'stack trace') OR contains({_LOW}, 'error:') OR contains({_LOW}, 'fatal') THEN 'high' WHEN contains({_LOW}, 'failed') OR contains({_LOW}, 'failure') THEN 'medium' ELSE 'low' END"
-_ANY = "(contains(lower(x), 'error') OR contains(lower(x), 'failed') OR contains(lower(x), 'exception') OR contains(lower(x), 'fatal') OR contains(lower(x), 'traceback'))"
-_SIGNATURE = rf"left(md5(array_to_string(list_slice(list_transform(list_filter(list_transform(list_filter(string_split(log_content, chr(10)), lambda x: {_ANY}), lambda x: trim(regexp_replace(x, '\d{{4}}-\d{{2}}-\d{{2}}[\sT]\d{{2}}:\d{{2}}:\d{{2}}[.\d]*Z?', '', 'g'))), lambda x: length(x) > 10), lambda x: left(x, 200)), 1, 20), chr(10))), 12)"
+_ANY = "(" + " OR ".join(f"contains(lower(x), '{w}')" for w in triage.SIGNATURE_WORDS) + ")"
+_SIGNATURE = rf"left(md5(array_to_string(list_slice(list_transform(list_filter(list_transform(list_filter(string_split(log_content, chr(10)), lambda x: {_ANY}), lambda x: trim(regexp_replace(x, '{triage.TIMESTAMP}', '', 'g'))), lambda x: length(x) > 10), lambda x: left(x, 200)), 1, 20), chr(10))), 12)"
 
 
 def _triage_sql(view: str, min_lines: int) -> str:
-    return f"""SELECT log_id, ord, repository, CASE WHEN rule IS NULL AND r > 2 THEN 'duplicate' ELSE rule END AS reason, signature, priority FROM (
+    return f"""SELECT log_id, ord, repository, CASE WHEN rule IS NULL AND r > 2 THEN 'duplicate_error' ELSE rule END AS reason, signature, priority FROM (
       SELECT *, row_number() OVER (PARTITION BY repository, signature, rule IS NULL ORDER BY ord) AS r FROM (
-        SELECT log_id, ord, repository, CASE WHEN {_CANCELLED} THEN 'cancelled' WHEN {_TOKEN} THEN 'token_error' WHEN {_SHORT.format(n=min_lines)} THEN 'too_short' END AS rule, {_SIGNATURE} AS signature, {_PRIORITY} AS priority FROM {view}))"""
+        SELECT log_id, ord, repository, CASE WHEN {_CANCELLED} THEN 'cancelled_run' WHEN {_TOKEN} THEN 'token_error' WHEN {_SHORT.format(n=min_lines)} THEN 'too_short' END AS rule, {_SIGNATURE} AS signature, {_PRIORITY} AS priority FROM {view}))"""
 
 
 @query(_triage_sql("logs", 20), "logs")
@@ -124,6 +170,18 @@ def t7_triage_events(spark, d):
     return triage.triage(views.event_logs(spark, d))
 
 
+@query(f"SELECT log_id, priority, CAST(row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, ord) AS BIGINT) AS place FROM ({_triage_sql('event_logs', 20)}) WHERE reason IS NULL", "event_logs")
+def t7_kept_in_order(spark, d):
+    """The kept logs in the order in which they are handed on."""
+    kept = triage.kept_in_order(triage.triage(views.event_logs(spark, d)))
+    return storage.numbered(kept.select("log_id", "priority"), "place")
+
+
+@query(f"SELECT log_id, reason, repository, CASE WHEN reason = 'duplicate_error' THEN signature END AS signature FROM ({_triage_sql('logs', 20)}) WHERE reason IS NOT NULL", "logs")
+def t7_removed(spark, d):
+    return triage.removed(triage.triage(views.logs(spark, d)))
+
+
 @query(f"SELECT 'reason' AS kind, reason AS name, count(*) AS n FROM ({_triage_sql('logs', 20)}) WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'priority', p, count(priority) FROM (VALUES ('high'), ('medium'), ('low')) k(p) LEFT JOIN (SELECT priority FROM ({_triage_sql('logs', 20)}) WHERE reason IS NULL) ON p = priority GROUP BY p", "logs")
 def t8_report(spark, d):
     return triage.report(triage.triage(views.logs(spark, d)))
@@ -164,11 +222,11 @@ def l3_l4_smart_filter(spark, d):
     + """, ranked AS (SELECT log_id, i, line, count(*) OVER (PARTITION BY log_id) AS n FROM rows), going AS (SELECT *, n // 2 AS h, CASE WHEN i < n // 2 THEN 2 * (n // 2 - 1 - i) + 2 + n % 2 WHEN n % 2 = 0 THEN 2 * (i - n // 2) + 1 WHEN i = n // 2 THEN 1 ELSE 2 * (i - n // 2) END AS g FROM ranked),
     steps AS (SELECT log_id, r, min(n) AS n, sum(CASE WHEN g > r THEN length(line) + 1 ELSE 0 END) + 19 AS size, sum(length(line) + 1) - 1 AS total FROM (SELECT *, unnest(generate_series(0, greatest(0, n - 10))) AS r FROM going) GROUP BY log_id, r),
     best AS (SELECT log_id, max(total) // 4 > 100 AS cut, coalesce(min(CASE WHEN size // 4 <= 100 THEN r END), max(r)) AS r FROM steps GROUP BY log_id)
-    SELECT going.log_id, CASE WHEN any_value(cut) THEN string_agg(line, chr(10) ORDER BY i) FILTER (g > best.r AND i < h) || chr(10) || '... [truncated] ...' || chr(10) || string_agg(line, chr(10) ORDER BY i) FILTER (g > best.r AND i >= h) ELSE string_agg(line, chr(10) ORDER BY i) END AS filtered FROM going JOIN best ON going.log_id = best.log_id GROUP BY going.log_id HAVING min(n) >= 2""",
+    SELECT going.log_id, CASE WHEN any_value(cut) THEN string_agg(line, chr(10) ORDER BY i) FILTER (g > best.r AND i < h) || chr(10) || '... [truncated] ...' || chr(10) || string_agg(line, chr(10) ORDER BY i) FILTER (g > best.r AND i >= h) ELSE string_agg(line, chr(10) ORDER BY i) END AS filtered FROM going JOIN best ON going.log_id = best.log_id GROUP BY going.log_id""",
     "event_logs",
 )
 def l6_truncated(spark, d):
-    rows = reduction.log_lines(views.event_logs(spark, d)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("log_id"))).filter("n >= 2")
+    rows = reduction.log_lines(views.event_logs(spark, d))
     return reduction.truncated(rows.select("log_id", (F.col("line_no") + 1).alias("rank"), F.col("line").alias("text")), max_tokens=100)
 
 
@@ -177,7 +235,7 @@ def l5_tokens(spark, d):
     return views.logs(spark, d).select("log_id", tokens(F.col("log_content")).alias("tokens"))
 
 
-@query("SELECT log_id, list_filter(list_transform(string_split(log_content, chr(10)), lambda x, i: CASE WHEN regexp_matches(x, '(?i:error:?\\s)|(?i:exception:?\\s)|(?i:failed:?\\s)|(?i:failure:?\\s)|(?i:fatal:?\\s)|(?i:traceback)|npm ERR!|FAILED|Test.*failed') THEN i END), lambda x: x IS NOT NULL) AS detected FROM event_logs", "event_logs")
+@query(f"SELECT log_id, list_filter(list_transform(string_split(log_content, chr(10)), lambda x, i: CASE WHEN regexp_matches(x, '{'|'.join(reduction.DETECTED)}') THEN i END), lambda x: x IS NOT NULL) AS detected FROM event_logs", "event_logs")
 def l7_detected_lines(spark, d):
     return views.event_logs(spark, d).select("log_id", reduction.detected_lines(F.col("log_content")).alias("detected"))
 
@@ -438,6 +496,18 @@ def e17_bootstrap(spark, d):
     return stats.bootstrap_accuracy(p, "model")
 
 
+_BOOT = 40
+_UNIFORM = "('0x' || left(md5(log_id || ':' || model || ':' || CAST(r AS VARCHAR) || ':42'), 7))::BIGINT / 268435456.0"
+_WEIGHT = "(" + " + ".join(f"CASE WHEN u >= {x!r} THEN 1 ELSE 0 END" for x in stats.POISSON_LIMITS) + ")"
+
+
+@query(f", w AS (SELECT r, confidence, {_WEIGHT} AS w FROM (SELECT r, confidence, {_UNIFORM} AS u FROM predictions, generate_series(1, {_BOOT}) g(r))), v AS (SELECT r, sum(confidence * w) / sum(w) AS v FROM w GROUP BY r) SELECT round((SELECT avg(confidence) FROM predictions), 6) AS observed, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM v", "predictions")
+def e17_metric(spark, d):
+    """The interval of the mean confidence, by Poisson weights."""
+    mean = lambda w: F.sum(F.col("confidence") * w) / F.sum(w)
+    return stats.bootstrap_metric(_predictions(spark, d).select("log_id", "model", "confidence"), mean, ["log_id", "model"], resamples=_BOOT)
+
+
 @query()
 def e18_permutation(spark, d):
     return stats.permutation(_pairs(spark, d))
@@ -481,7 +551,14 @@ def r3_sections(spark, d):
     return retrieval.sections(_docs(spark, d))
 
 
-@query()
+_CHUNKS = f"""{_SECTIONS}, own AS (SELECT source, doc_id, s, arg_min(line, i) AS title, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (i > m), arg_min(line, i)) AS content FROM (SELECT *, min(i) OVER (PARTITION BY doc_id, s) AS m FROM parts) GROUP BY source, doc_id, s),
+  packed AS (SELECT source, doc_id, s, title, CASE WHEN length(content) > 500 THEN list_reduce(list_transform(string_split(content, chr(10)), lambda p: {{'done': CAST([] AS VARCHAR[]), 'open': p, 'size': length(p)}}),
+    lambda a, b: CASE WHEN a.size + b.size > 500 THEN {{'done': list_append(a.done, a.open), 'open': b.open, 'size': b.size}} ELSE {{'done': a.done, 'open': a.open || chr(10) || b.open, 'size': a.size + b.size}} END) ELSE {{'done': CAST([] AS VARCHAR[]), 'open': content, 'size': 0}} END AS x FROM own),
+  flat AS (SELECT source, doc_id, s, title, unnest(list_append(x.done, x.open)) AS content, unnest(generate_series(1, len(x.done) + 1)) AS nth FROM packed),
+  chunks AS (SELECT source, CAST(doc_id AS VARCHAR) AS url, CAST(row_number() OVER (PARTITION BY source, doc_id ORDER BY s, nth) - 1 AS INTEGER) AS chunk_no, title, content FROM flat)"""
+
+
+@query(f"WITH {_CHUNKS} SELECT * FROM chunks")
 def r4_chunks(spark, d):
     return retrieval.chunks(_docs(spark, d), separator="\n")
 
@@ -516,10 +593,13 @@ def r6_routed(spark, d):
     return retrieval.routed(users.select("log_id", tools.alias("tools")), near.select(F.col("query_id").cast("string").alias("tool"), "chunk_id", "rank"), general)
 
 
-@query("SELECT lang AS log_id, string_agg('[Documentation from ' || source || ' - ' || CAST(doc_id AS VARCHAR) || ']' || chr(10) || left(text, 20) || chr(10) || 'Source: ' || lang, chr(10) || chr(10) ORDER BY doc_id) AS block FROM documents WHERE doc_id < 20 GROUP BY lang")
+@query("SELECT source AS log_id, string_agg('[Documentation from ' || source || ' - ' || CAST(doc_id AS VARCHAR) || ']' || chr(10) || coalesce(text, '') || chr(10) || 'Source: ' || lang, chr(10) || chr(10) ORDER BY doc_id) AS block FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5 GROUP BY source")
 def r7_docs_block(spark, d):
-    x = views.table(spark, d, "documents").filter("doc_id < 20")
-    return retrieval.docs_block(x.select(F.col("lang").alias("log_id"), F.col("doc_id").alias("rank"), "source", F.col("doc_id").cast("string").alias("section"), F.substring("text", 1, 20).alias("content"), F.col("lang").alias("url")))
+    """The first five documents (a prompt's top five) of every source, with their whole texts."""
+    first = Window.partitionBy("source").orderBy("doc_id")
+    x = views.table(spark, d, "documents").select("source", "doc_id", "lang", F.row_number().over(first).alias("rank")).filter("rank <= 5").withColumnRenamed("doc_id", "id")
+    x = x.drop("source", "lang").join(views.table(spark, d, "documents"), F.col("id") == F.col("doc_id"))
+    return retrieval.docs_block(x.select(F.col("source").alias("log_id"), "rank", "source", F.col("doc_id").cast("string").alias("section"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("url")))
 
 
 @query(f"SELECT log_id, coalesce(string_agg('[Documentation from ' || source || ' - ' || CAST(doc_id AS VARCHAR) || ']' || chr(10) || coalesce(text, '') || chr(10) || 'Source: ' || lang, chr(10) || chr(10) ORDER BY rank), '') AS block FROM ({ORACLES['r6_routed']}) JOIN documents ON chunk_id = doc_id GROUP BY log_id")
@@ -553,6 +633,16 @@ def r11_index(spark, d):
     return retrieval.chunks(retrieval.page_text(_pages(spark, d)), separator="\n").select("source", "url", "chunk_no", "title", "content")
 
 
+@query(f"WITH {_CHUNKS} SELECT source, url, chunk_no, title, CASE WHEN source = (SELECT min(source) FROM documents) THEN 'new: ' || content ELSE content END AS content FROM chunks")
+def r11_updated_index(spark, d):
+    """The index written by source, and one source's chunks replaced by an update."""
+    path, x = storage.new_path(spark, "index"), retrieval.chunks(_docs(spark, d), separator="\n")
+    retrieval.write_index(x, path)
+    first = x.join(F.broadcast(x.agg(F.min("source").alias("first"))), F.col("source") == F.col("first"))  # one row
+    retrieval.write_index(first.select("source", "url", "chunk_no", "title", F.concat(F.lit("new: "), "content").alias("content")), path, update=True)
+    return spark.read.schema(x.schema).parquet(path)
+
+
 # --- study -----------------------------------------------------------------------------------------------------------
 
 

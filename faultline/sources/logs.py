@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RAW_LOG = "log_id string, source string, repository string, workflow_name string, run_id bigint, log_content string, created_at string, url string"
@@ -16,9 +17,22 @@ ANNOTATION = "log_id string, repository string, workflow string, url string, llm
 STEPS = ("collect", "triage", "diagnose", "annotate", "evaluate", "benchmark")
 
 
+def _write_documents(rows: DataFrame, document: Column, path: str, rows_per_file: int) -> None:
+    """Files of one JSON document each: ``document`` is an aggregate over the rows of a file, which are dealt out by a hash of their log_id."""
+    files = -(-rows.count() // rows_per_file) or 1
+    by = rows.withColumn("part", F.pmod(F.xxhash64("log_id"), F.lit(files))).groupBy("part")
+    by.agg(document.alias("value")).write.partitionBy("part").text(path)
+
+
+def write_logs(logs: DataFrame, path: str, rows_per_file: int = 1000) -> None:
+    """Logs as files that hold an array of objects, about ``rows_per_file`` in each."""
+    _write_documents(logs, F.to_json(F.collect_list(F.struct(*logs.columns))), path, rows_per_file)
+
+
 def read_logs(spark: SparkSession, path: str, schema: str = RAW_LOG) -> DataFrame:
     """Logs of JSON files that hold an array of objects; a missing content is empty.  Land them as Parquet: such a file can't be split."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("log_content", F.coalesce("log_content", F.lit("")))
+    read = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return read.withColumn("log_content", F.coalesce("log_content", F.lit("")))
 
 
 def first_of_each(logs: DataFrame, key: str = "log_id", order: str = "ord") -> DataFrame:
@@ -34,19 +48,43 @@ def last_of_each(rows: DataFrame, key: str = "log_id", order: str = "ord") -> Da
 
 
 def members(archives: DataFrame) -> DataFrame:
-    """run_id, name, content of every file in archives (run_id, content binary); name is null where the bytes are no archive."""
+    """run_id, name, content of every file in archives (run_id, content binary).
+
+    Bytes that are no archive, or one that can't be unpacked (damaged, encrypted), are one text with a null name; null bytes give no row.
+    """
+    kind = archives.schema["run_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for rid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, raw in enumerate(b.column(1).to_pylist()):
+                if raw is None:
+                    continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                        found = [(i.filename, z.read(i).decode("utf-8", "ignore")) for i in z.infolist() if not i.is_dir()]
-                except zipfile.BadZipFile:
+                        found = [(x.filename, z.read(x).decode("utf-8", "ignore")) for x in z.infolist() if not x.is_dir()]
+                except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, ValueError, OSError):  # what zipfile raises for such bytes
                     found = [(None, raw.decode("utf-8", "ignore"))]
-                yield pa.RecordBatch.from_arrays([pa.array([rid] * len(found), pa.int64()), pa.array([n for n, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], ["run_id", "name", "content"])
+                rid = b.column(0).slice(i, 1).take(pa.array([0] * len(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([rid, pa.array([n for n, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], ["run_id", "name", "content"])
+
+    return archives.select("run_id", "content").mapInArrow(run, f"run_id {kind}, name string, content string")
+
 
-    return archives.select("run_id", "content").mapInArrow(run, "run_id long, name string, content string")
+def archives(files: DataFrame) -> DataFrame:
+    """run_id, content: the files (run_id, name, content) of each row as an archive of its own."""
+    kind = files.schema["run_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            packed = []
+            for name, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(name, text or "")
+                packed.append(raw.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["run_id", "content"])
+
+    return files.select("run_id", "name", "content").mapInArrow(run, f"run_id {kind}, content binary")
 
 
 def assembled(parts: DataFrame) -> DataFrame:
@@ -77,12 +115,19 @@ def content_index(*sources: DataFrame) -> DataFrame:
 
 def read_annotations(spark: SparkSession, path: str, schema: str = ANNOTATION) -> DataFrame:
     """Annotations of JSON files: an envelope with ``annotations``, or a bare array."""
-    df = spark.read.schema(f"annotations array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>, {schema}").option("multiLine", True).json(path)
+    df = spark.read.schema(f"annotations array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>, {schema}").option("multiLine", True).option("recursiveFileLookup", True).json(path)
     names = [c for c in df.columns if c != "annotations"]
     bare = df.filter("annotations is null").select(*names)
     return df.select(F.explode("annotations").alias("a")).select("a.*").unionByName(bare)
 
 
+def write_annotations(annotations: DataFrame, path: str, created_at: str, annotator: str = "manual", rows_per_file: int = 1000) -> None:
+    """Annotations under envelopes (created_at, annotator, total, annotations), about ``rows_per_file`` in each file; a total is that of its file."""
+    rows = F.collect_list(F.struct(*annotations.columns))
+    envelope = F.struct(F.lit(created_at).alias("created_at"), F.lit(annotator).alias("annotator"), F.count(F.lit(1)).alias("total"), rows.alias("annotations"))
+    _write_documents(annotations, F.to_json(envelope), path, rows_per_file)
+
+
 def exported(annotations: DataFrame) -> DataFrame:
     """Without the content, failure_lines as numbers."""
     return annotations.drop("log_content").withColumn("failure_lines", F.from_json("failure_lines", "array<int>"))
@@ -92,6 +137,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def append_steps(records: DataFrame, path: str) -> None:
+    """Append records of finished steps (step, ord, timestamp, ...) to the run's table."""
+    records.write.mode("append").parquet(path)
+
+
 def latest_steps(records: DataFrame) -> DataFrame:
     return last_of_each(records, "step")
 

@@ -1,12 +1,20 @@
 """Rules on hand-made rows, and queries against their SQL."""
 
+import io
+import math
+import zipfile
+from difflib import SequenceMatcher
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions.text import strip
-from faultline.operators import baselines, grounding, metrics, reduction, stats, triage
+from faultline.operators import baselines, grounding, metrics, reduction, retrieval, stats, triage
 from faultline.plans.queries import ORACLES, QUERIES
+from faultline.sources import logs as sources
+from faultline.sources import storage
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -16,7 +24,7 @@ def rows(df):
     return sorted(str([r[c] if not isinstance(r[c], float) else f"{r[c]:.5g}" for c in sorted(df.columns)]) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["t7_triage_events", "l3_l4_smart_filter", "b1_regex_baseline", "e2_metrics", "e15_aligned", "h5_by_experience"])
+@pytest.mark.parametrize("name", "t7_triage_events t7_triage_documents t7_kept_in_order t7_removed t1_t6_rules l3_l4_smart_filter l6_truncated l7_detected_lines b1_regex_baseline b2_heuristic_baseline g1_line_map g4_scores e2_metrics e15_aligned e17_metric h5_by_experience s1_read_logs s3_unzipped s6_annotations s9_csv s10_appended_steps r2_page_links r4_chunks r5_nearest r5_nearest_filtered r7_docs_block r11_updated_index".split())
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
@@ -120,3 +128,134 @@ def test_metrics_by_temperature(spark):
     assert got["temperature"].tolist() == [0.0, 0.1, 0.3, 0.5, 0.7, 1.0] and sorted(got.columns) == sorted(want.columns)
     for name in got.columns:
         assert got[name].tolist() == pytest.approx(want[name].tolist(), rel=1e-5)
+
+
+def test_repeated_logs_count_each(spark):
+    log = "\n".join(["error: the very same"] + ["x"] * 30)
+    df = spark.createDataFrame([("a", 1, "r", log)] * 3 + [(None, None, "r", log), ("b", 2, "r", "short")], "log_id string, ord long, repository string, log_content string")
+    got = triage.triage(df)
+    assert sorted((str(r.log_id), str(r.reason)) for r in got.collect()) == [("None", "None"), ("a", "None"), ("a", "duplicate_error"), ("a", "duplicate_error"), ("b", "too_short")]
+    assert got.count() == 5 and triage.triage(df.limit(0)).count() == 0
+    assert sorted(str(r.signature is None) + r.reason for r in triage.removed(got).collect()) == ["Falseduplicate_error", "Falseduplicate_error", "Truetoo_short"]
+
+
+def test_cap_over_many_parts(spark):
+    log = "\n".join(["fatal: one and the same"] + ["x"] * 30)
+    df = spark.createDataFrame([(f"l{i:04d}", i, f"r{i % 2}", log) for i in range(400)], "log_id string, ord long, repository string, log_content string")
+    kept = triage.kept_in_order(triage.triage(df, max_duplicates=3)).collect()
+    assert [r.log_id for r in kept] == [f"l{i:04d}" for i in range(6)]
+    assert {r.priority for r in kept} == {"high"}
+
+
+def test_order_of_kept(spark):
+    texts = ["failed", "plain", "error: x", "failure", "fatal"]
+    df = spark.createDataFrame([(str(i), i, "r", f"{t} {i} something\n" * 30) for i, t in enumerate(texts)], "log_id string, ord long, repository string, log_content string")
+    kept = triage.kept_in_order(triage.triage(df))
+    numbered = storage.numbered(kept.repartition(3).orderBy("priority", "ord"), "place")
+    assert [r.log_id for r in kept.collect()] == ["2", "4", "0", "3", "1"]
+    assert sorted(r.place for r in numbered.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_line_numbers_of_any_length(spark):
+    filtered = spark.createDataFrame([("a", "[Line 99999999999] far\n[Line 123456789012345678901234567890] none\n[Line 2] first\n[Line 2] last"), ("b", None)], "log_id string, filtered string")
+    got = {(r.log_id, r.line_number): r.content for r in grounding.line_map(filtered).collect()}
+    assert got == {("a", 99999999999): "far", ("a", 2): "last", ("b", 0): ""}
+    wanted = spark.createDataFrame([("a", 2), ("a", 5), ("c", 1)], "log_id string, line_number int")
+    assert [(r.line_number, r.content) for r in grounding.line_map(filtered, wanted).collect()] == [(2, "last")]
+
+
+def test_fuzzy_evidence_against_difflib(spark):
+    got = QUERIES["g3_fuzzy"](spark, D).collect()
+    evidence = {(r.log_id, r.line_number): r.cited for r in __import__("faultline.plans.queries", fromlist=["_evidence"])._evidence(spark, D).collect()}
+    lines = {r.log_id: r.log_content.split("\n") for r in __import__("faultline.sources.views", fromlist=["event_logs"]).event_logs(spark, D).collect()}
+    assert len(got) == len(evidence) > 100
+    for r in got:
+        cited, actual = evidence[r.log_id, r.line_number].strip(), lines[r.log_id][r.line_number]
+        assert r.verified == (cited != "" and (cited in actual or SequenceMatcher(None, cited, actual.strip()).ratio() >= 0.75))
+
+
+def test_pages_and_links(spark):
+    html = [
+        "<html><title> T &amp; U </title><nav><div class='content'>menu</div></nav><article><p>Body</p><script>x()</script></article></html>",
+        "<body><header><main>no</main></header>plain <b>text</b></body>",
+        "<div id=content>by id<footer>gone</footer></div><main></main>",
+        "<main><p>one<p>two</main><article>three</article>",
+        None,
+        "",
+    ]
+    pages = spark.createDataFrame([("s", f"http://h/{i}", h) for i, h in enumerate(html)], "source string, url string, html string")
+    got = {r.url[-1]: (r.title, r.content) for r in retrieval.page_text(pages).collect()}
+    assert got["0"] == ("T & U", "Body") and got["1"] == ("http://h/1", "plain\ntext") and got["3"] == ("http://h/3", "one\ntwo") and not {"4", "5"} & got.keys()
+    links = """<nav-bar><a href='/one'>x</a></nav-bar><a class=x href=two.html>y</a><a href="http://b.org/?a=1&amp;b=2">z</a><nav ><a href="/gone"></a></nav><a data-href="no">n</a><A HREF = "/one">again</A><abbr href="/not">"""
+    df = spark.createDataFrame([(links, "http://b.org/d/page")], "html string, url string")
+    assert df.select(retrieval.page_links(F.col("html"), F.col("url"), F.lit("http://b.org")).alias("x")).first().x == ["http://b.org/one", "http://b.org/d/two.html", "http://b.org/?a=1&b=2"]
+
+
+def test_archives_of_any_kind(spark):
+    def zipped(**files):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            for name, text in files.items():
+                z.writestr(name, text)
+        return raw.getvalue()
+
+    good = zipped(b="two", a="one")
+    damaged = bytearray(zipped(a="x" * 50))
+    damaged[40] ^= 0xFF
+    df = spark.createDataFrame([("1", bytearray(good)), ("2", bytearray(b"no archive")), ("3", None), ("4", damaged), ("5", bytearray(zipped()))], "run_id string, content binary")
+    parts = sources.members(df)
+    got = {r.run_id: r.log_content for r in sources.assembled(parts).collect()}
+    assert got["1"] == "=== a ===\none\n=== b ===\ntwo" and got["2"] == "no archive" and "3" not in got and "5" not in got
+    assert [r.name for r in parts.filter("run_id = '4'").collect()] == [None]
+
+
+def test_bare_and_enveloped_annotations(spark, tmp_path):
+    df = spark.createDataFrame([(f"l{i}", i % 2 == 0, i) for i in range(7)], "log_id string, type_correct boolean, quality_rating int")
+    sources.write_annotations(df, f"file://{tmp_path}/e", "2024-01-01", rows_per_file=3)
+    sources.write_logs(df, f"file://{tmp_path}/b", rows_per_file=3)
+    for part in "eb":
+        got = sources.read_annotations(spark, f"file://{tmp_path}/{part}").select(*df.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_nearest_with_ties_over_blocks(spark):
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 3, (60, 4)).astype(float)
+    chunks = spark.createDataFrame([(i, f"s{i % 2}", p.tolist()) for i, p in enumerate(points)], "chunk_id long, source string, embedding array<double>")
+    asked = spark.createDataFrame([(i, points[i].tolist(), f"s{i % 2}") for i in range(0, 60, 7)], "query_id long, embedding array<double>, source_filter string")
+    for filtered in (False, True):
+        for blocks in ((1000, 1000), (2, 7)):
+            got = retrieval.nearest(asked if filtered else asked.drop("source_filter"), chunks, 4, *blocks).collect()
+            for q in range(0, 60, 7):
+                own = [i for i in range(60) if not filtered or i % 2 == q % 2]
+                want = sorted(own, key=lambda i, q=q: (((points[i] - points[q]) ** 2).sum(), i))[:4]
+                assert [r.chunk_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    assert retrieval.nearest(asked.limit(0), chunks).count() == 0 and retrieval.nearest(asked, chunks.limit(0)).count() == 0
+
+
+def binomial(n, p, k):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_intervals_are_those_of_the_binomial(spark):
+    df = spark.createDataFrame([("a", 8, 5), ("b", 400, 300), ("c", 0, 0)], "k string, n long, right long")
+    got = {r.k: r for r in stats.bootstrap_accuracy(df, "k", resamples=4000).collect()}
+    assert got["a"].observed == 0.625 and got["a"].lower == 0.25 and got["a"].upper in (0.875, 1.0)
+    low, high = (next(k for k in range(401) if binomial(400, 0.75, k) >= q) / 400 for q in (0.025, 0.975))
+    assert abs(got["b"].lower - low) <= 0.006 and abs(got["b"].upper - high) <= 0.006 and got["c"].observed == 0
+
+
+def test_sign_flips_are_those_of_the_binomial(spark):
+    cases = [(12, 3), (5, 5), (1, 0), (30, 12)]
+    df = spark.createDataFrame([(str(i), 100, a, b, 50 + a, 50 + b) for i, (a, b) in enumerate(cases)], "k string, n long, n10 long, n01 long, right_a long, right_b long")
+    got = {r.k: r.p_value for r in stats.permutation(df, flips=40_000).collect()}
+    for i, (a, b) in enumerate(cases):
+        m, far = a + b, abs(a - b)
+        exact = sum(math.comb(m, k) for k in range(m + 1) if abs(2 * k - m) >= far) / 2**m
+        assert got[str(i)] == pytest.approx(exact, abs=0.012)
+
+
+def test_sections_are_packed_in_order(spark):
+    text = "Intro\n" + "\n\n".join(["p" * 300, "q" * 300, "r" * 100]) + "\nNext\nshort"
+    got = retrieval.chunks(spark.createDataFrame([("s", "u", text)], "source string, url string, content string")).orderBy("chunk_no").collect()
+    assert [(r.chunk_no, r.title, r.content) for r in got] == [(0, "Intro", "p" * 300), (1, "Intro", "q" * 300 + "\n\n" + "r" * 100), (2, "Next", "short")]
