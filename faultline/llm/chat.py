@@ -26,11 +26,12 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
 
     A null speaker is the participant ``unknown``; a null text is empty; a null dialogue id is a dialogue of its own kind;
     null turns come first.  Turns with one number stand in the order of speaker and text, and turns that repeat
-    all of these are rendered each.  A dialogue that only context speakers take part in has no perspective and no rows; an empty
+    all of these are rendered each.  Marks of turns inside texts and names lose their bars (``<im_end>``), so a text can't pose as a turn.  A dialogue that only context speakers take part in has no perspective and no rows; an empty
     table gives none.  Other columns aren't read.
     """
     who = F.coalesce(F.col(speaker), F.lit("unknown"))
-    base = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), who.alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    bare = lambda c: F.regexp_replace(c, r"<\|(im_start|im_end)\|>", "<$1>")
+    base = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), bare(who).alias("speaker"), bare(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     # Turns that repeat one another are told apart by a number, which their order doesn't depend on.
     base = base.groupBy("conv_id", "turn", "speaker", "text").agg(F.count(F.lit(1)).alias("times"))
     base = base.select("conv_id", "turn", "speaker", "text", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, exact_dedup, idfile, lm_score, minhash, packing, quality, tokens, url_rules
-from .shared import shared_dir
+from .shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,7 +23,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    path = new_path(spark, "ids")
     idfile.write_ids(_table(spark, sf_dir, "documents"), TOKENIZER, path)
     return idfile.read_ids(spark, path, with_ids=False)
 
@@ -86,7 +85,7 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id =
 """
 
 _OP6 = """
-WITH base AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH base AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '<\\|(im_start|im_end)\\|>', '<\\1>', 'g') AS speaker, regexp_replace(coalesce(text, ''), '<\\|(im_start|im_end)\\|>', '<\\1>', 'g') AS text FROM conversations),
 voices AS (SELECT DISTINCT conv_id, speaker AS perspective FROM base WHERE speaker <> 'system'),
 seen AS (SELECT b.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS as_role FROM base b JOIN voices v ON b.conv_id IS NOT DISTINCT FROM v.conv_id),
 named AS (SELECT *, CASE WHEN as_role = 'user' THEN speaker END AS name FROM seen),

@@ -1,58 +1,28 @@
-"""Helpers that several operators use: shared tables, ASCII folding, word runs."""
+"""Helpers that several operators use: hints by size, ASCII folding, text arrays and their bytes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.text import once as let  # noqa: F401
+from faultline.sources.storage import new_path, shared_dir, stored  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side of a join is hinted for broadcast only when its measured bytes are at most this.
 BROADCAST_BYTES = 48 << 20
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where Spark runs in one process, an own one if that is unset."""
-    global _own_dir
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"file://{_own_dir}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and lost executors take nothing with them."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; texts that are all ASCII take the quick way."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once: a lambda would evaluate what it captures for every element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def maybe_broadcast(df: DataFrame, bytes_measured: int, most: int = BROADCAST_BYTES) -> DataFrame:
+def maybe_broadcast(df: DataFrame, bytes_measured: int) -> DataFrame:
     """``df`` with a broadcast hint if its measured size allows one, else as it is (a shuffled join)."""
-    return F.broadcast(df) if bytes_measured <= most else df
+    return F.broadcast(df) if bytes_measured <= BROADCAST_BYTES else df
 
 
 def by_bytes(column: pa.Array, most: int = 8 << 20, rows: int = 1 << 20):
