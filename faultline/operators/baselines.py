@@ -55,8 +55,9 @@ def first_match_type(c: Column) -> Column:
     return _first([(has_any(low, w), t) for t, w in FIRST_MATCH.items()])
 
 
-def tool_mentions(c: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(content(c).rlike("(?iudU)" + p), F.lit(t)) for t, p in TOOLS.items()]))
+def tool_mentions(c: Column, tools: dict[str, str] = TOOLS) -> Column:
+    """The tools whose patterns a text has, in their fixed order."""
+    return F.array_compact(F.array(*[F.when(content(c).rlike("(?iudU)" + p), F.lit(t)) for t, p in tools.items()]))
 
 
 def regex_type(c: Column) -> Column:

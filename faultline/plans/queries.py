@@ -593,6 +593,20 @@ def r6_routed(spark, d):
     return retrieval.routed(users.select("log_id", tools.alias("tools")), near.select(F.col("query_id").cast("string").alias("tool"), "chunk_id", "rank"), general)
 
 
+#: Patterns that stand for tools in the event logs, which name none; a tool's documents are those nearest to the vector of its number.
+_MENTIONED = {"0": r"\berror: k-1\d?\b", "50": r"\bpurchase: k-2\d?\b", "100": r"\bclick: k-3\b"}
+_MENTIONS = " UNION ALL ".join(f"SELECT log_id, '{t}' AS tool, {i} AS at_no FROM event_logs WHERE regexp_matches(log_content, '(?i){p}')" for i, (t, p) in enumerate(_MENTIONED.items()))
+
+
+@query(f", {_NEAREST.format(where='')}, mentions AS ({_MENTIONS}), f AS (SELECT log_id, chunk_id, row_number() OVER (PARTITION BY log_id ORDER BY at_no, rank) AS rank FROM mentions JOIN best ON tool = CAST(query_id AS VARCHAR) WHERE rank <= 3) SELECT log_id, chunk_id, rank FROM f WHERE rank <= 5 UNION ALL SELECT l.log_id, b.chunk_id, b.rank FROM event_logs l, best b WHERE b.query_id = 150 AND b.rank <= 5 AND l.log_id NOT IN (SELECT log_id FROM mentions)", "event_logs")
+def r6_routed_by_mentions(spark, d):
+    """Every log's chunks by the tools that its text mentions, else those of a general query."""
+    x = views.event_logs(spark, d).select("log_id", baselines.tool_mentions(F.col("log_content"), _MENTIONED).alias("tools"))
+    near = storage.stored(retrieval.nearest(_vector_queries(spark, d).drop("own"), _vectors(spark, d)).select("query_id", "chunk_id", "rank"), "nearest")
+    general = x.select("log_id").crossJoin(F.broadcast(near.filter("query_id = 150").select("chunk_id", "rank")))  # five chunks of one query
+    return retrieval.routed(x, near.select(F.col("query_id").cast("string").alias("tool"), "chunk_id", "rank"), general)
+
+
 @query("SELECT source AS log_id, string_agg('[Documentation from ' || source || ' - ' || CAST(doc_id AS VARCHAR) || ']' || chr(10) || coalesce(text, '') || chr(10) || 'Source: ' || lang, chr(10) || chr(10) ORDER BY doc_id) AS block FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5 GROUP BY source")
 def r7_docs_block(spark, d):
     """The first five documents (a prompt's top five) of every source, with their whole texts."""

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,11 +33,46 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet there and read it back: lineage ends, and lost executors take nothing with them."""
+class _Scratch(threading.local):
+    """The tables of each open :func:`scratch` of a thread, the innermost last."""
+
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
+
+
+_scratch = _Scratch()
+
+
+def stored(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet there and read it back: lineage ends, and lost executors take nothing with them.
+
+    Within a :func:`scratch` the table goes when that ends; with ``kept`` it stays until the one around that ends, if there is one.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if len(_scratch.open) > kept:
+        _scratch.open[-1 - kept].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what :func:`stored` has written in it; what is needed of it must be stored as ``kept`` by then."""
+    _scratch.open.append([])
+    try:
+        yield
+    finally:
+        discard(*_scratch.open.pop())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` has written, once all that was made of them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(ordered: DataFrame, name: str) -> DataFrame:

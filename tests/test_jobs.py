@@ -24,7 +24,7 @@ def rows(df):
     return sorted(str([r[c] if not isinstance(r[c], float) else f"{r[c]:.5g}" for c in sorted(df.columns)]) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", "t7_triage_events t7_triage_documents t7_kept_in_order t7_removed t1_t6_rules l3_l4_smart_filter l6_truncated l7_detected_lines b1_regex_baseline b2_heuristic_baseline g1_line_map g4_scores e2_metrics e15_aligned e17_metric h5_by_experience s1_read_logs s3_unzipped s6_annotations s9_csv s10_appended_steps r2_page_links r4_chunks r5_nearest r5_nearest_filtered r7_docs_block r11_updated_index".split())
+@pytest.mark.parametrize("name", "t7_triage_events t7_triage_documents t7_kept_in_order t7_removed t1_t6_rules l3_l4_smart_filter l6_truncated l7_detected_lines b1_regex_baseline b2_heuristic_baseline g1_line_map g4_scores e2_metrics e15_aligned e17_metric h5_by_experience s1_read_logs s3_unzipped s6_annotations s9_csv s10_appended_steps r2_page_links r4_chunks r5_nearest r5_nearest_filtered r6_routed_by_mentions r7_docs_block r11_updated_index".split())
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
