@@ -63,18 +63,20 @@ class Mixture:
     """
 
     WEIGHT_BITS = 8
+    HASH_BITS = 18  # of the cells of order 2 at most, which then stay in a core's cache
     SURE = np.uint32(1 << 24)
     GROWTH = 1.35  # of the steps from one table of frequencies to the next
-    WEIGHED = 4  # steps from one set of weights to the next
+    WEIGHED = 8  # steps from one set of weights to the next
 
     def __init__(self, ids: int, lanes: int, vocabulary: int):
         self.bits = max(20, vocabulary.bit_length() + 4)
         self.total_bits = self.bits + self.WEIGHT_BITS
-        self.shift = np.uint32(32 - min(20, max(8, ids.bit_length())))
+        self.kind = np.int32 if self.total_bits < 31 else np.int64
+        self.shift = np.uint32(32 - min(self.HASH_BITS, max(8, ids.bit_length())))
         self.vocabulary, self.seen, self.pending, self.steps, self.due = vocabulary, np.zeros(vocabulary, np.int64), [], 0, 1
         self.cells1, self.cells2 = np.zeros(vocabulary, np.uint32), np.zeros(1 << (32 - int(self.shift)), np.uint32)
         self.credit, self.cases = np.tile(np.array([[8.0], [8.0], [48.0]]), 128), []  # credit of orders 2, 1, 0 by how sure the first two are
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.last, self.hashed = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32)
         self._weigh()
         self._count()
 
@@ -82,12 +84,14 @@ class Mixture:
         """Give the predictions credit for the ids that they foresaw, and take the weights from that."""
         if self.cases:
             none, by1, by2, both = np.bincount(np.concatenate(self.cases), minlength=512).reshape(128, 4).T
-            part = self.w[0] / (self.w[0] + self.w[1])
+            part = self.credit[0] / (self.credit[0] + self.credit[1])
             self.credit += [by2 + both * part, by1 + both * (1 - part), none]
             self.credit[:, self.credit.sum(0) > 4096] /= 2
             self.cases = []
-        share = np.maximum(1, (self.credit[:2] * 253 / self.credit.sum(0)).astype(np.int64))
-        self.w = np.stack([share[0], share[1], 256 - share[0] - share[1]])
+        w2, w1 = np.maximum(1, (self.credit[:2] * 253 / self.credit.sum(0)).astype(self.kind))
+        agreed = np.arange(128) % 2 == 1  # then both weights are of one id
+        self.w0 = 256 - w2 - w1
+        self.mass2, self.mass1 = np.where(agreed, w2 + w1, w2) << self.bits, np.where(agreed, 0, w1) << self.bits
 
     def _count(self) -> None:
         """Take the frequencies of order 0 from the ids so far; none is 0."""
@@ -95,56 +99,68 @@ class Mixture:
             self.seen += np.bincount(np.concatenate(self.pending), minlength=self.vocabulary)
             self.pending = []
         spare = (1 << self.bits) - self.vocabulary
-        self.freq = 1 + (self.seen * (spare / max(1, int(self.seen.sum())))).astype(np.int64)
-        self.start = np.cumsum(self.freq) - self.freq
-        self.slots = None
+        freq = 1 + (self.seen * (spare / max(1, int(self.seen.sum())))).astype(np.int64)
+        self.freq, self.start, self.slots = freq.astype(self.kind), (np.cumsum(freq) - freq).astype(self.kind), None
 
     def predict(self, n: int) -> None:
         """Look up the predictions for the first ``n`` lanes."""
-        last, before = self.last[:n], self.before[:n]
-        self.at2 = ((last.astype(np.uint32) * np.uint32(2246822519)) ^ (before.astype(np.uint32) * np.uint32(3266489917))) >> self.shift
+        last = self.last[:n]
+        self.multiplied = last.astype(np.uint32) * np.uint32(2246822519)
+        self.at2 = ((self.multiplied ^ self.hashed[:n]) >> self.shift).astype(np.int64)
         self.was1, self.was2 = self.cells1.take(last), self.cells2.take(self.at2)
         mask = self.SURE - np.uint32(1)
-        id1, id2 = self.was1 & mask, self.was2 & mask
-        same = id1 == id2
-        context = ((self.was2 >> np.uint32(24)) << np.uint32(4)) | ((self.was1 >> np.uint32(24)) << np.uint32(1)) | same
-        self.id1, self.id2, self.context = id1.astype(np.int64), id2.astype(np.int64), context.astype(np.int64)
-        w2, w1, self.w0 = (w.take(self.context) for w in self.w)
+        self.id1, self.id2 = self.was1 & mask, self.was2 & mask
+        same = self.id1 == self.id2
+        context = (self.was2 >> np.uint32(24)) << np.uint32(4)
+        context |= (self.was1 >> np.uint32(24)) << np.uint32(1)
+        context |= same
+        self.context = context.astype(np.int64)
+        self.weight = self.w0.take(self.context)
         # What the order-0 part has of the predicted ids moves to them; two equal ids are one.
-        self.own2, self.own1 = self.freq.take(self.id2), np.where(same, 0, self.freq.take(self.id1))
-        self.size2 = (np.where(same, w2 + w1, w2) << self.bits) + self.w0 * self.own2
-        self.both = self.size2 + (np.where(same, 0, w1) << self.bits) + self.w0 * self.own1
+        self.own2, self.own1 = self.freq.take(self.id2.astype(np.int64)), self.freq.take(self.id1.astype(np.int64)) * ~same
+        self.size2 = self.mass2.take(self.context) + self.weight * self.own2
+        self.both = self.size2 + self.mass1.take(self.context) + self.weight * self.own1
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the ids under the mixture, out of 1 << total_bits."""
-        self.hit1, self.hit2 = ids == self.id1, ids == self.id2
-        start = self.both + self.w0 * (self.start.take(ids) - self.own2 * (self.id2 < ids) - self.own1 * (self.id1 < ids))
-        start = np.where(self.hit2, 0, np.where(self.hit1, self.size2, start))
-        return start, np.where(self.hit2, self.size2, np.where(self.hit1, self.both - self.size2, self.w0 * self.freq.take(ids)))
+        self.new = ids.astype(np.uint32)
+        self.hit1, self.hit2 = self.new == self.id1, self.new == self.id2
+        start = self.start.take(ids)
+        start -= self.own2 * (self.id2 < self.new)
+        start -= self.own1 * (self.id1 < self.new)
+        start = self.both + self.weight * start
+        size = self.weight * self.freq.take(ids)
+        np.copyto(start, self.size2, where=self.hit1)
+        np.copyto(size, self.both - self.size2, where=self.hit1)
+        np.copyto(start, 0, where=self.hit2)
+        np.copyto(size, self.size2, where=self.hit2)
+        return start, size
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids in whose intervals the values lie."""
         if self.slots is None:
-            self.slots = np.repeat(np.arange(self.vocabulary, dtype=np.uint32), self.freq)
-        out = np.where(value < self.size2, self.id2, self.id1)
+            self.slots = np.repeat(np.arange(self.vocabulary, dtype=np.uint16 if self.vocabulary <= 1 << 16 else np.uint32), self.freq)
+        out = np.where(value < self.size2, self.id2, self.id1).astype(np.int64)
         rest = np.flatnonzero(value >= self.both)
         id1, id2, own1, own2 = (x.take(rest) for x in (self.id1, self.id2, self.own1, self.own2))
-        at = ((value.take(rest) - self.both.take(rest)).astype(np.float64) / self.w0.take(rest)).astype(np.int64)  # exact: below 2 ** 53
+        at = ((value.take(rest) - self.both.take(rest)) / self.weight.take(rest)).astype(np.int64)  # exact: below 2 ** 53
         first = id1 < id2
         low, own_low = np.where(first, id1, id2), np.where(first, own1, own2)
-        at += own_low * (at >= self.start.take(low))
+        at += own_low * (at >= self.start.take(low.astype(np.int64)))
         high, own_high = np.where(first, id2, id1), np.where(first, own2, own1)
-        at += own_high * (at >= self.start.take(high))
+        at += own_high * (at >= self.start.take(high.astype(np.int64)))
         out[rest] = self.slots.take(at, mode="clip")
         return out
 
     def learn(self, ids: np.ndarray) -> None:
         """ids: those that came, whose interval was the last asked for."""
-        n, new = len(ids), ids.astype(np.uint32)
-        case = (self.context << 2) | (self.hit2 * 2 + self.hit1)
-        self.cells1[self.last[:n]] = np.where(_REPLACED[0].take(case), new, self.was1 + _STEP[0].take(case))
-        self.cells2[self.at2] = np.where(_REPLACED[1].take(case), new, self.was2 + _STEP[1].take(case))
-        self.before[:n] = self.last[:n]
+        n = len(ids)
+        case = self.hit2 * np.int64(2)
+        case += self.hit1
+        case |= self.context << 2
+        self.cells1[self.last[:n]] = np.where(_REPLACED[0].take(case), self.new, self.was1 + _STEP[0].take(case))
+        self.cells2[self.at2] = np.where(_REPLACED[1].take(case), self.new, self.was2 + _STEP[1].take(case))
+        np.multiply(self.multiplied, np.uint32(3266489917), out=self.hashed[:n])
         self.last[:n] = ids
         self.pending.append(ids)
         self.cases.append(case)
@@ -185,8 +201,8 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         model.predict(n)
         start, size = model.interval(own)
         r = width[:n] >> _U(model.total_bits)
-        low[:n] += r * start.view(_U)
-        width[:n] = r * size.view(_U)
+        low[:n] += r * start.astype(_U)
+        width[:n] = r * size.astype(_U)
         out = np.flatnonzero(_narrow(low[:n], width[:n]))
         while len(out):
             x = low[out]
@@ -232,11 +248,11 @@ def decode_block(raw: bytes, n_ids: int, vocabulary: int) -> np.ndarray:
         n = lanes if t < whole else int((np.diff(first) > t).sum())
         model.predict(n)
         r = width[:n] >> _U(model.total_bits)
-        value = np.minimum((code[:n] - low[:n]) // np.maximum(r, _U(1)), _U((1 << model.total_bits) - 1)).astype(np.int64)
+        value = np.minimum((code[:n] - low[:n]) // np.maximum(r, _U(1)), _U((1 << model.total_bits) - 1)).astype(model.kind)
         own = model.find(value)
         start, size = model.interval(own)
-        low[:n] += r * start.view(_U)
-        width[:n] = r * size.view(_U)
+        low[:n] += r * start.astype(_U)
+        width[:n] = r * size.astype(_U)
         out = np.flatnonzero(_narrow(low[:n], width[:n]))
         while len(out):
             x = low[out]

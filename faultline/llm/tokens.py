@@ -98,19 +98,18 @@ class Encoder:
         in the younger of two generations; when that is full, the older one goes, so frequent pieces stay and memory is bounded.
         """
         young, old, merge, others = self.young, self.old, self.model.tokenize, []
-        out: list[bytes | None] = [None] * len(texts)
-        for i, x in enumerate(texts):
-            if (known := young.get(x)) is None:
-                if (known := old.get(x)) is None:
-                    bare = x[1:] if x[0] == " " else x
-                    if not (bare.isalpha() and (x.isascii() or max(bare) < "ɐ")):
-                        others.append(i)
-                        continue
-                    name = x.replace(" ", "Ġ") if x.isascii() else x.encode().decode("latin-1").translate(self.names)
-                    known = array("I", [t.id for t in merge(name)]).tobytes()
-                young[x] = known
-                self.held += PIECE_BYTES + len(x) + len(known)
-            out[i] = known
+        out: list[bytes | None] = list(map(young.get, texts))
+        for i in [i for i, known in enumerate(out) if known is None]:
+            x = texts[i]
+            if (known := old.get(x)) is None:
+                bare = x[1:] if x[0] == " " else x
+                if not (bare.isalpha() and (x.isascii() or max(bare) < "ɐ")):
+                    others.append(i)
+                    continue
+                name = x.replace(" ", "Ġ") if x.isascii() else x.encode().decode("latin-1").translate(self.names)
+                known = array("I", [t.id for t in merge(name)]).tobytes()
+            out[i] = young[x] = known
+            self.held += PIECE_BYTES + len(x) + len(known)
         for start in range(0, len(others), 4096):
             some = others[start : start + 4096]
             for i, own in zip(some, self._whole([texts[i] for i in some]), strict=True):
