@@ -2,25 +2,21 @@
 
 Both sides keep the smallest k-gram hash of every ``w`` consecutive ones.  With k + w - 1 words to
 a window, a window that a document shares with an item has at least one kept fingerprint, the same on both sides.
-A fingerprint that both have is a hit; it is extended to the windows that could hold it, and these are compared word
-for word.  Each distinct window of the benchmark is joined once, however many items have it.
+Fingerprints are rows of both sides and are joined; a hit is extended to the windows that could hold it, and these are compared word
+for word.  Each distinct fingerprint and window of the benchmark is joined once, however many items have it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, let, maybe_broadcast, stored
+from .shared import ascii_lower, hinted, let, maybe_broadcast, scratch, stored
 
 WINDOW = 10
 GRAM = 5
 #: Characters between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Most bits of the map that tells a document's task which fingerprints may be the benchmark's; a miss is sure, a hit is checked.
-MAP_BITS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -47,18 +43,13 @@ def _least(tagged: Column, w: int) -> Column:
 
 
 def _fingerprints(hashes: Column, k: int, w: int) -> Column:
-    """Distinct fingerprints of an array of word hashes: the k-gram hashes kept, without their tags."""
-    return F.array_distinct(F.transform(let(_tagged(_gram_hashes(hashes, k)), lambda t: _least(t, w)), lambda m: m.bitwiseAND(F.lit(~15))))
-
-
-def _places(hashes: Column, k: int, w: int, wanted: Callable[[Column], Column]) -> Column:
-    """Distinct places of the fingerprints that are ``wanted``, counted from 0."""
+    """The kept k-gram hashes (h, without their tags) of an array of word hashes and their places (at, from 0), each place once."""
 
-    def places(tagged: Column) -> Column:
+    def kept(tagged: Column) -> Column:
         at = F.transform(_least(tagged, w), lambda m, j: j + F.pmod(m.bitwiseAND(F.lit(15)).cast("int") - j, F.lit(16)))
-        return F.filter(F.array_distinct(at), lambda p: wanted(F.get(tagged, p).bitwiseAND(F.lit(~15))))
+        return F.transform(F.array_distinct(at), lambda p: F.struct(F.get(tagged, p).bitwiseAND(F.lit(~15)).alias("h"), p.alias("at")))
 
-    return let(_tagged(_gram_hashes(hashes, k)), places)
+    return let(_tagged(_gram_hashes(hashes, k)), kept)
 
 
 def _shape(length: int) -> tuple[int, int]:
@@ -67,25 +58,6 @@ def _shape(length: int) -> tuple[int, int]:
     return k, length - k + 1
 
 
-def _fingerprint_map(windows: DataFrame, length: int) -> tuple[Column, int]:
-    """A bit map of the fingerprints of windows of one length, as a constant, and its number of bits.
-
-    It grows with the benchmark up to MAP_BITS; beyond that it lets more through, which the join then drops.
-    """
-    k, w = _shape(length)
-    prints = windows.filter(F.col("length") == length).select(F.explode(_fingerprints(F.col("hashes"), k, w)).alias("h")).distinct()
-    bits = min(MAP_BITS, max(1 << 10, 1 << (64 * prints.count()).bit_length()))
-    place = prints.select(F.pmod(F.shiftright("h", 4), F.lit(bits)).alias("b"))
-    cells = place.groupBy(F.shiftright("b", 5).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("b") % 32).cast("int"))).alias("bits"))
-    values = {r.cell: r.bits for r in cells.collect()}  # bits / 32 numbers at most
-    return F.from_json(F.lit("[" + ",".join(str(values.get(c, 0)) for c in range(bits // 32)) + "]"), "array<int>"), bits
-
-
-def _maybe(h: Column, cells: Column, bits: int) -> Column:
-    b = F.pmod(F.shiftright(h, 4), F.lit(bits))
-    return F.call_function("shiftrightunsigned", F.get(cells, F.shiftright(b, 5).cast("int")), (b % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Every window of every item: item (as a string), length, words (joined by a space), hashes (of the words)."""
     parts = items.select(F.col(key).cast("string").alias("item"), words_of(F.col(text)).alias("w")).filter(F.size("w") > 0)
@@ -106,27 +78,39 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     """
     windows = stored(benchmark_windows(items, item_key, item_text, window), "windows")
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # as many as a window has words at most
-    shapes = [(n, *_shape(n), *_fingerprint_map(windows, n)) for n in lengths]
-
-    def candidates_of(words: Column, hashes: Column) -> Column:
+    shapes = [(n, *_shape(n)) for n in lengths]
+    prints_of = lambda h, n, k, w: F.transform(_fingerprints(h, k, w), lambda x: F.struct(F.lit(n).alias("length"), x["h"].alias("h"), x["at"].alias("at")))
+    none = F.array().cast("array<struct<length:int,h:bigint,at:int>>")
+
+    # The documents' fingerprints, and those of the benchmark's windows.
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    of_text = let(words_of(F.col(text)), lambda w: F.struct(F.size(w).alias("n_words"), let(hashed(w), lambda h: F.concat(none, *(prints_of(h, *shape) for shape in shapes))).alias("prints")))
+    keyed = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text"))
+    parts = stored(keyed.select("doc", "copy", of_text.alias("t")).select("doc", "copy", "t.*"), "fingerprints")
+    theirs = F.concat(none, *(F.when(F.col("length") == n, prints_of(F.col("hashes"), n, k, w)).otherwise(none) for n, k, w in shapes))
+    theirs = stored(windows.select(F.explode(theirs).alias("p")).select("p.length", "p.h").distinct(), "benchmark-fingerprints")
+    met = parts.select("doc", "copy", F.explode("prints").alias("p")).select("doc", "copy", "p.*").join(maybe_broadcast(theirs, 24 * theirs.count()), ["length", "h"])
+    places = stored(met.groupBy("doc", "copy").agg(F.collect_set(F.struct("length", "at")).alias("places")), "hits")
+
+    # Hits are extended: a window of n words holds the k-gram at any of w places.
+    def candidates_of(words: Column) -> Column:
         found = [F.array().cast("array<struct<start:int,length:int,words:string>>")]
-        for n, k, w, cells, bits in shapes:
-            may = _places(hashes, k, w, lambda h: _maybe(h, cells, bits))  # noqa: B023
-            # A window of n words holds the k-gram at any of w places.
-            starts = F.flatten(F.transform(may, lambda x: F.sequence(F.greatest(x - (w - 1), F.lit(0)), x)))  # noqa: B023
+        for n, _, w in shapes:
+            own = F.transform(F.filter("places", lambda p: p["length"] == n), lambda p: p["at"])  # noqa: B023
+            starts = F.flatten(F.transform(own, lambda x: F.sequence(F.greatest(x - (w - 1), F.lit(0)), x)))  # noqa: B023
             starts = F.filter(F.array_distinct(starts), lambda s: s + n <= F.size(words))  # noqa: B023
             found.append(F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice(words, s + 1, n), " ").alias("words"))))  # noqa: B023
         return F.concat(*found)
 
-    of_text = let(words_of(F.col(text)), lambda w: F.struct(F.size(w).alias("n_words"), let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: candidates_of(w, h)).alias("c")))
-    parts = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("copy"), of_text.alias("t"))
-    candidates = parts.select("doc", "copy", "t.n_words", F.explode_outer("t.c").alias("c")).select("doc", "copy", "n_words", "c.*")
-    distinct = windows.groupBy("length", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    listed = stored(distinct, "distinct-windows")
+    size = places.agg(F.sum(F.size("places") * 8 + 48)).first()[0] or 0
+    hit = places.select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), "places")
+    held = keyed.join(maybe_broadcast(hit, size), (F.col("copy") == F.col("_copy")) & F.col("doc").eqNullSafe(F.col("_doc")))
+    candidates = held.select("doc", "copy", F.explode(let(words_of(F.col("text")), candidates_of)).alias("c")).select("doc", "copy", "c.*").distinct()
+    listed = stored(windows.groupBy("length", "words").agg(F.array_sort(F.collect_set("item")).alias("items")), "distinct-windows")
     size = listed.agg(F.sum(F.length("words") + 40 + 24 * F.size("items"))).first()[0] or 0
-    hits = candidates.join(maybe_broadcast(listed, size), ["length", "words"], "left")
-    hits = hits.select("doc", "copy", "n_words", F.when(F.col("items").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("stop"))).alias("span"), "items")
-    per_doc = hits.groupBy("doc", "copy", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = candidates.join(maybe_broadcast(listed, size), ["length", "words"])
+    hits = hits.select("doc", "copy", F.struct("start", (F.col("start") + F.col("length")).alias("stop")).alias("span"), "items")
+    per_doc = hits.groupBy("doc", "copy").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:int,stop:int>>"),
@@ -135,6 +119,17 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
             F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["stop"], x["stop"]).alias("stop")))),
         ).otherwise(F.concat(done, F.array(x))),
     )
-    out = per_doc.select(F.col("doc").alias(key), "n_words", merged.alias("spans"), "items")
+    found = per_doc.select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), merged.alias("spans"), "items")
+    every = parts.groupBy("doc", "copy", "n_words").agg(F.lit(1).alias("one"))
+    out = every.join(found, (F.col("copy") == F.col("_copy")) & F.col("doc").eqNullSafe(F.col("_doc")), "left")
+    out = out.select(F.col("doc").alias(key), "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["stop"] - x["start"])
     return out.select(key, F.col("n_words").cast("long").alias("n_words"), "spans", n_hit.cast("long").alias("n_hit"), "items")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the documents that hold any window of an item; all columns stay, and all rows of a key go with one of them."""
+    with scratch():
+        hit = contaminated_spans(docs, items, key, text).filter("n_hit > 0").select(F.col(key).alias("_hit")).distinct()
+        hit = stored(hit, "contaminated", kept=True)
+    return docs.join(hinted(hit), docs[key].eqNullSafe(hit["_hit"]), "left_anti")
