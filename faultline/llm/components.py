@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def connected(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -27,7 +27,8 @@ def connected(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         # Small star: lesser neighbours, and the node, get a link to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u > v").distinct(), "edges")
+        before, edges = edges, stored(small.filter("u > v").distinct(), "edges")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import let, stored
+from .shared import hinted, let, scratch, stored
 
 BLOCK_BYTES = 2048
 #: Runs of these six characters count as one space.
@@ -66,16 +66,17 @@ def document_names(rows: DataFrame, block_bytes: int = BLOCK_BYTES, digest: Call
         if longer.isEmpty():
             final = level.select("row", F.lit(depth).alias("depth"), "name")
             return final if done is None else done.unionByName(final)
-        # A row whose only name is at place 0 is done at this depth.
-        of_row = level.groupBy("row", F.floor(F.col("pos") / 2).alias("pos")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
-        pairs = stored(of_row, f"pairs-{depth}")
-        more = pairs.filter("pos > 0 or b >= 0").select("row").distinct()
-        ended = pairs.filter("pos = 0 and b < 0").join(more, "row", "left_anti").select("row", F.lit(depth).alias("depth"), F.col("a").alias("name"))
-        ended = stored(ended, f"ended-{depth}")
-        done = ended if done is None else done.unionByName(ended)
-        going = pairs.join(more, "row", "left_semi")
-        names = named(going.select("a", "b").distinct(), ["a", "b"], f"pair-names-{depth}")
-        level = stored(going.join(names, ["a", "b"]).select("row", "pos", "name"), f"names-{depth}")
+        with scratch():
+            # A row whose only name is at place 0 is done at this depth.
+            of_row = level.groupBy("row", F.floor(F.col("pos") / 2).alias("pos")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
+            pairs = stored(of_row, f"pairs-{depth}")
+            more = pairs.filter("pos > 0 or b >= 0").select("row").distinct()
+            ended = pairs.filter("pos = 0 and b < 0").join(more, "row", "left_anti").select("row", F.lit(depth).alias("depth"), F.col("a").alias("name"))
+            ended = stored(ended, f"ended-{depth}", kept=True)
+            done = ended if done is None else done.unionByName(ended)
+            going = pairs.join(more, "row", "left_semi")
+            names = named(going.select("a", "b").distinct(), ["a", "b"], f"pair-names-{depth}")
+            level = stored(going.join(names, ["a", "b"]).select("row", "pos", "name"), f"names-{depth}", kept=True)
         depth += 1
 
 
@@ -88,8 +89,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
     gives no rows; other columns aren't read.
     """
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), normalised(F.col(text)).alias("text")), "rows")  # ids are given once
-    named_rows = document_names(rows.select("row", "text"), block_bytes, digest)
-    found = stored(named_rows.join(rows.select("row", "key"), "row"), "named")
+    with scratch():
+        named_rows = document_names(rows.select("row", "text"), block_bytes, digest)
+        found = stored(named_rows.join(rows.select("row", "key"), "row"), "named", kept=True)
     groups = stored(found.groupBy("depth", "name").agg(F.min("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     of_row = found.join(groups, ["depth", "name"]).select("row", "keep_id", "group_size")
     facts = rows.select("row", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -98,5 +100,6 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text an equal text with a smaller key has; all columns stay."""
-    kept = exact_groups(docs, key, text).filter("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    with scratch():
+        kept = stored(exact_groups(docs, key, text).filter("kept").select(F.col(key).alias("_kept")).distinct(), "kept", kept=True)
+    return docs.join(hinted(kept), docs[key].eqNullSafe(kept["_kept"]), "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .shared import maybe_broadcast, stored
+from .shared import maybe_broadcast, scratch, stored
 from .tokens import vocabulary_size
 
 ORDER = 2
@@ -36,10 +36,11 @@ def cross_entropy_difference(docs: DataFrame, tokenizer: str, target: str = "is_
     columns, names = ("doc_id", "fold", *MODELS), [f"n_{m}" for m in MODELS]
     rows = ngrams.placed(marked, tokenizer, *columns)
     asked = stored(ngrams.asked(rows, tokenizer, order, MODELS), "asked")
-    counts = stored(ngrams.counted(asked, MODELS), "counts")
-    model = ngrams.KneserNey(counts, names, order, vocabulary_size(tokenizer))
-    losses = stored(model.losses(counts.select("gram")), "losses")
-    answers = asked.select("block", "gram").join(maybe_broadcast(losses, 48 * losses.count()), "gram")
+    with scratch():
+        counts = stored(ngrams.counted(asked, MODELS), "counts")
+        model = ngrams.KneserNey(counts, names, order, vocabulary_size(tokenizer))
+        losses = stored(model.losses(counts.select("gram")), "losses", kept=True)
+    answers = asked.select("block", "gram").join(maybe_broadcast(losses, 64 * losses.count()), "gram")
     sums = ngrams.scored(rows, answers, tokenizer, order, columns, names)
     t = F.try_divide(F.when(F.col("fold") == 0, F.col("n_t1")).otherwise(F.col("n_t0")), F.col("n_tokens"))
     b = F.try_divide(F.col("n_all"), F.col("n_tokens"))

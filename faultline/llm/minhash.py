@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import buffers, by_bytes, maybe_broadcast, plain, stored, strings
+from .shared import buffers, by_bytes, hinted, maybe_broadcast, plain, scratch, stored, strings
 
 WORDS = 5
 #: 64 bands of 6 values of six permutations: two documents at 0.75 share no band with probability (1 - 0.75 ** 6) ** 64 < 4e-6, and sets of
@@ -32,7 +32,9 @@ PERCENT = 75
 #: Members that are confirmed beside one copy of their centre's text.
 SHARE = 64
 #: About the most members, and shingles, of a block of a bucket: larger buckets are dealt into several blocks.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_MEMBERS, BLOCK_SHINGLES = 4096, 1 << 22
+#: Bits of a band's key that go with a member of a block, to tell the first band that two members share.
+SHORT_KEY = (1 << 31) - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,7 +199,8 @@ def in_blocks(members: DataFrame, most: int = BLOCK_MEMBERS, shingles: int = BLO
     sizes = members.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") / shingles)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *(c for c in members.columns if c != "band"))
+    short = F.transform("keys", lambda k: k.bitwiseAND(F.lit(SHORT_KEY)).cast("int")).alias("keys")
+    return met.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *(c for c in members.columns if c not in ("band", "keys")), short)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
@@ -221,7 +224,10 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Record
 
 
 def _candidates(group: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of one pair of blocks: a row, and the rows that can be linked with it and first share this very band with it."""
+    """Of one pair of blocks: a row, and the rows that can be linked with it and first share this very band with it.
+
+    Short keys take two bands for one with a probability below 1e-7; a link is then looked for in that band only.
+    """
     column = lambda name: np.asarray(group.column(group.schema.get_field_index(name)))
     table = lambda name: np.asarray(group.column(group.schema.get_field_index(name)).flatten()).reshape(len(group), -1)
     band, i, j = (column(c)[0] for c in ("band", "i", "j"))
@@ -234,7 +240,7 @@ def _candidates(group: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.n
         differ |= differ >> np.uint64(1)
         differ |= differ >> np.uint64(2)
         q = q[16 * SKETCH_WORDS - np.bitwise_count(differ & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64) >= least]
-        q = q[keys[p][(keys[q] == keys[p]).argmax(1)] == band]
+        q = q[keys[p][(keys[q] == keys[p]).argmax(1)] == band & SHORT_KEY]
         if len(q):
             yield p, q
 
@@ -295,34 +301,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     a key are rows of their own; null keys come after others when the smallest is taken, and a component of null keys alone has
     a null id.  An empty table gives no rows; other columns aren't read.
     """
-    base = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "rows")  # ids are given once
-    sigs = signatures(base, words, bands, rows)
-    facts = stored(sigs, "signatures")
-    # Equal sets are one class; its smallest row stands for it.
-    classes = stored(facts.filter("n > 0").groupBy("n", "d0", "d1").agg(F.min("row").alias("rep"), F.min("key").alias("least"), F.min_by("sketch", "row").alias("sketch"), F.min_by("keys", "row").alias("keys")), "classes")
-    reps = classes.select(F.col("rep").alias("id"), "n", "sketch")
-    banded = classes.select(F.col("rep").alias("id"), F.explode("keys").alias("band"))
-    shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("centre")).filter("size > 1").select("band", "centre"), "bands")
-    buckets = stored(banded.join(shared, "band"), "buckets")
-    texts = base.select("row", "text")
-
-    facts_of = lambda name: reps.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
-    stars = buckets.filter("id <> centre").select(F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
-    stars = stars.join(facts_of("x"), "x").join(facts_of("y"), "y").filter(_likely("x_", "y_", percent))
-    first = stored(stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "stars")
-    edges = stored(confirmed(first, texts, percent, words), "links")
-    parts = stored(connected(edges), "parts")
-
-    # What one member couldn't join: pairs of a bucket that still stand in different components.
-    placed = buckets.select("band", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_bands = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("band")
-    rest = placed.join(open_bands, "band").join(classes.select(F.col("rep").alias("id"), "n", "sketch", "keys"), "id")
-    more = stored(block_links(stored(rest, "open-buckets"), texts, percent, words, block_members), "links")
-    parts = stored(connected(parts.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more)), "parts")
-
-    placed = classes.select("n", "d0", "d1", "rep", "least").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("n", "d0", "d1", "component_id")
-    named = stored(named, "named")
+    with scratch():
+        base = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "rows")  # ids are given once
+        sigs = signatures(base, words, bands, rows)
+        facts = stored(sigs, "signatures", kept=True)
+        # Equal sets are one class; its smallest row stands for it.
+        classes = stored(facts.filter("n > 0").groupBy("n", "d0", "d1").agg(F.min("row").alias("rep"), F.min("key").alias("least"), F.min_by("sketch", "row").alias("sketch"), F.min_by("keys", "row").alias("keys")), "classes")
+        reps = classes.select(F.col("rep").alias("id"), "n", "sketch")
+        banded = classes.select(F.col("rep").alias("id"), F.explode("keys").alias("band"))
+        shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("centre")).filter("size > 1").select("band", "centre"), "bands")
+        buckets = stored(banded.join(shared, "band"), "buckets")
+        texts = base.select("row", "text")
+
+        facts_of = lambda name: reps.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
+        stars = buckets.filter("id <> centre").select(F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
+        stars = stars.join(facts_of("x"), "x").join(facts_of("y"), "y").filter(_likely("x_", "y_", percent))
+        first = stored(stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "stars")
+        edges = stored(confirmed(first, texts, percent, words), "links")
+        parts = stored(connected(edges), "parts")
+
+        # What one member couldn't join: pairs of a bucket that still stand in different components.
+        placed = buckets.select("band", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_bands = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("band")
+        rest = placed.join(open_bands, "band").join(classes.select(F.col("rep").alias("id"), "n", "sketch", "keys"), "id")
+        more = stored(block_links(stored(rest, "open-buckets"), texts, percent, words, block_members), "links")
+        parts = stored(connected(parts.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more)), "parts")
+
+        placed = classes.select("n", "d0", "d1", "rep", "least").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("n", "d0", "d1", "component_id")
+        named = stored(named, "named", kept=True)
     out = facts.select("row", "key", "n", "d0", "d1").join(named.withColumnRenamed("component_id", "found"), ["n", "d0", "d1"], "left")
     component = F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept"))
@@ -330,5 +337,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest key; all columns stay."""
-    kept = near_duplicates(docs, key, text).filter("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    with scratch():
+        kept = stored(near_duplicates(docs, key, text).filter("kept").select(F.col(key).alias("_kept")).distinct(), "kept", kept=True)
+    return docs.join(hinted(kept), docs[key].eqNullSafe(kept["_kept"]), "left_semi")

@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import maybe_broadcast, stored
@@ -159,40 +159,32 @@ class KneserNey:
 
     def __init__(self, counts: DataFrame, names: Sequence[str], order: int, vocabulary: int):
         self.names, self.order, self.vocabulary = list(names), order, vocabulary
-        self.levels, self.sums = {order: counts}, {}
+        self.levels, self.direct, self.weights = {order: counts}, {}, {}
         for k in range(order - 1, 0, -1):
             suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")
             self.levels[k] = stored(self.levels[k + 1].groupBy(suffix).agg(*(F.count_if(F.col(m) > 0).alias(m) for m in self.names)), f"grams{k}")
         for k, level in self.levels.items():
             cuts = _discounts(level, self.names)
             of = lambda m, cuts=cuts: F.when(F.col(m) >= 3, cuts[m][2]).when(F.col(m) == 2, cuts[m][1]).when(F.col(m) == 1, cuts[m][0]).otherwise(0.0)
-            cut = level.select("gram", *self.names, *(of(m).alias(f"{m}_cut") for m in self.names))
-            sums = [x for m in self.names for x in (F.sum(m).alias(f"{m}_sum"), F.coalesce(F.try_divide(F.sum(f"{m}_cut"), F.sum(m)), F.lit(1.0)).alias(f"{m}_weight"))]
-            self.levels[k], self.sums[k] = cut, stored(cut.groupBy(F.shiftright("gram", BITS).alias("context")).agg(*sums), f"contexts{k}")
-
-    def _probabilities(self, wanted: DataFrame, k: int) -> DataFrame:
-        """p of each model of the distinct n-grams ``wanted`` (gram) of order k."""
-        own = wanted.join(self._hinted(self.levels[k]), "gram", "left").withColumn("context", F.shiftright("gram", BITS)).join(self._hinted(self.sums[k]), "context", "left")
-        if k == 1:
-            short = {m: F.lit(1.0 / self.vocabulary) for m in self.names}
-        else:
-            own = own.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)))
-            lower = self._probabilities(own.select(F.col("suffix").alias("gram")).distinct(), k - 1)
-            own = own.join(lower.select(F.col("gram").alias("suffix"), *(F.col(m).alias(f"{m}_short") for m in self.names)), "suffix")
-            short = {m: F.col(f"{m}_short") for m in self.names}
-
-        def p(m: str) -> Column:
-            direct = F.coalesce(F.try_divide(F.col(m) - F.col(f"{m}_cut"), F.col(f"{m}_sum")), F.lit(0.0))
-            return direct + F.coalesce(F.col(f"{m}_weight"), F.lit(1.0)) * short[m]
-
-        return own.select("gram", *(p(m).alias(m) for m in self.names))
-
-    def _hinted(self, df: DataFrame) -> DataFrame:
-        return maybe_broadcast(df, 16 * len(df.columns) * df.count())
+            cut = level.select("gram", F.shiftright("gram", BITS).alias("context"), *self.names, *(of(m).alias(f"{m}_cut") for m in self.names))
+            sums = stored(cut.groupBy("context").agg(*(x for m in self.names for x in (F.sum(m).alias(f"{m}_sum"), F.sum(f"{m}_cut").alias(f"{m}_cuts")))), f"sums{k}")
+            direct = cut.join(sums, "context").select("gram", *(F.try_divide(F.col(m) - F.col(f"{m}_cut"), F.col(f"{m}_sum")).alias(f"{m}_direct") for m in self.names))
+            self.direct[k] = stored(direct, f"direct{k}")
+            self.weights[k] = sums.select("context", *(F.try_divide(f"{m}_cuts", f"{m}_sum").alias(f"{m}_weight") for m in self.names))
 
     def losses(self, wanted: DataFrame) -> DataFrame:
-        """gram, and by model the loss (-ln p) of each of the distinct n-grams ``wanted`` (gram)."""
-        return self._probabilities(wanted, self.order).select("gram", *((-F.ln(m)).alias(m) for m in self.names))
+        """The columns of ``wanted`` (gram, and others, which stay) and by model the loss (-ln p) of each n-gram.
+
+        An n-gram that a model hasn't seen has the shorter one's probability under the weight of its context, or as it is if that is new, too.
+        """
+        out, p = wanted, {m: F.lit(1.0 / self.vocabulary) for m in self.names}
+        for k in range(1, self.order + 1):
+            short = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
+            for table, key, at in ((self.direct[k], "gram", short), (self.weights[k], "context", F.shiftright(short, BITS))):
+                named = table.select(F.col(key).alias("_key"), *(F.col(c).alias(f"{c}{k}") for c in table.columns if c != key))
+                out = out.join(maybe_broadcast(named, 16 * len(named.columns) * named.count()), at == F.col("_key"), "left").drop("_key")
+            p = {m: F.coalesce(F.col(f"{m}_direct{k}"), F.lit(0.0)) + F.coalesce(F.col(f"{m}_weight{k}"), F.lit(1.0)) * p[m] for m in self.names}
+        return out.select(*wanted.columns, *((-F.ln(p[m])).alias(m) for m in self.names))
 
 
 def scored(rows: DataFrame, answers: DataFrame, tokenizer: str, order: int, columns: Sequence[str], names: Sequence[str]) -> DataFrame:

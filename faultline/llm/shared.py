@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import once as let  # noqa: F401
-from faultline.sources.storage import new_path, shared_dir, stored  # noqa: F401
+from faultline.sources.storage import discard, new_path, scratch, stored  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side of a join is hinted for broadcast only when its measured bytes are at most this.
@@ -25,6 +25,12 @@ def maybe_broadcast(df: DataFrame, bytes_measured: int) -> DataFrame:
     return F.broadcast(df) if bytes_measured <= BROADCAST_BYTES else df
 
 
+def hinted(df: DataFrame) -> DataFrame:
+    """A stored ``df`` of plain columns, with a broadcast hint if the bytes of its values allow one."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(32))
+    return maybe_broadcast(df, df.agg(F.sum(size)).first()[0] or 0)
+
+
 def by_bytes(column: pa.Array, most: int = 8 << 20, rows: int = 1 << 20):
     """(start, stop) ranges of at most ``rows`` rows and about ``most`` bytes of text each; one row at least."""
     ends = np.cumsum(lengths(column))
