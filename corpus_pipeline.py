@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, exact_dedup, minhash, packing, quality
 from faultline.llm.shared import stored
@@ -13,29 +12,27 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; rows without tokens go, rows that repeat stay together."""
     return quality.keep_accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TOKENIZER)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """The document with the smallest doc_id of each group of equal texts; null ids stay only where there is no other."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """The document with the smallest doc_id of each component of near copies; texts without words stay."""
     return minhash.drop_near_copies(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
-    found = decontaminate.contaminated_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    clean = found.filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(clean, docs["doc_id"].eqNullSafe(clean["_hit"]), "left_anti")
+    """Documents without any passage of the benchmark; texts without words stay."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences, of all rows that are left."""
     return packing.pack(docs, TOKENIZER)
 
 
