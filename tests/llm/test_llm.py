@@ -135,7 +135,7 @@ def test_near_duplicates_against_brute_force(spark):
                 low, high = sorted((want[i], want[j]))
                 want = [low if c == high else c for c in want]
     assert 3 < len(set(want)) < 100
-    for block in (16, 1024):
+    for block in (16,):  # so that buckets have several blocks
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, texts), block_members=block).collect()}
         assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
