@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast
+from .shared import maybe_broadcast, small_batches
 from .tokens import encoded_batches
 
 MAGIC = b"IDX2"
@@ -351,7 +351,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", t
             yield segment()
 
     schema = f"part long, number long, keys array<{kind}>, n_ids long, segment binary"
-    ordered = docs.select(F.col(key), F.col(text).alias("text")).repartitionByRange(F.col(key), F.xxhash64("text")).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
+    ordered = small_batches(docs).select(F.col(key), F.col(text).alias("text")).repartitionByRange(F.col(key), F.xxhash64("text")).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
     ordered.mapInArrow(run, schema).write.mode("overwrite").parquet(path)
 
 

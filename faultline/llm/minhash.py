@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import buffers, by_bytes, hinted, maybe_broadcast, plain, scratch, stored, strings
+from .shared import buffers, by_bytes, hinted, maybe_broadcast, plain, scratch, small_batches, stored, strings
 
 WORDS = 5
 #: 64 bands of 6 values of six permutations: two documents at 0.75 share no band with probability (1 - 0.75 ** 6) ** 64 < 4e-6, and sets of
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(start, stop - start) for j in (0, 1)), pa.array(size), *(pa.array(np.ascontiguousarray(digest[:, j]).view(np.int64)) for j in (0, 1)), lists(sketch), lists(keys)], ["row", "key", "n", "d0", "d1", "sketch", "keys"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("row", "key", "text").mapInArrow(run, f"row long, key {kind}, n long, d0 long, d1 long, sketch array<long>, keys array<long>")
+    return small_batches(docs).select("row", "key", "text").mapInArrow(run, f"row long, key {kind}, n long, d0 long, d1 long, sketch array<long>, keys array<long>")
 
 
 def _agree(x: str, y: str) -> Column:

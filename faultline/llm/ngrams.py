@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast, stored
+from .shared import maybe_broadcast, small_batches, stored
 from .tokens import encoded_batches, vocabulary_size
 
 #: Bits of a token in a packed n-gram: its id and 1; 0 stands for the places before a text.  Three tokens fit a long.
@@ -67,7 +67,7 @@ def placed(docs: DataFrame, tokenizer: str, *columns: str, block_bytes: int = BL
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], ["block", *columns, "n_ids", "ids"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(block.alias("block"), *columns, "text").mapInArrow(run, f"block int, {kinds}, n_ids int, ids binary").repartition("block")
+    return small_batches(docs).select(block.alias("block"), *columns, "text").mapInArrow(run, f"block int, {kinds}, n_ids int, ids binary").repartition("block")
 
 
 def _slices(rows, width: np.dtype, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

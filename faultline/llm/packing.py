@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .tokens import encoded_batches
 
 TIERS = (1024, 512, 256, 128)
@@ -170,4 +171,4 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, group:
         yield from out()
 
     schema = f"`{key}` {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context_size long, step_group long"
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(run, schema)

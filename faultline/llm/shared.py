@@ -11,8 +11,8 @@ from faultline.functions.text import once as let  # noqa: F401
 from faultline.sources.storage import discard, new_path, scratch, stored  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A side of a join is hinted for broadcast only when its measured bytes are at most this.
-BROADCAST_BYTES = 48 << 20
+#: A side of a join is hinted for broadcast only when its measured bytes are at most this: each executor holds its hash table, which takes several times that.
+BROADCAST_BYTES = 8 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -31,6 +31,17 @@ def hinted(df: DataFrame) -> DataFrame:
     return maybe_broadcast(df, df.agg(F.sum(size)).first()[0] or 0)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands Arrow batches of 1,000 rows to Python where it had the default of 10,000.
+
+    Rows are whole texts, and a task holds a batch of them in the JVM and again in its Python worker.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+    return df
+
+
 def by_bytes(column: pa.Array, most: int = 8 << 20, rows: int = 1 << 20):
     """(start, stop) ranges of at most ``rows`` rows and about ``most`` bytes of text each; one row at least."""
     ends = np.cumsum(lengths(column))

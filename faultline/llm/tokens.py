@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, by_bytes, plain, strings
+from .shared import buffers, by_bytes, plain, small_batches, strings
 
 #: Bytes of pieces and their ids (about 150 more for each) in a generation of a Python worker's cache; it has two at most.
 CACHE_BYTES = 16 << 20
@@ -86,6 +86,10 @@ class Encoder:
             self.model = self.tokenizer.model
             self.names = {ord(bytes([b]).decode("latin-1")): c for b, c in _byte_names().items()}
 
+    def forget(self) -> None:
+        """Let the pieces go, as at the end of a task: its worker has other work, and needs the memory for that."""
+        self.young, self.old, self.held = {}, {}, 0
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         if self.pieces is not None:
             return [np.array(x, np.uint32) for x in self.pieces.encode(texts, num_threads=1)]
@@ -161,6 +165,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, text: str = "t
         column = plain(batch.column(batch.schema.get_field_index(text)))
         for start, stop in by_bytes(column, BATCH_BYTES):
             yield batch.slice(start, stop - start), *own.encode(column.slice(start, stop - start))
+    own.forget()
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:
@@ -180,6 +185,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
             n = [own.encode(column.slice(a, b - a), lengths_only=True)[0] for a, b in by_bytes(column, BATCH_BYTES)]
             n = np.concatenate([np.zeros(0, np.int64), *n])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], [key, "n_bytes", "n_tokens", "over_limit"])
+        own.forget()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(count, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs).select(F.col(key), F.col(text)).mapInArrow(count, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
