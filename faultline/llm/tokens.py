@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,16 @@ def encoder(path: str) -> "Encoder":
     return _loaded[path]
 
 
+@cache
 def vocabulary_size(path: str) -> int:
-    """The number of ids of a tokenizer file."""
-    own = encoder(path)
-    return own.pieces.vocab_size() if own.pieces is not None else own.tokenizer.get_vocab_size(with_added_tokens=True)
+    """The number of ids of a tokenizer file; the driver asks for it, and keeps no encoder."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).vocab_size()
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
 def _byte_names() -> dict[int, str]:
