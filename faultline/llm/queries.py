@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, idfile, lm_score, minhash, packing, quality, tokens, url_rules
+from . import chat, decontaminate, exact_dedup, idfile, lm_score, minhash, packing, quality, quality_rules, repair, tokens, url_rules, whitening
 from .shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,8 +66,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_classifier, op2_token_file, op3_decontamination, op4_lm_scoring, op5_packing, op6_chat_rotation, op7_near_dedup, op8_token_counts, op9_url_filter, op10_exact_dedup)
+    own = (op1_quality_classifier, op2_token_file, op3_decontamination, op4_lm_scoring, op5_packing, op6_chat_rotation, op7_near_dedup, op8_token_counts, op9_url_filter, op10_exact_dedup, op11_quality_rules, op12_conversation_repair, op13_embedding_whitening)
     return {f.__name__: f for f in own}
 
 
@@ -114,6 +126,23 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 """
 
 
+_STOP = ", ".join(f"'{x}'" for w in quality_rules.STOP_WORDS for x in dict.fromkeys((w, w[:1].upper() + w[1:])))
+_OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+runs AS (SELECT id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM w WHERE len(w) >= 8)),
+twice AS (SELECT id, i FROM runs QUALIFY count(*) OVER (PARTITION BY id, k) > 1),
+again AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(generate_series(i, i + 7)) AS p FROM twice) GROUP BY id),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
+  len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop_words, len(regexp_extract_all(t, '\p{{L}}[^\x20\x09-\x0D]*')) AS n_lettered_words,
+  len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*(?:[-*+•][\x20\x09]|[0-9]+[.)])'))) AS n_listed_lines, len(list_filter(l, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS n_cut_lines
+  FROM w LEFT JOIN again ON w.id = again.id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {quality_rules.rules_sql()} AS kept,
+  list_filter([{", ".join(f"CASE WHEN NOT ({quality_rules.rule_sql(r)}) THEN '{r.name}' END" for r in quality_rules.RULES)}], lambda x: x IS NOT NULL) AS broken_rules FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Operators 1, 2, 4, 5, 8 and 9 have none: models, coders and tokenizers aren't SQL; tests hold them against brute force."""
-    return {"op3_decontamination": _OP3, "op6_chat_rotation": _OP6, "op7_near_dedup": _OP7, "op10_exact_dedup": _OP10}
+    """Operators 1, 2, 4, 5, 8, 9, 12 and 13 have none: models, coders, tokenizers, shortest paths and directions aren't SQL; tests hold them against brute force."""
+    return {"op3_decontamination": _OP3, "op6_chat_rotation": _OP6, "op7_near_dedup": _OP7, "op10_exact_dedup": _OP10, "op11_quality_rules": _OP11}
