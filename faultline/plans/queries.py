@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from faultline.functions.text import tokens
 from faultline.operators import baselines, grounding, metrics, model_io, reduction, retrieval, stats, study, triage
+from faultline.sources import files, keyed, storage, views
 from faultline.sources import logs as sources
-from faultline.sources import storage, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,26 @@ def query(sql: str | None = None, *uses: str):
     return put
 
 
+# --- the rules of triage in SQL ---------------------------------------------------------------------------------------
+
+_LOW = "lower(log_content)"
+_CANCELLED = f"regexp_matches(log_content, '(?i){'|'.join(triage.CANCELLED)}')"
+_TOKEN = f"regexp_matches(log_content, '(?i){'|'.join(triage.TOKEN_ERRORS)}')"
+_SHORT = "len(string_split(log_content, chr(10))) < {n}"
+_PRIORITY = f"CASE WHEN contains({_LOW}, 'traceback') OR contains({_LOW}, 'stack trace') OR contains({_LOW}, 'error:') OR contains({_LOW}, 'fatal') THEN 'high' WHEN contains({_LOW}, 'failed') OR contains({_LOW}, 'failure') THEN 'medium' ELSE 'low' END"
+_ANY = "(" + " OR ".join(f"contains(lower(x), '{w}')" for w in triage.SIGNATURE_WORDS) + ")"
+_SIGNATURE = rf"left(md5(array_to_string(list_slice(list_transform(list_filter(list_transform(list_filter(string_split(log_content, chr(10)), lambda x: {_ANY}), lambda x: trim(regexp_replace(x, '{triage.TIMESTAMP}', '', 'g'))), lambda x: length(x) > 10), lambda x: left(x, 200)), 1, 20), chr(10))), 12)"
+
+
+def _triage_sql(view: str, min_lines: int) -> str:
+    return f"""SELECT log_id, ord, repository, CASE WHEN rule IS NULL AND r > 2 THEN 'duplicate_error' ELSE rule END AS reason, signature, priority FROM (
+      SELECT *, row_number() OVER (PARTITION BY repository, signature, rule IS NULL ORDER BY ord) AS r FROM (
+        SELECT log_id, ord, repository, CASE WHEN {_CANCELLED} THEN 'cancelled_run' WHEN {_TOKEN} THEN 'token_error' WHEN {_SHORT.format(n=min_lines)} THEN 'too_short' END AS rule, {_SIGNATURE} AS signature, {_PRIORITY} AS priority FROM {view}))"""
+
+
+_TRIAGED = _triage_sql("logs", 20)
+
+
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
@@ -90,6 +110,70 @@ def s1_read_logs(spark, d):
     return sources.read_logs(spark, path).select("log_id", "repository", "workflow_name", "log_content")
 
 
+@query("SELECT repository AS log_id, arg_min(log_id, ord) AS first_log, arg_max(log_id, ord) AS last_log, count(*) AS n FROM logs GROUP BY repository", "logs")
+def s1_order_of_arrival(spark, d):
+    """The logs written in several files by their order, and read back: the first and the last of each repository in order of arrival."""
+    path, x = storage.new_path(spark, "logs"), views.logs(spark, d)
+    sources.write_logs(x, path, file_bytes=1 << 20, order="ord")
+    read = sources.read_logs(spark, path).select("log_id", "repository", "ord")
+    by = read.select(F.col("repository").alias("key"), "ord", "log_id")
+    n = by.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    ends = sources.first_of_each(by, "key").select("key", F.col("log_id").alias("first_log")).join(sources.last_of_each(by, "key").select("key", F.col("log_id").alias("last_log")), "key")
+    return ends.join(n, "key").withColumnRenamed("key", "log_id")
+
+
+@query(f"SELECT log_id, reason, signature, priority FROM ({_TRIAGED})", "logs")
+def s1_triage_of_files(spark, d):
+    """Triage over logs read from files, whose duplicates are capped in the order of arrival."""
+    path = storage.new_path(spark, "logs")
+    sources.write_logs(views.logs(spark, d), path, file_bytes=1 << 20, order="ord")
+    return triage.triage(sources.read_logs(spark, path)).select("log_id", "reason", "signature", "priority")
+
+
+@query("SELECT 'bs_' || lang || '_' || CAST(doc_id AS VARCHAR) AS log_id, 'bugswarm' AS source, lang AS repository, CAST(doc_id AS VARCHAR) AS build_id, coalesce(text, '') || chr(10) AS log_content FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0 ORDER BY doc_id LIMIT 300) WHERE regexp_matches(coalesce(text, ''), '[^\\r\\n]') AND doc_id % 7 <> 0 AND doc_id % 11 <> 0")
+def s4_artifact_files(spark, d):
+    """An index and a file for each document are written; every seventh has no file, every eleventh no path; the first 300 entries that failed are read."""
+    root, docs = storage.new_path(spark, "artifacts"), views.table(spark, d, "documents")
+    name = lambda c: F.concat(F.lit("log-"), F.lpad(c.cast("string"), 12, "0"))
+    docs.filter("doc_id % 7 <> 0").select(name(F.col("doc_id")).alias("log"), F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("log").text(f"{root}/files")
+    written = files.whole_files(spark, f"{root}/files").select(F.regexp_extract("file", "log=([^/]*)/", 1).alias("name"), "file")
+    entries = docs.select("doc_id", name(F.col("doc_id")).alias("name"), F.col("lang").alias("repo"), F.when(F.col("doc_id") % 3 != 0, "yes").alias("failed_build"), F.col("doc_id").cast("string").alias("failed_build_id"))
+    entries = entries.join(written, "name", "left").withColumn("path", F.when(F.col("doc_id") % 11 != 0, F.coalesce("file", F.concat(F.lit("gone/"), "name"))))
+    files.write_arrays(entries.select("doc_id", "repo", "failed_build", "failed_build_id", "path"), f"{root}/index", file_bytes=1 << 16, order="doc_id")
+    return files.read_artifact_logs(spark, f"{root}/index", f"{root}/files")
+
+
+def _places(spark, d):
+    """Logs in four places: one that isn't there, one with files cut short, one with half of the logs, and one with copies of all."""
+    root, x = storage.new_path(spark, "places"), views.logs(spark, d)
+    files.write_arrays(x.select("log_id", F.lit("cut").alias("log_content")), f"{root}/cut", tail=",")
+    files.write_arrays(x.select("log_id", F.when(F.col("ord") % 2 == 0, F.col("log_content")).otherwise("").alias("log_content")), f"{root}/half", file_bytes=1 << 20)
+    files.write_arrays(x.select("log_id", F.concat(F.lit("copy: "), "log_content").alias("log_content")), f"{root}/copies", file_bytes=1 << 20)
+    return files.content_index_of(spark, *(f"{root}/{p}" for p in ("gone", "cut", "half", "copies")))
+
+
+@query("SELECT log_id, CASE WHEN ord % 2 = 0 AND log_content <> '' THEN log_content ELSE 'copy: ' || log_content END AS log_content FROM logs", "logs")
+def s5_index_of_files(spark, d):
+    return _places(spark, d)[0]
+
+
+@query("SELECT 0 AS place, 'missing' AS status, CAST(0 AS BIGINT) AS n FROM (SELECT 1) UNION ALL SELECT 1, 'bad_json', 0 UNION ALL SELECT 2, 'read', count(*) FROM logs UNION ALL SELECT 3, 'read', count(*) FROM logs", "logs")
+def s5_report_of_files(spark, d):
+    """What became of each place's files, and how many logs they have."""
+    return _places(spark, d)[1].groupBy("place", "status").agg(F.sum("rows").alias("n"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS log_id, max(o_orderkey) AS ord, arg_max(o_orderstatus, o_orderkey) AS failure_type FROM orders GROUP BY o_custkey")
+def s7_keyed_store(spark, d):
+    """Annotations put into a stored table in three goes, the second with some keys alone, and read back."""
+    o = views.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("log_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("failure_type"))
+    store = keyed.KeyedTable(spark, storage.new_path(spark, "annotations"), "log_id string, ord long, failure_type string")
+    store.upsert(o.filter("ord % 2 = 0"))
+    store.upsert(o.filter("ord % 2 = 1 and log_id % 5 = 0"))
+    store.upsert(o.filter("ord % 2 = 1 and log_id % 5 <> 0"))
+    return store.read()
+
+
 @query("SELECT log_id, actual_error_type, type_correct, fix_actionable, quality_rating, round(llm_confidence, 6) AS llm_confidence, round(execution_time_ms, 6) AS execution_time_ms FROM ground_truth", "ground_truth")
 def s6_annotations(spark, d):
     """The ground truth written under envelopes, and read back."""
@@ -138,27 +222,13 @@ def c1_top_repositories(spark, d):
     return sources.top(views.logs(spark, d), "repository")
 
 
-@query("SELECT o_orderstatus AS failure_type, count(*) AS n, round(avg((o_orderkey % 100) / 100), 6) AS avg_confidence FROM orders GROUP BY 1")
+@query("SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'total' ELSE 'type' END AS kind, o_orderstatus AS failure_type, count(*) AS n, round(avg((o_orderkey % 100) / 100), 6) AS avg_confidence FROM orders GROUP BY ROLLUP (o_orderstatus)")
 def a1_annotation_stats(spark, d):
     return sources.annotation_stats(views.table(spark, d, "orders").select(F.col("o_orderstatus").alias("failure_type"), ((F.col("o_orderkey") % 100) / 100).alias("confidence")))
 
 
 # --- triage ----------------------------------------------------------------------------------------------------------
 
-_LOW = "lower(log_content)"
-_CANCELLED = f"regexp_matches(log_content, '(?i){'|'.join(triage.CANCELLED)}')"
-_TOKEN = f"regexp_matches(log_content, '(?i){'|'.join(triage.TOKEN_ERRORS)}')"
-_SHORT = "len(string_split(log_content, chr(10))) < {n}"
-_PRIORITY = f"CASE WHEN contains({_LOW}, 'traceback') OR contains({_LOW}, 'stack trace') OR contains({_LOW}, 'error:') OR contains({_LOW}, 'fatal') THEN 'high' WHEN contains({_LOW}, 'failed') OR contains({_LOW}, 'failure') THEN 'medium' ELSE 'low' END"
-_ANY = "(" + " OR ".join(f"contains(lower(x), '{w}')" for w in triage.SIGNATURE_WORDS) + ")"
-_SIGNATURE = rf"left(md5(array_to_string(list_slice(list_transform(list_filter(list_transform(list_filter(string_split(log_content, chr(10)), lambda x: {_ANY}), lambda x: trim(regexp_replace(x, '{triage.TIMESTAMP}', '', 'g'))), lambda x: length(x) > 10), lambda x: left(x, 200)), 1, 20), chr(10))), 12)"
-
-
-def _triage_sql(view: str, min_lines: int) -> str:
-    return f"""SELECT log_id, ord, repository, CASE WHEN rule IS NULL AND r > 2 THEN 'duplicate_error' ELSE rule END AS reason, signature, priority FROM (
-      SELECT *, row_number() OVER (PARTITION BY repository, signature, rule IS NULL ORDER BY ord) AS r FROM (
-        SELECT log_id, ord, repository, CASE WHEN {_CANCELLED} THEN 'cancelled_run' WHEN {_TOKEN} THEN 'token_error' WHEN {_SHORT.format(n=min_lines)} THEN 'too_short' END AS rule, {_SIGNATURE} AS signature, {_PRIORITY} AS priority FROM {view}))"""
-
 
 @query(_triage_sql("logs", 20), "logs")
 def t7_triage_documents(spark, d):

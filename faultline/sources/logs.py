@@ -3,38 +3,23 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RAW_LOG = "log_id string, source string, repository string, workflow_name string, run_id bigint, log_content string, created_at string, url string"
+from faultline.functions.text import content
+from faultline.sources.files import FILE_BYTES, read_logs, write_arrays, write_logs  # noqa: F401
+
 ANNOTATION = "log_id string, repository string, workflow string, url string, llm_error_type string, actual_error_type string, type_correct boolean, root_cause_correct boolean, fix_actionable boolean, evidence_accurate boolean, quality_rating int, notes string, actual_root_cause string, llm_confidence double, hallucination_detected boolean, execution_time_ms double, model_used string, annotated_at string"
 # Fixed values
 STEPS = ("collect", "triage", "diagnose", "annotate", "evaluate", "benchmark")
 
 
-def _write_documents(rows: DataFrame, document: Column, path: str, rows_per_file: int) -> None:
-    """Files of one JSON document each: ``document`` is an aggregate over the rows of a file, which are dealt out by a hash of their log_id."""
-    files = -(-rows.count() // rows_per_file) or 1
-    by = rows.withColumn("part", F.pmod(F.xxhash64("log_id"), F.lit(files))).groupBy("part")
-    by.agg(document.alias("value")).write.partitionBy("part").text(path)
-
-
-def write_logs(logs: DataFrame, path: str, rows_per_file: int = 1000) -> None:
-    """Logs as files that hold an array of objects, about ``rows_per_file`` in each."""
-    _write_documents(logs, F.to_json(F.collect_list(F.struct(*logs.columns))), path, rows_per_file)
-
-
-def read_logs(spark: SparkSession, path: str, schema: str = RAW_LOG) -> DataFrame:
-    """Logs of JSON files that hold an array of objects; a missing content is empty.  Land them as Parquet: such a file can't be split."""
-    read = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return read.withColumn("log_content", F.coalesce("log_content", F.lit("")))
-
-
 def first_of_each(logs: DataFrame, key: str = "log_id", order: str = "ord") -> DataFrame:
     """The first row of each key in order of arrival; a partial aggregate, so a hot key isn't one task's rows."""
     rest = [c for c in logs.columns if c != key]
@@ -89,7 +74,7 @@ def archives(files: DataFrame) -> DataFrame:
 
 def assembled(parts: DataFrame) -> DataFrame:
     """run_id, log_content: a run's files by name under their headings; a run without files has none."""
-    text = F.when(F.col("name").isNull(), F.col("content")).otherwise(F.concat(F.lit("=== "), "name", F.lit(" ===\n"), "content"))
+    text = F.when(F.col("name").isNull(), content(F.col("content"))).otherwise(F.concat(F.lit("=== "), "name", F.lit(" ===\n"), content(F.col("content"))))
     rows = parts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("name", text.alias("text")))).alias("x"))
     return rows.select("run_id", F.array_join(F.transform("x", lambda s: s["text"]), "\n").alias("log_content"))
 
@@ -121,11 +106,10 @@ def read_annotations(spark: SparkSession, path: str, schema: str = ANNOTATION) -
     return df.select(F.explode("annotations").alias("a")).select("a.*").unionByName(bare)
 
 
-def write_annotations(annotations: DataFrame, path: str, created_at: str, annotator: str = "manual", rows_per_file: int = 1000) -> None:
-    """Annotations under envelopes (created_at, annotator, total, annotations), about ``rows_per_file`` in each file; a total is that of its file."""
-    rows = F.collect_list(F.struct(*annotations.columns))
-    envelope = F.struct(F.lit(created_at).alias("created_at"), F.lit(annotator).alias("annotator"), F.count(F.lit(1)).alias("total"), rows.alias("annotations"))
-    _write_documents(annotations, F.to_json(envelope), path, rows_per_file)
+def write_annotations(annotations: DataFrame, path: str, created_at: str, annotator: str = "manual", file_bytes: int = FILE_BYTES) -> None:
+    """Annotations under envelopes (created_at, annotator, annotations, total) by log_id, at most ``file_bytes`` in each file; a total is that of its file."""
+    head = json.dumps({"created_at": created_at, "annotator": annotator}, ensure_ascii=False)[:-1] + ', "annotations": ['
+    write_arrays(annotations, path, file_bytes, head=head, tail='], "total": {n}}')
 
 
 def exported(annotations: DataFrame) -> DataFrame:
@@ -164,5 +148,8 @@ def top(logs: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 
 def annotation_stats(annotations: DataFrame) -> DataFrame:
-    """failure_type, n, avg_confidence."""
-    return annotations.groupBy("failure_type").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("avg_confidence"))
+    """kind (total or type), failure_type, n, avg_confidence: of all annotations (0 and null where there are none), and of each type."""
+    facts = (F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("avg_confidence"))
+    kind = annotations.schema["failure_type"].dataType
+    total = annotations.agg(*facts).select(F.lit("total").alias("kind"), F.lit(None).cast(kind).alias("failure_type"), "n", "avg_confidence")
+    return total.unionByName(annotations.groupBy("failure_type").agg(*facts).select(F.lit("type").alias("kind"), "failure_type", "n", "avg_confidence"))

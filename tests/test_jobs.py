@@ -211,8 +211,8 @@ def test_archives_of_any_kind(spark):
 
 def test_bare_and_enveloped_annotations(spark, tmp_path):
     df = spark.createDataFrame([(f"l{i}", i % 2 == 0, i) for i in range(7)], "log_id string, type_correct boolean, quality_rating int")
-    sources.write_annotations(df, f"file://{tmp_path}/e", "2024-01-01", rows_per_file=3)
-    sources.write_logs(df, f"file://{tmp_path}/b", rows_per_file=3)
+    sources.write_annotations(df, f"file://{tmp_path}/e", "2024-01-01", file_bytes=300)
+    sources.write_logs(df, f"file://{tmp_path}/b", file_bytes=300)
     for part in "eb":
         got = sources.read_annotations(spark, f"file://{tmp_path}/{part}").select(*df.columns)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
