@@ -73,7 +73,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     Returns ``key``, n_words, spans (array of start and stop, in words, merged and in order), n_hit, items (their
     ids as sorted strings).  A window is ``window`` consecutive words of an item, all of them if it has fewer.  Null and empty
     texts have no words; an item without words has no window; a null item id joins as no item but its windows
-    count; an empty benchmark gives documents without hits.  Rows that repeat both key and text are one document.
+    count; an empty benchmark gives documents without hits.  Rows that repeat are a document each.
     Other columns of either table aren't read.
     """
     windows = stored(benchmark_windows(items, item_key, item_text, window), "windows")
@@ -120,8 +120,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
         ).otherwise(F.concat(done, F.array(x))),
     )
     found = per_doc.select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), merged.alias("spans"), "items")
-    every = parts.groupBy("doc", "copy", "n_words").agg(F.lit(1).alias("one"))
-    out = every.join(found, (F.col("copy") == F.col("_copy")) & F.col("doc").eqNullSafe(F.col("_doc")), "left")
+    out = parts.select("doc", "copy", "n_words").join(found, (F.col("copy") == F.col("_copy")) & F.col("doc").eqNullSafe(F.col("_doc")), "left")
     out = out.select(F.col("doc").alias(key), "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["stop"] - x["start"])
     return out.select(key, F.col("n_words").cast("long").alias("n_words"), "spans", n_hit.cast("long").alias("n_hit"), "items")
