@@ -18,6 +18,8 @@ from .shared import UPPER, maybe_broadcast, stored
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SUPPORT = 0.01
 CONFIDENCE = 0.6
+#: Labelled urls that a rule rests on at least.
+LEAST = 3
 BAD, GOOD = "label:block", "label:allow"
 
 
@@ -48,17 +50,18 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(F.array_compact(F.array(*suffix, F.when(ending != "", F.concat(F.lit("ending:"), ending)))), parts, F.transform(query, lambda x: F.concat(F.lit("query:"), x))))
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
     """rule_id, tokens, verdict, confidence, support from ``labelled`` (tokens, bad boolean); a null label isn't used.
 
-    A rule is kept if its support and confidence reach the limits, and no rule of fewer of its tokens with the same verdict is as
-    sure.
+    A rule is kept if its support, confidence and number of urls reach the limits, it is surer than the empty rule (the verdict's share of all
+    urls: a lift above 1), and no rule of fewer of its tokens with the same verdict is as sure.
     """
     baskets = labelled.filter(F.col("bad").isNotNull()).select(F.concat(F.col("tokens"), F.array(F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD)))).alias("items"))
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n == 0:
         return labelled.sparkSession.createDataFrame([], "rule_id string, tokens array<string>, verdict string, confidence double, support double")
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    found = found.filter(F.element_at("consequent", 1).isin(BAD, GOOD))
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(baskets).associationRules
+    found = found.filter(F.element_at("consequent", 1).isin(BAD, GOOD) & (F.round(F.col("support") * n) >= least) & (F.col("lift") > 1))
     rules = found.select(F.array_sort("antecedent").alias("tokens"), F.when(F.element_at("consequent", 1) == BAD, "block").otherwise("allow").alias("verdict"), "confidence", "support")
     rules = stored(rules.withColumn("rule_id", F.array_join("tokens", " ")), "rules")
     # Pruning by the index: shorter rules are found among a rule's tokens by their tokens.
@@ -68,7 +71,7 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     return rules.join(covered, ["rule_id", "verdict"], "left_anti").select("rule_id", "tokens", "verdict", "confidence", "support")
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, key: str = "page_id", url: str = "url") -> DataFrame:
     """``key``, host, path, rule, verdict, mined_rule of every page.
 
     labelled: url and bad (boolean).  A given rule decides (the longest that fits); else the mined rule with the most
@@ -81,7 +84,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
         host, path = host_and_path(F.col(column))
         return df.select(*more, host.alias("host"), path.alias("path"), F.col(column).alias("url")).select(*more, "host", "path", url_tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
 
-    mined = stored(mine_rules(prepared(labelled, "url", "bad"), support, confidence), "mined")
+    mined = stored(mine_rules(prepared(labelled, "url", "bad"), support, confidence, least), "mined")
     base = stored(prepared(pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(url).alias("u")), "u", "row", "key"), "urls")  # ids are given once
     index = mined.select("rule_id", "verdict", "confidence", "support", F.size("tokens").alias("k"), F.explode("tokens").alias("token"))
     size = index.agg(F.sum(F.length("rule_id") + F.length("token") + 64)).first()[0] or 0

@@ -73,8 +73,8 @@ def test_packing_and_passages_of_odd_rows(odd, usual):
         count[r.doc_id] += r.n_tokens + 1
     assert whole == count
     got = usual["op3"]
-    assert Counter(r.doc_id for r in got) == Counter([3, 3, None, None, 5, 6, 7, 8])  # rows that repeat key and text are one
-    assert sorted((r.n_hit, r["items"]) for r in got if r.n_hit) == [(20, ["1"]), (20, ["1"])]
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in ROWS)
+    assert sorted((r.n_hit, r["items"]) for r in got if r.n_hit) == [(20, ["1"])] * 3
 
 
 def test_no_rows(spark, odd, tmp_path):
@@ -138,14 +138,15 @@ def test_without_broadcasts(spark, odd, usual, tmp_path, monkeypatch):
         assert sorted(map(str, got[name])) == sorted(map(str, rows)), name
 
 
-def plain_rules(baskets, support, confidence):
+def plain_rules(baskets, support, confidence, least):
     """(tokens, verdict) of all rules that the limits and the pruning leave, by counting every combination."""
     seen = Counter(c for own, _ in baskets for k in range(1, len(own) + 1) for c in itertools.combinations(sorted(own), k))
     bad = Counter(c for own, is_bad in baskets if is_bad for k in range(1, len(own) + 1) for c in itertools.combinations(sorted(own), k))
     found = {}
     for c, n in seen.items():
         for verdict, hit in (("block", bad[c]), ("allow", n - bad[c])):
-            if hit >= np.ceil(support * len(baskets)) and hit / n >= confidence:
+            base = sum(b == (verdict == "block") for _, b in baskets) / len(baskets)
+            if hit >= max(least, np.ceil(support * len(baskets))) and hit / n >= confidence and hit / n > base:
                 found[c, verdict] = (hit / n, hit / len(baskets))
     covered = {(c, v) for c, v in found if any(found.get((s, v), (0,))[0] >= found[c, v][0] for k in range(1, len(c)) for s in itertools.combinations(c, k))}
     return {k: x for k, x in found.items() if k not in covered}
@@ -159,11 +160,25 @@ def test_mined_rules_against_all_combinations(spark):
         own = set(rng.choice(names, int(rng.integers(1, 6)), replace=False))
         baskets.append((own, bool(("t0" in own and "t1" in own) or rng.random() < 0.3)))
     df = spark.createDataFrame([(sorted(o), b) for o, b in baskets] + [(["t0"], None)], "tokens array<string>, bad boolean")
-    want = plain_rules(baskets, 0.05, 0.6)
-    got = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in url_rules.mine_rules(df, 0.05, 0.6).collect()}
-    assert len(want) > 5 and got.keys() == want.keys()
-    for k, x in want.items():
-        assert got[k] == pytest.approx(x)
+    sizes = []
+    for support, confidence, least in ((0.05, 0.6, 1), (0.01, 0.5, 12), (0.01, 0.1, 3)):
+        want = plain_rules(baskets, support, confidence, least)
+        got = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in url_rules.mine_rules(df, support, confidence, least).collect()}
+        assert len(want) > 2 and got.keys() == want.keys()
+        for k, x in want.items():
+            assert got[k] == pytest.approx(x)
+        sizes.append(len(want))
+    assert len(set(sizes)) == 3
+
+
+def test_rules_no_surer_than_the_base_rate_or_of_few_urls(spark):
+    labelled = [("http://a.io/x", False)] * 6 + [("http://a.io/y", True)] * 3 + [("http://b.io/x", False)] * 14 + [("http://rare.io/q", True)] * 2
+    df = spark.createDataFrame(labelled, "url string, bad boolean")
+    pages = spark.createDataFrame([(1, "http://a.io/x"), (2, "http://rare.io/q"), (3, "http://a.io/y"), (4, "http://a.io/z")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.mined_rule) for r in url_rules.judge_urls(pages, df, rules=()).collect()}
+    assert got[3] == ("block", "path:y") and got[2] == ("allow", None)  # two urls make no rule
+    assert got[4] == ("allow", None)  # two thirds of a.io are good, fewer than of all
+    assert got[1] == ("allow", "path:x")
 
 
 def test_ties_of_mined_rules(spark):
