@@ -351,8 +351,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", t
             yield segment()
 
     schema = f"part long, number long, keys array<{kind}>, n_ids long, segment binary"
-    ordered = small_batches(docs).select(F.col(key), F.col(text).alias("text")).repartitionByRange(F.col(key), F.xxhash64("text")).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
-    ordered.mapInArrow(run, schema).write.mode("overwrite").parquet(path)
+    ordered = docs.select(F.col(key), F.col(text).alias("text")).repartitionByRange(F.col(key), F.xxhash64("text")).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(run, schema).write.mode("overwrite").parquet(path)
 
 
 def read_ids(spark, path: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:

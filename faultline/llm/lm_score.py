@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .shared import maybe_broadcast, scratch, stored
+from .shared import maybe_broadcast, scratch, small_batches, stored
 from .tokens import vocabulary_size
 
 ORDER = 2
@@ -35,7 +35,8 @@ def cross_entropy_difference(docs: DataFrame, tokenizer: str, target: str = "is_
     marked = docs.select("doc_id", "text", target, fold_of(F.col("text")).alias("fold")).select("doc_id", "fold", of(0).alias("t0"), of(1).alias("t1"), F.lit(True).alias("all"), "text")
     columns, names = ("doc_id", "fold", *MODELS), [f"n_{m}" for m in MODELS]
     rows = ngrams.placed(marked, tokenizer, *columns)
-    asked = stored(ngrams.asked(rows, tokenizer, order, MODELS), "asked")
+    with small_batches(docs.sparkSession):
+        asked = stored(ngrams.asked(rows, tokenizer, order, MODELS), "asked")
     with scratch():
         counts = stored(ngrams.counted(asked, MODELS), "counts")
         model = ngrams.KneserNey(counts, names, order, vocabulary_size(tokenizer))

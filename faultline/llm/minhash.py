@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(start, stop - start) for j in (0, 1)), pa.array(size), *(pa.array(np.ascontiguousarray(digest[:, j]).view(np.int64)) for j in (0, 1)), lists(sketch), lists(keys)], ["row", "key", "n", "d0", "d1", "sketch", "keys"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return small_batches(docs).select("row", "key", "text").mapInArrow(run, f"row long, key {kind}, n long, d0 long, d1 long, sketch array<long>, keys array<long>")
+    return docs.select("row", "key", "text").mapInArrow(run, f"row long, key {kind}, n long, d0 long, d1 long, sketch array<long>, keys array<long>")
 
 
 def _agree(x: str, y: str) -> Column:
@@ -304,7 +304,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     with scratch():
         base = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "rows")  # ids are given once
         sigs = signatures(base, words, bands, rows)
-        facts = stored(sigs, "signatures", kept=True)
+        with small_batches(docs.sparkSession):
+            facts = stored(sigs, "signatures", kept=True)
         # Equal sets are one class; its smallest row stands for it.
         classes = stored(facts.filter("n > 0").groupBy("n", "d0", "d1").agg(F.min("row").alias("rep"), F.min("key").alias("least"), F.min_by("sketch", "row").alias("sketch"), F.min_by("keys", "row").alias("keys")), "classes")
         reps = classes.select(F.col("rep").alias("id"), "n", "sketch")

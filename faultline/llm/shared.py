@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.text import once as let  # noqa: F401
@@ -31,15 +34,19 @@ def hinted(df: DataFrame) -> DataFrame:
     return maybe_broadcast(df, df.agg(F.sum(size)).first()[0] or 0)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session from now on hands Arrow batches of 1,000 rows to Python where it had the default of 10,000.
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs inside hands Arrow batches of ``rows`` rows at most to Python; afterwards the session has its own number again.
 
     Rows are whole texts, and a task holds a batch of them in the JVM and again in its Python worker.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, "1000")
-    return df
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(own) <= 0 else min(rows, int(own))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
 
 
 def by_bytes(column: pa.Array, most: int = 8 << 20, rows: int = 1 << 20):
