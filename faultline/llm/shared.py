@@ -15,7 +15,7 @@ from faultline.sources.storage import discard, new_path, scratch, stored  # noqa
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side of a join is hinted for broadcast only when its measured bytes are at most this: each executor holds its hash table, which takes several times that.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 512 << 10
 
 
 def ascii_lower(text: Column) -> Column:
