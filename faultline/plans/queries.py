@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.text import tokens
-from faultline.operators import baselines, grounding, metrics, model_io, reduction, retrieval, stats, study, triage
+from faultline.operators import baselines, grounding, line_table, metrics, model_io, reduction, retrieval, stats, study, triage
 from faultline.sources import files, keyed, storage, views
 from faultline.sources import logs as sources
 
@@ -300,6 +300,31 @@ def l6_truncated(spark, d):
     return reduction.truncated(rows.select("log_id", (F.col("line_no") + 1).alias("rank"), F.col("line").alias("text")), max_tokens=100)
 
 
+def _of_lines(form: str):
+    """Registers a query over the table of lines whose rows are those of the query over whole logs."""
+
+    def put(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = lambda spark, d: f(views.event_lines(spark, d)), ORACLES[form]
+        return f
+
+    return put
+
+
+@_of_lines("l2_context_windows")
+def l2_windows_of_lines(lines):
+    return line_table.context_windows(lines, segment=16)
+
+
+@_of_lines("l3_l4_smart_filter")
+def l3_l4_filter_of_lines(lines):
+    return line_table.smart_filter(lines, max_lines=30, width=2, segment=16)
+
+
+@_of_lines("l6_truncated")
+def l6_truncated_lines(lines):
+    return line_table.truncated(lines.select("log_id", (F.col("line_no") + 1).alias("rank"), F.col("line").alias("text")), max_tokens=100, segment=16)
+
+
 @query("SELECT log_id, length(log_content) // 4 AS tokens FROM logs", "logs")
 def l5_tokens(spark, d):
     return views.logs(spark, d).select("log_id", tokens(F.col("log_content")).alias("tokens"))

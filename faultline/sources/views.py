@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.operators.line_table import numbered_lines
+
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 TEMPERATURES = [0.0, 0.1, 0.3, 0.5, 0.7, 1.0]
 
@@ -26,6 +28,14 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").cast("string").alias("log_id"), F.col("user_id").alias("ord"), (F.col("user_id") % 17).cast("string").alias("repository"), F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("log_content"))
 
 
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the event logs as rows: log_id, line_no, line.  Places are counted by day, then over days."""
+    e = table(spark, sf_dir, "events")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "event_type", F.lit(": k-"), F.regexp_extract("props", r"(\d+)", 1))
+    rows = e.select(F.col("user_id").cast("string").alias("log_id"), "ts", "event_id", line.alias("line"))
+    return numbered_lines(rows, "log_id", ["ts", "event_id"], F.to_date("ts")).select("log_id", "line_no", "line")
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' predictions for each order; which are right follows from its keys."""
     o = table(spark, sf_dir, "orders")
