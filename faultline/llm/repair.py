@@ -124,8 +124,8 @@ def _arrow(rows: list[dict], names: list[str], kinds: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
 
-def ordered_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role, text, at and fault of every turn; at rises in the order of dialogue, turn (nulls first), role and text.
+def ordered_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(conv_id, turn, role, text, at; conv_id, turn, initial, at, fault) of every turn; at rises in the order of dialogue, turn (nulls first), role and text.
 
     at is stored once.  Rows of a dialogue are contiguous in it but for the ends of ranges.  fault: blank (no character but
     white space), else duplicate (role and text stood earlier in the dialogue), else truncated (the last character that isn't white space is no end mark), else null.
@@ -133,25 +133,27 @@ def ordered_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     base = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     parts = ["conv_id", "turn", F.substring("role", 1, 32), F.substring("text", 1, 64)]
     placed = base.repartitionByRange(*parts).sortWithinPartitions("conv_id", "turn", "role", "text").withColumn("at", F.monotonically_increasing_id())
+    placed = stored(placed, "turns")
     blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cut = ~F.col("text").rlike(rf"[.!?]{WHITE}*\z")
-    same = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")).cast("binary"), 256)
-    placed = stored(placed.select("conv_id", "turn", "role", "text", "at", F.when(~blank, same).alias("same"), F.when(blank, "blank").when(cut, "truncated").alias("own")), "turns")
-    first = placed.filter("same is not null").groupBy("conv_id", "same").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same = F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")).cast("binary"), 256))
+    facts = placed.select("conv_id", "turn", F.rpad(F.substring("role", 1, 1), 1, "-").alias("initial"), "at", F.when(~blank, same).alias("same"), F.when(blank, "blank").when(cut, "truncated").alias("own"))
+    facts = stored(facts, "facts")
+    first = facts.filter("same is not null").groupBy("conv_id", "same").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = hinted(stored(first.select(F.col("conv_id").alias("_conv"), F.col("same").alias("_same"), "first"), "repeats"))
-    seen = placed.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("same") == F.col("_same")), "left")
+    seen = facts.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("same") == F.col("_same")), "left")
     fault = F.when(F.col("at") > F.col("first"), "duplicate").otherwise(F.col("own"))
-    return seen.select("conv_id", "turn", "role", "text", "at", fault.alias("fault"))
+    return placed, seen.select("conv_id", "turn", "initial", "at", fault.alias("fault"))
 
 
-def _code(role: Column, fault: Column) -> Column:
-    own = F.when(F.substring(role, 1, 1).isin(*ROLES), F.substring(role, 1, 1)).otherwise("-")
+def _code(initial: Column, fault: Column) -> Column:
+    own = F.when(initial.isin(*ROLES), initial).otherwise("-")
     return F.when(fault.isin("blank", "duplicate"), "x").when(fault == "truncated", F.translate(own, "sua-", "SUA_")).otherwise(own)
 
 
 def segments(ordered: DataFrame) -> DataFrame:
-    """conv_id, seg, first (the least at), codes, initials of each segment of :func:`ordered_turns` rows."""
-    rows = ordered.select("conv_id", F.shiftright("at", SEGMENT_BITS).alias("seg"), "at", _code(F.col("role"), F.col("fault")).alias("code"), F.rpad(F.substring("role", 1, 1), 1, "-").alias("initial"))
+    """conv_id, seg, first (the least at), codes, initials of each segment of turns in order with their faults."""
+    rows = ordered.select("conv_id", F.shiftright("at", SEGMENT_BITS).alias("seg"), "at", _code(F.col("initial"), F.col("fault")).alias("code"), "initial")
     own = F.array_sort(F.collect_list(F.struct("at", "code", "initial")))  # 4,096 turns at most
     got = rows.groupBy("conv_id", "seg").agg(F.min("at").alias("first"), own.alias("own"))
     join = lambda f: F.array_join(F.transform("own", lambda x: x[f]), "")
@@ -209,7 +211,8 @@ def _walks(segs: DataFrame, ends: DataFrame) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 after = tuple(r["after"])
-                found = [walk(r["codes"], after, s, r["last"]) for s in range(4)]
+                # A dialogue's first segment, often its only one, is entered in the state of nothing alone.
+                found = [walk(r["codes"], after, s, r["last"]) for s in (range(4) if r["cost"] is None else range(1))]
                 out.append(r | {"ends": [x[0] for x in found], "audits": [x[1] for x in found], "roles": [x[2] for x in found]})
             texts = pa.list_(pa.string())
             yield _arrow(out, ["conv_id", "seg", "first", "cost", "illegal", "ends", "audits", "roles"], [batch.schema.field("conv_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), texts, texts])
@@ -232,14 +235,14 @@ def edits(segs: DataFrame) -> DataFrame:
     return got.select("conv_id", "seg", "first", "cost", "illegal", F.get("audits", F.col("state")).alias("audit"), F.get("roles", F.col("state")).alias("roles"))
 
 
-def repaired_turns(ordered: DataFrame, made: DataFrame) -> DataFrame:
+def repaired_turns(placed: DataFrame, made: DataFrame) -> DataFrame:
     """conv_id, at, k, edit, role, text of the repaired dialogues' turns, in order of at and k; without deleted ones.
 
     k counts the edits at the place of a turn: insertions before it, and it; insertions after the last turn come with it.  Inserted turns have an empty text.
     """
     each = F.arrays_zip(F.split("audit", " ").alias("own"), F.split("roles", " ").alias("own_roles"))
     at_turn = made.select("first", F.posexplode(each).alias("nth", "x")).select((F.col("first") + F.col("nth")).alias("_at"), "x.own", "x.own_roles")
-    joined = ordered.select("conv_id", "at", "role", "text").join(at_turn, F.col("at") == F.col("_at"))
+    joined = placed.select("conv_id", "at", "role", "text").join(at_turn, F.col("at") == F.col("_at"))
     one = lambda i: F.struct(F.substring("own", i + 1, F.lit(1)).alias("edit"), F.substring("own_roles", i + 1, F.lit(1)).alias("initial"))
     out = joined.select("conv_id", "at", "role", "text", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("own") - 1), one)).alias("k", "e")).filter("e.edit <> 'D'")
     named = F.coalesce(*(F.when(F.col("e.initial") == i, F.lit(r)) for i, r in ROLES.items()))
@@ -278,16 +281,17 @@ def digests(turns: DataFrame) -> DataFrame:
 
 
 def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(turns in order with their faults, edits by segment, repaired turns) of dialogues; null roles and texts count as one space.
+    """(facts of the turns in order with their faults, edits by segment, repaired turns) of dialogues; null roles and texts count as one space.
 
     Blank and duplicate turns go, the rest is kept, given another role or dropped, and empty turns come in, at the least cost.  Turns with
     one number stand in the order of role and text; a null dialogue is one of its own; other columns aren't read; an empty
     table gives no rows.  See the constants for the costs.
     """
     clean = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit(" ")).alias("role"), F.coalesce(text, F.lit(" ")).alias("text"))
-    ordered = stored(ordered_turns(clean), "ordered")
+    placed, ordered = ordered_turns(clean)
+    ordered = stored(ordered, "ordered")
     made = stored(edits(stored(segments(ordered), "segments")), "edits")
-    return ordered, made, repaired_turns(ordered, made)
+    return ordered, made, repaired_turns(placed, made)
 
 
 def damaged(turns: DataFrame) -> DataFrame:
