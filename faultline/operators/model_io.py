@@ -30,13 +30,60 @@ def prompt(log: Column, repository: Column, workflow: Column, ci_system: Column,
     return F.concat(F.lit(before), context, F.lit(between), content(log), F.lit(after))
 
 
+def _json_of(reply: Column) -> Column:
+    """The text from a reply's first brace to its last, or all of it; null if that isn't one JSON object and nothing else."""
+    inner = F.regexp_extract(content(reply), r"(?s)\{.*\}", 0)
+    text = F.when(inner != "", inner).otherwise(content(reply))
+    return F.when(F.json_object_keys(text).isNotNull() & (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1), text)
+
+
 def parsed(reply: Column) -> Column:
     """The diagnosis in a reply (from the first brace to the last), or null for bad JSON and unknown error types."""
-    inner = F.regexp_extract(content(reply), r"(?s)\{.*\}", 0)
-    d = F.from_json(F.when(inner != "", inner).otherwise(content(reply)), DIAGNOSIS, {"mode": "PERMISSIVE"})
+    d = F.from_json(_json_of(reply), DIAGNOSIS, {"mode": "PERMISSIVE"})
     return F.when(d["error_type"].isin(ERROR_TYPES), d)
 
 
+#: What a reply must have; without grounded_evidence it cites nothing.
+REQUIRED = ("error_type", "failure_lines", "root_cause", "suggested_fix", "confidence_score", "reasoning")
+
+
+def judged(replies: DataFrame, reply: str = "reply", grounding: Column | None = None) -> DataFrame:
+    """``replies`` with diagnosis and reason: one of them is null.
+
+    The JSON of a reply goes from its first brace to its last.  Reasons, the first that holds: bad_json (it isn't an object), missing_field (a required
+    one isn't there, or null; detail names the first), bad_field (one isn't of its kind, as a text for a number), unknown_type (of
+    error), out_of_range (the confidence, times ``grounding`` if that is given, isn't from 0 to 1).  No reply is lost; detail has the field, the unknown type or the value.
+    """
+    raw = ", ".join(f"{f} string" for f in (*REQUIRED, "grounded_evidence"))  # each field as it is written
+    read = replies.withColumn("_json", _json_of(F.col(reply)))
+    read = read.withColumn("_raw", F.from_json("_json", raw)).withColumn("_d", F.from_json("_json", f"{DIAGNOSIS}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    d = F.col("_d")
+    missing = F.coalesce(*(F.when(F.col("_raw")[f].isNull(), F.lit(f)) for f in REQUIRED))
+    named = lambda c: F.array_compact(F.array(*c))
+    wrong = F.get(named([F.when(F.col("_raw")[f].isNotNull() & d[f].isNull(), F.lit(f)) for f in (*REQUIRED, "grounded_evidence")]), F.lit(0))
+    holes = F.exists(d["failure_lines"], lambda x: x.isNull())
+    cited = F.exists(d["grounded_evidence"], lambda x: x.isNull() | x["line_number"].isNull() | x["content"].isNull())
+    wrong = F.coalesce(wrong, F.when(holes, "failure_lines"), F.when(cited, "grounded_evidence"))
+    value = d["confidence_score"] * (F.lit(1.0) if grounding is None else F.coalesce(grounding, F.lit(0.0)))
+    why = lambda name, detail: F.struct(F.lit(name).alias("reason"), detail.alias("detail"))
+    reason = (
+        F.when(F.col("_json").isNull(), why("bad_json", F.lit(None).cast("string")))
+        .when(missing.isNotNull(), why("missing_field", missing))
+        .when(wrong.isNotNull(), why("bad_field", wrong))
+        .when(~d["error_type"].isin(ERROR_TYPES), why("unknown_type", d["error_type"]))
+        .when(~F.coalesce((value >= 0) & (value <= 1), F.lit(False)) | F.isnan(value), why("out_of_range", F.col("_raw")["confidence_score"]))
+    )
+    whole = F.struct(*(d[f].alias(f) for f in (*REQUIRED[:5], "grounded_evidence", "reasoning")))
+    out = read.withColumn("_why", reason)
+    return out.select(*replies.columns, F.when(F.col("_why").isNull(), whole).alias("diagnosis"), F.col("_why.reason").alias("reason"), F.col("_why.detail").alias("detail"))
+
+
+def good_and_bad(replies: DataFrame, reply: str = "reply", grounding: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`judged` replies as two tables: those with a diagnosis, and those with a reason and its detail; together all replies."""
+    every = judged(replies, reply, grounding)
+    return every.filter("reason is null").drop("reason", "detail"), every.filter("reason is not null").drop("diagnosis")
+
+
 def cost(spend: DataFrame, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:
     """``spend`` (model, provider, prompt_tokens, completion_tokens, ...) with cost_usd; unknown models and local providers cost nothing."""
     table = spend.sparkSession.createDataFrame([(m, i, o) for m, (i, o) in prices.items()], "model string, usd_in double, usd_out double")

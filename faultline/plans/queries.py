@@ -419,6 +419,43 @@ def p2_parsed(spark, d):
     return c.select("conv_id", "turn", model_io.parsed(reply).alias("p")).select("conv_id", "turn", "p.error_type", "p.failure_lines")
 
 
+#: A kind of reply for every number: as it should be, in prose, with a field missing, null or of another kind, an unknown type, confidences out of range, cut short.
+_KINDS = (
+    '{"error_type": "timeout", "failure_lines": [1, 2], "root_cause": "r", "suggested_fix": "s", "confidence_score": 0.5, "grounded_evidence": [{"line_number": 1, "content": "c", "is_error": true}], "reasoning": "why"}',
+    'Here it is: {"error_type": "test_failure", "failure_lines": [], "root_cause": "r", "suggested_fix": "s", "confidence_score": 1, "reasoning": ""} I hope it helps',
+    '{"error_type": "timeout", "root_cause": "r", "suggested_fix": "s", "confidence_score": 0.5, "reasoning": "w"}',
+    '{"error_type": "timeout", "failure_lines": [3], "root_cause": null, "suggested_fix": "s", "confidence_score": 0.5, "reasoning": "w"}',
+    '{"error_type": "timeout", "failure_lines": [3], "root_cause": "r", "suggested_fix": "s", "confidence_score": "high", "reasoning": "w"}',
+    '{"error_type": "bad luck", "failure_lines": [3], "root_cause": "r", "suggested_fix": "s", "confidence_score": 0.5, "reasoning": "w"}',
+    '{"error_type": "timeout", "failure_lines": [3], "root_cause": "r", "suggested_fix": "s", "confidence_score": 7, "reasoning": "w"}',
+    '{"error_type": "timeout", "failure_lines": [3], "root_cause": "r", "suggested_fix": "s", "confidence_score": -0.1, "reasoning": "w"}',
+    '{"error_type": "timeout", "failure_lines": [3], "root',
+    "",
+)
+_REPLIED = "replied AS (SELECT conv_id, turn, translate(coalesce(text, ''), '{}', '()') || chr(10) || CASE (conv_id + turn) % 10 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END AS reply FROM conversations WHERE role = 'assistant')"
+_JUDGED = _REPLIED + r""", found AS (SELECT *, CASE WHEN regexp_matches(reply, '(?s)\{.*\}') THEN regexp_extract(reply, '(?s)\{.*\}') END AS inside FROM replied),
+  read AS (SELECT *, CASE WHEN inside IS NOT NULL AND json_valid(inside) THEN CAST(inside AS JSON) END AS j FROM found),
+  told AS (SELECT *, CASE WHEN j IS NULL THEN 'bad_json' WHEN j->>'error_type' IS NULL OR j->>'failure_lines' IS NULL OR j->>'root_cause' IS NULL OR j->>'suggested_fix' IS NULL OR j->>'confidence_score' IS NULL OR j->>'reasoning' IS NULL THEN 'missing_field' WHEN TRY_CAST(j->>'confidence_score' AS DOUBLE) IS NULL THEN 'bad_field' WHEN j->>'error_type' NOT IN ({types}) THEN 'unknown_type' WHEN CAST(j->>'confidence_score' AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'out_of_range' END AS reason FROM read)""".replace("{types}", ", ".join(f"'{t}'" for t in model_io.ERROR_TYPES))
+
+
+def _replies(spark, d):
+    c = views.table(spark, d, "conversations").filter("role = 'assistant'")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), ((F.col("conv_id") + F.col("turn")) % len(_KINDS) + 1).cast("int"))
+    return c.select("conv_id", "turn", F.concat(F.translate(F.coalesce("text", F.lit("")), "{}", "()"), F.lit("\n"), kind).alias("reply"))
+
+
+@query("WITH " + _JUDGED + " SELECT conv_id, turn, j->>'error_type' AS error_type, CAST(json_array_length(j->'failure_lines') AS INTEGER) AS lines, CAST(j->>'confidence_score' AS DOUBLE) AS confidence_score, CAST(coalesce(json_array_length(j->'grounded_evidence'), 0) AS INTEGER) AS cited FROM told WHERE reason IS NULL")
+def p2_good_replies(spark, d):
+    good, _ = model_io.good_and_bad(_replies(spark, d))
+    return good.select("conv_id", "turn", "diagnosis.error_type", F.size("diagnosis.failure_lines").alias("lines"), "diagnosis.confidence_score", F.coalesce(F.size("diagnosis.grounded_evidence"), F.lit(0)).alias("cited"))
+
+
+@query("WITH " + _JUDGED + " SELECT conv_id, turn, reason, reply FROM told WHERE reason IS NOT NULL")
+def p2_bad_replies(spark, d):
+    _, bad = model_io.good_and_bad(_replies(spark, d))
+    return bad.select("conv_id", "turn", "reason", "reply")
+
+
 @query(", x AS (SELECT log_id FROM logs WHERE ord % 10 <> 9) SELECT log_id, ord FROM logs WHERE log_id NOT IN (SELECT log_id FROM x)", "logs")
 def p4_pending(spark, d):
     x = views.logs(spark, d)
