@@ -628,16 +628,33 @@ def e17_bootstrap(spark, d):
     return stats.bootstrap_accuracy(p, "model")
 
 
-_BOOT = 40
-_UNIFORM = "('0x' || left(md5(log_id || ':' || model || ':' || CAST(r AS VARCHAR) || ':42'), 7))::BIGINT / 268435456.0"
-_WEIGHT = "(" + " + ".join(f"CASE WHEN u >= {x!r} THEN 1 ELSE 0 END" for x in stats.POISSON_LIMITS) + ")"
+_DRAW = f"(h * a + b) % {stats.PRIME}"
+_WEIGHT = "(" + " + ".join(f"CASE WHEN d >= {x} THEN 1 ELSE 0 END" for x in stats.WEIGHT_FROM) + ")"
 
 
-@query(f", w AS (SELECT r, confidence, {_WEIGHT} AS w FROM (SELECT r, confidence, {_UNIFORM} AS u FROM predictions, generate_series(1, {_BOOT}) g(r))), v AS (SELECT r, sum(confidence * w) / sum(w) AS v FROM w GROUP BY r) SELECT round((SELECT avg(confidence) FROM predictions), 6) AS observed, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM v", "predictions")
+@query(f", x AS (SELECT ('0x' || left(md5(log_id || ':' || model || ':42'), 7))::BIGINT AS h, confidence FROM predictions), g AS (SELECT r, ('0x' || left(md5('42:' || CAST(r AS VARCHAR)), 7))::BIGINT + 1 AS a, ('0x' || substr(md5('42:' || CAST(r AS VARCHAR)), 8, 7))::BIGINT AS b FROM generate_series(1, 1000) s(r)), v AS (SELECT r, sum(confidence * {_WEIGHT}) / sum({_WEIGHT}) AS v FROM (SELECT r, confidence, {_DRAW} AS d FROM x, g) GROUP BY r) SELECT round((SELECT avg(confidence) FROM predictions), 6) AS observed, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM v", "predictions")
 def e17_metric(spark, d):
-    """The interval of the mean confidence, by Poisson weights."""
-    mean = lambda w: F.sum(F.col("confidence") * w) / F.sum(w)
-    return stats.bootstrap_metric(_predictions(spark, d).select("log_id", "model", "confidence"), mean, ["log_id", "model"], resamples=_BOOT)
+    """The interval of the mean confidence, by Poisson weights of 1,000 replicates."""
+    sums = {"sum": F.col("confidence"), "n": F.lit(1)}
+    return stats.bootstrap_sums(_predictions(spark, d), sums, lambda s: F.try_divide(s["sum"], s["n"]), ["log_id", "model"])
+
+
+@query(f", {_PAIRS}, t AS (SELECT *, n10 + n01 AS m, least(n10, n01) AS k FROM pairs) SELECT model_a, model_b, round((right_a - right_b) / n, 6) AS difference, round(CASE WHEN n10 = n01 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2))) FROM generate_series(0, k) s(i))) END, 6) AS exact_p FROM t", "predictions", "ground_truth")
+def e18_exact(spark, d):
+    """The exact p of sign flips, and of McNemar's test."""
+    return stats.exact_tests(_pairs(spark, d)).select("model_a", "model_b", "difference", "exact_p")
+
+
+_BY_TYPE = "by_type AS (SELECT actual_error_type, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01 FROM (SELECT p.log_id, any_value(g.actual_error_type) AS actual_error_type, bool_or(predicted_error_type = g.actual_error_type) FILTER (model = 'gpt-4o') AS a, bool_or(predicted_error_type = g.actual_error_type) FILTER (model = 'gpt-4o-mini') AS b FROM predictions p JOIN ground_truth g ON p.log_id = g.log_id GROUP BY 1) GROUP BY 1)"
+
+
+@query(f", {_BY_TYPE}, t AS (SELECT *, n10 + n01 AS m, least(n10, n01) AS k FROM by_type) SELECT actual_error_type, n10, n01, round(CASE WHEN n10 = n01 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2))) FROM generate_series(0, k) s(i))) END, 6) AS exact_p FROM t", "predictions", "ground_truth")
+def e16_exact_by_type(spark, d):
+    """The exact McNemar p of the two models for each type of error."""
+    p, truth = _predictions(spark, d), views.ground_truth(spark, d).select("log_id", F.col("actual_error_type").alias("truth"))
+    right = p.join(truth, "log_id").groupBy("log_id", "truth").agg(*(F.bool_or(F.when(F.col("model") == m, F.col("predicted_error_type") == F.col("truth"))).alias(n) for m, n in (("gpt-4o", "a"), ("gpt-4o-mini", "b"))))
+    counts = right.groupBy(F.col("truth").alias("actual_error_type")).agg(F.count_if(F.col("a") & ~F.col("b")).alias("n10"), F.count_if(~F.col("a") & F.col("b")).alias("n01"))
+    return counts.withColumn("exact_p", stats.sign_test_p(F.col("n10"), F.col("n01")))
 
 
 @query()
