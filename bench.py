@@ -25,6 +25,7 @@ def main() -> None:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         text = F.octet_length("text") if name == "documents" else F.octet_length(F.to_json(F.struct(*df.columns)))
         size[name] = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0)) / 1e6).first()
+    QUERIES["s2_first_of_each"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # untimed: the session starts
     took, speed = {}, {}
     for name, table in HEADLINE.items():
         start = time.time()

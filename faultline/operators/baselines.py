@@ -34,6 +34,7 @@ KEYWORDS = {
     "network_error": ["connection", "network", "dns", "host"],
 }
 ERROR_WORDS = ["error", "failed", "exception", "fatal"]
+TRACE_WORDS = ["traceback", "stack trace"]
 TOOLS = {
     "npm": r"\bnpm\b",
     "maven": r"\bmaven\b|\bpom\.xml\b",
@@ -84,10 +85,10 @@ def heuristic_lines(c: Column, kind: Column, keywords: dict[str, list[str]] = KE
     """The five lines (from 1) with the highest scores of 3 or more; equal scores in order."""
 
     def score(low: Column) -> Column:
-        own = F.lit(False)
-        for t, words in keywords.items():
-            own = own | ((kind == t) & has_any(low, words))
-        return F.when(has_any(low, ERROR_WORDS), 3).otherwise(0) + F.when(own, 2).otherwise(0) + F.when(has_any(low, ["traceback", "stack trace"]), 2).otherwise(0)
+        own = F.coalesce(*(F.when(kind == t, has_any(low, words)) for t, words in keywords.items()), F.lit(False))
+        return F.when(has_any(low, ERROR_WORDS), 3).otherwise(0) + F.when(own, 2).otherwise(0) + F.when(has_any(low, TRACE_WORDS), 2).otherwise(0)
 
-    scored = F.transform(lines(F.lower(content(c))), lambda x, i: F.struct((-score(x)).alias("s"), (i + 1).alias("n")))
+    # Keywords alone don't reach 3, so only lines with a word of an error or a trace are scored.
+    likely = F.filter(F.transform(lines(F.lower(content(c))), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("n"))), lambda r: has_any(r["x"], ERROR_WORDS + TRACE_WORDS))
+    scored = F.transform(likely, lambda r: F.struct((-score(r["x"])).alias("s"), r["n"].alias("n")))
     return F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] <= -3)), 1, 5), lambda x: x["n"])

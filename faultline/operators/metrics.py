@@ -120,10 +120,10 @@ def aligned(results: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def baseline_predictions(cases: DataFrame) -> DataFrame:
-    """Predictions of both rule baselines for cases (log_id, log_content, actual_error_type, actual_lines)."""
+    """Predictions of both rule baselines for cases (log_id, log_content, actual_error_type, actual_lines); a case is read once."""
     c = F.col("log_content")
+    of = lambda name, kind, found, ms: F.struct(F.lit(name).alias("approach"), kind.alias("predicted_error_type"), found.alias("predicted_lines"), F.lit(ms).alias("execution_time_ms"))
+    typed = cases.withColumn("kind", heuristic_type(heuristic_counts(c)))
+    both = F.array(of("regex", regex_type(c), regex_lines(c), 5.0), of("heuristic", F.col("kind"), heuristic_lines(c, F.col("kind")), 8.0))
     common = (F.lit(1.0).alias("confidence"), F.lit(False).alias("hallucination_detected"), F.lit(0.0).alias("cost_usd"))
-    regex = cases.select("log_id", F.lit("regex").alias("approach"), regex_type(c).alias("predicted_error_type"), "actual_error_type", regex_lines(c).alias("predicted_lines"), "actual_lines", F.lit(5.0).alias("execution_time_ms"), *common)
-    kind = cases.withColumn("kind", heuristic_type(heuristic_counts(c)))
-    heuristic = kind.select("log_id", F.lit("heuristic").alias("approach"), F.col("kind").alias("predicted_error_type"), "actual_error_type", heuristic_lines(c, F.col("kind")).alias("predicted_lines"), "actual_lines", F.lit(8.0).alias("execution_time_ms"), *common)
-    return regex.unionByName(heuristic)
+    return typed.select("log_id", "actual_error_type", "actual_lines", F.explode(both).alias("p")).select("log_id", "p.*", "actual_error_type", "actual_lines", *common)

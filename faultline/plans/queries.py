@@ -39,7 +39,8 @@ _LOW = "lower(log_content)"
 _CANCELLED = f"regexp_matches(log_content, '(?i){'|'.join(triage.CANCELLED)}')"
 _TOKEN = f"regexp_matches(log_content, '(?i){'|'.join(triage.TOKEN_ERRORS)}')"
 _SHORT = "len(string_split(log_content, chr(10))) < {n}"
-_PRIORITY = f"CASE WHEN contains({_LOW}, 'traceback') OR contains({_LOW}, 'stack trace') OR contains({_LOW}, 'error:') OR contains({_LOW}, 'fatal') THEN 'high' WHEN contains({_LOW}, 'failed') OR contains({_LOW}, 'failure') THEN 'medium' ELSE 'low' END"
+_WORDS = lambda words: "(" + " OR ".join(f"contains({_LOW}, '{w}')" for w in words) + ")"
+_PRIORITY = f"CASE WHEN {_WORDS(triage.HIGH_WORDS)} THEN 'high' WHEN {_WORDS(triage.MEDIUM_WORDS)} THEN 'medium' ELSE 'low' END"
 _ANY = "(" + " OR ".join(f"contains(lower(x), '{w}')" for w in triage.SIGNATURE_WORDS) + ")"
 _SIGNATURE = rf"left(md5(array_to_string(list_slice(list_transform(list_filter(list_transform(list_filter(string_split(log_content, chr(10)), lambda x: {_ANY}), lambda x: trim(regexp_replace(x, '{triage.TIMESTAMP}', '', 'g'))), lambda x: length(x) > 10), lambda x: left(x, 200)), 1, 20), chr(10))), 12)"
 
@@ -257,6 +258,12 @@ def t8_report(spark, d):
     return triage.report(triage.triage(views.logs(spark, d)))
 
 
+@query(ORACLES["t8_report"])
+def t8_written(spark, d):
+    """The report that is counted while kept and removed logs are written."""
+    return triage.write_triaged(triage.triage(views.logs(spark, d)), storage.new_path(spark, "triaged"))
+
+
 @query(f"SELECT log_id, {_CANCELLED} AS cancelled, {_TOKEN} AS token_error, {_SHORT.format(n=3)} AS too_short, {_SIGNATURE} AS signature, {_PRIORITY} AS priority FROM event_logs", "event_logs")
 def t1_t6_rules(spark, d):
     c = F.col("log_content")
@@ -359,7 +366,7 @@ _COUNTS = ", ".join(" + ".join(f"CAST((length(low) - length(replace(low, '{w}',
 _MOST = "greatest(" + ", ".join(baselines.KEYWORDS) + ")"
 _KIND = f"CASE WHEN {_MOST} = 0 THEN 'unknown' " + " ".join(f"WHEN {t} = {_MOST} THEN '{t}'" for t in baselines.KEYWORDS) + " END"
 _ERRLINE = _contains(baselines.ERROR_WORDS, "lower(x)")
-_SCORE = "(CASE WHEN " + _ERRLINE + " THEN 3 ELSE 0 END + CASE WHEN " + " OR ".join(f"(kind = '{t}' AND {_contains(w, 'lower(x)')})" for t, w in baselines.KEYWORDS.items()) + " THEN 2 ELSE 0 END + CASE WHEN contains(lower(x), 'traceback') OR contains(lower(x), 'stack trace') THEN 2 ELSE 0 END)"
+_SCORE = "(CASE WHEN " + _ERRLINE + " THEN 3 ELSE 0 END + CASE WHEN " + " OR ".join(f"(kind = '{t}' AND {_contains(w, 'lower(x)')})" for t, w in baselines.KEYWORDS.items()) + " THEN 2 ELSE 0 END + CASE WHEN " + _contains(baselines.TRACE_WORDS, "lower(x)") + " THEN 2 ELSE 0 END)"
 _FIRST5 = f"list_slice(list_filter(list_transform(string_split(log_content, chr(10)), lambda x, i: CASE WHEN {_ERRLINE} THEN i END), lambda x: x IS NOT NULL), 1, 5)"
 
 
@@ -549,7 +556,7 @@ def e6_histogram(spark, d):
 
 
 @query(f", {_OVERLAP} SELECT strategy, {_METRICS} FROM f GROUP BY strategy", "predictions")
-def e7_e8_ablation(spark, d):
+def e7_ablation(spark, d):
     return metrics.metrics(_predictions(spark, d), "strategy")
 
 

@@ -24,7 +24,7 @@ def rows(df):
     return sorted(str([r[c] if not isinstance(r[c], float) else f"{r[c]:.5g}" for c in sorted(df.columns)]) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", "t7_triage_events t7_triage_documents t7_kept_in_order t7_removed t1_t6_rules l3_l4_smart_filter l6_truncated l7_detected_lines b1_regex_baseline b2_heuristic_baseline g1_line_map g4_scores e2_metrics e15_aligned e17_metric h5_by_experience s1_read_logs s3_unzipped s6_annotations s9_csv s10_appended_steps r2_page_links r4_chunks r5_nearest r5_nearest_filtered r6_routed_by_mentions r7_docs_block r11_updated_index".split())
+@pytest.mark.parametrize("name", "t7_triage_events t7_triage_documents t7_kept_in_order t7_removed t8_report t8_written t1_t6_rules l3_l4_smart_filter l6_truncated l7_detected_lines b1_regex_baseline b2_heuristic_baseline g1_line_map g4_scores e2_metrics e15_aligned e19_baseline_report e11_baseline_accuracy e17_metric h5_by_experience s1_read_logs s3_unzipped s6_annotations s9_csv s10_appended_steps r2_page_links r4_chunks r5_nearest r5_nearest_filtered r6_routed_by_mentions r7_docs_block r11_updated_index".split())
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
@@ -51,6 +51,29 @@ def test_noise_rules(spark):
     assert [r.s for r in got] == [True, False, True, True, True]
 
 
+def test_case_folds_as_patterns_fold_it(spark):
+    """Literals looked for in a lower-cased text against regular expressions without regard to case."""
+    texts = ["the operation was CANCELED", "The operation wa\u017f canceled", "BAD CREDENT\u0130ALS", "bad credent\u0131als", "Resource not access\u0130ble by \u0130ntegration", "the runner has received a \u017fhutdown signal", "é 401 UNAUTHOR\u0131ZED", "401\nUnauthorized", "401 x\u2028 unauthorized", "unauthorized 401", "cancelling \u017fince a higher priority waiting request", "Cancelling since a higher priority waiting reque\u017ft é", "ünauthorized 401", "straße", ""]
+    c = F.col("c")
+    pattern = lambda p: F.coalesce(c, F.lit("")).rlike("(?iud)" + "|".join(f"(?:{x})" for x in p))
+    got = spark.createDataFrame([(t,) for t in texts], "c string").select(triage.is_cancelled(c).alias("a"), pattern(triage.CANCELLED).alias("wa"), triage.is_token_error(c).alias("b"), pattern(triage.TOKEN_ERRORS).alias("wb")).collect()
+    assert [(r.a, r.b) for r in got] == [(r.wa, r.wb) for r in got]
+    assert sum(r.a for r in got) == 5 and sum(r.b for r in got) == 5
+
+
+def test_kept_and_removed_are_written_in_one_job(spark, tmp_path):
+    texts = ["failed", "plain", "error: x", "error: x", "error: x", "401 unauthorized"]
+    df = spark.createDataFrame([(str(i), i, "r", f"{t} and some more text\n" * 30) for i, t in enumerate(texts)] + [("short", 9, "r", "x")], "log_id string, ord long, repository string, log_content string")
+    path, made = f"file://{tmp_path}/out", triage.triage(df)
+    told = triage.write_triaged(made, path)
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, triage.report(made).collect()))
+    back = spark.read.parquet(path)
+    assert {r.outcome: r["count"] for r in back.groupBy("outcome").count().collect()} == {"kept": 4, "removed": 3}
+    assert sorted(str(r[:6]) for r in back.select(*made.columns).collect()) == sorted(str(r[:6]) for r in made.collect())
+    scans = triage.report(made)._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
+    assert scans == 2  # the logs, and the three levels
+
+
 def cut_by_loop(lines, budget):
     size = lambda x: len("\n".join(x)) // 4
     if size(lines) <= budget:
