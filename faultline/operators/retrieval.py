@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import content
+from faultline.sources.storage import stored
 
 # Fixed values
 DROPPED = ("script", "style", "nav", "footer", "header")
@@ -25,6 +27,8 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, list[int]]] = []
+        self.open: Counter[str] = Counter()  # of the stack's tags
+        self.hidden = 0  # of them dropped ones
         self.found: dict[int, list[str]] = {}
         self.done: set[int] = set()
         self.title: list[str] | None = None
@@ -33,7 +37,7 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         names = {tag, *(f".{x}" for x in (a.get("class") or "").split()), f"#{a.get('id')}"}
-        dropped = any(t in DROPPED for t in (tag, *(t for t, _ in self.stack)))  # such blocks are gone before a main element is looked for
+        dropped = self.hidden or tag in DROPPED  # such blocks are gone before a main element is looked for
         own = [] if dropped else [i for i, m in enumerate(MAIN) if m in names and i not in self.found]
         for i in own:
             self.found[i] = []
@@ -41,21 +45,24 @@ class _Reader(HTMLParser):
             self.done.update(own)
         else:
             self.stack.append((tag, own))
+            self.open[tag] += 1
+            self.hidden += tag in DROPPED
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.stack):
+        if self.open[tag]:
             while self.stack:
                 t, own = self.stack.pop()
+                self.open[t] -= 1
+                self.hidden -= t in DROPPED
                 self.done.update(own)
                 if t == tag:
                     break
 
     def handle_data(self, data):
-        tags = [t for t, _ in self.stack]
-        if "title" in tags:
+        if self.open["title"]:
             self.titles.append(data)
         text = data.strip()
-        if text and not any(t in DROPPED for t in tags):
+        if text and not self.hidden:
             for i in self.found:
                 if i not in self.done:
                     self.found[i].append(text)
@@ -84,7 +91,7 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 def page_links(html: Column, url: Column, base: Column) -> Column:
     """Distinct absolute links under ``base`` in order, without those in dropped blocks."""
-    bare = content(html)
+    bare = F.regexp_replace(content(html), r"(?s)<!--.*?-->", "")
     for tag in DROPPED:
         bare = F.regexp_replace(bare, rf"(?is)<{tag}(?=[\s>/]).*?</{tag}\s*>", "")
     value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -92,7 +99,7 @@ def page_links(html: Column, url: Column, base: Column) -> Column:
     hrefs = F.transform(hrefs, lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
     for written, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         hrefs = F.transform(hrefs, lambda h: F.replace(h, F.lit(written), F.lit(meant)))  # noqa: B023
-    here = F.regexp_replace(url, r"/[^/]*$", "")
+    base, here = F.regexp_replace(base, "/+$", ""), F.regexp_replace(url, r"/[^/]*$", "")
     full = F.transform(hrefs, lambda h: F.when(h.startswith("/"), F.concat(base, h)).when(~h.startswith("http"), F.concat(here, F.lit("/"), h)).otherwise(h))
     return F.array_distinct(F.filter(full, lambda x: F.contains(x, base)))
 
@@ -125,41 +132,137 @@ def chunks(docs: DataFrame, size: int = 500, separator: str = "\n\n") -> DataFra
     return flat.select("source", "url", (F.row_number().over(by_doc) - 1).alias("chunk_no"), "title", "content")
 
 
-def nearest(queries: DataFrame, stored: DataFrame, k: int = 5, query_block: int = 1024, chunk_block: int = 8192) -> DataFrame:
-    """query_id, chunk_id, source, distance (squared L2, 9 places), rank of the k nearest chunks of each query; ties by chunk_id.
+#: Cells of the search at most; their centres are vectors that the driver and each task hold.
+MOST_CELLS = 256
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of two matrices."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
+
+
+def _centres(chunks: DataFrame, most: int) -> np.ndarray:
+    """Vectors of chunks that stand for cells: half the root of their number, those with the least hashes."""
+    n = chunks.count()
+    rows = chunks.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(max(1, min(most, math.isqrt(n) // 2))).select("embedding").collect()
+    return np.array([r.embedding for r in rows], float)
+
+
+def _in_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``chunks`` with cell, that of the nearest centre, and away, the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            d = _distances(_matrix(b.column(2)), centres) if len(b) else np.zeros((0, len(centres)))
+            cell = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(np.sqrt(d[np.arange(len(d)), cell]))], [*b.schema.names, "cell", "away"])
 
-    queries: query_id, embedding and, if wanted, source_filter.  Blocks of queries meet blocks of chunks; each pair keeps its own k best
-    by matrix product, and these are merged by query.  Nothing passes through the driver but two counts.
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema.fields)
+    return chunks.mapInArrow(run, f"{kinds}, cell int, away double")
+
+
+def _visits(asked: DataFrame, centres: np.ndarray, k: int, again: bool) -> DataFrame:
+    """A row for each cell that a query has to visit: its nearest cells till they have ``k`` chunks, or ``again`` all others that can have nearer ones.
+
+    asked: query_id, source, embedding, cells (cell, n, radius) and, for ``again``, reach: the squared distance of the k-th found so far (null: fewer were found).
+    By the triangle inequality a cell has nothing nearer than the distance to its centre less its radius.
     """
-    filtered = "source_filter" in queries.columns
-    across, down = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (stored, chunk_block)))
-    block = lambda name, of, n: F.pmod(F.xxhash64(name), F.lit(of)).cast("int").alias(n)
-    each = lambda of, n: F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(n)
-    left = queries.select("query_id", "embedding", *(["source_filter"] if filtered else []), block("query_id", across, "q")).select("*", each(down, "c"))
-    right = stored.select("chunk_id", "source", "embedding", block("chunk_id", down, "c")).select("*", each(across, "q"))
-
-    def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("chunk_id", ignore_index=True)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            at, cells = [], []
+            d = np.sqrt(_distances(_matrix(b.column(2)), centres)) if len(b) else None
+            for i, own in enumerate(b.column(3).to_pylist()):
+                cell, n, radius = (np.array([x[f] for x in own]) for f in ("cell", "n", "radius"))
+                order = np.lexsort((cell, d[i, cell]))
+                first = order[: int(np.searchsorted(np.cumsum(n[order]), k)) + 1]
+                if again:
+                    reach = b.column(4)[i].as_py()
+                    low = np.maximum(d[i, cell] - radius, 0)
+                    can = np.ones(len(cell), bool) if reach is None else low <= np.sqrt(reach) * (1 + 1e-9) + 1e-6
+                    can[first] = False
+                    first = np.nonzero(can)[0]
+                at += [i] * len(first)
+                cells += cell[first].tolist()
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int32())) for c in b.columns[:3]), pa.array(cells, pa.int32())], ["query_id", "source", "embedding", "cell"])
+
+    kinds = [f"{n} {asked.schema[n].dataType.simpleString()}" for n in ("query_id", "source", "embedding")]
+    return asked.mapInArrow(run, ", ".join([*kinds, "cell int"]))
+
+
+def _met(visits: DataFrame, held: DataFrame, k: int, filtered: bool, query_block: int, chunk_block: int) -> DataFrame:
+    """query_id, chunk_id, source, distance: the ``k`` nearest of each block of a cell for each query that visits it.
+
+    A cell's chunks are dealt to blocks and its visits to others; chunks are copied once for each block of visits, visits once for each block of chunks.
+    """
+    sizes = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk_block).cast("int").alias("down"))
+    calls = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("across"))
+    grid = F.broadcast(stored(sizes.join(calls, "cell"), "cells"))  # MOST_CELLS rows at most
+    own = lambda name, of: F.pmod(F.xxhash64(name), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = visits.join(grid, "cell").select("query_id", "source", "embedding", "cell", own("query_id", "across").alias("q"), each("down").alias("c"))
+    right = held.join(grid, "cell").select("chunk_id", "source", "embedding", "cell", own("chunk_id", "down").alias("c"), each("across").alias("q"))
+
+    def best(q: pa.Table, x: pa.Table) -> pa.Table:
+        parts = [[], [], []]
         if len(q) and len(x):
-            a, b = (np.stack(f["embedding"].to_numpy()).astype(np.float64) for f in (q, x))
-            d = ((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T).round(9)
-            if filtered:
-                d[q["source_filter"].to_numpy()[:, None] != x["source"].to_numpy()[None, :]] = np.inf
-            most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            row, col = np.nonzero((d <= most[:, None]) & np.isfinite(d))
-            order = np.lexsort((col, d[row, col], row))
-            row, col = row[order], col[order]
-            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, col = row[kept], col[kept]
-        else:
-            row = col = np.zeros(0, int)
-        distance = d[row, col] if len(row) else np.zeros(0)
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "chunk_id": x["chunk_id"].to_numpy()[col], "source": x["source"].to_numpy()[col], "distance": distance})
+            x = x.sort_by("chunk_id")
+            b = _matrix(x.column("embedding").combine_chunks())
+            theirs = x.column("source").to_pandas().to_numpy()
+            for start in range(0, len(q), 512):
+                some = q.slice(start, 512)
+                d = _distances(_matrix(some.column("embedding").combine_chunks()), b).round(9)
+                if filtered:
+                    d[some.column("source").to_pandas().to_numpy()[:, None] != theirs[None, :]] = np.inf
+                most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                row, col = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+                order = np.lexsort((col, d[row, col], row))
+                row, col = row[order], col[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                for out, v in zip(parts, (row[kept] + start, col[kept], d[row[kept], col[kept]]), strict=True):
+                    out.append(v)
+        row, col = (np.concatenate([np.zeros(0, int), *p]) for p in parts[:2])
+        take = lambda t, name, i: t.column(name).take(pa.array(i))
+        return pa.table([take(q, "query_id", row), take(x, "chunk_id", col), take(x, "source", col), pa.array(np.concatenate([np.zeros(0), *parts[2]]))], ["query_id", "chunk_id", "source", "distance"])
+
+    kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((visits, "query_id"), (held, "chunk_id"), (held, "source"))]
+    by = ["cell", "c", "q"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, ", ".join([*kinds, "distance double"]))
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, k: int = 5, query_block: int = 1 << 16, chunk_block: int = 8192, most_cells: int = MOST_CELLS) -> DataFrame:
+    """query_id, chunk_id, source, distance (squared L2, 9 places), rank of the k nearest chunks of each query; ties by chunk_id.
 
-    kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((queries, "query_id"), (stored, "chunk_id"), (stored, "source"))]
-    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(best, ", ".join([*kinds, "distance double"]))
+    queries: query_id (each once), embedding and, if wanted, source_filter.  The search is exact: chunks are dealt to cells about some of them; a query
+    visits the nearest cells first, and then only cells that can have something nearer than what it has found, by the triangle
+    inequality.  Rows without a vector have no distance and are left out; a filter that no chunk has finds nothing.
+    """
+    filtered = "source_filter" in queries.columns
+    chunks = chunks.select("chunk_id", "source", "embedding").filter("embedding is not null")
+    centres = _centres(chunks, most_cells)
+    source = chunks.schema["source"].dataType
+    asked = queries.filter("embedding is not null").select("query_id", (F.col("source_filter") if filtered else F.lit(None)).cast(source).alias("source"), "embedding")
     merged = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return found.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
+    if not len(centres):
+        kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((asked, "query_id"), (chunks, "chunk_id"), (chunks, "source"))]
+        return chunks.sparkSession.createDataFrame([], ", ".join([*kinds, "distance double, rank int"]))
+    held = stored(_in_cells(chunks, centres), "chunks-in-cells")
+    facts = held.groupBy("source", "cell") if filtered else held.groupBy(F.lit(None).cast(source).alias("source"), "cell")
+    cells = F.collect_list(F.struct("cell", "n", "radius"))  # MOST_CELLS at most
+    lists = facts.agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).groupBy("source").agg(cells.alias("cells"))
+    lists = stored(lists.withColumnRenamed("source", "_source"), "cells")
+    same = F.col("source") == F.col("_source") if filtered else F.lit(True)
+    known = stored(asked.join(F.broadcast(lists) if lists.count() <= 4096 else lists, same).drop("_source"), "asked")
+    first = stored(ranked(_met(_visits(known, centres, k, False), held, k, filtered, query_block, chunk_block)).drop("rank"), "found")
+    reach = first.groupBy(F.col("query_id").alias("_query")).agg(F.max("distance").alias("d"), F.count(F.lit(1)).alias("n"))
+    further = known.join(reach, F.col("query_id") == F.col("_query"), "left").select("query_id", "source", "embedding", "cells", F.when(F.col("n") >= k, F.col("d")).alias("reach"))
+    visits = stored(_visits(further, centres, k, True), "visits")
+    return ranked(first.unionByName(_met(visits, held, k, filtered, query_block, chunk_block)))
 
 
 def routed(mentions: DataFrame, by_tool: DataFrame, general: DataFrame, keep: int = 5, each: int = 3) -> DataFrame:
@@ -195,8 +298,8 @@ def with_without(results: DataFrame) -> DataFrame:
     return results.groupBy("arm").agg(F.avg(F.coalesce("fix_quality", F.lit(0.0))).alias("mean_fix_quality"), F.avg((F.coalesce(F.size("documentation_references"), F.lit(0)) > 0).cast("double")).alias("cited"))
 
 
-def index_stats(stored: DataFrame) -> DataFrame:
-    return stored.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
+def index_stats(chunked: DataFrame) -> DataFrame:
+    return chunked.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def write_index(chunked: DataFrame, path: str, update: bool = False) -> None:

@@ -687,7 +687,7 @@ def r1_page_text(spark, d):
     return retrieval.page_text(_pages(spark, d))
 
 
-@query("SELECT page_id, list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?is)<nav\\b.*?</nav\\s*>', '', 'g'), '(?is)<footer\\b.*?</footer\\s*>', '', 'g'), '(?is)<header\\b.*?</header\\s*>', '', 'g'), '(?is)<a\\b[^>]*?\\bhref=\"([^\"]*)\"', 1), lambda h: CASE WHEN starts_with(h, '/') THEN 'http' || h WHEN NOT starts_with(h, 'http') THEN regexp_replace(url, '/[^/]*$', '') || '/' || h ELSE h END), lambda x: contains(x, 'http'))) AS links FROM pages")
+@query("SELECT page_id, list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?is)<nav\\b.*?</nav\\s*>', '', 'g'), '(?is)<footer\\b.*?</footer\\s*>', '', 'g'), '(?is)<header\\b.*?</header\\s*>', '', 'g'), '(?is)<a\\b[^>]*?\\bhref=\"([^\"]*)\"', 1), lambda h: CASE WHEN starts_with(h, '/') THEN 'http' || h WHEN NOT starts_with(h, 'http') THEN regexp_replace(url, '/[^/]*$', '') || '/' || h ELSE h END), lambda x: contains(x, 'http'))) AS links FROM pages")
 def r2_page_links(spark, d):
     return _pages(spark, d).select("page_id", F.array_sort(retrieval.page_links(F.col("html"), F.col("url"), F.lit("http"))).alias("links"))
 
