@@ -868,3 +868,9 @@ def h7_helpfulness(spark, d):
 @query("SELECT workflow_name, 'task_' || log_id || '_' || CAST(p AS VARCHAR) AS task_id, log_id, p AS position, p % 2 = 0 AS with_assistance FROM (SELECT *, row_number() OVER (PARTITION BY workflow_name ORDER BY ord) - 1 AS p FROM logs) WHERE p < 8", "logs")
 def h8_assignments(spark, d):
     return study.assignments(views.logs(spark, d), by="workflow_name")
+
+
+@query("SELECT 'task_' || log_id || '_' || CAST(p AS VARCHAR) AS task_id, log_id, p AS position, p % 2 = 0 AS with_assistance FROM (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS p FROM logs) WHERE p < 8", "logs")
+def h8_assignments_of_all(spark, d):
+    """The first eight logs of all (the study's number of tasks)."""
+    return study.assignments(views.logs(spark, d))

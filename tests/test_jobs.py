@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions.text import strip
-from faultline.operators import baselines, grounding, metrics, reduction, retrieval, stats, triage
+from faultline.operators import baselines, grounding, metrics, reduction, retrieval, stats, study, triage
 from faultline.plans.queries import ORACLES, QUERIES
 from faultline.sources import logs as sources
 from faultline.sources import storage
@@ -24,7 +24,7 @@ def rows(df):
     return sorted(str([r[c] if not isinstance(r[c], float) else f"{r[c]:.5g}" for c in sorted(df.columns)]) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", "t7_triage_events t7_triage_documents t7_kept_in_order t7_removed t8_report t8_written t1_t6_rules l3_l4_smart_filter l6_truncated l7_detected_lines b1_regex_baseline b2_heuristic_baseline g1_line_map g4_scores e2_metrics e15_aligned e19_baseline_report e11_baseline_accuracy e17_metric h5_by_experience s1_read_logs s3_unzipped s6_annotations s9_csv s10_appended_steps r2_page_links r4_chunks r5_nearest r5_nearest_filtered r6_routed_by_mentions r7_docs_block r11_updated_index".split())
+@pytest.mark.parametrize("name", "t7_triage_events t7_triage_documents t7_kept_in_order t7_removed t8_report t8_written t1_t6_rules l3_l4_smart_filter l6_truncated l7_detected_lines b1_regex_baseline b2_heuristic_baseline g1_line_map g4_scores e2_metrics e15_aligned e19_baseline_report e11_baseline_accuracy e17_metric h5_by_experience h8_assignments h8_assignments_of_all s1_read_logs s3_unzipped s6_annotations s9_csv s10_appended_steps r2_page_links r4_chunks r5_nearest r5_nearest_filtered r6_routed_by_mentions r7_docs_block r11_updated_index".split())
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
@@ -282,3 +282,34 @@ def test_sections_are_packed_in_order(spark):
     text = "Intro\n" + "\n\n".join(["p" * 300, "q" * 300, "r" * 100]) + "\nNext\nshort"
     got = retrieval.chunks(spark.createDataFrame([("s", "u", text)], "source string, url string, content string")).orderBy("chunk_no").collect()
     assert [(r.chunk_no, r.title, r.content) for r in got] == [(0, "Intro", "p" * 300), (1, "Intro", "q" * 300 + "\n\n" + "r" * 100), (2, "Next", "short")]
+
+
+def test_pooled_t_and_its_p(spark):
+    """Two small arms by hand: means 10 and 14, pooled variance 4, so t = 4 / sqrt(4 * (1/4 + 1/4)) = 2.828... with 6 degrees."""
+    times = {True: [8.0, 9.0, 11.0, 12.0], False: [12.0, 13.0, 15.0, 16.0]}
+    df = spark.createDataFrame([(w, t) for w, own in times.items() for t in own], "with_assistance boolean, time_to_insight double")
+    r = study.time_to_insight(df).first()
+    var = 10 / 3
+    assert r.t == pytest.approx(4 / math.sqrt(var / 2)) and r.df == 6 and r.reduction_percent == pytest.approx((1 - 10 / 14) * 100)
+    # For 6 degrees: P(|T| > t) = 1 - x (1 + a / 2 + 3 a^2 / 8) with x = t / sqrt(6 + t^2) and a = 6 / (6 + t^2).
+    x, a = r.t / math.sqrt(6 + r.t**2), 6 / (6 + r.t**2)
+    assert r.p_value == pytest.approx(1 - x * (1 + a / 2 + 3 * a * a / 8), abs=1e-12)
+    alone = study.time_to_insight(df.filter("with_assistance")).first()
+    assert alone.mean_without is None and alone.t is None and (alone.p_value is None or math.isnan(alone.p_value))
+
+
+def test_assignments_alternate(spark):
+    logs = spark.createDataFrame([(f"l{i}", 100 - i) for i in range(12)], "log_id string, ord long").repartition(4)
+    got = study.assignments(logs).orderBy("position").collect()
+    assert [(r.task_id, r.with_assistance) for r in got] == [(f"task_l{11 - i}_{i}", i % 2 == 0) for i in range(8)]
+    assert study.assignments(logs.limit(0)).count() == 0
+
+
+def test_a_file_without_content_keeps_its_heading(spark):
+    parts = spark.createDataFrame([("1", "a", None), ("1", "b", "two"), ("2", None, None)], "run_id string, name string, content string")
+    assert {r.run_id: r.log_content for r in sources.assembled(parts).collect()} == {"1": "=== a ===\n\n=== b ===\ntwo", "2": ""}
+
+
+def test_totals_of_no_annotations(spark):
+    none = spark.createDataFrame([], "failure_type string, confidence double")
+    assert [tuple(r) for r in sources.annotation_stats(none).collect()] == [("total", None, 0, None)]
