@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.text import content, has_any
+from faultline.functions.text import any_of, content, has_any, once, times
+from faultline.operators import baselines, triage
 from faultline.operators.reduction import ERROR_KEYWORDS, MARKER
 from faultline.sources.storage import stored
 
@@ -79,11 +80,19 @@ def reduced_lines(lines: DataFrame, max_lines: int = 500, width: int = 20, keywo
     around = Window.partitionBy(*KEY).orderBy("line_no").rangeBetween(-width, width)
     hit = halo.withColumn("hit", F.max("err").over(around)).filter("own and hit").select(*KEY, "line_no", "line")
     kept = stored(hit.unionByName(tail), "kept-lines")
-    sizes = kept.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"))
-    before = F.coalesce(F.sum("k").over(of_log.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = sizes.select(*KEY, before.alias("before")).filter(F.col("before") < max_lines)
-    ranked = kept.join(first, list(KEY)).withColumn("rank", (F.col("before") + F.row_number().over(Window.partitionBy(*KEY).orderBy("line_no"))).cast("int"))
-    return ranked.filter(F.col("rank") <= max_lines).select("log_id", "line_no", "line", "rank")
+    return first_lines(kept, max_lines).select("log_id", "line_no", "line", "rank")
+
+
+def first_lines(rows: DataFrame, most: int, keys: Sequence[str] = ("log_id",)) -> DataFrame:
+    """The first ``most`` of stored ``rows`` (keys, seg, line_no, ...) of each key, with their rank from 1.
+
+    Sizes of segments say where a key's first rows are; only these segments are moved and ranked.
+    """
+    sizes = rows.groupBy(*keys, "seg").agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(*keys).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sizes.select(*keys, "seg", before.alias("before")).filter(F.col("before") < most)
+    ranked = rows.join(first, [*keys, "seg"]).withColumn("rank", (F.col("before") + F.row_number().over(Window.partitionBy(*keys, "seg").orderBy("line_no"))).cast("int"))
+    return ranked.filter(F.col("rank") <= most).drop("before")
 
 
 def truncated(rendered: DataFrame, max_tokens: int = 12000, segment: int = SEGMENT) -> DataFrame:
@@ -124,3 +133,55 @@ def smart_filter(lines: DataFrame, max_lines: int = 500, width: int = 20, max_to
     """log_id, filtered: the reduced lines as ``[Line N] text`` (N from 0), cut to the token budget."""
     kept = reduced_lines(lines, max_lines, width, keywords, segment)
     return truncated(kept.select("log_id", "rank", F.concat(F.lit("[Line "), F.col("line_no").cast("string"), F.lit("] "), "line").alias("text")), max_tokens, segment)
+
+
+def triage_facts(lines: DataFrame, min_lines: int = 20, words: list[str] = triage.SIGNATURE_WORDS, segment: int = SEGMENT) -> DataFrame:
+    """log_id, rule, signature, priority of every log, as triage has them of texts: what a line tells is summed over a log's lines.
+
+    No rule's pattern reaches over a line's end.  A signature's first 20 lines are those of the log's first segments that have any.
+    """
+    c, low = content(F.col("line")), F.lower(content(F.col("line")))
+    level = F.when(has_any(low, triage.HIGH_WORDS), 0).when(has_any(low, triage.MEDIUM_WORDS), 1).otherwise(2)
+    told = lines.groupBy("log_id").agg(F.max(triage.is_cancelled(c)).alias("a"), F.max(triage.is_token_error(c)).alias("b"), F.count(F.lit(1)).alias("n"), F.min(level).alias("p"))
+    rule = F.when(F.col("a"), triage.REASONS[0]).when(F.col("b"), triage.REASONS[1]).when(F.col("n") < min_lines, triage.REASONS[2])
+    place = F.floor(F.col("line_no") / segment)
+    errors = lines.filter(has_any(low, words)).select("log_id", place.alias("seg"), "line_no", triage.bare_line(c).alias("bare")).filter(F.length("bare") > 10)
+    first = first_lines(stored(errors, "error-lines"), triage.SIGNATURE_LINES).groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("bare", 1, triage.SIGNATURE_LENGTH).alias("t")))).alias("x"))  # 20 lines
+    signed = first.select("log_id", triage.signature_of(F.transform("x", lambda r: r["t"])).alias("signature"))
+    named = F.element_at(F.array(*map(F.lit, triage.PRIORITIES)), F.col("p") + 1)
+    return told.join(signed, "log_id", "left").select("log_id", rule.alias("rule"), F.coalesce("signature", F.lit(triage.NO_ERRORS)).alias("signature"), named.alias("priority"))
+
+
+def triaged(logs: DataFrame, lines: DataFrame, max_duplicates: int = 2, min_lines: int = 20, segment: int = SEGMENT) -> DataFrame:
+    """Triage of logs (log_id, ord, repository; each log_id once) whose texts are a table of lines; a log without lines is an empty text."""
+    facts = triage_facts(lines, min_lines, segment=segment)
+    empty = F.when(F.lit(1 < min_lines), triage.REASONS[2])  # one line, and that is empty
+    rule = F.when(F.col("priority").isNull(), empty).otherwise(F.col("rule"))
+    joined = logs.select("log_id", "ord", "repository").join(facts, "log_id", "left")
+    return triage.capped(joined.select("log_id", "ord", "repository", rule.alias("rule"), F.coalesce("signature", F.lit(triage.NO_ERRORS)).alias("signature"), F.coalesce("priority", F.lit(triage.PRIORITIES[-1])).alias("priority")), max_duplicates)
+
+
+def baseline_facts(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """log_id, regex_type, regex_lines, heuristic_type, heuristic_lines (numbers from 1) of every log, as the rule baselines have them of texts.
+
+    Words are counted by line and summed.  Lines with a word of an error are stored once; the five of a log are the first of each score.
+    """
+    c, low = content(F.col("line")), F.lower(content(F.col("line")))
+    hits = [F.max(c.rlike(any_of(p))).alias(f"r_{t}") for t, p in baselines.REGEX_TYPES.items()]
+    counts = [F.sum(sum((times(low, w) for w in words), F.lit(0))).alias(t) for t, words in baselines.KEYWORDS.items()]
+    told = lines.groupBy("log_id").agg(*hits, *counts)
+    regex = F.coalesce(*(F.when(F.col(f"r_{t}"), t) for t in baselines.REGEX_TYPES), F.lit("unknown"))
+    told = stored(told.select("log_id", regex.alias("regex_type"), baselines.heuristic_type(F.struct(*baselines.KEYWORDS)).alias("heuristic_type")), "types")
+    likely = lines.filter(has_any(low, baselines.ERROR_WORDS + baselines.TRACE_WORDS)).select("log_id", "line_no", F.floor(F.col("line_no") / segment).alias("seg"), low.alias("low"))
+    own = lambda kind, x: F.coalesce(*(F.when(kind == t, has_any(x, words)) for t, words in baselines.KEYWORDS.items()), F.lit(False))
+    of_line = lambda kind: once(F.col("low"), lambda x: F.when(has_any(x, baselines.ERROR_WORDS), 3).otherwise(0) + F.when(own(kind, x), 2).otherwise(0) + F.when(has_any(x, baselines.TRACE_WORDS), 2).otherwise(0))
+    # A log's type is told to its segments, so that lines meet it by segment.
+    kinds = likely.select(*KEY).distinct().join(told.select("log_id", F.col("heuristic_type").alias("kind")), "log_id")
+    scored = likely.join(stored(kinds, "types-of-segments"), list(KEY)).select(*KEY, "line_no", has_any(F.col("low"), baselines.ERROR_WORDS).alias("err"), of_line(F.col("kind")).alias("score"))
+    scored = stored(scored, "scored-lines")
+    by_score = first_lines(scored.filter("score >= 3"), 5, ("log_id", "score"))  # five of each score at most
+    best = by_score.groupBy("log_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("line_no").alias("n")))), 1, 5).alias("x")).select("log_id", F.transform("x", lambda r: (r["n"] + 1).cast("int")).alias("heuristic_lines"))
+    first = first_lines(scored.filter("err"), 5).groupBy("log_id").agg(F.array_sort(F.collect_list((F.col("line_no") + 1).cast("int"))).alias("regex_lines"))
+    none = F.array().cast("array<int>")
+    out = told.join(first, "log_id", "left").join(best, "log_id", "left")
+    return out.select("log_id", "regex_type", F.coalesce("regex_lines", none).alias("regex_lines"), "heuristic_type", F.coalesce("heuristic_lines", none).alias("heuristic_lines"))

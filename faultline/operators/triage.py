@@ -14,6 +14,7 @@ SIGNATURE_WORDS = ["error", "failed", "exception", "fatal", "traceback"]
 TIMESTAMP = r"\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}[.\d]*Z?"
 ANSI = r"\x1b\[[0-9;]*m"
 ADDRESS = "0x[0-9a-fA-F]+"
+SIGNATURE_LINES, SIGNATURE_LENGTH = 20, 200
 HIGH_WORDS = ["traceback", "stack trace", "error:", "fatal"]
 MEDIUM_WORDS = ["failed", "failure"]
 FOLDING = "ſİıK"  # the letters beyond ASCII that match s, i, i, k where case doesn't count
@@ -56,11 +57,20 @@ def is_too_short(c: Column, min_lines: int = 20) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1 < min_lines
 
 
+def bare_line(x: Column) -> Column:
+    """A line without times, colours and addresses."""
+    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, TIMESTAMP, ""), ANSI, ""), ADDRESS, "0xADDR"))
+
+
+def signature_of(kept: Column) -> Column:
+    """12 hex digits of the md5 of an array of lines."""
+    return F.substring(F.md5(F.array_join(kept, "\n").cast("binary")), 1, 12)
+
+
 def _signature(c: Column, low: Column, words: list[str]) -> Column:
-    bare = lambda x: strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, TIMESTAMP, ""), ANSI, ""), ADDRESS, "0xADDR"))
     errors = F.array_compact(F.zip_with(lines(low), lines(c), lambda x, own: F.when(has_any(x, words), own)))
-    kept = F.slice(F.filter(F.transform(errors, bare), lambda x: F.length(x) > 10), 1, 20)
-    return F.when(has_any(low, words), F.substring(F.md5(F.array_join(F.transform(kept, lambda x: F.substring(x, 1, 200)), "\n").cast("binary")), 1, 12)).otherwise(NO_ERRORS)
+    kept = F.slice(F.filter(F.transform(errors, bare_line), lambda x: F.length(x) > 10), 1, SIGNATURE_LINES)
+    return F.when(has_any(low, words), signature_of(F.transform(kept, lambda x: F.substring(x, 1, SIGNATURE_LENGTH)))).otherwise(NO_ERRORS)
 
 
 def error_signature(c: Column, words: list[str] = SIGNATURE_WORDS) -> Column:
@@ -95,6 +105,11 @@ def triage(logs: DataFrame, max_duplicates: int = 2, min_lines: int = 20, words:
     like errors first, and then only each part's first rows, so a repository full of them is no single task.
     """
     facts = logs.select("log_id", "ord", "repository", _facts(F.col("log_content"), min_lines, words).alias("f")).select("log_id", "ord", "repository", "f.*")
+    return capped(facts, max_duplicates, cap_empty_signature)
+
+
+def capped(facts: DataFrame, max_duplicates: int = 2, cap_empty_signature: bool = True) -> DataFrame:
+    """The reason of each row of facts (log_id, ord, repository, rule, signature, priority): its rule, or that it repeats others' errors too often."""
     counted = F.col("rule").isNull() if cap_empty_signature else F.col("rule").isNull() & (F.col("signature") != NO_ERRORS)
     facts = facts.withColumn("counted", counted).withColumn("part", F.pmod(F.xxhash64("ord", "log_id"), F.lit(64)))
     ranked = lambda df, name: df.withColumn(name, F.row_number().over(Window.partitionBy("repository", "signature", "counted", "part").orderBy("ord", "log_id")))

@@ -332,6 +332,14 @@ def l6_truncated_lines(lines):
     return line_table.truncated(lines.select("log_id", (F.col("line_no") + 1).alias("rank"), F.col("line").alias("text")), max_tokens=100, segment=16)
 
 
+@query(_triage_sql("event_logs", 20), "event_logs")
+def t7_triage_of_lines(spark, d):
+    """Triage of the event logs as a table of lines; logs are told by their lines alone."""
+    users = views.table(spark, d, "events").select(F.col("user_id").alias("ord")).distinct()
+    logs = users.select(F.col("ord").cast("string").alias("log_id"), "ord", (F.col("ord") % 17).cast("string").alias("repository"))
+    return line_table.triaged(logs, views.event_lines(spark, d), segment=16)
+
+
 @query("SELECT log_id, length(log_content) // 4 AS tokens FROM logs", "logs")
 def l5_tokens(spark, d):
     return views.logs(spark, d).select("log_id", tokens(F.col("log_content")).alias("tokens"))
@@ -399,6 +407,12 @@ def b2_heuristic_baseline(spark, d):
     return kind.select("log_id", "error_type", baselines.heuristic_lines(c, F.col("error_type")).alias("lines"))
 
 
+@query(f"SELECT r.log_id, r.error_type AS regex_type, r.lines AS regex_lines, h.error_type AS heuristic_type, h.lines AS heuristic_lines FROM ({ORACLES['b1_regex_baseline']}) r JOIN ({ORACLES['b2_heuristic_baseline']}) h ON r.log_id = h.log_id")
+def b1_b2_baselines_of_lines(spark, d):
+    """Both baselines of the event logs as a table of lines."""
+    return line_table.baseline_facts(views.event_lines(spark, d), segment=16)
+
+
 # --- model input and output ------------------------------------------------------------------------------------------
 
 
@@ -502,6 +516,16 @@ def g2_exact(spark, d):
     return grounding.verified(e, grounding.line_map(_rendered(spark, d), e), fuzzy=False).select("log_id", "line_number", "exact")
 
 
+@query(f", {_EVIDENCE} SELECT log_id, line_number, trim(cited) <> '' AND contains(line, trim(cited)) AS exact FROM evidence", "event_logs")
+def g2_exact_of_lines(spark, d):
+    """Citations against the table of lines: an equi-join by log and line, whatever a log's size."""
+    rows = views.event_lines(spark, d)
+    i = F.col("line_no")
+    cited = F.when(i % 5 == 0, "something else entirely").when(i % 7 == 0, F.expr("left(line, cast(floor(length(line) * 6 / 10) as int))")).when(i % 11 == 0, "").otherwise(F.col("line"))
+    evidence = rows.filter(F.contains("line", F.lit("error"))).select("log_id", i.alias("evidence_no"), i.alias("line_number"), cited.alias("cited"))
+    return grounding.verified(evidence, rows.select("log_id", i.alias("line_number"), F.col("line").alias("content")), fuzzy=False).select("log_id", "line_number", "exact")
+
+
 @query()
 def g3_fuzzy(spark, d):
     e = _evidence(spark, d)

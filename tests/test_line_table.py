@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import line_table, reduction
+from faultline.operators import baselines, line_table, reduction, triage
 from faultline.plans.queries import ORACLES, QUERIES
 from faultline.sources import views
 
@@ -67,7 +67,7 @@ def test_numbering_by_spans(spark):
     assert as_rows(d) == as_rows(reduction.log_lines(texts).select("log_id", "line_no", "line"))
 
 
-@pytest.mark.parametrize("name", ["l2_windows_of_lines", "l3_l4_filter_of_lines", "l6_truncated_lines"])
+@pytest.mark.parametrize("name", ["l2_windows_of_lines", "l3_l4_filter_of_lines", "l6_truncated_lines", "t7_triage_of_lines", "b1_b2_baselines_of_lines", "g2_exact_of_lines"])
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     c.execute(f"create view events as select * from '{D}/events.parquet'")
@@ -75,3 +75,31 @@ def test_query_equals_sql(spark, name):
     names = [x[0] for x in got.description]
     want = sorted(str(tuple(v for _, v in sorted(zip(names, r, strict=True)))) for r in got.fetchall())
     assert as_rows(QUERIES[name](spark, D)) == want and want
+
+
+def noisy(spark):
+    rng = np.random.default_rng(5)
+    words = ["ok", "2024-10-01T10:00:00Z error at 0xDEAD42 of the module", "npm ERR! failed to build with gradle", "FATAL: timeout while connecting to the server", "Traceback (most recent call last)", "x" * 30, "pytest failed with an exception here", "", "permission denied: docker", "stack trace of the test failure"]
+    rows = [(f"l{i:02d}", i, f"r{i % 2}", "\n".join(rng.choice(words, int(rng.integers(1, 60)), p=[0.4, *[0.06] * 8, 0.12]))) for i in range(30)]
+    same = "\n".join(["error: the very same thing"] * 30 + ["tail"])
+    rows += [(f"s{i}", 50 + i, "r0", same) for i in range(4)] + [("c", 90, "r0", "a\n" * 30 + "The operation was CANCELED"), ("t", 91, "r1", "a\n" * 30 + "401 is unauthorized"), ("two", 92, "r1", "401\nunauthorized\n" * 20), ("empty", 93, "r1", "")]
+    return spark.createDataFrame(rows, "log_id string, ord long, repository string, log_content string")
+
+
+@pytest.mark.parametrize("segment", [1, 7, 1024])
+def test_triage_and_baselines_equal_to_whole_logs(spark, segment):
+    logs = noisy(spark)
+    lines = lines_of(logs)
+    assert as_rows(line_table.triaged(logs, lines, segment=segment)) == as_rows(triage.triage(logs))
+    assert {r.reason for r in line_table.triaged(logs, lines, segment=segment).collect()} == {None, *triage.REASONS}
+    c = F.col("log_content")
+    kind = logs.withColumn("heuristic_type", baselines.heuristic_type(baselines.heuristic_counts(c)))
+    want = kind.select("log_id", baselines.regex_type(c).alias("regex_type"), baselines.regex_lines(c).alias("regex_lines"), "heuristic_type", baselines.heuristic_lines(c, F.col("heuristic_type")).alias("heuristic_lines"))
+    assert as_rows(line_table.baseline_facts(lines, segment)) == as_rows(want)
+
+
+def test_logs_without_lines_are_empty_texts(spark):
+    logs = noisy(spark).limit(3).drop("log_content")
+    none = spark.createDataFrame([], "log_id string, line_no long, line string")
+    assert {(r.reason, r.signature, r.priority) for r in line_table.triaged(logs, none).collect()} == {("too_short", triage.NO_ERRORS, "low")}
+    assert line_table.baseline_facts(none).count() == 0 and line_table.triage_facts(none).count() == 0
