@@ -24,8 +24,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def maybe_broadcast(df: DataFrame, bytes_measured: int) -> DataFrame:
-    """``df`` with a broadcast hint if its measured size allows one, else as it is (a shuffled join)."""
-    return F.broadcast(df) if bytes_measured <= BROADCAST_BYTES else df
+    """``df`` with a broadcast hint if its measured size allows one, else with that of a shuffled join.
+
+    The measured size decides alone: Spark's own choice goes by the compressed bytes of files, so it would join one way here and another there.
+    """
+    return F.broadcast(df) if bytes_measured <= BROADCAST_BYTES else df.hint("merge")
 
 
 def hinted(df: DataFrame) -> DataFrame:
