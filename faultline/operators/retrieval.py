@@ -145,9 +145,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
 
 
-def _centres(chunks: DataFrame, most: int) -> np.ndarray:
-    """Vectors of chunks that stand for cells: half the root of their number, those with the least hashes."""
-    n = chunks.count()
+def _centres(chunks: DataFrame, n: int, most: int) -> np.ndarray:
+    """Vectors of the ``n`` chunks that stand for cells: half the root of their number, those with the least hashes."""
     rows = chunks.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(max(1, min(most, math.isqrt(n) // 2))).select("embedding").collect()
     return np.array([r.embedding for r in rows], float)
 
@@ -201,7 +200,7 @@ def _met(visits: DataFrame, held: DataFrame, k: int, filtered: bool, query_block
     """
     sizes = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk_block).cast("int").alias("down"))
     calls = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("across"))
-    grid = F.broadcast(stored(sizes.join(calls, "cell"), "cells"))  # MOST_CELLS rows at most
+    grid = F.broadcast(sizes.join(calls, "cell"))  # MOST_CELLS rows at most
     own = lambda name, of: F.pmod(F.xxhash64(name), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     left = visits.join(grid, "cell").select("query_id", "source", "embedding", "cell", own("query_id", "across").alias("q"), each("down").alias("c"))
@@ -243,14 +242,14 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int = 5, query_block: int
     """
     filtered = "source_filter" in queries.columns
     chunks = chunks.select("chunk_id", "source", "embedding").filter("embedding is not null")
-    centres = _centres(chunks, most_cells)
+    n = chunks.count()
     source = chunks.schema["source"].dataType
     asked = queries.filter("embedding is not null").select("query_id", (F.col("source_filter") if filtered else F.lit(None)).cast(source).alias("source"), "embedding")
     merged = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
-    if not len(centres):
-        kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((asked, "query_id"), (chunks, "chunk_id"), (chunks, "source"))]
-        return chunks.sparkSession.createDataFrame([], ", ".join([*kinds, "distance double, rank int"]))
+    if n <= chunk_block:  # one cell of one block: there is nothing to leave out
+        return ranked(_met(asked.withColumn("cell", F.lit(0)), chunks.withColumn("cell", F.lit(0)), k, filtered, query_block, chunk_block))
+    centres = _centres(chunks, n, most_cells)
     held = stored(_in_cells(chunks, centres), "chunks-in-cells")
     facts = held.groupBy("source", "cell") if filtered else held.groupBy(F.lit(None).cast(source).alias("source"), "cell")
     cells = F.collect_list(F.struct("cell", "n", "radius"))  # MOST_CELLS at most

@@ -25,31 +25,29 @@ NO_ERRORS = "d41d8cd98f00"  # the signature of a log without error lines
 
 def _folded(c: Column, low: Column) -> Column:
     """The text as patterns without regard to case see it: lower-cased, and the four letters beyond ASCII that fold to ASCII ones."""
-    return F.when(F.length(c) == F.octet_length(c), low).otherwise(F.lower(F.translate(c, FOLDING, "siik")))
+    return F.when((F.length(c) == F.octet_length(c)) | ~has_any(c, list(FOLDING)), low).otherwise(F.lower(F.translate(c, FOLDING, "siik")))
 
 
-def _has_literal(c: Column, low: Column, patterns: list[str]) -> Column:
+def _has_literal(c: Column, folded: Column, patterns: list[str]) -> Column:
     """Whether a text has one of ``patterns``, without regard to case; a literal is looked for as such, ``a.*b`` only where both ends stand."""
-
-    def found(folded: Column) -> Column:
-        out = F.lit(False)
-        for p in patterns:
-            ends = p.lower().split(".*")
-            both = folded.contains(ends[0])
-            for end in ends[1:]:
-                both = both & folded.contains(end)
-            out = out | (both if len(ends) == 1 else both & c.rlike(ANY_CASE + p))
-        return out
-
-    return once(_folded(c, low), found)
+    out = F.lit(False)
+    for p in patterns:
+        ends = p.lower().split(".*")
+        both = folded.contains(ends[0])
+        for end in ends[1:]:
+            both = both & folded.contains(end)
+        out = out | (both if len(ends) == 1 else both & c.rlike(ANY_CASE + p))
+    return out
 
 
 def is_cancelled(c: Column) -> Column:
-    return _has_literal(content(c), F.lower(content(c)), CANCELLED)
+    c = content(c)
+    return once(_folded(c, F.lower(c)), lambda folded: _has_literal(c, folded, CANCELLED))
 
 
 def is_token_error(c: Column) -> Column:
-    return _has_literal(content(c), F.lower(content(c)), TOKEN_ERRORS)
+    c = content(c)
+    return once(_folded(c, F.lower(c)), lambda folded: _has_literal(c, folded, TOKEN_ERRORS))
 
 
 def is_too_short(c: Column, min_lines: int = 20) -> Column:
@@ -90,9 +88,11 @@ def _facts(c: Column, min_lines: int, words: list[str]) -> Column:
     """rule, signature and priority of a log, whose text is lower-cased once."""
     c = content(c)
 
+    def rule_of(folded: Column) -> Column:
+        return F.when(_has_literal(c, folded, CANCELLED), REASONS[0]).when(_has_literal(c, folded, TOKEN_ERRORS), REASONS[1]).when(is_too_short(c, min_lines), REASONS[2])
+
     def of(low: Column) -> Column:
-        rule = F.when(_has_literal(c, low, CANCELLED), REASONS[0]).when(_has_literal(c, low, TOKEN_ERRORS), REASONS[1]).when(is_too_short(c, min_lines), REASONS[2])
-        return F.struct(rule.alias("rule"), _signature(c, low, words).alias("signature"), _priority(low).alias("priority"))
+        return F.struct(once(_folded(c, low), rule_of).alias("rule"), _signature(c, low, words).alias("signature"), _priority(low).alias("priority"))
 
     return once(F.lower(c), of)
 

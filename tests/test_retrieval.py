@@ -31,7 +31,7 @@ def tables(spark, points, sources, asked, wanted=None):
     return spark.createDataFrame(rows, "query_id long, embedding array<double>" + (", source_filter string" if wanted else "")), chunks
 
 
-@pytest.mark.parametrize("blocks", [(1 << 16, 8192), (3, 40)])
+@pytest.mark.parametrize("blocks", [(1 << 16, 8192), (1 << 16, 500), (3, 40)])
 def test_cells_find_all_that_all_distances_find(spark, blocks):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(12, 8)) * 20
@@ -60,12 +60,12 @@ def test_most_cells_are_not_visited(spark):
     points = np.vstack([centres[i % 40] + rng.normal(size=6) for i in range(4000)])
     asked = {q: points[q] + 0.01 for q in range(0, 4000, 50)}
     queries, chunks = tables(spark, points, ["s"] * 4000, asked)
-    places = retrieval._centres(chunks, 256)
+    places = retrieval._centres(chunks, 4000, 256)
     held = retrieval._in_cells(chunks.drop("cell"), places)
     cells = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).agg(F.collect_list(F.struct("cell", "n", "radius")).alias("cells"))
     known = queries.select("query_id", F.lit("s").alias("source"), "embedding").crossJoin(cells)
     first = retrieval._visits(known, places, 5, False).count()
-    reach = retrieval.nearest(queries, chunks, 5).groupBy("query_id").agg(F.max("distance").alias("reach"))
+    reach = retrieval.nearest(queries, chunks, 5, chunk_block=500).groupBy("query_id").agg(F.max("distance").alias("reach"))
     more = retrieval._visits(known.join(reach, "query_id").select("query_id", "source", "embedding", "cells", "reach"), places, 5, True).count()
     assert len(places) > 25 and first + more < 0.2 * len(asked) * len(places)
 
