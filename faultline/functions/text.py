@@ -38,8 +38,9 @@ def has_any(lowered: Column, words: Sequence[str]) -> Column:
 
 
 def times(lowered: Column, word: str) -> Column:
-    """How often ``word`` stands in a text without overlap."""
-    return ((F.length(lowered) - F.length(F.replace(lowered, F.lit(word), F.lit("")))) / len(word)).cast("long")
+    """How often ``word`` stands in a text without overlap; only texts that have it are gone through letter by letter."""
+    gone = F.length(lowered) - F.length(F.replace(lowered, F.lit(word), F.lit("")))
+    return F.when(lowered.contains(word), (gone / len(word)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def strip(c: Column) -> Column:

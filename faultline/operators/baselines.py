@@ -77,8 +77,11 @@ def heuristic_counts(c: Column, keywords: dict[str, list[str]] = KEYWORDS) -> Co
 
 def heuristic_type(counts: Column, keywords: dict[str, list[str]] = KEYWORDS) -> Column:
     """The type with the most counts, the first declared of equals; unknown without any."""
-    most = F.greatest(*[counts[t] for t in keywords])
-    return F.when(most == 0, "unknown").otherwise(_first([(counts[t] == most, t) for t in keywords]))
+
+    def named(n: Column) -> Column:
+        return once(F.greatest(*[n[t] for t in keywords]), lambda most: F.when(most == 0, "unknown").otherwise(_first([(n[t] == most, t) for t in keywords])))
+
+    return once(counts, named)
 
 
 def heuristic_lines(c: Column, kind: Column, keywords: dict[str, list[str]] = KEYWORDS) -> Column:
