@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .shared import maybe_broadcast, scratch, small_batches, stored
+from .shared import hinted, maybe_broadcast, scratch, small_batches, stored
 from .tokens import vocabulary_size
 
 ORDER = 2
@@ -52,4 +52,4 @@ def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text and is_target: labelled as good by all its labels and as toxic by none."""
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id", F.lit(True).alias("is_target"))
     good = stored(good, "target")
-    return docs.select("doc_id", "text").join(maybe_broadcast(good, 32 * good.count()), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    return docs.select("doc_id", "text").join(hinted(good), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
