@@ -102,9 +102,9 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
             found.append(F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice(words, s + 1, n), " ").alias("words"))))  # noqa: B023
         return F.concat(*found)
 
-    size = places.agg(F.sum(F.size("places") * 8 + 48)).first()[0] or 0
     hit = places.select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), "places")
-    held = keyed.join(maybe_broadcast(hit, size), (F.col("copy") == F.col("_copy")) & F.col("doc").eqNullSafe(F.col("_doc")))
+    same = (F.col("copy") == F.col("_copy")) & F.col("doc").eqNullSafe(F.col("_doc"))
+    held = keyed.join(hit.hint("merge"), same)  # hits grow with the texts: shuffled at every size
     candidates = held.select("doc", "copy", F.explode(let(words_of(F.col("text")), candidates_of)).alias("c")).select("doc", "copy", "c.*").distinct()
     listed = stored(windows.groupBy("length", "words").agg(F.array_sort(F.collect_set("item")).alias("items")), "distinct-windows")
     size = listed.agg(F.sum(F.length("words") + 40 + 24 * F.size("items"))).first()[0] or 0
