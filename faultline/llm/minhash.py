@@ -170,7 +170,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, words:
     counts = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("members"))
     dealt = pairs.join(counts, "x").withColumn("deal", F.pmod(F.xxhash64("y"), F.ceil(F.col("members") / SHARE)))
     wanted = stored(dealt.select("x", "deal", F.col("y").alias("row"), F.lit(1).alias("is_member")).unionByName(dealt.select("x", "deal", F.col("x").alias("row"), F.lit(0).alias("is_member")).distinct()), "wanted")
-    held = texts.join(maybe_broadcast(wanted, 40 * wanted.count()), "row")
+    held = texts.join(wanted.hint("merge"), "row")  # grows with the texts: shuffled at every size
 
     def run(batches):
         centre, own = None, None
