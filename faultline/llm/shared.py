@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import once as let  # noqa: F401
-from faultline.sources.storage import discard, new_path, scratch, stored  # noqa: F401
+from faultline.sources.storage import discard, new_path, scratch, small_batches, stored  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side of a join is hinted for broadcast only when its measured bytes are at most this: each executor holds its hash table, which takes several times that.
@@ -37,21 +34,6 @@ def hinted(df: DataFrame) -> DataFrame:
     return maybe_broadcast(df, df.agg(F.sum(size)).first()[0] or 0)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """What runs inside hands Arrow batches of ``rows`` rows at most to Python; afterwards the session has its own number again.
-
-    Rows are whole texts, and a task holds a batch of them in the JVM and again in its Python worker.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = spark.conf.get(name)
-    spark.conf.set(name, str(rows if int(own) <= 0 else min(rows, int(own))))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, own)
-
-
 def by_bytes(column: pa.Array, most: int = 8 << 20, rows: int = 1 << 20):
     """(start, stop) ranges of at most ``rows`` rows and about ``most`` bytes of text each; one row at least."""
     ends = np.cumsum(lengths(column))

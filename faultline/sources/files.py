@@ -5,10 +5,12 @@ Paths are those of Spark's file systems.  A file is one row until it is parsed,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.text import content
@@ -80,40 +82,53 @@ def write_logs(logs: DataFrame, path: str, file_bytes: int = FILE_BYTES, order:
 def write_arrays(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES, order: str = "log_id", head: str = "[", tail: str = "]") -> None:
     """Rows as JSON arrays between ``head`` and ``tail`` ({n} in it: the file's rows).
 
-    A row's bin is that of the bytes before it, of half a file's size; a larger row ends its bin and is a file of its own.  Sums run over
-    sizes alone: over those of a range of rows, then over the ranges.
+    Rows are shuffled once, into ranges of the order; each range's task fills one file after the other, so a task holds a file's rows at most.
     """
     columns = [c for c in rows.columns if c != order or c == "log_id"]
     text = F.to_json(F.struct(*columns))
     placed = rows.select(F.col(order).alias("_order"), text.alias("row")).repartitionByRange("_order").sortWithinPartitions("_order", "row")
-    placed = storage.stored(placed.select("row", F.monotonically_increasing_id().alias("at")), "rows")
-    half = max(1, (file_bytes - len(head) - len(tail) - 24) // 2)
-    sizes = placed.select("at", F.shiftright("at", 33).alias("range"), (F.octet_length("row") + 1).cast("long").alias("size"))
-    within = Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sizes.groupBy("range").agg(F.sum("size").alias("total"))
-    before = totals.select("range", F.coalesce(F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    starts = sizes.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(F.broadcast(before), "range")  # a row for each range
-    bins = starts.select("at", "range", (F.floor((F.col("before") + F.col("within")) / half) * 2 + (F.col("size") > half).cast("long")).alias("bin"))
-    firsts = bins.groupBy("range", "bin").agg(F.min("at").alias("first")).groupBy("range").agg(F.array_sort(F.collect_list(F.struct("first", "bin"))).alias("bins"))  # a range's bins are few
-    dealt = placed.join(F.broadcast(firsts), F.shiftright("at", 33) == F.col("range"))
-    own = F.element_at(F.filter("bins", lambda b: b["first"] <= F.col("at")), -1)["bin"]
-    files = dealt.select("at", "row", own.alias("bin")).groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("x"))
-    end = F.replace(F.lit(tail), F.lit("{n}"), F.size("x").cast("string")) if "{n}" in tail else F.lit(tail)
-    value = F.concat(F.lit(head), F.array_join(F.transform("x", lambda r: r["row"]), ","), end)
-    files.select(F.lpad(F.col("bin").cast("string"), 12, "0").alias("part"), value.alias("value")).write.partitionBy("part").text(path)
-
-
-def read_artifact_logs(spark: SparkSession, index: str, root: str, num_logs: int = 300, schema: str = ARTIFACT) -> DataFrame:
+    most = file_bytes - len(head.encode()) - len(tail.encode()) - 24
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def file():
+            value = head.encode() + b",".join(held) + tail.replace("{n}", str(len(held))).encode()
+            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}{number:09d}"]), pa.array([value.decode()])], ["part", "value"])
+
+        for batch in batches:
+            for row in batch.column(0).cast(pa.binary()).to_pylist():
+                if held and size + len(row) > most:
+                    yield file()
+                    number, size = number + 1, 0
+                    held.clear()
+                held.append(row)
+                size += len(row) + 1
+        if held:
+            yield file()
+
+    with storage.small_batches(rows.sparkSession, 100):
+        placed.select("row").mapInArrow(run, "part string, value string").write.partitionBy("part").text(path)
+
+
+def write_packed(artifacts: DataFrame, path: str) -> None:
+    """Artifacts (file, value) as a packed tree: Parquet files sorted by file, so a few artifacts are read without the others, and there are as many files as the bytes take."""
+    artifacts.select("file", "value").repartitionByRange("file").sortWithinPartitions("file").write.parquet(path)
+
+
+def read_artifact_logs(spark: SparkSession, index: str, root: str, num_logs: int = 300, schema: str = ARTIFACT, packed: bool = False) -> DataFrame:
     """log_id, source, repository, build_id, log_content of an index's first ``num_logs`` entries with a failed build.
 
-    index: JSON files, an array of entries; an entry's path is one under ``root``.  Only these entries' files are opened (``num_logs`` is the
+    index: JSON files, an array of entries; an entry's path is one under ``root``, or in the tree that :func:`write_packed` has packed there.  Only these entries' files are opened (``num_logs`` is the
     feature's limit, so their paths may pass through the driver); entries without a path, and whose file is missing or has nothing but line ends, are left out.
     """
     files = whole_files(spark, index)
     entries = _arrived(files, files.select("file", F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("place", "x")).filter("x is not null"))
     first = entries.filter(content(F.col("failed_build")) != "").orderBy("ord").limit(num_logs).collect()
     wanted = spark.createDataFrame([(r.repo, r.failed_build_id, r.path) for r in first if r.path], "repo string, build_id string, file string")
-    texts = whole_files(spark, root, sorted({r.path for r in first if r.path})).filter(F.col("value").rlike(r"[^\r\n]"))
+    named = sorted({r.path for r in first if r.path})
+    found = spark.read.schema("file string, value string").parquet(root).filter(F.col("file").isin(*named) if named else F.lit(False)) if packed else whole_files(spark, root, named)
+    texts = found.filter(F.col("value").rlike(r"[^\r\n]"))
     name = F.concat(F.lit("bs_"), F.col("repo"), F.lit("_"), F.col("build_id"))
     return texts.join(F.broadcast(wanted), "file").select(name.alias("log_id"), F.lit("bugswarm").alias("source"), F.col("repo").alias("repository"), "build_id", F.col("value").alias("log_content"))
 

@@ -75,6 +75,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs inside hands Arrow batches of ``rows`` rows at most to Python; afterwards the session has its own number again.
+
+    Rows are whole texts, and a task holds a batch of them in the JVM and again in its Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(own) <= 0 else min(rows, int(own))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def numbered(ordered: DataFrame, name: str) -> DataFrame:
     """Rows of a sorted frame with their places from 1: places within its ranges, and the sizes of the ranges before."""
     placed = stored(ordered.withColumn("at", F.monotonically_increasing_id()), name)

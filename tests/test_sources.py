@@ -134,3 +134,25 @@ def test_a_writer_that_dies_or_comes_late_changes_nothing(spark, tmp_path, monke
             store.upsert(make(("a", 3, "late")))
     assert store.version() == 2 and sorted((r.log_id, r.note) for r in store.read().collect()) == [("a", "x"), ("b", "x"), ("c", "theirs")]
     assert store.upsert(make(("a", 3, "now"))) == 3 and store.get("a").first().note == "now"
+
+
+def test_packed_artifacts_are_read_by_the_index(spark, tmp_path):
+    root, index = f"file://{tmp_path}/packed", f"file://{tmp_path}/index.json"
+    rows = [(f"d{i % 3}/f {i}.log", f"log {i}\r\nend" if i % 5 else "\n") for i in range(40)]
+    files.write_packed(spark.createDataFrame(rows, "file string, value string").repartition(5), root)
+    assert len([p for p in Path(tmp_path, "packed").rglob("*.parquet")]) < len(rows)
+    entries = [{"repo": "r", "failed_build": "yes" if i % 4 else "", "failed_build_id": str(i), "path": f"d{i % 3}/f {i}.log" if i != 7 else "gone.log"} for i in range(40)]
+    Path(tmp_path, "index.json").write_text(json.dumps(entries))
+    got = files.read_artifact_logs(spark, index, root, num_logs=12, packed=True)
+    assert {r.log_id: r.log_content for r in got.collect()} == {f"bs_r_{i}": f"log {i}\r\nend" for i in range(16) if i % 4 and i % 5 and i != 7}
+    Path(tmp_path, "index.json").write_text("[]")
+    assert files.read_artifact_logs(spark, index, root, packed=True).count() == 0
+
+
+def test_arrays_are_written_in_one_pass(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files.storage, "stored", lambda *_, **__: pytest.fail("rows are written twice"))
+    df = spark.createDataFrame([(f"l{i:03d}", "é" * (i % 50)) for i in range(300)], "log_id string, log_content string").repartition(3)
+    files.write_arrays(df, f"file://{tmp_path}/rows", file_bytes=900, head='{"own": [', tail='], "total": {n}}')
+    held = [json.loads(p.read_text()) for p in sorted(Path(tmp_path, "rows").rglob("part-*")) if p.is_file()]
+    assert all(x["total"] == len(x["own"]) for x in held) and [r["log_id"] for x in held for r in x["own"]] == [f"l{i:03d}" for i in range(300)]
+    assert all(p.stat().st_size <= 901 for p in Path(tmp_path, "rows").rglob("part-*") if p.is_file())
