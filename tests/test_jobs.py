@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,24 @@ def test_archives_of_any_kind(spark):
     assert [r.name for r in parts.filter("run_id = '4'").collect()] == [None]
 
 
+def test_archives_come_and_go_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(sources, "HELD_BYTES", 2000)
+    texts = ["", None, "é" * 30, "k-1", "x" * 63, "x" * 64, "abc" * 3000, "y" * 5000] * 50
+    df = spark.createDataFrame([(i, f"f{i}.txt", t) for i, t in enumerate(texts)], "run_id long, name string, content string").repartition(2)
+    packed = sources.archives(df)
+    assert all(len(r.content) < 400 for r in packed.collect())  # long files shrink
+    parts = sources.members(packed)
+    assert sorted(map(tuple, parts.collect())) == [(i, f"f{i}.txt", t or "") for i, t in enumerate(texts)]
+    held = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, *_: held.append(run))
+    rows = pa.RecordBatch.from_pydict({"run_id": list(range(1000)), "name": ["a"] * 1000, "content": ["short"] * 1000})
+    sources.archives(df), sources.members(packed)
+    made = list(held[0]([rows]))
+    assert sum(b.num_rows for b in made) == 1000 and 1 < len(made) < 100
+    out = list(held[1](made))
+    assert sum(b.num_rows for b in out) == 1000 and len(out) <= 2 * len(made)  # not a batch for each archive
+
+
 def test_bare_and_enveloped_annotations(spark, tmp_path):
     df = spark.createDataFrame([(f"l{i}", i % 2 == 0, i) for i in range(7)], "log_id string, type_correct boolean, quality_rating int")
     sources.write_annotations(df, f"file://{tmp_path}/e", "2024-01-01", file_bytes=300)
