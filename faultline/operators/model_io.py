@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.text import content
+from faultline.functions.text import content, once
 
 # US dollars a token, in and out
 PRICES = {
@@ -32,15 +32,19 @@ def prompt(log: Column, repository: Column, workflow: Column, ci_system: Column,
 
 def _json_of(reply: Column) -> Column:
     """The text from a reply's first brace to its last, or all of it; null if that isn't one JSON object and nothing else."""
-    inner = F.regexp_extract(content(reply), r"(?s)\{.*\}", 0)
-    text = F.when(inner != "", inner).otherwise(content(reply))
-    return F.when(F.json_object_keys(text).isNotNull() & (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1), text)
+    inner = lambda r: once(F.regexp_extract(r, r"(?s)\{.*\}", 0), lambda x: F.when(x != "", x).otherwise(r))
+    whole = lambda t: F.json_object_keys(t).isNotNull() & (F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1)
+    return once(content(reply), lambda r: once(inner(r), lambda t: F.when(whole(t), t)))
+
+
+def _evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` that are evaluated once for each row: Spark merges no generator with what uses its columns, and filters stay above it."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
 def parsed(reply: Column) -> Column:
     """The diagnosis in a reply (from the first brace to the last), or null for bad JSON and unknown error types."""
-    d = F.from_json(_json_of(reply), DIAGNOSIS, {"mode": "PERMISSIVE"})
-    return F.when(d["error_type"].isin(ERROR_TYPES), d)
+    return once(F.from_json(_json_of(reply), DIAGNOSIS, {"mode": "PERMISSIVE"}), lambda d: F.when(d["error_type"].isin(ERROR_TYPES), d))
 
 
 #: What a reply must have; without grounded_evidence it cites nothing.
@@ -55,8 +59,8 @@ def judged(replies: DataFrame, reply: str = "reply", grounding: Column | None =
     error), out_of_range (the confidence, times ``grounding`` if that is given, isn't from 0 to 1).  No reply is lost; detail has the field, the unknown type or the value.
     """
     raw = ", ".join(f"{f} string" for f in (*REQUIRED, "grounded_evidence"))  # each field as it is written
-    read = replies.withColumn("_json", _json_of(F.col(reply)))
-    read = read.withColumn("_raw", F.from_json("_json", raw)).withColumn("_d", F.from_json("_json", f"{DIAGNOSIS}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    read = _evaluated(replies, _json=_json_of(F.col(reply)))
+    read = _evaluated(read, _raw=F.from_json("_json", raw), _d=F.from_json("_json", f"{DIAGNOSIS}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     d = F.col("_d")
     missing = F.coalesce(*(F.when(F.col("_raw")[f].isNull(), F.lit(f)) for f in REQUIRED))
     named = lambda c: F.array_compact(F.array(*c))
@@ -74,7 +78,7 @@ def judged(replies: DataFrame, reply: str = "reply", grounding: Column | None =
         .when(~F.coalesce((value >= 0) & (value <= 1), F.lit(False)) | F.isnan(value), why("out_of_range", F.col("_raw")["confidence_score"]))
     )
     whole = F.struct(*(d[f].alias(f) for f in (*REQUIRED[:5], "grounded_evidence", "reasoning")))
-    out = read.withColumn("_why", reason)
+    out = _evaluated(read, _why=reason)
     return out.select(*replies.columns, F.when(F.col("_why").isNull(), whole).alias("diagnosis"), F.col("_why.reason").alias("reason"), F.col("_why.detail").alias("detail"))
 
 

@@ -41,6 +41,17 @@ def test_range_is_that_of_the_grounded_confidence(spark):
     assert [r.reason for r in model_io.judged(df, grounding=F.col("g")).collect()] == [None, "out_of_range", None]
 
 
+def test_a_reply_is_parsed_once(spark):
+    """Parsing isn't repeated for each field that is looked at, nor in the filter below."""
+    df = spark.createDataFrame([(c[0],) for c in CASES], "reply string")
+    for part in model_io.good_and_bad(df):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract") == 1 and plan.count("from_json") + plan.count("jsontostructs") <= 2, plan
+    seen = df.select(model_io.parsed(F.col("reply")).alias("p")).select("p.error_type", "p.failure_lines")
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+    assert [r.error_type for r in seen.collect()][:2] == ["timeout", "timeout"]
+
+
 @pytest.mark.parametrize("name", ["p2_good_replies", "p2_bad_replies"])
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
