@@ -133,6 +133,38 @@ def asked(rows: DataFrame, tokenizer: str, order: int, flags: Sequence[str] = ()
     return rows.mapInArrow(run, ", ".join(["block int", "gram long", *(f"{n} long" for n in names)]))
 
 
+def counts_of(docs: DataFrame, tokenizer: str, order: int, name: str) -> DataFrame:
+    """gram and ``name``: how often each n-gram stands in all texts of ``docs`` (text).  Tasks add up what they read; nothing but distinct n-grams is moved."""
+    _width(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        new, keys, counts, held = [], np.zeros(0, np.int64), np.zeros((0, 1), np.int64), 0
+
+        def add_up():
+            parts = [(keys, counts), *((g, n[:, None]) for g, n in new)]
+            new.clear()
+            return _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+        def batches_of():
+            for i in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16), 0])], ["gram", name])
+
+        for _, sizes, ids in encoded_batches(batches, tokenizer):
+            own = np.unique(codes(ids, np.concatenate([[0], np.cumsum(sizes)]), order), return_counts=True)
+            new.append(own)
+            held += len(own[0])
+            if held > SUMMED:
+                (keys, counts), held = add_up(), 0
+                if len(keys) > SUMMED:
+                    yield from batches_of()
+                    keys, counts = keys[:0], counts[:0]
+        keys, counts = add_up()
+        yield from batches_of()
+
+    rows = docs.select("text").mapInArrow(run, f"gram long, {name} long")
+    return rows.groupBy("gram").agg(F.sum(name).alias(name))
+
+
 def counted(rows: DataFrame, flags: Sequence[str] = ()) -> DataFrame:
     """gram, and n by flag, over all blocks of :func:`asked` rows; n-grams that no flag has seen are left out."""
     names = [f"n_{f}" for f in flags]

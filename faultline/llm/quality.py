@@ -1,6 +1,6 @@
 """Quality classifier (operator 1): a modified Kneser-Ney model of trusted text, and limits on perplexity by language.
 
-The model is fitted on the tokens of a bounded sample of trusted rows.  Documents get their perplexity by joins of their blocks'
+The model is fitted on the tokens of four in five of all trusted rows.  Documents get their perplexity by joins of their blocks'
 distinct n-grams with the model's sharded tables.  Limits are quantiles of the perplexities of all other trusted rows, by language, so
 that a language that the model finds harder isn't judged by another's measure.
 """
@@ -15,8 +15,8 @@ from .shared import hinted, maybe_broadcast, scratch, small_batches, stored
 from .tokens import vocabulary_size
 
 ORDER = 2
-#: Trusted rows in the sample at most, those with the least hashes: four in five train, the rest and all others set the limits.
-TRUSTED_ROWS = 20_000
+#: Bits of the filter that keeps most texts out of the join with the ids of trusted rows: 1,024 bitmaps of 4 KB at most, whatever the input.
+FILTER_BITS = 25
 #: The quantile of a language's trusted rows that is its limit.
 QUANTILE = 0.99
 #: Bins of perplexity in which a quantile is looked up first: 1,000 to a unit of its logarithm.
@@ -25,8 +25,7 @@ BINS = 1000
 
 def perplexities(docs: DataFrame, train: DataFrame, tokenizer: str, order: int, *columns: str) -> DataFrame:
     """``columns``, n_tokens and perplexity (e to the mean loss of a token) of each row's whole text under the model of ``train`` (text); null without tokens."""
-    sample = ngrams.placed(train.select("text", F.lit(True).alias("seen")), tokenizer, "seen")
-    counts = stored(ngrams.counted(ngrams.asked(sample, tokenizer, order, ["seen"]), ["seen"]), "counts")
+    counts = stored(ngrams.counts_of(train, tokenizer, order, "n_seen"), "counts")
     model = ngrams.KneserNey(counts, ["n_seen"], order, vocabulary_size(tokenizer))
     rows = ngrams.placed(docs.select(*columns, "text"), tokenizer, *columns)
     asked = ngrams.asked(rows, tokenizer, order).repartition("gram")  # a row for each block of 32 MB at most, however frequent a gram is
@@ -37,13 +36,30 @@ def perplexities(docs: DataFrame, train: DataFrame, tokenizer: str, order: int,
     return out.select(*columns, "n_tokens", F.exp(F.try_divide(F.col("n_seen"), F.col("n_tokens"))).alias("perplexity"))
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """doc_id and train of trusted documents: labelled as good and not as toxic.  Four in five of the ``rows`` of the least hashes train."""
+def trusted_ids(labels: DataFrame, rows: int | None = None) -> DataFrame:
+    """doc_id and train of trusted documents: labelled as good and not as toxic.  Four in five train, by a hash; with ``rows``, only those of the ``rows`` least hashes."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id", F.xxhash64("doc_id").alias("h"))
+    train = F.pmod("h", F.lit(5)) != 0
+    if rows is None:
+        return stored(good.select("doc_id", train.alias("train")), "trusted-ids")
     good = stored(good, "trusted")
-    sample = good.orderBy("h", "doc_id").limit(rows).select("doc_id", F.lit(True).alias("sampled"))
-    train = F.coalesce("sampled", F.lit(False)) & (F.pmod("h", F.lit(5)) != 0)
-    return stored(good.join(F.broadcast(sample), "doc_id", "left").select("doc_id", train.alias("train")), "trusted-ids")  # TRUSTED_ROWS ids at most
+    sample = hinted(stored(good.orderBy("h", "doc_id").limit(rows).select("doc_id", F.lit(True).alias("sampled")), "sample"))
+    return stored(good.join(sample, "doc_id", "left").select("doc_id", (F.coalesce("sampled", F.lit(False)) & train).alias("train")), "trusted-ids")
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (doc_id).
+
+    A Bloom filter of one hash and a fixed size drops most others as they are read, so a shuffled join, which is exact, moves few texts in vain.
+    """
+    ids = ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    marks = ids.groupBy(F.shiftright(bit, 15).alias("_bucket")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << 15) - 1))).alias("_marks"))
+    place = F.col("_bit").bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_marks"), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    near = docs.filter("doc_id is not null").withColumn("_bit", bit).join(F.broadcast(marks), F.shiftright("_bit", 15) == F.col("_bucket"))  # 4 MB at most
+    near = near.filter(F.bit_get(byte, place.bitwiseAND(F.lit(7))) == 1)
+    return near.select(*docs.columns).join(ids.hint("merge"), "doc_id", "left_semi")
 
 
 def quantiles(values: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -64,18 +80,18 @@ def quantiles(values: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return ends.select("key", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("own"), "n")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, tokenizer: str, order: int = ORDER, quantile: float = QUANTILE, rows: int = TRUSTED_ROWS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, tokenizer: str, order: int = ORDER, quantile: float = QUANTILE, rows: int | None = None) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, limit, accepted of each row of ``docs`` (doc_id, text, lang).
 
     labels: doc_id, quality, toxic; a document with several labels is trusted if all are good.  A row is rejected if its
-    perplexity is over the limit of its language, or it has no tokens.  Limits are those of all trusted rows that the model wasn't
-    fitted on.  Languages without any of them, and null ones, get the common limit; without any trusted rows there is no limit
+    perplexity is over the limit of its language, or it has no tokens.  The model is fitted on four in five of all trusted rows (of
+    ``rows`` of them, if that is given); limits are those of all others.  Languages without any of them, and null ones, get the common limit; without any trusted rows there is no limit
     and all rows with tokens are accepted.  Repeated rows are judged each; labels with a null doc_id aren't used; an empty table gives no
     rows; other columns aren't read.
     """
     with scratch():
         trusted = trusted_ids(labels.select("doc_id", "quality", "toxic").filter("doc_id is not null"), rows)
-        train = docs.select("doc_id", "text").join(F.broadcast(trusted.filter("train").select("doc_id")), "doc_id")  # TRUSTED_ROWS ids at most
+        train = with_ids(docs.select("doc_id", "text"), trusted.filter("train").select("doc_id"))
         with small_batches(docs.sparkSession):
             scored = stored(perplexities(docs, train, tokenizer, order, "doc_id", "lang"), "scored", kept=True)
         others = trusted.filter(~F.col("train")).select("doc_id")

@@ -265,6 +265,30 @@ def test_limits_of_all_trusted_rows(spark):
     assert np.isclose(got[156].limit, everything) and np.isclose(got[157].limit, everything)
 
 
+def test_model_is_fitted_on_all_trusted_rows(spark):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    train = quality.trusted_ids(labels).filter("train")
+    assert 47_000 < train.count() < 49_000  # no cap
+    near = spark.range(58_000, 90_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).union(spark.createDataFrame([(None, "x"), (58_000, "again")], "doc_id long, text string"))
+    want = {r.doc_id for r in train.filter("doc_id >= 58000").collect()}
+    got = quality.with_ids(near, train.select("doc_id"))
+    assert got.columns == ["doc_id", "text"] and {r.doc_id for r in got.collect()} == want and got.count() == len(want) + (58_000 in want)
+    assert quality.with_ids(near, train.select("doc_id").limit(0)).count() == 0
+
+
+def test_counts_of_texts_are_added_up(spark, monkeypatch):
+    from collections import Counter
+
+    df, want = docs(spark, TEXTS * 3).repartition(3), Counter()
+    for t in TEXTS * 3:
+        own = ids(t)[:-1] if t else []
+        want.update(zip([0, *(i + 1 for i in own)], [i + 1 for i in own], strict=False))
+    for most in (1, 5, 1 << 20):
+        monkeypatch.setattr(ngrams, "SUMMED", most)
+        got = {(r.gram >> ngrams.BITS, r.gram & ((1 << ngrams.BITS) - 1)): r.n for r in ngrams.counts_of(df, PATH, 2, "n").collect()}
+        assert got == dict(want)
+
+
 def test_rotation(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (2, 0, "system", "x"), (3, None, None, "q")], "conv_id long, turn long, role string, text string")
     got = chat.rotate(turns).collect()
