@@ -41,7 +41,7 @@ _TOP, _LOW, _ALL = _U(1 << 48), _U(1 << 40), _U((1 << 64) - 1)
 _W, _WORD = _U(16), _U(48)
 
 
-def _steps() -> tuple[np.ndarray, np.ndarray]:
+def _steps() -> np.ndarray:
     """How cells of orders 1 and 2 change, by the case: (how sure order 2 and order 1 were, 3 bits each; whether they agreed; which was right).
 
     A right cell gets surer by one, 7 at most; a wrong one half as sure, and is replaced if it wasn't sure at all.
@@ -49,10 +49,10 @@ def _steps() -> tuple[np.ndarray, np.ndarray]:
     case = np.arange(512)
     sure, hit = np.stack([(case >> 3) & 7, case >> 6]), np.stack([case & 1, (case >> 1) & 1]) == 1
     step = np.where(hit, np.minimum(sure + 1, 7), sure // 2) - sure
-    return (step << 24).astype(np.uint32), ~hit & (sure == 0)
+    return (step << 24).astype(np.uint32)
 
 
-_STEP, _REPLACED = _steps()
+_STEP = _steps()
 
 
 class Mixture:
@@ -60,6 +60,7 @@ class Mixture:
 
     A cell of orders 1 and 2 has an id and, above 24 bits, how sure it is (0 to 7).  Weights are 256ths.  In the code's range the ids
     that orders 2 and 1 predict come first, each with all that the mixture gives it, and then all other ids in order.
+    Places in tables are never beyond them; they are taken with "clip", since numpy takes longer for the check.
     """
 
     WEIGHT_BITS = 8
@@ -107,7 +108,7 @@ class Mixture:
         last = self.last[:n]
         self.multiplied = last.astype(np.uint32) * np.uint32(2246822519)
         self.at2 = ((self.multiplied ^ self.hashed[:n]) >> self.shift).astype(np.int64)
-        self.was1, self.was2 = self.cells1.take(last), self.cells2.take(self.at2)
+        self.was1, self.was2 = self.cells1.take(last, mode="clip"), self.cells2.take(self.at2, mode="clip")
         mask = self.SURE - np.uint32(1)
         self.id1, self.id2 = self.was1 & mask, self.was2 & mask
         same = self.id1 == self.id2
@@ -115,42 +116,49 @@ class Mixture:
         context |= (self.was1 >> np.uint32(24)) << np.uint32(1)
         context |= same
         self.context = context.astype(np.int64)
-        self.weight = self.w0.take(self.context)
+        self.weight = self.w0.take(self.context, mode="clip")
         # What the order-0 part has of the predicted ids moves to them; two equal ids are one.
-        self.own2, self.own1 = self.freq.take(self.id2.astype(np.int64)), self.freq.take(self.id1.astype(np.int64)) * ~same
-        self.size2 = self.mass2.take(self.context) + self.weight * self.own2
-        self.both = self.size2 + self.mass1.take(self.context) + self.weight * self.own1
+        self.own2, self.own1 = self.freq.take(self.id2.astype(np.int64), mode="clip"), self.freq.take(self.id1.astype(np.int64), mode="clip") * ~same
+        self.size2 = self.mass2.take(self.context, mode="clip") + self.weight * self.own2
+        self.both = self.size2 + self.mass1.take(self.context, mode="clip") + self.weight * self.own1
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the ids under the mixture, out of 1 << total_bits."""
         self.new = ids.astype(np.uint32)
         self.hit1, self.hit2 = self.new == self.id1, self.new == self.id2
-        start = self.start.take(ids)
+        start = self.start.take(ids, mode="clip")
         start -= self.own2 * (self.id2 < self.new)
         start -= self.own1 * (self.id1 < self.new)
         start = self.both + self.weight * start
-        size = self.weight * self.freq.take(ids)
+        size = self.weight * self.freq.take(ids, mode="clip")
         np.copyto(start, self.size2, where=self.hit1)
         np.copyto(size, self.both - self.size2, where=self.hit1)
         np.copyto(start, 0, where=self.hit2)
         np.copyto(size, self.size2, where=self.hit2)
         return start, size
 
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids in whose intervals the values lie."""
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids in whose intervals the values lie, start, size), the latter two as :meth:`interval` gives them."""
         if self.slots is None:
             self.slots = np.repeat(np.arange(self.vocabulary, dtype=np.uint16 if self.vocabulary <= 1 << 16 else np.uint32), self.freq)
-        out = np.where(value < self.size2, self.id2, self.id1).astype(np.int64)
+        by2 = value < self.size2
+        out, start, size = self.id1.astype(np.int64), self.size2 * ~by2, self.both - self.size2
+        np.copyto(out, self.id2, where=by2)
+        np.copyto(size, self.size2, where=by2)
         rest = np.flatnonzero(value >= self.both)
-        id1, id2, own1, own2 = (x.take(rest) for x in (self.id1, self.id2, self.own1, self.own2))
-        at = ((value.take(rest) - self.both.take(rest)) / self.weight.take(rest)).astype(np.int64)  # exact: below 2 ** 53
-        first = id1 < id2
-        low, own_low = np.where(first, id1, id2), np.where(first, own1, own2)
-        at += own_low * (at >= self.start.take(low.astype(np.int64)))
-        high, own_high = np.where(first, id2, id1), np.where(first, own2, own1)
-        at += own_high * (at >= self.start.take(high.astype(np.int64)))
-        out[rest] = self.slots.take(at, mode="clip")
-        return out
+        id1, id2, own1, own2, value, both, weight = (x.take(rest, mode="clip") for x in (self.id1, self.id2, self.own1, self.own2, value, self.both, self.weight))
+        at = ((value - both) / weight).astype(np.int64)  # exact: below 2 ** 53
+        own_low = own2.copy()
+        np.copyto(own_low, own1, where=id1 < id2)
+        moved = own_low * (at >= self.start.take(np.minimum(id1, id2).astype(np.int64), mode="clip"))
+        moved += (own1 + own2 - own_low) * (at + moved >= self.start.take(np.maximum(id1, id2).astype(np.int64), mode="clip"))
+        ids = self.slots.take(at + moved, mode="clip").astype(np.int64)
+        out[rest] = ids
+        start[rest] = both + weight * (self.start.take(ids, mode="clip") - moved)
+        size[rest] = weight * self.freq.take(ids, mode="clip")
+        self.new = out.astype(np.uint32)
+        self.hit1, self.hit2 = self.new == self.id1, self.new == self.id2
+        return out, start, size
 
     def learn(self, ids: np.ndarray) -> None:
         """ids: those that came, whose interval was the last asked for."""
@@ -158,8 +166,10 @@ class Mixture:
         case = self.hit2 * np.int64(2)
         case += self.hit1
         case |= self.context << 2
-        self.cells1[self.last[:n]] = np.where(_REPLACED[0].take(case), self.new, self.was1 + _STEP[0].take(case))
-        self.cells2[self.at2] = np.where(_REPLACED[1].take(case), self.new, self.was2 + _STEP[1].take(case))
+        for cells, at, was, hit, step in ((self.cells1, self.last[:n], self.was1, self.hit1, _STEP[0]), (self.cells2, self.at2, self.was2, self.hit2, _STEP[1])):
+            cell = was + step.take(case, mode="clip")
+            np.copyto(cell, self.new, where=(was < self.SURE) & ~hit)
+            cells[at] = cell
         np.multiply(self.multiplied, np.uint32(3266489917), out=self.hashed[:n])
         self.last[:n] = ids
         self.pending.append(ids)
@@ -185,7 +195,9 @@ def _narrow(low: np.ndarray, width: np.ndarray) -> np.ndarray:
 
 def _cut(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """The width, less what would carry over into the upper bits."""
-    return np.where((low ^ (low + width)) < _TOP, width, (_U(0) - low) & (_LOW - _U(1)))
+    out = (_U(0) - low) & (_LOW - _U(1))
+    np.copyto(out, width, where=(low ^ (low + width)) < _TOP)
+    return out
 
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -226,17 +238,18 @@ def decode_block(raw: bytes, n_ids: int, vocabulary: int) -> np.ndarray:
     lanes, first = _lanes(n_ids)
     steps = int(first[1]) if lanes else 0
     used = np.frombuffer(raw, "<u2", lanes).astype(np.int64)
-    words = np.append(np.frombuffer(raw, "<u2", offset=2 * lanes).astype(_U), np.zeros(8, _U))
-    if int(used.sum()) + 8 != len(words):
+    coded = np.frombuffer(raw, "<u2", offset=2 * lanes)
+    if int(used.sum()) != len(coded) or int(used.max(initial=0)) > 2 * steps + 8:
         raise ValueError("a block is damaged")
-    at = np.cumsum(used) - used
-    stop = at + used
-    none = len(words) - 1
+    words = np.zeros((lanes, int(used.max(initial=0)) + 8), np.uint16)  # zeros where a lane has no more
+    words[np.arange(words.shape[1]) < used[:, None]] = coded
+    words = words.T.ravel()
+    at = np.arange(lanes)
 
     def word(lane):
-        where = at[lane]
-        at[lane] = where + 1
-        return words[np.where(where < stop[lane], where, none)]
+        where = at.take(lane, mode="clip")
+        at[lane] = where + lanes
+        return words.take(where, mode="clip").astype(_U)
 
     model, low, width, code = Mixture(n_ids, lanes, vocabulary), np.zeros(lanes, _U), np.full(lanes, _ALL), np.zeros(lanes, _U)
     every = np.arange(lanes)
@@ -249,8 +262,7 @@ def decode_block(raw: bytes, n_ids: int, vocabulary: int) -> np.ndarray:
         model.predict(n)
         r = width[:n] >> _U(model.total_bits)
         value = np.minimum((code[:n] - low[:n]) // np.maximum(r, _U(1)), _U((1 << model.total_bits) - 1)).astype(model.kind)
-        own = model.find(value)
-        start, size = model.interval(own)
+        own, start, size = model.find(value)
         low[:n] += r * start.astype(_U)
         width[:n] = r * size.astype(_U)
         out = np.flatnonzero(_narrow(low[:n], width[:n]))
