@@ -79,14 +79,18 @@ def write_logs(logs: DataFrame, path: str, file_bytes: int = FILE_BYTES, order:
     write_arrays(logs, path, file_bytes, order or "log_id")
 
 
-def write_arrays(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES, order: str = "log_id", head: str = "[", tail: str = "]") -> None:
+def write_arrays(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES, order: str | None = "log_id", head: str = "[", tail: str = "]") -> None:
     """Rows as JSON arrays between ``head`` and ``tail`` ({n} in it: the file's rows).
 
     Rows are shuffled once, into ranges of the order; each range's task fills one file after the other, so a task holds a file's rows at most.
+    Without an order no row is moved: each task fills files with its rows as they come, and names have no order.
     """
     columns = [c for c in rows.columns if c != order or c == "log_id"]
     text = F.to_json(F.struct(*columns))
-    placed = rows.select(F.col(order).alias("_order"), text.alias("row")).repartitionByRange("_order").sortWithinPartitions("_order", "row")
+    if order is None:
+        placed = rows.select(text.alias("row"))
+    else:
+        placed = rows.select(F.col(order).alias("_order"), text.alias("row")).repartitionByRange("_order").sortWithinPartitions("_order", "row")
     most = file_bytes - len(head.encode()) - len(tail.encode()) - 24
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -108,7 +112,11 @@ def write_arrays(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES, order
             yield file()
 
     with storage.small_batches(rows.sparkSession, 100):
-        placed.select("row").mapInArrow(run, "part string, value string").write.partitionBy("part").text(path)
+        arrays = placed.select("row").mapInArrow(run, "part string, value string")
+        if order is None:
+            arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+        else:  # names by part, and so a sort of what a task writes
+            arrays.write.partitionBy("part").text(path)
 
 
 def write_packed(artifacts: DataFrame, path: str) -> None:

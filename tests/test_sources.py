@@ -156,3 +156,20 @@ def test_arrays_are_written_in_one_pass(spark, tmp_path, monkeypatch):
     held = [json.loads(p.read_text()) for p in sorted(Path(tmp_path, "rows").rglob("part-*")) if p.is_file()]
     assert all(x["total"] == len(x["own"]) for x in held) and [r["log_id"] for x in held for r in x["own"]] == [f"l{i:03d}" for i in range(300)]
     assert all(p.stat().st_size <= 901 for p in Path(tmp_path, "rows").rglob("part-*") if p.is_file())
+
+
+def test_arrays_without_an_order_move_no_row(spark, tmp_path):
+    df = spark.range(300, numPartitions=3).select(F.format_string("l%03d", 299 - F.col("id")).alias("log_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("log_content"))
+    files.write_arrays(df, f"file://{tmp_path}/rows", file_bytes=900, order=None)
+    written = [p for p in Path(tmp_path, "rows").iterdir() if p.name.startswith("part-")]
+    held = [[x["log_id"] for x in json.loads(p.read_text())] for p in written]
+    assert len(written) > 15 and all(p.stat().st_size <= 901 for p in written)
+    want = [r.log_id for r in df.collect()]
+    assert sorted((x for own in held for x in own), reverse=True) == want
+    places = [[want.index(x) for x in own] for own in held]
+    assert all(own == list(range(own[0], own[0] + len(own))) and own[0] // 100 == own[-1] // 100 for own in places)  # as they came, from one partition
+    index, report = files.content_index_of(spark, f"file://{tmp_path}/rows")
+    assert index.count() == 294 and {(r.status) for r in report.collect()} == {"read"}
+    empty = f"file://{tmp_path}/none"
+    files.write_arrays(df.limit(0), empty, order=None)
+    assert files.content_index_of(spark, empty)[0].count() == 0
